@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of texts are handed back to the JVM in slices of about this many bytes.
@@ -50,7 +51,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Slices of a batch whose texts have about ``limit`` bytes together; a longer text comes alone."""
     size, start = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
         if size and size + n > limit:
             yield batch.slice(start, i - start)

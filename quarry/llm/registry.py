@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, simhash
+from quarry.llm import bpe, chat, lines, simhash, substring, warc
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_substring": substring.op2_substring,
+        "op3_lines": lines.op3_lines,
+        "op6_warc": warc.op6_warc,
         "op8_simhash": simhash.op8_simhash,
+        "op9_chat": chat.op9_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_lines": lines.OP3_SQL,
+        "op6_warc": warc.OP6_SQL,
+        "op9_chat": chat.OP9_SQL,
+    }
