@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, lines, simhash, substring, warc
+from quarry.llm import bpe, chat, html, lines, simhash, substring, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_warc": warc.op6_warc,
         "op8_simhash": simhash.op8_simhash,
         "op9_chat": chat.op9_chat,
+        "op10_html": html.op10_html,
     }
 
 
