@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, html, lines, simhash, substring, warc
+from quarry.llm import bpe, chat, html, lines, nearest, simhash, substring, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_substring": substring.op2_substring,
         "op3_lines": lines.op3_lines,
+        "op5_nearest": nearest.op5_nearest,
         "op6_warc": warc.op6_warc,
         "op8_simhash": simhash.op8_simhash,
         "op9_chat": chat.op9_chat,
