@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, html, lines, nearest, simhash, substring, warc
+from quarry.llm import bpe, chat, html, lines, nearest, quality, simhash, substring, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_lines": lines.op3_lines,
         "op5_nearest": nearest.op5_nearest,
         "op6_warc": warc.op6_warc,
+        "op7_quality": quality.op7_quality,
         "op8_simhash": simhash.op8_simhash,
         "op9_chat": chat.op9_chat,
         "op10_html": html.op10_html,
