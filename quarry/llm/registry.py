@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, html, lines, nearest, quality, simhash, substring, warc
+from quarry.llm import bpe, chat, html, leaks, lines, nearest, quality, simhash, substring, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_substring": substring.op2_substring,
         "op3_lines": lines.op3_lines,
+        "op4_leaks": leaks.op4_leaks,
         "op5_nearest": nearest.op5_nearest,
         "op6_warc": warc.op6_warc,
         "op7_quality": quality.op7_quality,
