@@ -5,7 +5,7 @@ so two equal windows, wherever they start, share a place below ``PERIOD`` from t
 in both texts. Only the short anchors at cover positions are hashed first, a quarter of all places. A window that holds an
 anchor which occurs elsewhere too is a candidate; candidates extend to the whole window, compared by 96 hash bits.
 
-Hashes travel packed, one row per chunk of texts and bucket of hashes. What repeats within a chunk is settled there
+Hashes travel packed, one row per chunk of texts and bucket of hashes; a shuffle partition is one bucket. What repeats within a chunk is settled there
 and sent once, so a passage that a third of all documents hold costs one entry per chunk. Answers go back as places:
 the anchors that repeat, then the few candidate windows that don't.
 
@@ -28,8 +28,6 @@ WINDOW = 35
 PERIOD = 21
 #: Perfect difference set modulo 21: each nonzero residue is one difference of members.
 COVER = (3, 6, 7, 12, 14)
-#: Buckets of hashes for each shuffle partition; what a task holds at once is one bucket.
-BUCKETS = 8
 _BYTE, _WORD1, _WORD2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -159,7 +157,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key:
     """
     spark = df.sparkSession
     n = partitions(spark)
-    buckets, anchor = n * BUCKETS, window - PERIOD + 1
+    buckets, anchor = n, window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"a window needs at least {PERIOD} words")
 
@@ -207,15 +205,16 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key:
                     [part.column("id"), *(pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary())))],
                     ["id", "n_words", "n_removed", "kept"])
 
+    # The windows read the same columns as the last step, so that one shuffle of the texts serves both.
     def dealt(entries: DataFrame) -> DataFrame:
-        return entries.repartition(n, "bucket").sortWithinPartitions("bucket")
+        return entries.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
 
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     docs = docs.withColumn("k", F.xxhash64("id", "t"))
     repeated = dealt(docs.select("k", "t").mapInArrow(anchors, _ENTRY)).mapInArrow(_answers(True), "k long, p int")
     places = repeated.groupBy("k").agg(F.collect_set("p").alias("ps"))
     joined = docs.repartition(n, "k").join(places.hint("shuffle_hash"), "k", "left")
-    single = dealt(joined.select("k", "t", "ps").mapInArrow(windows, _ENTRY)).mapInArrow(_answers(False), "k long, p int")
+    single = dealt(joined.select("id", "k", "t", "ps").mapInArrow(windows, _ENTRY)).mapInArrow(_answers(False), "k long, p int")
     single = single.groupBy("k").agg(F.collect_set("p").alias("single"))
     return (
         joined.join(single.hint("shuffle_hash"), "k", "left").select("id", "t", "ps", "single")
