@@ -1 +1,225 @@
-"""Queries."""
+"""Joins: verified portfolio links, anti joins for open work, and name matching without cross joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.plans.registry import query
+from quarry.sources.tables import NORM, Tables, norm_name
+
+SOURCES = ("yc_oss_enriched", "portfolio_company_id")
+
+
+@query("portfolio_linked", "select distinct p.id, p.firm_id, d.id as deal_id from portfolio p join deals d on p.company_name_normalized = d.company_name_normalized")
+def portfolio_linked(t: Tables) -> DataFrame:
+    deals = t.deals.select(F.col("id").alias("deal_id"), "company_name_normalized")
+    return t.portfolio.join(deals, "company_name_normalized").select("id", "firm_id", "deal_id").distinct()
+
+
+@query("portfolio_unmatched", "select id, firm_id, company_name from portfolio where company_name_normalized not in (select company_name_normalized from deals)")
+def portfolio_unmatched(t: Tables) -> DataFrame:
+    return t.portfolio.join(t.deals.select("company_name_normalized").distinct(), "company_name_normalized", "left_anti").select("id", "firm_id", "company_name")
+
+
+def pending_for(t: Tables, key: str) -> DataFrame:
+    """Deals that a source has not gone through yet."""
+    done = t.deal_metadata.where(F.col("key") == key).select(F.col("deal_id").alias("id"))
+    return t.deals.join(done, "id", "left_anti")
+
+
+@query("pending_for_source", "select id, company_name from deals where company_website is null and id not in (select deal_id from deal_metadata where key = 'yc_oss_enriched')")
+def pending_for_source(t: Tables) -> DataFrame:
+    return pending_for(t, "yc_oss_enriched").where("company_website is null").select("id", "company_name")
+
+
+@query("deals_without_investors", "select id from deals where not exists (select 1 from deal_investors l where l.deal_id = deals.id)")
+def deals_without_investors(t: Tables) -> DataFrame:
+    return t.deals.select("id").join(t.deal_investors.select(F.col("deal_id").alias("id")), "id", "left_anti")
+
+
+@query("unreferenced_rows", """
+select id from investors where id % 3 = 0 and id not in (select investor_id from deal_investors)
+  and id not in (select deal_id from deal_metadata) and id not in (select firm_id from portfolio)""")
+def unreferenced_rows(t: Tables) -> DataFrame:
+    """Rows that no child table names; a chain of anti joins, so a null key in a child hides nothing."""
+    rows = t.investors.where("id % 3 = 0").select("id")
+    for child, key in ((t.deal_investors, "investor_id"), (t.deal_metadata, "deal_id"), (t.portfolio, "firm_id")):
+        rows = rows.join(child.select(F.col(key).alias("id")).distinct(), "id", "left_anti")
+    return rows
+
+
+@query("orphans", "select id, name from firms where id not in (select firm_id from deal_firms where role = 'lead' and verified = 1 and firm_id % 2 = 0) and id not in (select firm_id from investors where firm_id % 7 = 0)")
+def orphans(t: Tables) -> DataFrame:
+    links = t.deal_firms.where("role = 'lead' and verified = 1 and firm_id % 2 = 0").select(F.col("firm_id").alias("id"))
+    people = t.investors.where("firm_id % 7 = 0").select(F.col("firm_id").alias("id"))
+    return t.firms.join(links, "id", "left_anti").join(people, "id", "left_anti").select("id", "name")
+
+
+@query("follow_on_users", """
+select distinct s.user_id, n.id as deal_id, n.company_name from saved_deals s join deals o on o.id = s.deal_id
+join deals n on n.company_name_normalized = o.company_name_normalized and n.id <> o.id where n.date_announced >= date '2001-07-01'""")
+def follow_on_users(t: Tables) -> DataFrame:
+    """Users who saved another round of a company with a new deal."""
+    old = t.deals.select(F.col("id").alias("deal_id"), "company_name_normalized")
+    saved = t.saved_deals.join(old, "deal_id").select("user_id", F.col("deal_id").alias("saved"), "company_name_normalized")
+    new = t.deals.where("date_announced >= date '2001-07-01'").select(F.col("id").alias("deal_id"), "company_name", "company_name_normalized")
+    return saved.join(new, "company_name_normalized").where("saved <> deal_id").select("user_id", "deal_id", "company_name").distinct()
+
+
+@query("case_insensitive_lookup", "select i.id as investor_id, f.id as firm_id from investors i join firms f on lower('SUPPLIER#' || lpad(cast(i.id % 200 as varchar), 9, '0')) = lower(f.name)")
+def case_insensitive_lookup(t: Tables) -> DataFrame:
+    said = F.lower(F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("id") % 200).cast("string"), 9, "0")))
+    firms = t.firms.select(F.col("id").alias("firm_id"), F.lower("name").alias("k"))
+    return t.investors.select(F.col("id").alias("investor_id"), said.alias("k")).join(firms, "k").select("investor_id", "firm_id")
+
+
+@query("metadata_text_id", "select m.deal_id, d.id as portfolio_id from deal_metadata m join deals d on m.value = cast(d.id as varchar) where key = 'portfolio_company_id'")
+def metadata_text_id(t: Tables) -> DataFrame:
+    ids = t.deals.select(F.col("id").alias("portfolio_id"), F.col("id").cast("string").alias("value"))
+    return t.deal_metadata.where("key = 'portfolio_company_id'").join(ids, "value").select("deal_id", "portfolio_id")
+
+
+@query("null_safe_probe", """
+select a.id, min(b.id) as found from investors a join investors b on a.name = b.name and a.firm_id is not distinct from b.firm_id group by 1""")
+def null_safe_probe(t: Tables) -> DataFrame:
+    """Row that an upsert by (name, firm) would meet; two null firms are the same firm."""
+    known = t.investors.groupBy("name", "firm_id").agg(F.min("id").alias("found"))
+    known = known.select(F.col("name").alias("n"), F.col("firm_id").alias("f"), "found")
+    return t.investors.join(known, (F.col("name") == F.col("n")) & F.col("firm_id").eqNullSafe(F.col("f"))).select("id", "found")
+
+
+@query("date_proximity_pairs", """
+select a.id as a, b.id as b, abs(datediff('day', a.date_announced, b.date_announced)) as days from deals a join deals b
+on a.company_name_normalized = b.company_name_normalized and a.id < b.id and (abs(datediff('day', a.date_announced, b.date_announced)) <= 180
+  or a.date_announced is null or b.date_announced is null)""")
+def date_proximity_pairs(t: Tables) -> DataFrame:
+    """Deals of one company at most 180 days apart, a missing date fitting all; bands of 180 days keep the join narrow."""
+    rows = t.deals.select("id", "company_name_normalized", F.col("date_announced").alias("day"), F.floor(F.datediff("date_announced", F.lit("1970-01-01").cast("date")) / 180).alias("band"))
+    right = rows.select(F.col("id").alias("b"), "company_name_normalized", F.col("day").alias("day_b"), "band")
+    left = rows.select(F.col("id").alias("a"), "company_name_normalized", F.col("day").alias("day_a"), "band")
+    near = left.where("band is not null").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    near = near.join(right, ["company_name_normalized", "band"])
+    open_ = left.where("day_a is null").join(right.drop("band"), "company_name_normalized")
+    also = left.where("day_a is not null").join(right.where("day_b is null").drop("band"), "company_name_normalized")
+    days = F.abs(F.datediff("day_a", "day_b"))
+    pairs = near.drop("band").unionByName(open_.drop("band")).unionByName(also.drop("band"))
+    return pairs.where("a < b").where(F.coalesce(days <= 180, F.lit(True))).select("a", "b", days.cast("long").alias("days"))
+
+
+# --- name matching
+
+
+def pieces_of(name: Column, ratio: float) -> Column:
+    """Every piece of a name that is long enough to be a match of its own."""
+    length = F.char_length(name)
+    least = F.greatest(F.ceil(length * ratio - 1e-9).cast("int"), F.lit(1))
+    pieces = F.transform(F.sequence(least, length), lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda p: F.substring(name, p, n)))
+    return F.when(length > 0, F.array_distinct(F.flatten(pieces)))
+
+
+def fuzzy_name_join(left: DataFrame, right: DataFrame, ratio: float = 0.85, least: int = 1) -> DataFrame:
+    """Pairs of (``l``, ``left_name``) and (``r``, ``right_name``) where one name holds the other and is not much longer.
+
+    A name is exploded into its pieces of at least ``ratio`` of its length; those meet the other side's whole names in
+    an equi join. This is done both ways, so no name is compared with all others and no match is missed.
+    """
+    a = left.where(F.char_length("left_name") >= least)
+    b = right.where(F.char_length("right_name") >= least)
+    long_left = a.withColumn("piece", F.explode(pieces_of(F.col("left_name"), ratio))).join(b, F.col("piece") == F.col("right_name"))
+    long_right = b.withColumn("piece", F.explode(pieces_of(F.col("right_name"), ratio))).join(a, F.col("piece") == F.col("left_name"))
+    columns = ["l", "left_name", "r", "right_name"]
+    return long_left.select(*columns).unionByName(long_right.select(*columns)).distinct()
+
+
+def name_variants(t: Tables) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    tail = F.when(k == 0, "").when(k == 1, "x").when(k == 2, " labs").otherwise(" holdings")
+    return t.raw("customer").select(F.col("c_custkey").alias("l"), norm_name(F.concat("c_name", tail)).alias("left_name"))
+
+
+_VARIANTS = f"(select c_custkey as l, {NORM.format('''c_name || case c_custkey % 4 when 0 then '' when 1 then 'x' when 2 then ' labs' else ' holdings' end''')} as left_name from customer)"
+_WHOLE = f"(select c_custkey as r, {NORM.format('c_name')} as right_name from customer)"
+
+
+@query("fuzzy_name_join", f"""
+select l, r from {_VARIANTS} a join {_WHOLE} b on (contains(left_name, right_name) or contains(right_name, left_name))
+  and least(length(left_name), length(right_name))::double / greatest(length(left_name), length(right_name)) >= 0.85""")
+def _fuzzy_name_join(t: Tables) -> DataFrame:
+    whole = t.raw("customer").select(F.col("c_custkey").alias("r"), norm_name("c_name").alias("right_name"))
+    return fuzzy_name_join(name_variants(t), whole).select("l", "r")
+
+
+def tokens(c: Column) -> Column:
+    words = F.split(F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", "")), r"\s+")
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
+
+
+SUFFIXES = ("inc", "llc", "corp", "ltd", "co", "company")
+
+
+def token_match_join(left: DataFrame, right: DataFrame, min_dice: float = 0.8) -> DataFrame:
+    """Pairs (``l``, ``r``) whose word sets, legal suffixes aside, are equal, contained or have a Dice score of 0.8."""
+    drop = F.array(*map(F.lit, SUFFIXES))
+    a = left.select("l", F.array_except(tokens(F.col("left_name")), drop).alias("x")).where(F.size("x") > 0)
+    b = right.select("r", F.array_except(tokens(F.col("right_name")), drop).alias("y")).where(F.size("y") > 0)
+    met = a.select("l", F.size("x").alias("n"), F.explode("x").alias("w")).join(b.select("r", F.size("y").alias("m"), F.explode("y").alias("w")), "w")
+    met = met.groupBy("l", "r", "n", "m").agg(F.count("*").alias("both"))
+    dice = 2.0 * F.col("both") / (F.col("n") + F.col("m"))
+    return met.where((F.col("both") == F.least("n", "m")) | (dice >= min_dice)).select("l", "r", F.round(dice, 4).alias("dice"))
+
+
+@query("token_match_join", """
+with a as (select p_partkey as l, list_distinct(list_filter(string_split(lower(p_name || case p_partkey % 3 when 0 then ' inc' when 1 then ' labs' else '' end), ' '), lambda w: w not in ('', 'inc', 'llc', 'corp', 'ltd', 'co', 'company'))) as x from part where p_partkey % 20 = 0),
+b as (select p_partkey as r, list_distinct(string_split(lower(p_name), ' ')) as y from part where p_partkey < 200)
+select l, r, round(2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)), 4) as dice from a, b
+where len(list_intersect(x, y)) > 0 and (len(list_intersect(x, y)) = least(len(x), len(y)) or 2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)) >= 0.8)""")
+def _token_match_join(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    tail = F.when(k % 3 == 0, " inc").when(k % 3 == 1, " labs").otherwise("")
+    left = t.raw("part").where(k % 20 == 0).select(k.alias("l"), F.concat("p_name", tail).alias("left_name"))  # every 20th part stands for an outside list
+    return token_match_join(left, t.raw("part").where(k < 200).select(k.alias("r"), F.col("p_name").alias("right_name")))
+
+
+@query("first_match_link", f"""
+select l, min(r) as r from {_VARIANTS} a join {_WHOLE} b on (contains(left_name, right_name) or contains(right_name, left_name))
+  and least(length(left_name), length(right_name))::double / greatest(length(left_name), length(right_name)) >= 0.7 group by 1""")
+def first_match_link(t: Tables) -> DataFrame:
+    """The first match in order of id for each name."""
+    whole = t.raw("customer").select(F.col("c_custkey").alias("r"), norm_name("c_name").alias("right_name"))
+    w = Window.partitionBy("l").orderBy("r")
+    return fuzzy_name_join(name_variants(t), whole, 0.7, 5).withColumn("n", F.row_number().over(w)).where("n = 1").select("l", "r")
+
+
+# --- set operations
+
+
+@query("union_sources", "select id, source_type, 'list' as kind from deals where source_type in ('news_article', 'google_news') union all select id, source_type, 'filing' from deals where source_type in ('sec_filing', 'de_filing')")
+def union_sources(t: Tables) -> DataFrame:
+    one = t.deals.where("source_type in ('news_article', 'google_news')").select("id", "source_type", F.lit("list").alias("kind"))
+    two = t.deals.where("source_type in ('sec_filing', 'de_filing')").select("id", F.lit("filing").alias("kind"), "source_type")
+    return one.unionByName(two, allowMissingColumns=True)
+
+
+@query("pending_work", "select id from deals where id % 2 = 0 and id not in (select deal_id from deal_metadata) order by id limit 100")
+def pending_work(t: Tables, rows: int = 100) -> DataFrame:
+    todo = t.deals.where("id % 2 = 0").select("id")
+    return todo.join(t.deal_metadata.select(F.col("deal_id").alias("id")), "id", "left_anti").orderBy("id").limit(rows)
+
+
+@query("token_sets", """
+select a.p_partkey as id, len(list_intersect(x, y)) as shared, len(x) - len(list_intersect(x, y)) as own, len(list_intersect(x, y)) = len(x) as subset
+from (select p_partkey, list_distinct(string_split(p_name, ' ')) as x, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) as y from part) a""")
+def token_sets(t: Tables) -> DataFrame:
+    x, y = tokens(F.col("p_name")), tokens(F.concat_ws(" ", "p_name", "p_type"))
+    rows = t.raw("part").select(F.col("p_partkey").alias("id"), x.alias("x"), y.alias("y"))
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    return rows.select("id", shared.alias("shared"), F.size(F.array_except("x", "y")).cast("long").alias("own"), (F.size(F.array_except("x", "y")) == 0).alias("subset"))
+
+
+@query("stages_compatible", "select a.id as a, b.id as b, a.stage = b.stage or a.stage = 'Unknown' or b.stage = 'Unknown' as fits from deals a join deals b on a.company_name_normalized = b.company_name_normalized and a.id < b.id")
+def stages_compatible(t: Tables) -> DataFrame:
+    a = t.deals.select(F.col("id").alias("a"), F.col("stage").alias("x"), "company_name_normalized")
+    b = t.deals.select(F.col("id").alias("b"), F.col("stage").alias("y"), "company_name_normalized")
+    fits = F.size(F.array_except(F.array_distinct(F.array("x", "y")), F.array(F.lit("Unknown")))) <= 1
+    return a.join(b, "company_name_normalized").where("a < b").select("a", "b", fits.alias("fits"))
