@@ -1 +1,261 @@
-"""Queries."""
+"""Audits, merges and clean-ups over whole tables. Each gives the new rows or the change set; writing is a step apart."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import rules as R
+from quarry.functions.measures import count
+from quarry.operators.gates import _BANDS, _LEVEL, valid_portfolio_name
+from quarry.operators.linking import fuzzy_name_join
+from quarry.operators.upkeep import repoint
+from quarry.plans.registry import query
+from quarry.sources.tables import Tables, norm_name
+
+
+def round_clusters(deals: DataFrame) -> DataFrame:
+    """``id``, ``company_name_normalized`` and ``lead_id``, the first deal of the cluster that a deal falls into.
+
+    Deals of a company are taken by id; each joins the first cluster whose first member it fits, else opens one. That
+    is a fold over the company's deals, which are as many as it had rounds.
+    """
+    rows = deals.where("company_name_normalized <> ''").groupBy("company_name_normalized").agg(
+        F.array_sort(F.collect_list(F.struct("id", "stage", "amount_usd", "date_announced"))).alias("d"))
+
+    def fits(x, lead):
+        similar, close = R.amounts_similar(x["amount_usd"], lead["amount_usd"]), R.dates_close(x["date_announced"], lead["date_announced"])
+        stages = R.same_stage(x["stage"], lead["stage"])
+        return (R.yes(similar) & ~R.no(close)) | (R.yes(close) & similar.isNull()) | (similar.isNull() & ~R.no(close) & stages)
+
+    def step(state, x):
+        found = F.filter(state["leads"], lambda lead: fits(x, lead))
+        lead = F.when(F.size(found) > 0, found[0]["id"]).otherwise(x["id"])
+        leads = F.when(F.size(found) > 0, state["leads"]).otherwise(F.array_append(state["leads"], x))
+        return F.struct(leads.alias("leads"), F.array_append(state["out"], F.struct(x["id"].alias("id"), lead.alias("lead_id"))).alias("out"))
+
+    kind = "array<struct<id:bigint,stage:string,amount_usd:double,date_announced:date>>"
+    zero = F.struct(F.array().cast(kind).alias("leads"), F.array().cast("array<struct<id:bigint,lead_id:bigint>>").alias("out"))
+    out = rows.select("company_name_normalized", F.explode(F.aggregate("d", zero, step)["out"]).alias("x"))
+    return out.select("x.id", "company_name_normalized", "x.lead_id")
+
+
+def merge_duplicates(deals: DataFrame, deal_firms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(deals, deal_firms) with one deal for each cluster; gaps are filled and links moved to it."""
+    found = deals.join(round_clusters(deals).select("id", "lead_id"), "id", "left").withColumn("lead_id", F.coalesce("lead_id", "id"))
+    order = [F.desc("confidence_score"), F.desc_nulls_last("amount_usd"), F.desc(F.col("company_website").isNotNull()), F.desc(F.coalesce("company_description", F.lit("")) != ""), F.asc("id")]
+    w = Window.partitionBy("lead_id").orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = lambda c: F.first(c, ignorenulls=True).over(whole)
+    ranked = found.select(
+        *[c for c in deals.columns if c not in ("amount_usd", "company_website", "company_description")], F.row_number().over(w).alias("n"), F.first("id").over(whole).alias("keeper"),
+        first("amount_usd").alias("amount_usd"), first("company_website").alias("company_website"), first(F.nullif("company_description", F.lit(""))).alias("company_description"))
+    mapping = ranked.where("n > 1").select(F.col("id").alias("old"), F.col("keeper").alias("new"))
+    links = repoint(deal_firms, mapping, "deal_id", ["deal_id", "firm_id"], F.col("role"))
+    return ranked.where("n = 1").drop("n", "keeper"), links
+
+
+@query("merge_duplicate_deals")
+def merge_duplicate_deals(t: Tables) -> DataFrame:
+    return merge_duplicates(t.deals, t.deal_firms)[0].select("id", "company_name_normalized", "amount_usd", "company_website", "company_description")
+
+
+@query("merge_keeps_firms", "select count(distinct firm_id) as firms from deal_firms")
+def merge_keeps_firms(t: Tables) -> DataFrame:
+    """Merging moves links and loses no firm."""
+    return merge_duplicates(t.deals, t.deal_firms)[1].agg(F.countDistinct("firm_id").alias("firms"))
+
+
+_AUDIT = f"""
+select 'low_confidence' as issue, id, source_type as detail from deals where confidence_score < 0.5
+union all select 'missing_critical', id, stage from deals where amount_usd is null and stage = 'Unknown'
+union all select 'stage_amount_mismatch', id, {_BANDS} from deals where amount_usd is not null and stage <> 'Unknown' and abs({_LEVEL.format('stage')} - {_LEVEL.format(f'({_BANDS})')}) >= 2
+union all select 'duplicate_company', min(id), company_name_normalized from deals group by company_name_normalized
+  having count(*) > 1 and count(distinct stage) = 1 and count(distinct coalesce(cast(date_announced as varchar), '?')) = 1"""
+
+
+@query("audit_deals", _AUDIT)
+def audit_deals(t: Tables) -> DataFrame:
+    d = t.deals
+    expected = R.stage_from_amount(F.col("amount_usd"))
+    level = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in R.STAGE_LEVEL.items() for x in kv]), c), F.lit(-1))
+    low = d.where("confidence_score < 0.5").select(F.lit("low_confidence").alias("issue"), "id", F.col("source_type").alias("detail"))
+    missing = d.where("amount_usd is null and stage = 'Unknown'").select(F.lit("missing_critical").alias("issue"), "id", F.col("stage").alias("detail"))
+    off = d.where("amount_usd is not null and stage <> 'Unknown'").withColumn("e", expected).where(F.abs(level(F.col("stage")) - level(F.col("e"))) >= 2)
+    off = off.select(F.lit("stage_amount_mismatch").alias("issue"), "id", F.col("e").alias("detail"))
+    bad = d.where(~R.valid_company_name(F.col("company_name"))).select(F.lit("bad_name").alias("issue"), "id", F.col("company_name").alias("detail"))
+    same = d.groupBy(F.col("company_name_normalized").alias("detail")).agg(
+        F.min("id").alias("id"), count().alias("n"), F.countDistinct("stage").alias("s"), F.countDistinct(F.coalesce(F.col("date_announced").cast("string"), F.lit("?"))).alias("days"))
+    same = same.where("n > 1 and s = 1 and days = 1").select(F.lit("duplicate_company").alias("issue"), "id", "detail")
+    return low.unionByName(missing).unionByName(off).unionByName(bad).unionByName(same)
+
+
+@query("audit_health", f"select (select count(*) from deals) as deals, count(*) as issues, round(1 - count(*)::double / greatest((select count(*) from deals), 1), 2) as health from ({_AUDIT})")
+def audit_health(t: Tables) -> DataFrame:
+    n = t.deals.agg(count().alias("deals"))
+    out = audit_deals(t).agg(count().alias("issues")).crossJoin(F.broadcast(n))
+    return out.select("deals", "issues", F.round(1 - F.col("issues") / F.greatest("deals", F.lit(1)), 2).alias("health"))
+
+
+@query("audit_portfolio", "select 'duplicate' as issue, min(id) as id from portfolio group by firm_id, company_name_normalized having count(*) > 1 union all select 'orphan', id from portfolio where firm_id not in (select id from firms) union all select 'too_long', id from portfolio where length(company_name) > 60")
+def audit_portfolio(t: Tables) -> DataFrame:
+    p = t.portfolio
+    junk = p.where(~valid_portfolio_name(F.col("company_name"))).select(F.lit("junk").alias("issue"), "id")
+    twice = p.groupBy("firm_id", "company_name_normalized").agg(F.min("id").alias("id"), count().alias("n")).where("n > 1").select(F.lit("duplicate").alias("issue"), "id")
+    lost = p.join(t.firms.select(F.col("id").alias("firm_id")), "firm_id", "left_anti").select(F.lit("orphan").alias("issue"), "id")
+    long = p.where("char_length(company_name) > 60").select(F.lit("too_long").alias("issue"), "id")
+    return junk.unionByName(twice).unionByName(lost).unionByName(long)
+
+
+@query("audit_firms", "select 'no_website' as issue, id from firms where website is null union all select 'orphan', id from firms where id not in (select firm_id from deal_firms)")
+def audit_firms(t: Tables) -> DataFrame:
+    site = t.firms.where("website is null").select(F.lit("no_website").alias("issue"), "id")
+    lost = t.firms.join(t.deal_firms.select(F.col("firm_id").alias("id")), "id", "left_anti").select(F.lit("orphan").alias("issue"), "id")
+    twice = t.firms.groupBy(F.translate(F.lower("name"), " .,", "").alias("k")).agg(F.min("id").alias("id"), count().alias("n")).where("n > 1").select(F.lit("duplicate").alias("issue"), "id")
+    junk = t.firms.where(~R.valid_firm_name(F.col("name"))).select(F.lit("junk").alias("issue"), "id")
+    return site.unionByName(lost).unionByName(twice).unionByName(junk)
+
+
+@query("clean_investors", """
+select id, case when id % 4 = 0 then 'firm' else 'person' end as kind, regexp_replace(name, '\\s+', ' ', 'g') as name from investors where id % 4 <> 3""")
+def clean_investors(t: Tables) -> DataFrame:
+    """People with tidy names; names of firms are marked for relinking, junk goes."""
+    k = F.col("id") % 4
+    said = F.when(k == 0, F.concat("name", F.lit(" Ventures"))).when(k == 1, F.replace("name", F.lit(" "), F.lit("  "))).when(k == 3, "undisclosed").otherwise(F.concat("name", F.lit(" &amp;")))
+    name = F.trim(F.regexp_replace(F.regexp_replace(said, r"&amp;|,?\s+(?:PhD|MBA|MD|CFA|Esq\.?)$", ""), r"\s+", " "))
+    firm = R.contains_any(F.lower(name), R.FIRM_WORDS)
+    rows = t.investors.withColumn("name", name).where(~F.col("name").rlike(R.JUNK_FIRM))
+    bare = F.regexp_replace("name", " Ventures$", "")
+    return rows.select("id", F.when(firm, "firm").otherwise("person").alias("kind"), bare.alias("name"))
+
+
+@query("relink_orphans_to_firms", """
+select i.id, min(f.id) as firm_id from investors i join firms f on contains(lower(replace('Supplier#' || lpad(cast(i.id % 120 as varchar), 9, '0') || ' lp', '#', '')), lower(replace(f.name, '#', '')))
+where i.firm_id is null group by 1""")
+def relink_orphans_to_firms(t: Tables) -> DataFrame:
+    """People without a firm whose employer's written name matches one; the first by id wins."""
+    said = norm_name(F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 120).cast("string"), 9, "0"), F.lit(" lp")))
+    left = t.investors.where("firm_id is null").select(F.col("id").alias("l"), said.alias("left_name"))
+    right = t.firms.select(F.col("id").alias("r"), norm_name("name").alias("right_name"))
+    return fuzzy_name_join(left, right, 0.7, 5).groupBy(F.col("l").alias("id")).agg(F.min("r").alias("firm_id"))
+
+
+@query("merge_investors", """
+select i.id, k.keeper from investors i join (select name, firm_id, arg_min(id, (-coalesce(n, 0), id)) as keeper from investors x
+  left join (select investor_id, count(*) as n from deal_investors group by 1) l on l.investor_id = x.id group by 1, 2) k
+on k.name = i.name and k.firm_id is not distinct from i.firm_id""")
+def merge_investors(t: Tables) -> DataFrame:
+    """Each person's keeper: of those with one name and firm, the one with most deals."""
+    links = t.deal_investors.groupBy(F.col("investor_id").alias("id")).agg(count().alias("n"))
+    w = Window.partitionBy("name", "firm_id").orderBy(F.desc(F.coalesce("n", F.lit(0))), "id")
+    return t.investors.join(links, "id", "left").select("id", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("keeper"))
+
+
+@query("merged_links", """
+with k as (select i.id, k.keeper from investors i join (select name, firm_id, arg_min(id, (-coalesce(n, 0), id)) as keeper from investors x
+  left join (select investor_id, count(*) as n from deal_investors group by 1) l on l.investor_id = x.id group by 1, 2) k on k.name = i.name and k.firm_id is not distinct from i.firm_id)
+select distinct deal_id, keeper as investor_id from deal_investors l join k on k.id = l.investor_id""")
+def merged_links(t: Tables) -> DataFrame:
+    mapping = merge_investors(t).select(F.col("id").alias("investor_id"), "keeper")
+    return t.deal_investors.join(mapping, "investor_id").select("deal_id", F.col("keeper").alias("investor_id")).distinct()
+
+
+@query("clean_deals", "select id, company_name as name from deals where id % 6 <> 0")
+def clean_deals(t: Tables) -> DataFrame:
+    k = F.col("id") % 6
+    said = F.concat("company_name", F.when(k == 0, " Growth Fund").when(k == 1, " (CIK 0001234567)").otherwise(""))
+    name = F.trim(F.regexp_replace(said, r"(?i)\s*\(CIK\s+\d+\)", ""))
+    return t.deals.where(~name.rlike(r"(?i)\bfund\b")).select("id", name.alias("name"))
+
+
+@query("clean_portfolio", "select min(id) as id, firm_id, company_name_normalized as norm from portfolio where id % 13 <> 0 group by 2, 3")
+def clean_portfolio(t: Tables) -> DataFrame:
+    """Junk rows out, tags off, and of rows that then share firm and name the first."""
+    k = F.col("id") % 13
+    said = F.when(k == 0, "Read More").when(k == 1, F.concat("company_name", F.lit(" (Acquired)"))).when(k == 2, F.concat("company_name", F.lit("ExitsFalse"))).otherwise(F.col("company_name"))
+    name = F.trim(F.regexp_replace(F.regexp_replace(said, r"\((Acquired|Exited)\)", ""), r"(?i)Exits?(true|false)$", ""))
+    rows = t.portfolio.withColumn("company_name", name).where(valid_portfolio_name(F.col("company_name")))
+    return rows.groupBy("firm_id", norm_name("company_name").alias("norm")).agg(F.min("id").alias("id"))
+
+
+@query("clean_firms", "select min(id) as keeper, max(id) as last, count(*) as n from firms where id % 9 <> 0 group by id // 2")
+def clean_firms(t: Tables) -> DataFrame:
+    """Junk and compound names out; firms with one name after normalizing become the one with the least id."""
+    k = F.col("id")
+    said = F.when(k % 9 == 0, "12 investors").otherwise(F.concat(F.lit("Firm. "), F.floor(k / 2).cast("string"), F.when(k % 2 == 0, " , LP").otherwise(" LP")))
+    rows = t.firms.withColumn("name", said).where(R.valid_firm_name(F.col("name")))
+    return rows.groupBy(F.translate(F.lower("name"), " .,", "").alias("k")).agg(F.min("id").alias("keeper"), F.max("id").alias("last"), count().alias("n")).drop("k")
+
+
+@query("normalize_categories", """
+select id, case when id % 3 = 0 then 'NATION_' || (id % 20) when id % 3 = 1 then 'NATION_' || (id % 20) else 'Other' end as category from deals""")
+def normalize_categories(t: Tables) -> DataFrame:
+    """Composite names become the known category that their first part names, others become Other."""
+    k = F.col("id") % 3
+    base = F.concat(F.lit("NATION_"), (F.col("id") % 20).cast("string"))
+    said = F.when(k == 0, base).when(k == 1, F.concat(base, F.lit(" / Services"))).otherwise("Misc")
+    rows = t.deals.select("id", F.trim(F.split(said, "/")[0]).alias("name"))
+    return rows.join(t.categories.select("name", F.col("name").alias("known")), "name", "left").select("id", F.coalesce("known", F.lit("Other")).alias("category"))
+
+
+@query("remove_orphans", "select id from investors where id in (select investor_id from deal_investors where deal_id % 5 = 0)")
+def remove_orphans(t: Tables) -> DataFrame:
+    gone = t.investors.select("id").join(t.deal_investors.where("deal_id % 5 = 0").select(F.col("investor_id").alias("id")), "id", "left_anti")
+    return t.investors.select("id").join(gone, "id", "left_anti")
+
+
+@query("backfill_firm_links", """
+select distinct l.deal_id, i.firm_id from deal_investors l join investors i on i.id = l.investor_id where i.firm_id is not null
+  and l.deal_id not in (select deal_id from deal_firms where verified = 1)""")
+def backfill_firm_links(t: Tables) -> DataFrame:
+    """Deals without a verified firm get the firms of their people."""
+    people = t.investors.where("firm_id is not null").select(F.col("id").alias("investor_id"), "firm_id")
+    rows = t.deal_investors.join(t.deal_firms.where("verified = 1").select("deal_id"), "deal_id", "left_anti")
+    return rows.join(people, "investor_id").select("deal_id", "firm_id").distinct()
+
+
+@query("backfill_investors", """
+select d.id as deal_id, n as name from (select id, unnest(['Ann ' || (id % 9), 'Bob ' || (id % 7)]) as n from deals where id % 4 = 0) d where n not in (select 'Ann ' || x from (select unnest(range(3)) as x))""")
+def backfill_investors(t: Tables) -> DataFrame:
+    """People named in a deal's JSON metadata, less those already known; bad JSON names nobody."""
+    k = F.col("id")
+    said = F.when(k % 4 == 0, F.concat(F.lit('["Ann '), (k % 9).cast("string"), F.lit('","Bob '), (k % 7).cast("string"), F.lit('"]'))).otherwise("{broken")
+    rows = t.deals.select(F.col("id").alias("deal_id"), F.explode(F.from_json(said, "array<string>")).alias("name"))
+    known = t.categories.where("id < 3").select(F.concat(F.lit("Ann "), F.col("id").cast("string")).alias("name"))
+    return rows.join(known, "name", "left_anti").select("deal_id", "name")
+
+
+@query("verify_links", """
+select coalesce(l.deal_id, m.deal_id) as deal_id, coalesce(l.firm_id, m.firm_id) as firm_id, coalesce(l.role, 'participant') as role,
+  case when m.deal_id is not null then 1 else l.verified end::bigint as verified
+from deal_firms l full join (select distinct d.id as deal_id, p.firm_id from portfolio p join deals d on p.company_name_normalized = d.company_name_normalized) m
+  on m.deal_id = l.deal_id and m.firm_id = l.firm_id""")
+def verify_links(t: Tables) -> DataFrame:
+    """Links that a firm's portfolio confirms are verified; confirmed links that are missing are added."""
+    deals = t.deals.select(F.col("id").alias("deal_id"), "company_name_normalized")
+    sure = t.portfolio.select("firm_id", "company_name_normalized").join(deals, "company_name_normalized").select("deal_id", "firm_id").distinct().withColumn("sure", F.lit(1))
+    out = t.deal_firms.join(sure, ["deal_id", "firm_id"], "full_outer")
+    return out.select("deal_id", "firm_id", F.coalesce("role", F.lit("participant")).alias("role"), F.when(F.col("sure") == 1, 1).otherwise(F.col("verified")).cast("long").alias("verified"))
+
+
+@query("verified_confidence", """
+select id, round(case when confidence_score < 0.85 then least(confidence_score + 0.15, 0.90) else confidence_score end, 2) as confidence from deals
+where company_name_normalized in (select company_name_normalized from portfolio)""")
+def verified_confidence(t: Tables) -> DataFrame:
+    score = F.col("confidence_score")
+    rows = t.deals.join(t.portfolio.select("company_name_normalized").distinct(), "company_name_normalized", "left_semi")
+    return rows.select("id", F.round(F.when(score < 0.85, F.least(score + 0.15, F.lit(0.90))).otherwise(score), 2).alias("confidence"))
+
+
+@query("portfolio_to_deal_fuzzy", """
+select p.id, min(d.id) as deal_id from portfolio p join deals d on p.company_name_normalized = d.company_name_normalized
+where cast(p.id as varchar) not in (select value from deal_metadata where key = 'portfolio_company_id') group by 1""")
+def portfolio_to_deal_fuzzy(t: Tables) -> DataFrame:
+    """First deal of each portfolio row not yet linked, by equal name and else by a fuzzy one."""
+    done = t.deal_metadata.where("key = 'portfolio_company_id'").select(F.col("value").try_cast("long").alias("id"))
+    rows = t.portfolio.join(done, "id", "left_anti")
+    firsts = t.deals.groupBy("company_name_normalized").agg(F.min("id").alias("deal_id"))
+    exact = rows.join(firsts, "company_name_normalized").select("id", "deal_id")
+    rest = rows.join(firsts, "company_name_normalized", "left_anti").select(F.col("id").alias("l"), F.col("company_name_normalized").alias("left_name"))
+    fuzzy = fuzzy_name_join(rest, firsts.select(F.col("deal_id").alias("r"), F.col("company_name_normalized").alias("right_name")), 0.85)
+    return exact.unionByName(fuzzy.groupBy(F.col("l").alias("id")).agg(F.min("r").alias("deal_id")))

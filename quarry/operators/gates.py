@@ -1 +1,342 @@
-"""Queries."""
+"""Rules applied to every row, and the gates that accept or reject candidates with a reason."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.functions import rules as R
+from quarry.functions.measures import count
+from quarry.operators.linking import fuzzy_name_join
+from quarry.plans.registry import query
+from quarry.sources.tables import AS_OF, NORM, Tables, norm_name
+
+
+def _any_sql(c: str, words) -> str:
+    return "(" + " or ".join(f"contains({c}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+def _first_sql(c: str, table: dict, other: str) -> str:
+    return "case " + " ".join(f"when {_any_sql(c, words)} then '{name}'" for name, words in table.items()) + f" else {other} end"
+
+
+_BANDS = "case when amount_usd is null then 'Unknown' " + " ".join(f"when amount_usd < {b:.0f} then '{s}'" for b, s in R.STAGE_BELOW) + " else 'Series C+' end"
+_LEVEL = "case {0} " + " ".join(f"when '{s}' then {n}" for s, n in R.STAGE_LEVEL.items()) + " else -1 end"
+_NUMBER = r"try_cast(nullif(regexp_extract(replace(title, ',', ''), '(?i){0}(\d[\d.]*)\s*(?:{1})', 1), '') as double) * {2}"
+_AMOUNT = "coalesce(" + ", ".join(_NUMBER.format(sign, unit, scale) for sign in (r"\$\s*", "") for unit, scale in (("B|billion", "1e9"), ("M|million|mm", "1e6"), ("K|thousand", "1e3"))) + ")"
+
+
+@query("norm_name", f"select id, {NORM.format('company_name')} as norm from deals")
+def norm_names(t: Tables) -> DataFrame:
+    return t.deals.select("id", norm_name("company_name").alias("norm"))
+
+
+@query("norm_name_sql5", "select id, replace(replace(replace(replace(replace(lower(company_name), ' ', ''), '.', ''), ',', ''), '-', ''), '''', '') as norm from portfolio")
+def norm_name_sql5(t: Tables) -> DataFrame:
+    return t.portfolio.select("id", F.translate(F.lower("company_name"), " .,-'", "").alias("norm"))
+
+
+@query("normalize_stage", f"select id, {_first_sql('lower(title)', R.STAGE_LABELS, chr(39) + 'Unknown' + chr(39))} as stage from articles")
+def normalize_stage(t: Tables) -> DataFrame:
+    return t.articles.select("id", R.normalize_stage(F.col("title")).alias("stage"))
+
+
+@query("stage_from_amount", f"select id, {_BANDS} as stage from deals")
+def stage_from_amount(t: Tables) -> DataFrame:
+    return t.deals.select("id", R.stage_from_amount(F.col("amount_usd")).alias("stage"))
+
+
+@query("restage_from_amount", f"select id, case when stage = 'Unknown' and amount_usd is not null then {_BANDS} else stage end as stage from deals")
+def restage_from_amount(t: Tables) -> DataFrame:
+    fixed = F.when((F.col("stage") == "Unknown") & F.col("amount_usd").isNotNull(), R.stage_from_amount(F.col("amount_usd"))).otherwise(F.col("stage"))
+    return t.deals.select("id", fixed.alias("stage"))
+
+
+@query("parse_amount", f"select id, {_AMOUNT} as amount from articles")
+def parse_amount(t: Tables) -> DataFrame:
+    return t.articles.select("id", R.parse_amount(F.col("title")).alias("amount"))
+
+
+@query("amount_title_first", f"select id, case when {_AMOUNT} <= 1e10 then {_AMOUNT} end as amount from articles")
+def amount_title_first(t: Tables) -> DataFrame:
+    found = F.coalesce(R.parse_amount(F.substring_index("title", ". Based", 1)), R.parse_amount(F.substring("title", 1, 500)))
+    return t.articles.select("id", F.when(found <= R.GLOBAL_CAP, found).alias("amount"))
+
+
+_SCORES = ", ".join("(" + " + ".join(f"contains(text, '{w.replace(chr(39), chr(39) * 2)}')::int" for w in words) + f") as s{i}" for i, words in enumerate(R.SECTOR_WORDS.values()))
+_PICK = "case when greatest({0}) = 0 then null ".format(", ".join(f"s{i}" for i in range(len(R.SECTOR_WORDS)))) + " ".join(
+    f"when s{i} = greatest({', '.join(f's{j}' for j in range(len(R.SECTOR_WORDS)))}) then '{name}'" for i, name in enumerate(R.SECTOR_WORDS)) + " end"
+
+
+@query("classify_sector", f"select doc_id as id, {_PICK} as sector from (select doc_id, {_SCORES} from (select doc_id, lower(text) as text from documents))")
+def classify_sector(t: Tables) -> DataFrame:
+    return t.raw("documents").select(F.col("doc_id").alias("id"), R.classify_sector(F.col("text")).alias("sector"))
+
+
+@query("detect_city", f"select id, {_first_sql('lower(title)', R.CITY_WORDS, 'null')} as city from articles")
+def detect_city(t: Tables) -> DataFrame:
+    return t.articles.select("id", R.first_of(F.col("title"), R.CITY_WORDS, None).alias("city"))
+
+
+@query("funding_related", f"select doc_id, source from documents where {_any_sql('lower(text)', R.FUNDING_WORDS)}")
+def funding_related(t: Tables) -> DataFrame:
+    return t.raw("documents").where(R.contains_any(F.lower("text"), R.FUNDING_WORDS)).select("doc_id", "source")
+
+
+_CAP = "case stage " + " ".join(f"when '{s}' then {c:.0f}" for s, c in R.STAGE_CAP.items()) + f" else {R.OTHER_CAP:.0f} end"
+
+
+@query("valid_amount", f"select id, coalesce(amount_usd > 0 and amount_usd <= 1e10 and amount_usd <= {_CAP}, true) as valid from deals")
+def valid_amount(t: Tables) -> DataFrame:
+    return t.deals.select("id", R.valid_amount(F.col("amount_usd"), F.col("stage")).alias("valid"))
+
+
+@query("full_date", "select id, case id % 4 when 0 then strftime(date_announced, '%Y-%m-%d') when 1 then strftime(date_announced, '%Y-%m') || '-01' end as day from deals")
+def full_date(t: Tables) -> DataFrame:
+    """Dates written in four ways: whole, without a day, as text, missing."""
+    k = F.col("id") % 4
+    said = F.when(k == 0, F.date_format("date_announced", "yyyy-MM-dd")).when(k == 1, F.date_format("date_announced", "yyyy-MM")).when(k == 2, F.lit("last week"))
+    return t.deals.select("id", R.full_date(said).alias("day"))
+
+
+@query("pub_date", "select id, date_announced as day from deals where date_announced is not null and id % 2 in (0, 1)")
+def pub_date(t: Tables) -> DataFrame:
+    """Days read back from feed dates written with weekday, time and zone, or in ISO form."""
+    rss = F.date_format("date_announced", "'Mon,' dd MMM yyyy '08:00:00 GMT'")
+    said = F.when(F.col("id") % 2 == 0, rss).otherwise(F.date_format("date_announced", "yyyy-MM-dd'T'HH:mm:ss"))
+    return t.deals.where("date_announced is not null").select("id", R.pub_date(said).alias("day"))
+
+
+@query("date_guard", f"select id, case when d <= date '{AS_OF}' + 365 and year(d) >= 2000 then d end as day from (select id, case id % 5 when 0 then date_announced + 1000 else date_announced end as d from deals)")
+def date_guard(t: Tables) -> DataFrame:
+    said = F.when(F.col("id") % 5 == 0, F.date_add("date_announced", 1000)).otherwise(F.col("date_announced"))
+    return t.deals.select("id", R.date_guard(said.cast("string"), F.lit(AS_OF)).alias("day"))
+
+
+_TRUST = "case source_type " + " ".join(f"when '{s}' then {v}" for s, v in R.SOURCE_TRUST.items()) + f" else {R.OTHER_TRUST} end"
+
+
+@query("confidence", f"""
+select id, greatest(0.1, least(1.0, round({_TRUST}::double + case when amount_usd <> 0 then 0.05 else -0.1 end::double + case when stage <> 'Unknown' then 0.05 else -0.05 end::double
+  + case when date_announced is not null then 0.02 else 0 end::double + case when length(company_description) > 20 then 0.03 else 0 end::double
+  + case when city = 'New York' then 0.05 else 0 end::double + case when source_url is null then -0.1 else 0 end::double
+  + case when raw_text is null then -0.05 else 0 end::double, 2)))::double as confidence from deals""")
+def confidence(t: Tables) -> DataFrame:
+    c = F.col
+    score = R.confidence(c("source_type"), c("amount_usd"), c("stage"), c("date_announced"), c("company_description"), c("city") == "New York", c("source_url"), c("raw_text"))
+    return t.deals.select("id", score.alias("confidence"))
+
+
+@query("clean_company_name")
+def clean_company_name(t: Tables) -> DataFrame:
+    said = F.concat("company_name", F.when(F.col("id") % 3 == 0, ", Inc.").when(F.col("id") % 3 == 1, " - Raises $5M").otherwise(" (formerly Oldco)"))
+    return t.deals.select("id", R.clean_company_name(said).alias("name"))
+
+
+@query("valid_company_name")
+def valid_company_name(t: Tables) -> DataFrame:
+    name = F.when(F.col("id") % 4 == 0, F.concat(F.lit("Why "), "company_name")).when(F.col("id") % 4 == 1, F.concat("company_name", F.lit(" announced"))).otherwise(F.col("company_name"))
+    return t.deals.select("id", R.valid_company_name(name).alias("valid"), R.bad_name(name).alias("bad_pattern"))
+
+
+@query("pattern_of", f"""
+select reason, case reason when 'error' then lower(company_name) when 'view' then 'len>' || length(company_name) else substr({NORM.format('company_name')}, 1, 20) end as pattern, count(*) as hits
+from rejections group by 1, 2""")
+def pattern_of(t: Tables) -> DataFrame:
+    kind = F.when(F.col("reason") == "error", "bad_name_headline").when(F.col("reason") == "view", "bad_name_too_long").otherwise(F.col("reason"))
+    rows = t.rejections.select("reason", R.pattern_of(F.col("company_name"), kind).alias("pattern"))
+    return rows.groupBy("reason", "pattern").agg(count().alias("hits"))
+
+
+@query("learn_patterns", f"""
+select reason, substr({NORM.format('company_name')}, 1, 20) as pattern, count(*) as hits, max(created_at) as last_seen, count(*) >= 5 as auto_reject from rejections group by 1, 2""")
+def learn_patterns(t: Tables, min_hits: int = 5) -> DataFrame:
+    rows = t.rejections.withColumn("pattern", F.substring(norm_name("company_name"), 1, 20)).groupBy("reason", "pattern").agg(count().alias("hits"), F.max("created_at").alias("last_seen"))
+    return rows.withColumn("auto_reject", F.col("hits") >= min_hits)
+
+
+def known_firms(candidates: DataFrame, firms: DataFrame) -> DataFrame:
+    """``id`` of candidates that are investment firms: equal names, or one in the other at 0.7 and five letters."""
+    left = candidates.select(F.col("id").alias("l"), norm_name("company_name").alias("left_name")).where(F.char_length("left_name") >= 3)
+    right = firms.select(F.col("id").alias("r"), norm_name("name").alias("right_name"))
+    exact = left.join(right.select(F.col("right_name").alias("left_name")).distinct(), "left_name", "left_semi").select("l")
+    fuzzy = fuzzy_name_join(left, right.where(F.char_length("right_name") >= 5), 0.7).select("l")
+    return exact.unionByName(fuzzy).distinct().withColumnRenamed("l", "id")
+
+
+def duplicates_of(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """``id`` of candidates that repeat a round in ``existing``: same name, or a fuzzy one where no same name exists."""
+    new = candidates.select(F.col("id").alias("l"), norm_name("company_name").alias("left_name"), F.col("stage").alias("s"), F.col("amount_usd").alias("a"), F.col("date_announced").alias("d"))
+    old = existing.select(F.col("id").alias("r"), F.col("company_name_normalized").alias("right_name"), F.col("stage").alias("s2"), F.col("amount_usd").alias("a2"), F.col("date_announced").alias("d2"))
+    new = new.where("left_name <> ''")
+    exact = new.join(old, new.left_name == old.right_name).drop("left_name", "right_name")
+    rest = new.join(old.select(F.col("right_name").alias("left_name")).distinct(), "left_name", "left_anti").where(F.char_length("left_name") >= 4)
+    names = fuzzy_name_join(rest.select("l", "left_name"), old.select("right_name").distinct().withColumn("r", F.lit(0)), 0.85).select("l", "right_name")
+    fuzzy = rest.drop("left_name").join(names, "l").join(old, "right_name").drop("right_name")
+    similar, close = R.amounts_similar(F.col("a"), F.col("a2")), R.dates_close(F.col("d"), F.col("d2"))
+    pairs = exact.unionByName(fuzzy)
+    return pairs.where(R.is_duplicate(F.col("s"), F.col("s2"), similar, close)).select(F.col("l").alias("id")).distinct()
+
+
+_SIM = "case when a.amount_usd <> 0 and b.amount_usd <> 0 then greatest(a.amount_usd, b.amount_usd) / greatest(least(a.amount_usd, b.amount_usd), 1) <= 2 end"
+_CLOSE = "abs(datediff('day', a.date_announced, b.date_announced)) <= 180"
+_FITS = "(a.stage = b.stage or a.stage = 'Unknown' or b.stage = 'Unknown')"
+
+
+@query("duplicate_of_existing", f"""
+select distinct a.id from deals a join deals b on a.company_name_normalized = b.company_name_normalized
+where a.id % 10 = 3 and b.id % 10 <> 3 and ((({_SIM}) is true and ({_CLOSE}) is not false) or (({_CLOSE}) is true and ({_SIM}) is null and {_FITS})
+  or ({_FITS} and ({_CLOSE}) is not false and ({_SIM}) is not false))""")
+def duplicate_of_existing(t: Tables) -> DataFrame:
+    """A tenth of the deals stands for a new batch, held against the rest."""
+    return duplicates_of(t.deals.where("id % 10 = 3"), t.deals.where("id % 10 <> 3"))
+
+
+def deal_gate(candidates: DataFrame, firms: DataFrame, existing: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): rows cleaned and scored, or the first reason against them.
+
+    Stateless rules come first in one projection; only names that pass them meet firms, patterns and stored deals.
+    """
+    name = R.clean_company_name(F.trim("company_name"))
+    rows = candidates.withColumn("company_name", name)
+    stage = F.when(F.col("stage").isin(*R.STAGE_LEVEL, "Unknown"), F.col("stage")).otherwise(R.normalize_stage(F.col("stage")))
+    rows = rows.withColumn("stage", stage)
+    rows = rows.withColumn("stage", F.when((F.col("stage") == "Unknown") & (F.col("amount_usd") != 0), R.stage_from_amount(F.col("amount_usd"))).otherwise(F.col("stage")))
+    rows = rows.withColumn("amount_usd", F.when(R.valid_amount(F.col("amount_usd"), F.col("stage")), F.col("amount_usd")))
+    rows = rows.withColumn("date_announced", R.date_guard(F.col("date_announced").cast("string"), F.lit(AS_OF)))
+    reason = (
+        F.when(F.coalesce(F.char_length(F.trim("company_name")), F.lit(0)) < 2, "empty_name").when(F.char_length("company_name") > R.LONGEST_NAME, "name_too_long")
+        .when(~R.valid_company_name(F.col("company_name")), "bad_name").when(R.bad_name(F.col("company_name")), "bad_name_pattern"))
+    rows = rows.withColumn("reason", reason)
+    fine = rows.where("reason is null")
+    taught = patterns.where("auto_reject").select(F.col("pattern").alias("p")).distinct()
+    hits = fine.withColumn("p", F.substring(norm_name("company_name"), 1, 20)).join(taught, "p", "left_semi").select("id", F.lit("auto_reject").alias("why"), F.lit(1).alias("n"))
+    firms_hit = known_firms(fine, firms).select("id", F.lit("vc_firm").alias("why"), F.lit(2).alias("n"))
+    again = duplicates_of(fine, existing).select("id", F.lit("duplicate").alias("why"), F.lit(3).alias("n"))
+    later = hits.unionByName(firms_hit).unionByName(again).groupBy("id").agg(F.min_by("why", "n").alias("why"))
+    out = rows.join(later, "id", "left").withColumn("reason", F.coalesce("reason", "why")).drop("why")
+    c = F.col
+    score = R.confidence(c("source_type"), c("amount_usd"), c("stage"), c("date_announced"), c("company_description"), c("city") == "New York", c("source_url"), c("raw_text"))
+    accepted = out.where("reason is null").drop("reason").withColumn("confidence_score", score).withColumn("company_name_normalized", norm_name("company_name"))
+    return accepted, out.where("reason is not null").select("id", "company_name", "reason", "source_type")
+
+
+def _candidates(t: Tables) -> DataFrame:
+    """A tenth of the deals as they might arrive: some with headline names, some named like a firm."""
+    k = F.floor(F.col("id") / 10) % 8
+    odd = F.when(k == 0, F.concat(F.lit("Exclusive: "), "company_name")).when(k == 1, F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 90).cast("string"), 9, "0"))).when(k == 2, "x")
+    return t.deals.where("id % 10 = 3").withColumn("company_name", F.coalesce(odd, F.concat(F.lit("Cand "), "company_name"), "company_name"))
+
+
+@query("validate_deal")
+def validate_deal(t: Tables) -> DataFrame:
+    accepted, rejected = deal_gate(_candidates(t), t.firms, t.deals.where("id % 10 <> 3"), learn_patterns(t))
+    return accepted.select("id", F.lit("accepted").alias("outcome"), "company_name").unionByName(rejected.select("id", F.col("reason").alias("outcome"), "company_name"))
+
+
+@query("gate_outcomes", "select count(*) as candidates from deals where id % 10 = 3")
+def gate_outcomes(t: Tables) -> DataFrame:
+    """Accepted and rejected rows together are all candidates."""
+    return validate_deal(t).agg(count().alias("candidates"))
+
+
+# Words of buttons, menus and labels that are no company.
+UI_WORDS = ("get in touch", "view all", "load more", "show more", "learn more", "read more", "visit website", "visit site", "back to top", "contact us", "about us", "our team", "our portfolio", "see all", "subscribe", "sign up", "log in", "login", "sign in", "privacy policy", "privacy", "terms of service", "terms of use", "terms", "cookie policy", "filter", "sort", "search", "menu", "close", "open", "all companies", "all", "active", "exited", "series a", "series b", "pre-seed", "seed", "ipo", "resources", "news", "blog", "press", "insights", "newsletter", "team", "linkedin", "twitter", "facebook", "instagram", "podcast", "faq", "reset", "apply", "cancel", "submit", "back", "next", "previous", "more", "less", "careers", "events", "overview", "contact", "home", "loading...")
+JUNK_TEXT = r"(?i)(Founder\(s\)|Partner Since|Year of Investment|Investment Status|Entry Stage|Country:|Industry:|Sector:|DISCLAIMER|Published on|Link opens in new tab|PLAY VIDEO)"
+
+
+def valid_portfolio_name(c):
+    bare = F.trim(F.regexp_replace(c, r"[​-‏ - ⁠﻿]", ""))
+    words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    lower = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Ll}")))
+    fine = F.char_length(bare).between(2, 60) & ~bare.rlike(r"^\d+$") & ~F.lower(bare).isin(*UI_WORDS) & ~bare.rlike(JUNK_TEXT)
+    return F.coalesce(fine & ~((F.size(words) > 3) & (lower > F.size(words) * 0.6)), F.lit(False))
+
+
+def _portfolio_candidates(t: Tables) -> DataFrame:
+    k = F.col("id") % 11
+    name = F.when(k == 0, "Learn More").when(k == 1, F.concat("company_name", F.lit(" (Exited)"))).when(k == 2, "2021").when(k == 3, F.concat("company_name", F.lit(" Sector: Fintech")))
+    return t.portfolio.withColumn("company_name", F.coalesce(name, F.col("company_name")))
+
+
+@query("validate_portfolio", """
+select id, case when id % 11 in (0, 2, 3) then 'junk_pattern' else 'accepted' end as outcome, case when id % 11 in (0, 2, 3) then null else company_name end as company_name from portfolio""")
+def validate_portfolio(t: Tables) -> DataFrame:
+    rows = _portfolio_candidates(t)
+    name = F.trim("company_name")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)Exits?(true|false)$", ""), r"\((Acquired|Exited)\)", ""))
+    reason = (
+        F.when(F.coalesce(F.char_length(name), F.lit(0)) < 2, "empty_name").when(F.char_length(name) > 60, "name_too_long")
+        .when(~valid_portfolio_name(name), "junk_pattern").when(F.char_length(clean) < 2, "empty_name"))
+    return rows.select("id", F.coalesce(reason, F.lit("accepted")).alias("outcome"), F.when(reason.isNull(), clean).alias("company_name"))
+
+
+@query("junk_portfolio_rows", "select id from portfolio where id % 11 in (0, 2, 3)")
+def junk_portfolio_rows(t: Tables) -> DataFrame:
+    return _portfolio_candidates(t).where(~valid_portfolio_name(F.col("company_name"))).select("id")
+
+
+@query("validate_firm", """
+select s_suppkey as id, case when s_suppkey % 5 = 0 then 'bad_name_pattern' when s_suppkey % 5 = 1 then 'accepted' else 'duplicate_firm' end as outcome,
+  case when s_suppkey % 5 = 1 and s_suppkey % 4 not in (0, 1) then 'https://firm' || s_suppkey || '.example.com' end as website from supplier""")
+def validate_firm(t: Tables) -> DataFrame:
+    """Firms as candidates: names that begin with an article, new names, and known names; urls without a scheme are dropped."""
+    k = F.col("id") % 5
+    rows = t.firms.withColumn("name", F.when(k == 0, F.concat(F.lit("The "), "name")).when(k == 1, F.concat(F.lit("Fresh "), "name")).otherwise(F.col("name")))
+    rows = rows.withColumn("website", F.when(F.col("id") % 4 == 1, F.replace("website", F.lit("https://"), F.lit(""))).otherwise(F.col("website")))
+    bad = F.col("name").rlike(r"(?i)^(and|the|a|an)\s") | F.col("name").rlike(r"(?i)\b(Powered by|Designed by|Built by|Made by)\b") | F.col("name").rlike(r"(?i)\b(Source|via|from)\s*:?\s*$")
+    known = t.firms.select(norm_name("name").alias("k"), F.lit(True).alias("known")).distinct()
+    rows = rows.withColumn("k", norm_name("name")).join(known, "k", "left")
+    outcome = F.when(bad, "bad_name_pattern").when(F.col("known"), "duplicate_firm").otherwise("accepted")
+    site = F.when((outcome == "accepted") & F.col("website").rlike(r"^https?://\S+$"), F.col("website"))
+    return rows.select("id", outcome.alias("outcome"), site.alias("website"))
+
+
+@query("reject_known_firms", f"select id from (select id, case when id % 50 = 0 then 'Supplier#' || lpad(cast(id % 90 as varchar), 9, '0') else company_name end as n from deals) where {NORM.format('n')} in (select {NORM.format('name')} from firms)")
+def reject_known_firms(t: Tables) -> DataFrame:
+    named = F.when(F.col("id") % 50 == 0, F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 90).cast("string"), 9, "0"))).otherwise(F.col("company_name"))
+    return t.deals.withColumn("k", norm_name(named)).join(t.firms.select(norm_name("name").alias("k")).distinct(), "k", "left_semi").select("id")
+
+
+# What filing names are dropped for.
+FILING_JUNK = r"(?i)(\bfund\b|\bpartners\b|\btrust\b|\bl\.?p\.?$|\breit\b|\bholdings\b|\bbancorp\b|\bacquisition\b|^\d+\s)"
+
+
+@query("filing_gate", """
+select id, company_name || case id % 3 when 0 then ' Fund' when 1 then '' else '' end as name from deals where source_type in ('sec_filing', 'de_filing') and id % 3 <> 0""")
+def filing_gate(t: Tables) -> DataFrame:
+    """Filers that are companies: CIK tags off, fund vehicles out."""
+    k = F.col("id") % 3
+    said = F.concat("company_name", F.when(k == 0, " Fund").when(k == 1, F.concat(F.lit(" (CIK 000"), F.col("id").cast("string"), F.lit(")"))).otherwise(""))
+    clean = F.trim(F.regexp_replace(said, r"(?i)\s*\(CIK\s+\d+\)", ""))
+    return t.deals.where("source_type in ('sec_filing', 'de_filing')").where(~clean.rlike(FILING_JUNK)).select("id", clean.alias("name"))
+
+
+@query("three_valued_match", f"""
+select a.id as a, b.id as b, ({_SIM}) as similar, ({_CLOSE}) as close from deals a join deals b on a.company_name_normalized = b.company_name_normalized and a.id < b.id""")
+def three_valued_match(t: Tables) -> DataFrame:
+    cols = ("company_name_normalized", "amount_usd", "date_announced")
+    a = t.deals.select(F.col("id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in cols])
+    b = t.deals.select(F.col("id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in cols])
+    pairs = a.join(b, F.col("x_company_name_normalized") == F.col("y_company_name_normalized")).where("a < b")
+    return pairs.select("a", "b", R.amounts_similar(F.col("x_amount_usd"), F.col("y_amount_usd")).alias("similar"), R.dates_close(F.col("x_date_announced"), F.col("y_date_announced")).alias("close"))
+
+
+@query("is_firm_name", """
+select id, id % 3 = 0 or id % 3 = 2 as firm from investors""")
+def is_firm_name(t: Tables) -> DataFrame:
+    name = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", F.initcap("name"), F.lit("Capital"))).when(F.col("id") % 3 == 1, F.lit("Jane Doe")).otherwise(F.lit("Intel"))
+    return t.investors.select("id", R.is_firm_name(name).alias("firm"))
+
+
+@query("site_of_url", "select id, 'https://' || regexp_extract(source_url, '^https?://([^/]+)', 1) as site, regexp_extract(source_url, '^https?://(?:www\\.)?([^/]+)', 1) as domain from deals where source_url is not null")
+def site_of_url(t: Tables) -> DataFrame:
+    host = F.try_parse_url("source_url", F.lit("HOST"))
+    return t.deals.where("source_url is not null").select("id", F.concat(F.lit("https://"), host).alias("site"), F.regexp_replace(host, r"^www\.", "").alias("domain"))
+
+
+@query("domain_slug", f"select id, {NORM.format('name')} || tld as domain from firms, (select unnest(['.com', '.ai', '.io', '.co']) as tld) where length({NORM.format('name')}) between 2 and 40")
+def domain_slug(t: Tables) -> DataFrame:
+    slug = norm_name("name")
+    rows = t.firms.where(F.char_length(slug).between(2, 40))
+    return rows.select("id", slug.alias("slug"), F.explode(F.array(*map(F.lit, (".com", ".ai", ".io", ".co")))).alias("tld")).select("id", F.concat("slug", "tld").alias("domain"))
