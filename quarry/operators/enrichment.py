@@ -1 +1,172 @@
-"""Queries."""
+"""Filling gaps in deals from reference tables: ranked sources, cross references, markers."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarry.functions import rules as R
+from quarry.functions.measures import count
+from quarry.operators.linking import fuzzy_name_join
+from quarry.plans.registry import query
+from quarry.sources.tables import AS_OF, Tables, norm_name
+
+
+@dataclass(frozen=True)
+class Source:
+    """A reference table keyed by normalized name (``k``), the columns it can fill, and its marker key."""
+
+    name: str
+    rows: DataFrame
+    fills: tuple[str, ...]
+
+
+def cascade(deals: DataFrame, sources: list[Source], skip: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(deals, markers): each source in turn fills what is still empty; markers say ``found`` or ``none`` per deal."""
+    deals = deals.withColumn("k", norm_name("company_name"))
+    markers = None
+    for source in sources:
+        if source.name in skip:
+            continue
+        empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+        gap = empty(source.fills[0])
+        for c in source.fills[1:]:
+            gap |= empty(c)
+        offered = source.rows.select("k", *[F.col(c).alias(f"__{c}") for c in source.fills], F.lit(True).alias("__hit"))
+        joined = deals.withColumn("__gap", gap).join(offered, "k", "left")
+        mark = joined.where("__gap").select("id", F.lit(source.name).alias("key"), F.when(F.col("__hit"), "found").otherwise("none").alias("value"))
+        markers = mark if markers is None else markers.unionByName(mark)
+        filled = {c: F.when(empty(c), F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in source.fills}
+        deals = joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in deals.columns])
+    return deals.drop("k"), markers
+
+
+def best_per_name(rows: DataFrame, order: Column, last: bool = False) -> DataFrame:
+    """One row a name: the first in ``order``, or the last where a later entry overwrites."""
+    rest = [c for c in rows.columns if c != "k"]
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy("k").agg(pick(F.struct(*rest), order).alias("x")).select("k", "x.*")
+
+
+def _sources(t: Tables) -> list[Source]:
+    c = t.raw("customer")
+    key = norm_name("c_name").alias("k")
+    suggest = c.where("c_custkey % 3 = 0").select(key, F.concat(F.lit("https://s"), F.col("c_custkey").cast("string")).alias("company_website"))
+    bulk = c.where("c_custkey % 2 = 0").select(key, F.concat(F.lit("https://b"), F.col("c_custkey").cast("string")).alias("company_website"), F.concat(F.lit("Bulk "), "c_mktsegment").alias("company_description"))
+    text = c.where("c_custkey % 5 = 0").select(key, F.concat(F.lit("Abstract of "), "c_name").alias("company_description"))
+    return [Source("suggestions", suggest, ("company_website",)), Source("bulk", bulk, ("company_website", "company_description")), Source("abstracts", text, ("company_description",))]
+
+
+@query("enrichment_cascade", """
+select d.id, coalesce(nullif(company_website, ''), case when c.c_custkey % 3 = 0 then 'https://s' || c.c_custkey end, case when c.c_custkey % 2 = 0 then 'https://b' || c.c_custkey end) as website,
+  coalesce(nullif(company_description, ''), case when c.c_custkey % 2 = 0 then 'Bulk ' || c_mktsegment end, case when c.c_custkey % 5 = 0 then 'Abstract of ' || c_name end, company_description) as description
+from deals d join customer c on c.c_name = d.company_name""")
+def enrichment_cascade(t: Tables) -> DataFrame:
+    return cascade(t.deals, _sources(t))[0].select("id", F.col("company_website").alias("website"), F.col("company_description").alias("description"))
+
+
+@query("enrichment_markers", """
+select 'suggestions' as key, case when c.c_custkey % 3 = 0 then 'found' else 'none' end as value, count(*) as n from deals d join customer c on c.c_name = d.company_name where company_website is null group by 1, 2""")
+def enrichment_markers(t: Tables) -> DataFrame:
+    return cascade(t.deals, _sources(t), skip=("bulk", "abstracts"))[1].groupBy("key", "value").agg(count().alias("n"))
+
+
+@query("rawtext_investors", """
+select deal_id, name from (select id as deal_id, unnest(['Acme Ventures', 'Orion Capital', 'Fund ' || (id % 7)]) as name from deals where raw_text is not null and id % 4 = 1) x
+where deal_id not in (select deal_id from deal_investors)""")
+def rawtext_investors(t: Tables) -> DataFrame:
+    """Backers named in the text of deals without investors: those with a firm's word in their name, or known firms."""
+    from quarry.operators.extraction import extract_investors
+
+    rows = t.deals.where("raw_text is not null").select("id", "raw_text").join(t.deal_investors.select(F.col("deal_id").alias("id")), "id", "left_anti")
+    names = rows.select(F.col("id").alias("deal_id"), F.explode(extract_investors(F.col("raw_text"))).alias("x")).select("deal_id", "x.name")
+    known = t.firms.select(F.lower("name").alias("low"), F.lit(True).alias("known")).distinct()
+    names = names.withColumn("low", F.lower("name")).join(known, "low", "left")
+    return names.where(F.coalesce("known", F.lit(False)) | R.contains_any(F.col("low"), R.FIRM_WORDS)).select("deal_id", "name")
+
+
+@query("org_attributes_to_metadata", """
+select id as deal_id, key, value from (select d.id, unnest(['industry', 'employees']) as key, unnest([c_mktsegment, cast(c_custkey % 500 as varchar)]) as value
+  from deals d join customer c on d.company_website = 'https://www.c' || c_custkey || '.example.com' where c_custkey % 2 = 0)""")
+def org_attributes_to_metadata(t: Tables) -> DataFrame:
+    """Attributes of organizations, met by domain, as key and value rows."""
+    domain = lambda c: F.regexp_replace(F.try_parse_url(c, F.lit("HOST")), r"^www\.", "")
+    org = t.raw("customer").where("c_custkey % 2 = 0").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".example.com")).alias("domain"), F.col("c_mktsegment").alias("industry"), (F.col("c_custkey") % 500).cast("string").alias("employees"))
+    rows = t.deals.where("company_website is not null").select(F.col("id").alias("deal_id"), domain(F.col("company_website")).alias("domain"))
+    return rows.join(org, "domain").unpivot("deal_id", ["industry", "employees"], "key", "value")
+
+
+@query("domain_validation", "select id, case when company_website is null then 'none' when (id % 10000) % 7 = 0 then 'suspicious' else 'yes' end as verdict from deals")
+def domain_validation(t: Tables) -> DataFrame:
+    """Domains with no address on record are suspicious."""
+    found = t.deals.where("company_website is not null").select("id", F.when((F.col("id") % 10000) % 7 == 0, 0).otherwise(2).alias("addresses"))
+    verdict = F.when(F.col("addresses").isNull(), "none").when(F.col("addresses") == 0, "suspicious").otherwise("yes")
+    return t.deals.select("id").join(found, "id", "left").select("id", verdict.alias("verdict"))
+
+
+@query("source_validation")
+def source_validation(t: Tables) -> DataFrame:
+    """Doubtful deals: an article whose title holds the name gives a url and more confidence, else quarantine.
+
+    Titles are exploded into their runs of one to three words, so that names meet them in an equi join.
+    """
+    from quarry.operators.listing import quarantine_candidates
+
+    rows = quarantine_candidates(t).select("id").join(t.deals.select("id", "company_name", "confidence_score"), "id").withColumn("k", norm_name("company_name"))
+    words = F.split("title", r"\s+")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda p: F.array_join(F.slice(words, p, n), ""))))
+    titles = t.articles.select("url", F.col("id").alias("article"), F.explode(F.array_distinct(F.transform(grams, norm_name))).alias("k")).where("k <> ''")
+    first = titles.join(rows.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min_by("url", "article").alias("url"))
+    out = rows.join(first, "k", "left")
+    return out.select(
+        "id", "url", F.when(F.col("url").isNotNull(), F.least(F.round(F.col("confidence_score") + 0.3, 2), F.lit(1.0))).otherwise(F.col("confidence_score")).alias("confidence"),
+        F.when(F.col("url").isNull(), F.lit(str(AS_OF))).alias("quarantined"))
+
+
+@query("filing_crossref", """
+select d.id, case when f.id is null then 'no_match' when f.amount_usd is null then 'no_details' else 'filled' end as marker, coalesce(d.amount_usd, f.amount_usd) as amount_usd
+from deals d left join (select company_name_normalized, min(id) as id, arg_min(amount_usd, id) filter (amount_usd is not null) as amount_usd from deals where source_type = 'sec_filing' group by 1) f
+  on f.company_name_normalized = d.company_name_normalized where d.id not in (select deal_id from deal_investors)""")
+def filing_crossref(t: Tables) -> DataFrame:
+    """Deals without investors against filings of the same company."""
+    filings = t.deals.where("source_type = 'sec_filing'").groupBy("company_name_normalized").agg(
+        F.min("id").alias("f"), F.min_by("amount_usd", F.when(F.col("amount_usd").isNotNull(), F.col("id"))).alias("filed"))
+    rows = t.deals.join(t.deal_investors.select(F.col("deal_id").alias("id")), "id", "left_anti").join(filings, "company_name_normalized", "left")
+    marker = F.when(F.col("f").isNull(), "no_match").when(F.col("filed").isNull(), "no_details").otherwise("filled")
+    return rows.select("id", marker.alias("marker"), F.coalesce("amount_usd", "filed").alias("amount_usd"))
+
+
+@query("incorporation_crossref", """
+select id, raw_text || ' [registry: ' || company_name || ']' as raw_text from (select * from deals where raw_text is not null order by date_announced desc nulls last, id limit 20)""")
+def incorporation_crossref(t: Tables) -> DataFrame:
+    """The twenty newest deals with the registered name that matches theirs."""
+    newest = t.deals.where("raw_text is not null").orderBy(F.desc_nulls_last("date_announced"), "id").limit(20)
+    names = newest.select(F.col("id").alias("l"), norm_name("company_name").alias("left_name"))
+    registry = t.raw("customer").select(F.col("c_custkey").alias("r"), norm_name("c_name").alias("right_name"), "c_name")
+    hit = fuzzy_name_join(names, registry.select("r", "right_name"), 0.85).groupBy("l").agg(F.min("r").alias("r")).join(registry.select("r", "c_name"), "r")
+    return newest.join(hit, F.col("id") == F.col("l")).select("id", F.concat("raw_text", F.lit(" [registry: "), "c_name", F.lit("]")).alias("raw_text"))
+
+
+@query("link_investors", """
+select deal_id, 'firm' as kind, n as name, f.id as known from (select id as deal_id, unnest(['Acme Ventures', 'Supplier#00000000' || (id % 10), 'Jane Doe']) as n from deals where id % 4 = 1) x left join firms f on lower(f.name) = lower(n) where n <> 'Jane Doe'
+union all select id, 'person', 'Jane Doe', null from deals where id % 4 = 1""")
+def link_investors(t: Tables) -> DataFrame:
+    """Mentions sorted into known firms, new firms and people."""
+    k = F.col("id")
+    said = F.array(F.lit("Acme Ventures"), F.concat(F.lit("Supplier#00000000"), (k % 10).cast("string")), F.lit("Jane Doe"))
+    return classify_mentions(t.deals.where(k % 4 == 1).select(k.alias("deal_id"), F.explode(said).alias("name")), t.firms)
+
+
+def classify_mentions(mentions: DataFrame, firms: DataFrame) -> DataFrame:
+    """``kind`` (firm or person) and ``known``, the id of the firm that the name is, exactly or by a fuzzy match."""
+    names = mentions.select("name").distinct()
+    exact = firms.groupBy(F.lower("name").alias("low")).agg(F.min("id").alias("exact"))
+    left = names.select(F.col("name").alias("l"), norm_name("name").alias("left_name"))
+    fuzzy = fuzzy_name_join(left, firms.select(F.col("id").alias("r"), norm_name("name").alias("right_name")), 0.85).groupBy(F.col("l").alias("name")).agg(F.min("r").alias("fuzzy"))
+    found = names.withColumn("low", F.lower("name")).join(exact, "low", "left").join(fuzzy, "name", "left").select("name", F.coalesce("exact", "fuzzy").alias("known"))
+    out = mentions.join(found, "name")
+    firm = F.col("known").isNotNull() | R.is_firm_name(F.col("name"))
+    return out.where(F.col("known").isNotNull() | ~firm | R.valid_firm_name(F.col("name"))).select("deal_id", F.when(firm, "firm").otherwise("person").alias("kind"), "name", "known")
