@@ -1 +1,66 @@
-"""Queries."""
+"""Who is to hear of new deals: follow-on rounds of saved companies, and matches with stated interests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.plans.registry import query
+from quarry.sources.tables import AS_OF, Tables
+
+
+def notify_follow_on(new: DataFrame, t: Tables, sent: DataFrame) -> DataFrame:
+    """``user_id``, ``deal_id``, ``kind``, ``title``: users who saved another round of a company, not yet told."""
+    old = t.deals.select(F.col("id").alias("deal_id"), F.col("company_name_normalized").alias("k"))
+    saved = t.saved_deals.join(old, "deal_id").select("user_id", F.col("deal_id").alias("saved"), "k")
+    fresh = new.select(F.col("id").alias("deal_id"), F.col("company_name_normalized").alias("k"), "company_name", "stage")
+    rows = saved.join(fresh, "k").where("saved <> deal_id").select("user_id", "deal_id", "company_name", "stage").distinct()
+    out = rows.select("user_id", "deal_id", F.lit("follow_on").alias("kind"), F.concat("company_name", F.lit(": "), "stage").alias("title"))
+    return out.join(sent.select("user_id", "deal_id", "kind"), ["user_id", "deal_id", "kind"], "left_anti")
+
+
+def notify_match(new: DataFrame, t: Tables, sent: DataFrame) -> DataFrame:
+    """Users whose sectors or stages hold a new deal's; preferences are exploded, so both meet in equi joins."""
+    wants = t.preferences.select("user_id", "key", F.explode(F.from_json("value", "array<string>")).alias("want"))
+    sectors = t.categories.select(F.col("id").alias("category_id"), F.col("name").alias("want"))
+    by_sector = new.join(sectors, "category_id").join(wants.where("key = 'sectors'"), "want").select("user_id", F.col("id").alias("deal_id"))
+    by_stage = new.withColumn("want", F.col("stage")).join(wants.where("key = 'stages'"), "want").select("user_id", F.col("id").alias("deal_id"))
+    rows = by_sector.unionByName(by_stage).distinct().withColumn("kind", F.lit("match"))
+    return rows.join(sent.select("user_id", "deal_id", "kind"), ["user_id", "deal_id", "kind"], "left_anti")
+
+
+def _new(t: Tables) -> DataFrame:
+    return t.deals.where(F.col("date_announced") >= F.date_sub(F.lit(AS_OF), 20))
+
+
+def _sent(t: Tables) -> DataFrame:
+    rows = t.raw("events").where("event_type = 'view'").select("user_id", F.lit(3).cast("long").alias("m"))
+    deals = _new(t).where("id % 3 = 0").select(F.col("id").alias("deal_id"), F.lit(3).cast("long").alias("m"))
+    kinds = F.explode(F.array(F.lit("match"), F.lit("follow_on")))
+    return rows.distinct().where("user_id % 2 = 0").join(deals, "m").select("user_id", "deal_id", kinds.alias("kind"))
+
+
+_NEW = f"(select * from deals where date_announced >= date '{AS_OF}' - 20)"
+_TOLD = "exists (select 1 from events e where e.event_type = 'view' and e.user_id = x.user_id and x.user_id % 2 = 0 and x.deal_id % 3 = 0)"
+
+
+@query("notify_follow_on", f"""
+select user_id, deal_id, 'follow_on' as kind, title from (select distinct s.user_id, n.id as deal_id, n.company_name || ': ' || n.stage as title from saved_deals s join deals o on o.id = s.deal_id
+  join {_NEW} n on n.company_name_normalized = o.company_name_normalized and n.id <> o.id) x where not {_TOLD}""")
+def _notify_follow_on(t: Tables) -> DataFrame:
+    return notify_follow_on(_new(t), t, _sent(t))
+
+
+@query("notify_match", f"""
+select user_id, deal_id, 'match' as kind from (
+  select p.user_id, n.id as deal_id from {_NEW} n join categories c on c.id = n.category_id join preferences p on p.key = 'sectors' and p.value = '["' || c.name || '"]'
+  union select p.user_id, n.id from {_NEW} n join preferences p on p.key = 'stages' and p.value = '["' || n.stage || '"]') x where not {_TOLD}""")
+def _notify_match(t: Tables) -> DataFrame:
+    return notify_match(_new(t), t, _sent(t))
+
+
+@query("json_preferences", "select user_id, 'NATION_' || (user_id % 25) as sector from (select distinct user_id from events)")
+def json_preferences(t: Tables) -> DataFrame:
+    """Preferences decoded from JSON; text that is no JSON gives no row."""
+    rows = t.preferences.where("key = 'sectors'").unionByName(t.preferences.where("key = 'stages'").withColumns({"key": F.lit("sectors"), "value": F.lit("{broken")}))
+    return rows.select("user_id", F.explode(F.from_json("value", "array<string>")).alias("sector"))

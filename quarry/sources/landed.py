@@ -1 +1,207 @@
-"""Queries."""
+"""Typed frames from landed files: feeds, search results, filings, award lists, registries, company lists.
+
+Every reader has an explicit schema. The registered queries render table rows as such documents in Spark and flatten
+them with the same expressions that read files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import rules as R
+from quarry.plans.registry import query
+from quarry.sources.tables import Tables
+
+ITEM = "title string, link string, pubDate string, description string"
+FILING = "struct<hits:struct<hits:array<struct<_source:struct<display_names:array<string>,ciks:array<string>,adsh:string,file_date:string,biz_locations:array<string>,biz_states:array<string>,inc_states:array<string>>>>>>"
+SEARCH = "struct<items:array<struct<title:string,link:string,snippet:string>>>"
+COMPANIES = "struct<results:struct<companies:array<struct<company:struct<name:string,company_number:string,jurisdiction_code:string,incorporation_date:string,current_status:string>>>>>"
+ROUND = "struct<funded_organization_identifier:struct<value:string>,money_raised:struct<value:double,currency:string>,investment_type:string,short_description:string,investor_identifiers:array<struct<value:string>>,announced_on:string>"
+FORM_D = "STRUCT<primaryIssuer: STRUCT<entityName: STRING, entityType: STRING, issuerAddress: STRUCT<city: STRING, stateOrCountry: STRING, zipCode: STRING>>, offeringData: STRUCT<industryGroup: STRUCT<industryGroupType: STRING>, offeringSalesAmounts: STRUCT<totalOfferingAmount: STRING, totalAmountSold: STRING>>, relatedPersonsList: STRUCT<relatedPersonInfo: ARRAY<STRUCT<relatedPersonName: STRUCT<firstName: STRING, lastName: STRING>>>>>"
+PER_FEED, PER_FILING, PER_FILE = 30, 15, 200
+
+
+def read_rss(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
+    """Feed items that speak of funding, the first 30 of each file."""
+    rows = spark.read.format("xml").option("rowTag", tag).schema(ITEM).load(path).withColumn("feed", F.col("_metadata.file_path"))
+    return feed_items(rows.withColumn("n", F.monotonically_increasing_id()), "n")
+
+
+def feed_items(rows: DataFrame, order: str) -> DataFrame:
+    w = Window.partitionBy("feed").orderBy(order)
+    rows = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= PER_FEED).where(R.contains_any(F.lower(F.concat_ws(" ", "title", "description")), R.FUNDING_WORDS))
+    return rows.select("feed", "title", F.col("link").alias("url"), R.pub_date(F.col("pubDate")).alias("date_announced"), "description")
+
+
+def real_link(link: Column) -> Column:
+    """Where a search redirect leads; other links stay."""
+    return F.coalesce(F.try_url_decode(F.try_parse_url(link, F.lit("QUERY"), F.lit("url"))), link)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One document a file, as column ``j``."""
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"))
+
+
+def search_hits(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode("j.items").alias("x")).select("x.title", F.col("x.link").alias("url"), F.col("x.snippet").alias("description"))
+
+
+def filing_hits(docs: DataFrame) -> DataFrame:
+    s = docs.select(F.explode("j.hits.hits").alias("x")).select("x._source.*")
+    return s.select(
+        F.try_element_at("display_names", F.lit(1)).alias("company_name"), F.ltrim(F.try_element_at("ciks", F.lit(1)), F.lit("0")).alias("cik"), F.col("adsh").alias("accession"),
+        F.col("file_date").try_cast("date").alias("filed"), "biz_locations", "biz_states", "inc_states")
+
+
+def form_d(docs: DataFrame) -> DataFrame:
+    """Form D documents (column ``xml``): amounts that read "Indefinite" are null with a flag; 15 persons at most."""
+    d = docs.withColumn("x", F.from_xml("xml", FORM_D))
+    amount = lambda c: F.col(c).try_cast("double")
+    people = F.transform(F.slice("x.relatedPersonsList.relatedPersonInfo", 1, PER_FILING), lambda p: F.concat_ws(" ", p["relatedPersonName"]["firstName"], p["relatedPersonName"]["lastName"]))
+    sold = "x.offeringData.offeringSalesAmounts.totalAmountSold"
+    return d.select(
+        *[c for c in docs.columns if c != "xml"], F.col("x.primaryIssuer.entityName").alias("company_name"), F.col("x.primaryIssuer.issuerAddress.city").alias("city"),
+        F.col("x.offeringData.industryGroup.industryGroupType").alias("industry"), amount(sold).alias("amount_sold"), (F.lower(sold) == "indefinite").alias("indefinite"), people.alias("persons"))
+
+
+def read_awards(spark: SparkSession, path: str, states: tuple[str, ...] = ("NY", "MA", "DC", "CA")) -> DataFrame:
+    """Award lists with either of two sets of headers."""
+    rows = spark.read.option("header", True).csv(path)
+    pick = lambda *names: F.coalesce(*[F.col(f"`{n}`") for n in names if n in rows.columns], F.lit(None).cast("string"))
+    return award_rows(rows.select(pick("Company Name", "Firm").alias("firm"), pick("Company State", "State").alias("state"), pick("Award Start Date", "Award Date").alias("day"), pick("Award Amount", "Amount").alias("amount")), states)
+
+
+def award_rows(rows: DataFrame, states: tuple[str, ...]) -> DataFrame:
+    day = F.coalesce(*[F.to_date(F.try_to_timestamp("day", F.lit(f))) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy")])
+    return rows.where(F.upper("state").isin(*states)).select("firm", "state", day.alias("day"), F.replace(F.replace("amount", F.lit(","), F.lit("")), F.lit("$"), F.lit("")).try_cast("double").alias("amount"))
+
+
+def registry_rows(rows: DataFrame, counties: tuple[str, ...]) -> DataFrame:
+    name = F.coalesce(F.nullif("dos_process_name", F.lit("")), "current_entity_name")
+    return rows.where(F.upper("dos_process_address_county").isin(*counties)).select(name.alias("company_name"), F.substring("initial_dos_filing_date", 1, 10).try_cast("date").alias("filed"))
+
+
+def company_search(docs: DataFrame, city: str) -> DataFrame:
+    return docs.select(F.explode("j.results.companies").alias("x")).select("x.company.*", F.lit(city).alias("city"))
+
+
+def rounds(docs: DataFrame) -> DataFrame:
+    j = "j."
+    return docs.select(
+        F.col(j + "funded_organization_identifier.value").alias("company_name"), F.when(F.col(j + "money_raised.currency") == "USD", F.col(j + "money_raised.value")).alias("amount_usd"),
+        R.normalize_stage(F.translate(j + "investment_type", "_", " ")).alias("stage"), F.transform(j + "investor_identifiers", lambda x: x["value"]).alias("investors"),
+        F.substring(j + "announced_on", 1, 10).try_cast("date").alias("date_announced"))
+
+
+def read_companies(spark: SparkSession, path: str) -> DataFrame:
+    """A bulk company list, one JSON array a file."""
+    return spark.read.schema("name string, url string, one_liner string, batch string, status string, industries array<string>").option("multiLine", True).json(path)
+
+
+def seed_firms(built_in: DataFrame, listed: DataFrame) -> DataFrame:
+    """Firms of both lists by name; what the file says wins."""
+    rows = built_in.withColumn("o", F.lit(1)).unionByName(listed.withColumn("o", F.lit(0)), allowMissingColumns=True)
+    return rows.groupBy("name").agg(F.min_by("website", "o").alias("website"), F.min_by("focus", "o").alias("sectors"))
+
+
+# --- queries: rows rendered as documents and read back
+
+
+@query("scan_tables", "select 'deals' as name, count(*) as n from deals union all select 'firms', count(*) from firms union all select 'investors', count(*) from investors union all select 'portfolio', count(*) from portfolio")
+def scan_tables(t: Tables) -> DataFrame:
+    out = None
+    for name in ("deals", "firms", "investors", "portfolio"):
+        rows = getattr(t, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("scan_rss_items", """
+select feed, url, date_announced from (select source_type as feed, url, date_announced, row_number() over (partition by source_type order by id) as r from articles where date_announced is not null) x where r <= 30""")
+def scan_rss_items(t: Tables) -> DataFrame:
+    a = t.articles.where("date_announced is not null")
+    esc = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    xml = F.concat(F.lit("<item><title>"), esc, F.lit("</title><link>"), "url", F.lit("</link><pubDate>"), F.date_format("date_announced", "'Mon,' dd MMM yyyy '08:00:00 GMT'"), F.lit("</pubDate><description></description></item>"))
+    rows = a.select(F.col("source_type").alias("feed"), "id", F.from_xml(xml, ITEM).alias("x")).select("feed", "id", "x.*")
+    return feed_items(rows, "id").select("feed", "url", "date_announced")
+
+
+@query("scan_search_rss", "select id, url from articles")
+def scan_search_rss(t: Tables) -> DataFrame:
+    link = F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://search.example.com/r?x=1&url="), F.url_encode("url"))).otherwise(F.col("url"))
+    return t.articles.select("id", real_link(link).alias("url"))
+
+
+@query("scan_search_json", "select title, url from articles where id % 2 = 0")
+def scan_search_json(t: Tables) -> DataFrame:
+    hits = t.articles.where("id % 2 = 0").groupBy(F.pmod("id", F.lit(50)).alias("page")).agg(F.collect_list(F.struct("title", F.col("url").alias("link"))).alias("items"))
+    docs = hits.select(F.from_json(F.to_json(F.struct("items")), SEARCH).alias("j"))
+    return search_hits(docs).select("title", "url")
+
+
+@query("scan_filing_hits", "select company_name, cast(id as varchar) as cik, date_announced as filed from deals where source_type = 'sec_filing' and id > 0")
+def scan_filing_hits(t: Tables) -> DataFrame:
+    one = F.struct(F.struct(
+        F.array("company_name").alias("display_names"), F.array(F.lpad(F.col("id").cast("string"), 10, "0")).alias("ciks"), F.lit("a-1").alias("adsh"), F.col("date_announced").cast("string").alias("file_date")).alias("_source"))
+    docs = t.deals.where("source_type = 'sec_filing' and id > 0").groupBy(F.pmod("id", F.lit(40)).alias("page")).agg(F.collect_list(one).alias("hits"))
+    docs = docs.select(F.from_json(F.to_json(F.struct(F.struct("hits").alias("hits"))), FILING).alias("j"))
+    return filing_hits(docs).select("company_name", "cik", "filed")
+
+
+@query("scan_form_d", """
+select id, company_name, city, case when id % 8 <> 0 then cast(floor(amount_usd) as double) end as amount_sold, id % 8 = 0 as indefinite from deals where source_type = 'sec_filing' and city is not null and amount_usd is not null""")
+def scan_form_d(t: Tables) -> DataFrame:
+    rows = t.deals.where("source_type = 'sec_filing' and city is not null and amount_usd is not null")
+    sold = F.when(F.col("id") % 8 == 0, "Indefinite").otherwise(F.floor("amount_usd").cast("string"))
+    xml = F.concat(
+        F.lit("<edgarSubmission><primaryIssuer><entityName>"), "company_name", F.lit("</entityName><issuerAddress><city>"), "city", F.lit("</city></issuerAddress></primaryIssuer><offeringData><offeringSalesAmounts><totalAmountSold>"),
+        sold, F.lit("</totalAmountSold></offeringSalesAmounts></offeringData></edgarSubmission>"))
+    return form_d(rows.select("id", xml.alias("xml"))).select("id", "company_name", "city", "amount_sold", "indefinite")
+
+
+@query("scan_award_csv", "select company_name as firm, 'MA' as state, date_announced as day, cast(floor(amount_usd) as double) as amount from deals where city = 'Boston' and id > 0")
+def scan_award_csv(t: Tables) -> DataFrame:
+    k = F.col("id") % 3
+    day = F.when(k == 0, F.date_format("date_announced", "yyyy-MM-dd")).when(k == 1, F.date_format("date_announced", "MM/dd/yyyy")).otherwise(F.date_format("date_announced", "MMMM d, yyyy"))
+    line = F.to_csv(F.struct(F.col("company_name").alias("firm"), F.when(F.col("city") == "Boston", "MA").otherwise("TX").alias("state"), day.alias("day"), F.concat(F.lit("$"), F.floor("amount_usd").cast("string")).alias("amount")))
+    rows = t.deals.where("id > 0").select(F.from_csv(line, "firm string, state string, day string, amount string").alias("x")).select("x.*")
+    return award_rows(rows, ("MA",))
+
+
+@query("scan_registry_json", "select company_name, date_announced as filed from deals where city = 'New York'")
+def scan_registry_json(t: Tables) -> DataFrame:
+    odd = F.col("id") % 2 == 0
+    doc = F.to_json(F.struct(F.when(odd, F.col("company_name")).otherwise("").alias("dos_process_name"), F.col("company_name").alias("current_entity_name"), F.concat(F.col("date_announced").cast("string"), F.lit("T00:00:00")).alias("initial_dos_filing_date"), F.when(F.col("city") == "New York", "Kings").alias("dos_process_address_county")))
+    schema = "dos_process_name string, current_entity_name string, initial_dos_filing_date string, dos_process_address_county string"
+    return registry_rows(t.deals.select(F.from_json(doc, schema).alias("x")).select("x.*"), ("KINGS",))
+
+
+@query("scan_company_search_json", "select c_name as name, cast(c_custkey as varchar) as company_number, 'New York' as city from customer")
+def scan_company_search_json(t: Tables) -> DataFrame:
+    one = F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("company_number")).alias("company"))
+    docs = t.raw("customer").groupBy(F.pmod("c_custkey", F.lit(30)).alias("page")).agg(F.collect_list(one).alias("companies"))
+    docs = docs.select(F.from_json(F.to_json(F.struct(F.struct("companies").alias("results"))), COMPANIES).alias("j"))
+    return company_search(docs, "New York").select("name", "company_number", "city")
+
+
+@query("scan_rounds_json", "select company_name, case when id % 3 <> 0 then amount_usd end as amount_usd, case when stage = 'Unknown' then 'Unknown' else stage end as stage, date_announced from deals")
+def scan_rounds_json(t: Tables) -> DataFrame:
+    kind = F.translate(F.lower("stage"), " ", "_")
+    doc = F.to_json(F.struct(F.struct(F.col("company_name").alias("value")).alias("funded_organization_identifier"), F.struct(F.col("amount_usd").alias("value"), F.when(F.col("id") % 3 == 0, "EUR").otherwise("USD").alias("currency")).alias("money_raised"), kind.alias("investment_type"), F.concat(F.col("date_announced").cast("string"), F.lit("T01:00:00")).alias("announced_on")))
+    return rounds(t.deals.select(F.from_json(doc, ROUND).alias("j"))).select("company_name", "amount_usd", "stage", "date_announced")
+
+
+@query("scan_bulk_company_json", "select c_name as name, 'https://b' || c_custkey as url from customer where c_custkey % 2 = 0")
+def scan_bulk_company_json(t: Tables) -> DataFrame:
+    one = F.struct(F.col("c_name").alias("name"), F.concat(F.lit("https://b"), F.col("c_custkey").cast("string")).alias("url"))
+    docs = t.raw("customer").where("c_custkey % 2 = 0").groupBy(F.pmod("c_custkey", F.lit(30)).alias("page")).agg(F.to_json(F.collect_list(one)).alias("j"))
+    return docs.select(F.explode(F.from_json("j", "array<struct<name:string,url:string>>")).alias("x")).select("x.*")
+
+
+@query("seed_firms", "select s_name as name, case when s_suppkey % 2 = 0 then 'https://listed' || s_suppkey when s_suppkey % 4 <> 0 then 'https://firm' || s_suppkey || '.example.com' end as website from supplier")
+def _seed_firms(t: Tables) -> DataFrame:
+    built_in = t.firms.select("name", "website", F.lit(None).cast("array<string>").alias("focus"))
+    listed = t.firms.where("id % 2 = 0").select("name", F.concat(F.lit("https://listed"), F.col("id").cast("string")).alias("website"), F.array(F.lit("Fintech")).alias("focus"))
+    return seed_firms(built_in, listed).select("name", "website")

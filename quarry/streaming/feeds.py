@@ -1 +1,123 @@
-"""Queries."""
+"""Incremental forms of the batch operators, over folders of files, run to the end of what is there."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import rules as R
+from quarry.plans.registry import query
+from quarry.sources.tables import Tables
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def events_stream(t: Tables) -> DataFrame:
+    """The event table as a stream with a time that can be watermarked."""
+    schema = t.raw("events").schema
+    path, name = t.path.rstrip("/"), "events.parquet"
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def finished(rows: DataFrame, name: str) -> DataFrame:
+    """Run a stream until its source is drained, append mode, and read what it wrote."""
+    spark = rows.sparkSession
+    out = shared_folder(spark, name)
+    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", shared_folder(spark, f"{name}-state"))
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def first_seen_stream(rows: DataFrame, key: str, within: str = "1 hour") -> DataFrame:
+    return rows.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
+
+
+def daily_stream(rows: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Events and value of each closed day and type; rows later than the watermark are dropped."""
+    out = rows.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type")
+    return out.agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total")).select(F.to_date("window.start").alias("day"), "event_type", "n", "total")
+
+
+@query("stream_first_seen", "select distinct event_id from events")
+def stream_first_seen(t: Tables) -> DataFrame:
+    return finished(first_seen_stream(events_stream(t), "event_id").select("event_id"), "first_seen")
+
+
+@query("stream_daily", """
+select cast(ts as date) as day, event_type, count(*) as n, sum(cast(value as decimal(18,2)))::double as total from events
+where cast(ts as date) < (select cast(max(ts) - interval 1 hour as date) from events) group by 1, 2""")
+def stream_daily(t: Tables) -> DataFrame:
+    return finished(daily_stream(events_stream(t)), "daily")
+
+
+def gate_stream(rows: DataFrame, firms: DataFrame) -> DataFrame:
+    """Stateless rules and a stream-static join: each candidate with the first reason against it."""
+    known = firms.select(F.lower("name").alias("low"), F.lit(True).alias("firm")).distinct()
+    rows = rows.withColumn("low", F.lower("name")).join(known, "low", "left")
+    reason = F.when(F.char_length("name") < 2, "empty_name").when(~R.valid_company_name(F.col("name")), "bad_name").when(F.col("firm"), "vc_firm").otherwise("accepted")
+    return rows.select("event_id", "name", reason.alias("outcome"))
+
+
+@query("stream_gate", """
+select event_id, case event_type when 'error' then 'Why User ' || user_id when 'view' then 'Supplier#' || lpad(cast(user_id % 90 as varchar), 9, '0') else 'User ' || user_id end as name,
+  case event_type when 'error' then 'bad_name' when 'view' then 'vc_firm' else 'accepted' end as outcome from events""")
+def stream_gate(t: Tables) -> DataFrame:
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    name = F.when(kind == "error", F.concat(F.lit("Why User "), user)).when(kind == "view", F.concat(F.lit("Supplier#"), F.lpad((F.col("user_id") % 90).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("User "), user))
+    return finished(gate_stream(events_stream(t).select("event_id", name.alias("name")), t.firms), "gate")
+
+
+def merged_batches(rows: DataFrame, merge, name: str) -> str:
+    """Run a stream whose batches are merged into a snapshot by ``merge(old or None, batch)``; the last path returns.
+
+    A batch writes a new version named by its number, so a repeated batch replaces only itself.
+    """
+    spark = rows.sparkSession
+    folder = shared_folder(spark, name)
+    state = {"path": None, "id": -1}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= state["id"]:
+            return
+        session = batch.sparkSession
+        old = session.read.parquet(state["path"]) if state["path"] else None
+        path = f"{folder}/v{batch_id}"
+        merge(old, batch).write.mode("overwrite").parquet(path)
+        state.update(path=path, id=batch_id)
+
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", shared_folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return state["path"]
+
+
+def add_patterns(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    counts = batch.groupBy("event_type", "user_id").agg(F.count("*").alias("hits"), F.max("ts").alias("last_seen"))
+    both = counts if old is None else old.unionByName(counts)
+    return both.groupBy("event_type", "user_id").agg(F.sum("hits").alias("hits"), F.max("last_seen").alias("last_seen"))
+
+
+@query("stream_patterns", "select event_type, user_id, count(*) as hits from events group by 1, 2")
+def stream_patterns(t: Tables) -> DataFrame:
+    path = merged_batches(events_stream(t), add_patterns, "patterns")
+    return t.spark.read.parquet(path).select("event_type", "user_id", "hits")
+
+
+@query("stream_notify", "select distinct s.user_id, d.id as deal_id from events s join deals d on d.id = s.event_id % (select count(*) from orders) where s.event_type = 'purchase' and d.stage = 'Seed'")
+def stream_notify(t: Tables) -> DataFrame:
+    """Users told of deals they bought into; a user hears of a deal once, however batches repeat."""
+    n = t.raw("orders").agg(F.count("*").alias("n"))
+    deals = t.deals.where("stage = 'Seed'").select(F.col("id").alias("deal_id"))
+
+    def told(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.where("event_type = 'purchase'").crossJoin(F.broadcast(n)).select("user_id", (F.col("event_id") % F.col("n")).alias("deal_id"))
+        new = rows.join(deals, "deal_id", "left_semi").select("user_id", "deal_id").distinct()
+        return new if old is None else old.unionByName(new.join(old, ["user_id", "deal_id"], "left_anti"))
+
+    return t.spark.read.parquet(merged_batches(events_stream(t), told, "notify"))
