@@ -33,7 +33,7 @@ SOURCES, LANGS = 32, 16
 TARGETS = ("quality", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = set("#$%&*|!<>{}=@^~\\")
-N_STATS = 9
+N_STATS, BLOCK = 9, 2048
 STEM = 5
 
 
@@ -71,14 +71,18 @@ def metadata_features(source: str | None, lang: str | None, chars: int | None) -
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and bias of a ridge-penalised logistic regression, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    """Weights and bias of a ridge-penalised logistic regression, by Newton's method; rows are read in blocks."""
+    w = np.zeros(x.shape[1] + 1)
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for at in range(0, len(x), BLOCK):
+            part = np.hstack([x[at : at + BLOCK], np.ones((len(x[at : at + BLOCK]), 1))]).astype(float)
+            p = chance(part @ w)
+            slope += part.T @ (y[at : at + BLOCK] - p)
+            curve += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -182,29 +186,33 @@ def train(documents: DataFrame, labels: DataFrame) -> Classifier:
         vocabulary |= {r.word for r in words.orderBy(F.desc(F.abs(z)), "word").limit(WORDS).collect()}
     out = Classifier({w: i for i, w in enumerate(sorted(vocabulary))})
 
-    def featured(df: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
-        flags = [F.col(t) if t in df.columns else F.lit(None).cast("int").alias(t) for t in TARGETS]
-        rows = df.select("text", "source", "lang", "n_chars", *flags, "doc_id").mapInArrow(given, "doc_id long, stats array<double>, present array<int>, meta array<double>, quality int, toxic int").collect()
-        rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.stats))
-        a = np.zeros((len(rows), N_STATS + len(out.words)))
-        for i, r in enumerate(rows):
-            a[i, :N_STATS] = r.stats
-            a[i, [N_STATS + j for j in r.present]] = 1.0
-        return a, np.array([r.meta for r in rows]).reshape(len(rows), SOURCES + LANGS + 3), rows
-
     def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, source, lang, chars = (batch.column(i).to_pylist() for i in range(4))
-            both = [text_features(t, out.words) for t in text]
-            meta = [metadata_features(*m) for m in zip(source, lang, chars)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(6), pa.array([x[0] for x in both], pa.list_(pa.float64())), pa.array([x[1] for x in both], pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.float64())), batch.column(4).cast(pa.int32()), batch.column(5).cast(pa.int32())],
-                ["doc_id", "stats", "present", "meta", *TARGETS])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                text, source, lang, chars = (part.column(i).to_pylist() for i in range(4))
+                both = [text_features(t, out.words) for t in text]
+                dense = [np.array([*x[0], *metadata_features(*m)], np.float32).tobytes() for x, m in zip(both, zip(source, lang, chars))]
+                present = [np.array(x[1], np.int32).tobytes() for x in both]
+                yield pa.RecordBatch.from_arrays([pa.array(dense, pa.binary()), pa.array(present, pa.binary()), part.column(4), part.column(5)], ["dense", "present", *TARGETS])
+
+    def featured(df: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Both views of sampled rows, packed: a few hundred bytes a row reach the driver."""
+        flags = [(F.col(t) if t in df.columns else F.lit(0)).cast("int").alias(t) for t in TARGETS]
+        rows = df.select("text", "source", "lang", "n_chars", *flags)
+        rows = rows.mapInArrow(given, "dense binary, present binary, quality int, toxic int").orderBy(F.xxhash64("dense"), "dense", "present", *TARGETS).toArrow()
+        n = rows.num_rows
+        dense = np.frombuffer(b"".join(rows["dense"].to_pylist()), np.float32).reshape(n, N_STATS + SOURCES + LANGS + 3)
+        a = np.zeros((n, N_STATS + len(out.words)), np.float32)
+        a[:, :N_STATS] = dense[:, :N_STATS]
+        for i, words in enumerate(rows["present"].to_pylist()):
+            a[i, N_STATS + np.frombuffer(words, np.int32)] = 1.0
+        return a, dense[:, N_STATS:], {t: np.array(rows[t].to_pylist(), int) for t in TARGETS}
 
     a, b, rows = featured(known)
     pool_a, pool_b, _ = featured(pool)
     for target in TARGETS:
-        out.models[target] = co_train(a, b, np.array([r[target] for r in rows], int), pool_a, pool_b)
+        out.models[target] = co_train(a, b, rows[target], pool_a, pool_b)
     return out
 
 
