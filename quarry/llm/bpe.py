@@ -36,7 +36,7 @@ CACHED_WORDS = 400_000
 
 # The characters that byte-level BPE shows for bytes 0-255. Printable bytes stand for themselves.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(rf"\p{{L}}+|'(?:s|t|re|ve|m|ll|d)|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 # The same for texts within Latin-1, whose letters and numerals can be listed; ``re`` is several times faster.
 _LETTERS, _NUMERALS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
