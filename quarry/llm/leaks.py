@@ -6,8 +6,8 @@ blocks of eight bits: within ``RADIUS`` bits some block agrees to ``RADIUS // 8`
 neighbours meets every item in the radius. Candidates are verified exactly: the weighted Jaccard similarity of the two
 shingle multisets, sum of minima over sum of maxima, must reach ``similarity``.
 
-A window can only get there if enough of its shingles belong to the benchmark at all; places where they don't are
-passed over before fingerprinting, which loses nothing. Words lower-case A-Z. Items with fewer than five words are one
+A window can only get there if enough of its shingles belong to items of about its size; places where they don't are
+passed over before fingerprinting, and items of other sizes are not compared, which loses nothing. Words lower-case A-Z. Items with fewer than five words are one
 shingle of all their words. Null and empty texts and items match nothing.
 
 The benchmark is read in slices of at most ``SLICE`` bytes, each sent to the executors as one broadcast; the documents
@@ -47,60 +47,87 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / max(1, a.total() + b.total() - both)
 
 
+def _class(span: int) -> int:
+    """Sizes of two multisets with a similarity of 0.8 are in equal or neighbouring classes."""
+    return min(60, int(np.log(span) / np.log(1 / SIMILARITY)))
+
+
 class Items:
     """One slice of the benchmark: shingle sets, fingerprints and their block index."""
 
     def __init__(self, rows: list[tuple[int, str]], radius: int = RADIUS):
         self.radius = radius
-        self.ids, self.lengths, self.sets, prints = [], [], [], []
-        self.known: dict[int, np.ndarray] = {}
-        seen: dict[int, list[np.ndarray]] = {}
+        self.ids, self.sets, prints, spans, sizes = [], [], [], [], []
+        self.lengths: dict[int, int] = {}
+        seen: dict[int, dict[int, int]] = {}
         for item, text in rows:
             words, _ = word_hashes([(text or "").encode().lower()])
             if len(words):
                 size = min(SHINGLE, len(words))
                 hashes = run_hashes(words, size, _BASE)
                 self.ids.append(item)
-                self.lengths.append(len(words))
+                self.lengths[len(words)] = size
                 self.sets.append(Counter(hashes.tolist()))
                 prints.append(simhash(hashes))
-                seen.setdefault(size, []).append(hashes)
+                spans.append(len(hashes))
+                sizes.append(size)
+                own = seen.setdefault(size, {})
+                for h in hashes.tolist():
+                    own[h] = own.get(h, 0) | 1 << _class(len(hashes))
         self.prints = np.array(prints, np.uint8).reshape(-1, 8)
-        self.known = {size: np.unique(np.concatenate(h)) for size, h in seen.items()}
-        self.blocks = [[np.flatnonzero(self.prints[:, j] == v) for v in range(256)] for j in range(8)]
-        self.near = [np.flatnonzero(_COUNT[np.arange(256) ^ v] <= radius // 8) for v in range(256)]
-
-    def within(self, window: np.ndarray) -> np.ndarray:
-        """Items whose fingerprint is within the radius of the window's."""
-        met = [self.blocks[j][v] for j in range(8) for v in self.near[int(window[j])]]
-        met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
-        return met[_COUNT[self.prints[met] ^ window].sum(axis=1, dtype=np.int64) <= self.radius]
+        self.spans, self.sizes = np.array(spans, np.int64), np.array(sizes, np.int64)
+        self.known, self.classes = {}, {}
+        for size, own in seen.items():
+            keys = np.array(sorted(own), np.uint64)
+            self.known[size], self.classes[size] = keys, np.array([own[int(k)] for k in keys], np.uint64)
+        # reach[j, v]: the items whose block j is within radius // 8 bits of v
+        values = np.arange(256, dtype=np.uint8)
+        self.reach = np.array([_COUNT[values[:, None] ^ self.prints[:, j]] <= radius // 8 for j in range(8)])
+
+    def within(self, windows: np.ndarray, peers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) numbers of all pairs within the radius; ``peers`` are the items to look among."""
+        met = np.zeros((len(windows), len(peers)), bool)
+        for j in range(8):
+            met |= self.reach[j][np.ix_(windows[:, j], peers)]
+        w, i = np.nonzero(met)
+        close = _COUNT[windows[w] ^ self.prints[peers[i]]].sum(axis=1, dtype=np.int64) <= self.radius
+        return w[close], peers[i[close]]
 
 
 def leaks_of(hashes: dict[int, np.ndarray], known: dict[int, np.ndarray], n: int, items: Items, similarity: float) -> list[dict]:
-    """Best window for each item in one text of ``n`` words; ``known`` says which shingles the benchmark has."""
+    """Best window for each item in one text of ``n`` words; ``known`` has the size classes of benchmark shingles."""
     best: dict[int, tuple[float, int, int]] = {}
     need = 2 * similarity / (1 + similarity)
-    sums = {size: np.r_[0, np.cumsum(k)] for size, k in known.items()}
-    for length in sorted(set(items.lengths)):
-        size = min(SHINGLE, length)
-        if length > n or size not in sums:
+    bits: dict[int, np.ndarray] = {}
+    for length, size in sorted(items.lengths.items()):
+        if length > n:
             continue
         span = length - size + 1
-        count = sums[size][span:] - sums[size][:-span]
-        for start in np.flatnonzero(count[: n - length + 1] >= need * span - 1e-9).tolist():
-            window = hashes[size][start : start + span]
-            own = None
-            for i in items.within(simhash(window)).tolist():
-                own = own or Counter(window.tolist())
-                found = weighted_jaccard(own, items.sets[i])
-                if found >= similarity and (-found, start, length) < best.get(i, (0.0, 0, 0)):
-                    best[i] = (-found, start, length)
+        around = np.uint64(sum(1 << c for c in {_class(span), max(0, _class(span) - 1), min(60, _class(span) + 1)}))
+        sums = np.r_[0, np.cumsum((known[size] & around) != 0)]
+        starts = np.flatnonzero(sums[span:] - sums[:-span] >= need * span - 1e-9)
+        if not len(starts):
+            continue
+        if size not in bits:
+            flat = np.unpackbits(np.ascontiguousarray(hashes[size]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits[size] = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(flat, axis=0, dtype=np.int32)])
+        prints = np.packbits((bits[size][starts + span] - bits[size][starts]) * 2 > span, axis=1, bitorder="little")
+        peers = np.flatnonzero((items.sizes == size) & (items.spans >= similarity * span - 1e-9) & (items.spans * similarity <= span + 1e-9))
+        own: dict[int, Counter] = {}
+        for w, i in zip(*(x.tolist() for x in items.within(prints, peers))):
+            start = int(starts[w])
+            if w not in own:
+                own[w] = Counter(hashes[size][start : start + span].tolist())
+            found = weighted_jaccard(own[w], items.sets[i])
+            if found >= similarity and (-found, start, length) < best.get(i, (0.0, 0, 0)):
+                best[i] = (-found, start, length)
     return [{"item_id": items.ids[i], "start": s, "n_words": w, "similarity": -f} for i, (f, s, w) in sorted(best.items())]
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """``df`` with ``leaks``: for each benchmark item in a row's text, its best window and similarity."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"size classes are made for a similarity of {SIMILARITY} or more")
     spark = df.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id is not null and text is not null")
@@ -124,9 +151,9 @@ def _scan(df: DataFrame, rows, similarity: float, text: str) -> DataFrame:
             for part in text_chunks(batch, text):
                 words, first = word_hashes([(t or "").encode().lower() for t in part.column(text).to_pylist()])
                 hashes = {size: run_hashes(words, size, _BASE) for size in items.known}
-                known = {size: _member(hashes[size], items.known[size]) for size in items.known}
-                sums = {size: np.r_[0, np.cumsum(k)] for size, k in known.items()}
-                least = {size: need * min(n - size + 1 for n in items.lengths if min(SHINGLE, n) == size) for size in known}
+                known = {size: _classes(hashes[size], items.known[size], items.classes[size]) for size in items.known}
+                sums = {size: np.r_[0, np.cumsum(k != 0)] for size, k in known.items()}
+                least = {size: need * min(n - size + 1 for n, s in items.lengths.items() if s == size) for size in known}
                 before = part.column("leaks").to_pylist()
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     ends = {size: max(a, b - size + 1) for size in known}
@@ -140,14 +167,14 @@ def _scan(df: DataFrame, rows, similarity: float, text: str) -> DataFrame:
     return df.mapInArrow(run, kind)
 
 
-def _member(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which hashes are in the sorted ``known``; a table of their upper 20 bits settles most at once."""
+def _classes(hashes: np.ndarray, known: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Size classes of the benchmark items with each shingle, 0 for none; a table of 20 bits settles most at once."""
     rough = np.zeros(1 << 20, bool)
     rough[(known >> np.uint64(44)).astype(np.int64)] = True
-    out = rough[(hashes >> np.uint64(44)).astype(np.int64)]
-    at = np.flatnonzero(out)
+    out = np.zeros(len(hashes), np.uint64)
+    at = np.flatnonzero(rough[(hashes >> np.uint64(44)).astype(np.int64)])
     place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-    out[at] = known[place] == hashes[at]
+    out[at] = np.where(known[place] == hashes[at], classes[place], np.uint64(0))
     return out
 
 
