@@ -64,6 +64,7 @@ class Automaton:
         self.left, self.made = [-1] * size, [-1] * size
         self.target = [0] * size
         self.parent, self.cut, self.at = [-1], [-1], [-1]
+        self.dead: set[int] = set()
         self._cuts: dict[int, dict[int, int]] = {0: {}}
         self._arcs: dict[int, bool] = {}
         for rank, (a, b) in enumerate(merges):
@@ -78,6 +79,9 @@ class Automaton:
 
     def _gadget(self, rank: int, a: int, b: int, ab: int) -> None:
         s = self.target[a]
+        if a in self.dead or b in self.dead or not self.arc(s, b):  # an earlier merge always takes one of the parts
+            self.dead.add(ab)
+            return
         self.left[ab], self.made[ab], self.target[ab] = a, rank, self.target[b]
         self.parent.append(s)
         self.cut.append(b)
@@ -102,7 +106,7 @@ class Automaton:
         key = state << 20 | token
         known = self._arcs.get(key)
         if known is None:
-            cuts, part, born, known = self._cuts_of(state), token, NEVER, True
+            cuts, part, born, known = self._cuts_of(state), token, NEVER, token not in self.dead
             while part >= 0:
                 if cuts.get(part, NEVER) <= born and part in cuts:
                     known = False
@@ -117,7 +121,7 @@ class Automaton:
         """Tokens of one pre-split word in byte characters: the one path from the start state that spells it."""
         n, get, target, arc, suffix, reach = len(word), self.vocab.get, self.target, self.arc, self.suffix, self.reach.get
         whole = get(word + suffix)
-        if whole is not None:
+        if whole is not None and whole not in self.dead:
             return [whole]
         # Longest arc first. A prefix has one path too, so a place from which no arc goes on is never tried again.
         ids, starts, dead = [], [], set()

@@ -134,7 +134,7 @@ def format_chats(df: DataFrame, record: str = "record") -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     text = F.array_join(F.transform("__pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
     return out.select(
-        *df.columns, "layout", text.alias("formatted"), F.aggregate("__pieces", zero, step)["spans"].alias("loss_mask")
+        *[c for c in df.columns if c not in ("layout", "formatted", "loss_mask")], "layout", text.alias("formatted"), F.aggregate("__pieces", zero, step)["spans"].alias("loss_mask")
     )
 
 

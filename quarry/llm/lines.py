@@ -56,7 +56,7 @@ def remove_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, max_share: flo
     joined = joined.withColumn("__cut", F.when(F.col("__gone").isNotNull(), cut))
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__cut", i)), "\n")
     return joined.select(
-        *[c for c in df.columns if c != text],
+        *[c for c in df.columns if c not in (text, "n_lines", "n_removed")],
         F.when(F.size("__cut") > 0, kept).otherwise(F.col(text)).alias(text),
         F.size(parts).cast("long").alias("n_lines"),
         F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed"),

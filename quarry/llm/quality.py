@@ -6,8 +6,8 @@ unlabelled documents, and those it is sure of train the *other* view in the next
 on labelled documents held out from training and combined there; the combination scores every document.
 
 Bounds: at most ``SAMPLE`` labelled documents and ``POOL`` unlabelled ones are used for fitting, picked by a hash of
-the id; scoring covers all rows and whole texts. Without labels, or with one class only, the class share is the score
-of every document. Null texts are empty, null metadata is a value of its own. Of several labels of a document the
+the id; scoring covers all rows and whole texts. With few labels or one class only, the class share is the score
+of every document; without labels every document is taken for good. Null texts are empty, null metadata is a value of its own. Of several labels of a document the
 worst counts. Fitted models are a few hundred numbers; only they and the sampled features reach the driver.
 """
 
@@ -126,9 +126,9 @@ class Classifier:
         return a, np.array([metadata_features(*m) for m in zip(sources, langs, chars)]).reshape(len(texts), SOURCES + LANGS + 3)
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray) -> Model:
+def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, unknown: float = 0.5) -> Model:
     """Fit both views of one target; every fifth labelled row is held out for calibration and combination."""
-    share = float(y.mean()) if len(y) else 0.5
+    share = float(y.mean()) if len(y) else unknown
     held = np.arange(len(y)) % 5 == 4
     if len(y) < 20 or min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return Model(share)
@@ -212,12 +212,13 @@ def train(documents: DataFrame, labels: DataFrame) -> Classifier:
     a, b, rows = featured(known)
     pool_a, pool_b, _ = featured(pool)
     for target in TARGETS:
-        out.models[target] = co_train(a, b, rows[target], pool_a, pool_b)
+        out.models[target] = co_train(a, b, rows[target], pool_a, pool_b, float(target == "quality"))
     return out
 
 
 def score(df: DataFrame, classifier: Classifier) -> DataFrame:
-    """``df`` with ``quality_score`` and ``toxic_score`` between 0 and 1."""
+    """``df`` with ``quality_score`` and ``toxic_score`` between 0 and 1; columns of these names are replaced."""
+    df = df.drop("quality_score", "toxic_score")
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
