@@ -12,7 +12,6 @@ from quarry.functions.measures import count, mean, mean_sql, names, names_sql, t
 from quarry.plans.registry import query
 from quarry.sources.tables import AS_OF, EVENTS_AS_OF, Tables
 
-_DAY = F.lit(AS_OF)
 _SUM, _AVG = total_sql("amount_usd"), mean_sql("amount_usd")
 
 
@@ -90,7 +89,7 @@ from (select date '{AS_OF}' - date_announced as age, amount_usd from deals where
 cross join (select unnest([7, 30, 90]) as days) p group by 1""")
 def velocity(t: Tables) -> DataFrame:
     """Deals and capital of the last 7, 30 and 90 days against the same span before; one pass, three rows a deal."""
-    age = F.datediff(_DAY, "date_announced")
+    age = F.datediff(F.lit(AS_OF), "date_announced")
     rows = t.deals.where("date_announced is not null").where(age <= 180).select(age.alias("age"), "amount_usd", F.explode(F.array(F.lit(7), F.lit(30), F.lit(90))).alias("days"))
     now, before = F.col("age") <= F.col("days"), (F.col("age") > F.col("days")) & (F.col("age") <= 2 * F.col("days"))
     out = rows.groupBy("days").agg(
@@ -197,7 +196,7 @@ from deal_firms l join deals d on l.deal_id = d.id group by 1""")
 def firm_profile_kpis(t: Tables) -> DataFrame:
     return _firm_deals(t).groupBy("firm_id").agg(
         count().alias("deals"), total("amount_usd").alias("capital"), mean("amount_usd").alias("average"), F.max("date_announced").alias("latest"),
-        F.count_if(F.col("date_announced") >= F.date_sub(_DAY, 90)).alias("last_90"), F.count_if(F.col("date_announced") >= F.date_sub(_DAY, 365)).alias("last_365"))
+        F.count_if(F.col("date_announced") >= F.date_sub(F.lit(AS_OF), 90)).alias("last_90"), F.count_if(F.col("date_announced") >= F.date_sub(F.lit(AS_OF), 365)).alias("last_365"))
 
 
 @query("firm_profile_sectors", f"select firm_id, c.name as sector, count(*) as deals, {_SUM} as capital from deal_firms l join deals d on l.deal_id = d.id join categories c on c.id = d.category_id group by 1, 2")
@@ -248,7 +247,7 @@ select i.id, i.name, count(*) as deals, {_SUM} as capital, {names_sql("company_n
 join deal_investors l on l.investor_id = i.id join deals d on d.id = l.deal_id where date_announced >= date '{AS_OF}' - 365
 group by 1, 2 order by deals desc, i.id limit 30""")
 def top_investors(t: Tables) -> DataFrame:
-    recent = t.deals.where(F.col("date_announced") >= F.date_sub(_DAY, 365)).select(F.col("id").alias("deal_id"), "amount_usd", "company_name")
+    recent = t.deals.where(F.col("date_announced") >= F.date_sub(F.lit(AS_OF), 365)).select(F.col("id").alias("deal_id"), "amount_usd", "company_name")
     rows = t.deal_investors.join(recent, "deal_id").groupBy(F.col("investor_id").alias("id")).agg(
         count().alias("deals"), total("amount_usd").alias("capital"), names("company_name").alias("companies"))
     return rows.join(t.investors.select("id", "name"), "id").orderBy(F.desc("deals"), "id").limit(30)
