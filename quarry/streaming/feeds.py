@@ -68,7 +68,7 @@ def gate_stream(rows: DataFrame, firms: DataFrame) -> DataFrame:
 
 @query("stream_gate", """
 select event_id, case event_type when 'error' then 'Why User ' || user_id when 'view' then 'Supplier#' || lpad(cast(user_id % 90 as varchar), 9, '0') else 'User ' || user_id end as name,
-  case event_type when 'error' then 'bad_name' when 'view' then 'vc_firm' else 'accepted' end as outcome from events""")
+  case when event_type = 'error' then 'bad_name' when event_type = 'view' and 'Supplier#' || lpad(cast(user_id % 90 as varchar), 9, '0') in (select name from firms) then 'vc_firm' else 'accepted' end as outcome from events""")
 def stream_gate(t: Tables) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
     name = F.when(kind == "error", F.concat(F.lit("Why User "), user)).when(kind == "view", F.concat(F.lit("Supplier#"), F.lpad((F.col("user_id") % 90).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("User "), user))
