@@ -29,9 +29,9 @@ def boilerplate_hashes(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("sites"))
     spread = staged(spread, "spread")
     near = spread.where(F.abs(F.col("sites") - min_sites) <= BAND * min_sites + 1).select("h")
-    exact = (
-        lines.join(near.hint("merge"), "h", "left_semi").where("site is not null")
-        .groupBy("h", "site").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n")))
+    # Sites are made distinct before the join, per task first, so a line of every document is a few rows here.
+    sites = staged(lines.where("site is not null").groupBy("h", "site").agg(F.count("*").alias("n")).select("h", "site"), "sites")
+    exact = sites.join(near.hint("merge"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
     sure = spread.where(F.col("sites") - min_sites > BAND * min_sites + 1).select("h")
     return sure.unionByName(exact.where(F.col("n") >= min_sites).select("h"))
 
