@@ -6,9 +6,10 @@ blocks of eight bits: within ``RADIUS`` bits some block agrees to ``RADIUS // 8`
 neighbours meets every item in the radius. Candidates are verified exactly: the weighted Jaccard similarity of the two
 shingle multisets, sum of minima over sum of maxima, must reach ``similarity``.
 
-A window can only get there if enough of its shingles belong to items of about its size; places where they don't are
-passed over before fingerprinting, and items of other sizes are not compared, which loses nothing. Words lower-case A-Z. Items with fewer than five words are one
-shingle of all their words. Null and empty texts and items match nothing.
+A window can only get there if ``similarity`` of its shingles belong to items of about its size (what is shared is at
+least that part of the union, and so of the window); places where they don't are passed over before fingerprinting, and
+items of other sizes are not compared, which loses nothing. Words lower-case A-Z. Items with fewer than five words are
+one shingle of all their words. Null and empty texts and items match nothing.
 
 The benchmark is read in slices of at most ``SLICE`` bytes, each sent to the executors as one broadcast; the documents
 are gone through once for each slice, so a benchmark of any size is covered whole.
@@ -97,7 +98,6 @@ class Items:
 def leaks_of(hashes: dict[int, np.ndarray], known: dict[int, np.ndarray], n: int, items: Items, similarity: float) -> list[dict]:
     """Best window for each item in one text of ``n`` words; ``known`` has the size classes of benchmark shingles."""
     best: dict[int, tuple[float, int, int]] = {}
-    need = 2 * similarity / (1 + similarity)
     bits: dict[int, np.ndarray] = {}
     for length, size in sorted(items.lengths.items()):
         if length > n:
@@ -105,7 +105,7 @@ def leaks_of(hashes: dict[int, np.ndarray], known: dict[int, np.ndarray], n: int
         span = length - size + 1
         around = np.uint64(sum(1 << c for c in {_class(span), max(0, _class(span) - 1), min(60, _class(span) + 1)}))
         sums = np.r_[0, np.cumsum((known[size] & around) != 0)]
-        starts = np.flatnonzero(sums[span:] - sums[:-span] >= need * span - 1e-9)
+        starts = np.flatnonzero(sums[span:] - sums[:-span] >= similarity * span - 1e-9)
         if not len(starts):
             continue
         if size not in bits:
@@ -146,14 +146,13 @@ def _scan(df: DataFrame, rows, similarity: float, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows.value)
-        need = 2 * similarity / (1 + similarity)
         for batch in batches:
             for part in text_chunks(batch, text):
                 words, first = word_hashes([(t or "").encode().lower() for t in part.column(text).to_pylist()])
                 hashes = {size: run_hashes(words, size, _BASE) for size in items.known}
                 known = {size: _classes(hashes[size], items.known[size], items.classes[size]) for size in items.known}
                 sums = {size: np.r_[0, np.cumsum(k != 0)] for size, k in known.items()}
-                least = {size: need * min(n - size + 1 for n, s in items.lengths.items() if s == size) for size in known}
+                least = {size: similarity * min(n - size + 1 for n, s in items.lengths.items() if s == size) for size in known}
                 before = part.column("leaks").to_pylist()
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     ends = {size: max(a, b - size + 1) for size in known}

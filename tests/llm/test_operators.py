@@ -235,6 +235,16 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(docs(spark, ODD), benchmark).count() == len(ODD)
 
 
+def test_leak_with_insertion_meets_windows_of_a_longer_item(spark):
+    items = [(1, prose(300, 100)), (2, prose(301, 108))]
+    word = items[0][1].split()
+    texts = [(1, " ".join([prose(302, 30), *word[:50], prose(303, 8), *word[50:], prose(304, 30)])), (2, prose(305, 300))]
+    found = leaks.find_leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, x.item_id): x.similarity for r in found for x in r.leaks}
+    want = leaks_by_force(texts, items)
+    assert want.keys() == {(1, 1)} and got.keys() == want.keys() and abs(got[1, 1] - want[1, 1]) < 1e-12
+
+
 # --- 5 nearest
 
 
