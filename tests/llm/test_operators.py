@@ -395,3 +395,32 @@ def test_near_duplicate_groups(spark):
     assert kept == sorted([3, 11, 20, *[30 + i for i in range(len(ODD)) if i != 7]])
     again = docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h i j k l m")])
     assert groups.keep_one(again).count() == 2 and groups.keep_one(again.limit(0)).count() == 0
+
+
+def edited(words, seed, n):
+    pick = random.Random(seed)
+    out, at = list(words), pick.sample(range(5, len(words) - 5, 6), n)
+    for i in at:
+        out[i] = f"edit{seed}x{i}"
+    return " ".join(out)
+
+
+def test_star_of_independently_edited_copies(spark):
+    base = prose(400, 204).split()
+    star = [(1000 - i, edited(base, i, 4)) for i in range(80)]
+    a, b, c = (frozenset(tuple(w[j : j + 5]) for j in range(200)) for w in (base, star[0][1].split(), star[1][1].split()))
+    assert len(a & b) >= groups.SIMILARITY * len(a | b) and len(b & c) < groups.SIMILARITY * len(b | c)
+    short = prose(401, 9).split()
+    texts = [*star, (500, " ".join(base)), *[(2000 + i, " ".join([*short, f"end{i}"])) for i in range(3)], (2010, " ".join(short))]
+    assert sorted(r.doc_id for r in groups.keep_one(docs(spark, texts)).collect()) == [500, 2000]
+
+
+def test_long_lists_of_unlike_texts_equal_brute_force(spark):
+    common, other = prose(410, 12), [prose(411 + i, 60) for i in range(150)]
+    texts = [(i, f"{common} {x}") for i, x in enumerate(other)]
+    texts += [(200 + i, edited(texts[i][1].split(), 900 + i, 1)) for i in range(0, 150, 10)]
+    assert sorted(r.doc_id for r in groups.keep_one(docs(spark, texts)).collect()) == list(range(150))
+    key = spark.range(1).select(F.lit(1).cast("long").alias("key"))
+    members = spark.createDataFrame([(i, [i * 100 + j for j in range(9)] + [-1]) for i in range(100)] + [(100, [j for j in range(9)] + [-2])], "node long, has array<long>")
+    links = groups.verified_links(members.crossJoin(key).select("key", "node", F.lit(10).alias("n"), F.lit(101).alias("c")), members, groups.SIMILARITY).collect()
+    assert {x for r in links for x in (r.a, r.b)} == {0, 100}
