@@ -373,15 +373,66 @@ def test_html_extraction(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
-def test_wrapper_inference():
-    a = html.stream("<div><b>Title</b><ul><li>x</li><li>y</li></ul><p>same</p></div>")
-    b = html.stream("<div><b>Other</b><i>new</i><ul><li>z</li></ul><p>same</p></div>")
-    wrapper = html.align(html.fold(a), html.fold(b))
-    kinds = [k for k, _ in wrapper]
-    assert "plus" in kinds and "opt" in kinds and html.constants(wrapper) == {"same"}
-    assert ["text", None] in wrapper and html.align(wrapper, html.fold(a)) is not None
-    lists = html.fold(html.stream("<ul>" + "<li>a</li>" * 5 + "</ul>"))
-    assert [k for k, _ in lists] == ["tag", "plus", "tag"]
+def pages_of(spark, host, texts):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", x) for i, x in enumerate(texts)], "page_id long, url string, html string")
+
+
+def extracted(spark, texts):
+    return [r.text for r in html.extract(pages_of(spark, "a.example", texts)).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h1>T</h1><p class='ad'>buy<p>Real text one<p>Real two</article>", "T\nReal text one\nReal two"),
+        ("<article><ul><li class='promo'>x<li>kept</ul><p>after</p></article>", "kept\nafter"),
+        ("<main><p>intro</p><article><p>body</p></article></main><p>out</p>", "intro\nbody"),
+        ("<article><table><tr><td>a<td>b<tr class='x'><td>c</table><dl><dt>t<dd>d</dl></article>", "a b\nc\nt\nd"),
+        ("<div><article><p>one</div><p style='overflow:hidden'>two</article><p>no</p></div>", "one\ntwo"),
+        ("<article class='post has-sidebar'><h2 id='the-menu'>Menu</h2><p class='menu-of-the-day'>Soup</p><p hidden>h</p></article>", "Menu\nSoup"),
+        ("<article><p>x<math><mi>y</mi></math> <b>z<p>&nbsp; a&#x41;&amp;lt;\n b<br>c</article>", "xy z\naA&lt; b c"),
+        ("<article>one<aside>no</aside>two <span class='ad'>no</span> three<!-- c -->four</article>", "one\ntwo threefour"),
+        ("<body><p>text <p>more" + "<div>" * 3000 + "deep", "text\nmore\ndeep"),
+        ("<section class='comments'><article>reader</article></section><div>kept</div>", "kept"),
+    ],
+)
+def test_html_pages(page, text):
+    assert html.main_text(page) == text
+
+
+def test_wrapper_expression(spark):
+    a = "<div><b>Title</b><ul><li>x</li><li>y</li></ul><p>same</p></div>"
+    b = "<div><b>Other</b><table><td>new</table><ul><li>z</li></ul><p>same</p></div>"
+    c = "<div><b>Third</b><ul><li>z</li></ul><p>same</p><h2>h</h2><p>same</p><h2>i</h2></div>"
+    items = html.wrappers(pages_of(spark, "a", [a, b, c]).withColumn("host", F.lit("a"))).collect()
+    assert html.expression(items) == "<div>#(<table><td>=</></>)?<ul>(<li>#</>)+</>((<p>=</>)?(<h2>#</>)?)+</>"
+
+
+def test_wrapper_decides(spark):
+    """The same page gives another text when its host's other pages show what never changes."""
+    page = "<body><div>House style</div><div class='x'><a>a</a> <a>b</a> <a>c</a></div><div class='text'><h1>Head {n}</h1><p>Words {n} of a text</p><div class='related'><p>About {n}</p></div><div class='related'><a>More {n}</a></div></div><p>Printed by us</p></body>"
+    own = "Head {n}\nWords {n} of a text\nAbout {n}\nMore {n}"
+    alone = extracted(spark, [page.format(n=0)])
+    assert alone == ["House style\n" + own.format(n=0) + "\nPrinted by us"]
+    assert extracted(spark, [page.format(n=i) for i in range(4)]) == [own.format(n=i) for i in range(4)]
+    assert extracted(spark, [page.format(n=1)] * 4) == ["House style\n" + own.format(n=1) + "\nPrinted by us"] * 4
+    card = "<article class='card'><p>Join us</p></article>"
+    story = "<article><h1>Story {n}</h1><p>Same line</p><div class='search'><p>How to {n}</p></div></article>"
+    pages = [card + story.format(n=i) for i in range(3)] + [card]
+    assert extracted(spark, pages) == [f"Story {i}\nSame line\nHow to {i}" for i in range(3)] + ["Join us"]
+
+
+def test_html_whole_table_equals_markup(spark):
+    """The table's pages put the text into one article: what a plain reading of the tags gives."""
+    import html as library
+
+    frame = table(spark, DATA, "pages")
+    got = {r.page_id: r.text for r in html.extract(frame).collect()}
+    for r in frame.collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|$)", r.html or "", re.S)
+        parts = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", inner[1]) if inner else []
+        parts = [" ".join(library.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", x))).split()) for x in parts]
+        assert got[r.page_id] == "\n".join(x for x in parts if x)
 
 
 # --- groups
