@@ -8,7 +8,10 @@ roles a backslash becomes ``\\b`` and ``<|`` becomes ``\\p``, in roles a line fe
 hold a marker and the original comes back exactly. The loss mask holds one span for each assistant text.
 
 A record with unknown paths gets the layout ``unknown`` and no turns; invalid JSON and null count as such. Null texts
-and roles are empty. A conversation without turns formats to an empty string.
+and roles are empty. A conversation without turns formats to an empty string. Records of any length that a string
+column holds are read whole: above ``LONG`` characters the paths are found with the texts emptied, as the JSON value
+type has limits. Rows of a conversation go by ``turn`` (null first), then role and text, so ties and repeated rows have
+one order; each repeated row is a turn. Columns named as the results are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from quarry.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _TURN = r"(?s)<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n"
+#: Above so many characters texts are emptied before a record is taken for a JSON value.
+LONG = 4 << 20
+_STRINGS = r'("[^"]*+"\s*+:)|(")[^"]*+(")'
+_READ = {"maxStringLen": "2000000000"}
 _TYPES = r"(?<=[ <])(?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
 
 
@@ -65,7 +72,10 @@ LAYOUTS = (
 
 def fingerprint(record: Column) -> Column:
     """Hash of the nested field paths of a JSON record; null if it is no JSON."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), _TYPES, ""))
+    bare = F.regexp_replace(F.replace(F.replace(record, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")), _STRINGS, "$1$2$3")
+    broken = F.from_json(record, "struct<_corrupt_record:string>", {**_READ, "columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"]
+    short = F.when(F.char_length(record) <= LONG, record).when(broken.isNull(), bare)
+    return F.xxhash64(F.regexp_replace(F.schema_of_variant(F.try_parse_json(short)), _TYPES, ""))
 
 
 def _blank(c: Column) -> Column:
@@ -82,18 +92,16 @@ def _turn_of(role: str, text: str, renamed: tuple[tuple[str, str], ...]):
     return turn
 
 
-def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
-    """Name of the layout, and the turns as ``array<struct<role, text>>``."""
-    mark = fingerprint(record)
+def canonical_turns(record: Column, mark: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
+    """Name of the layout, and the turns as ``array<struct<role, text>>``; ``mark`` is the record's ``fingerprint``."""
     name, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
     for layout in layouts:
         if layout.each:
             path, role, text = layout.each
-            rows = F.from_json(record, f"struct<{path}:array<struct<`{role}`:string,`{text}`:string>>>", {"maxStringLen": "2000000000"})[path]
-
+            rows = F.from_json(record, f"struct<{path}:array<struct<`{role}`:string,`{text}`:string>>>", _READ)[path]
             found = F.transform(rows, _turn_of(role, text, layout.roles))
         else:
-            fields = F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for _, p in layout.turns) + ">", {"maxStringLen": "2000000000"})
+            fields = F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for _, p in layout.turns) + ">", _READ)
             found = F.array(*[F.struct(F.lit(r).alias("role"), _blank(fields[p]).alias("text")) for r, p in layout.turns])
         hit = mark == F.xxhash64(F.lit(layout.shape()))
         name, turns = F.when(hit, F.lit(layout.name)).otherwise(name), F.when(hit, found).otherwise(turns)
@@ -112,8 +120,8 @@ def unescaped(text: Column, role: bool = False) -> Column:
 
 def format_chats(df: DataFrame, record: str = "record") -> DataFrame:
     """``df`` with ``layout``, ``formatted`` and ``loss_mask`` (spans of code points: ``start`` from 0, ``length``)."""
-    name, turns = canonical_turns(F.col(record))
-    out = df.withColumn("layout", name).withColumn("__turns", turns)
+    name, turns = canonical_turns(F.col(record), F.col("__mark"))
+    out = df.withColumn("__mark", fingerprint(F.col(record))).select(*[c for c in df.columns if c != "layout"], name.alias("layout"), turns.alias("__turns"))
     pieces = F.transform(
         "__turns",
         lambda t: F.struct(
@@ -148,12 +156,13 @@ def read_turns(formatted: Column) -> Column:
 def conversation_records(rows: DataFrame) -> DataFrame:
     """``conv_id`` and ``record``: prompt and instruction layouts where the roles are just those, else messages."""
     turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    convs = rows.groupBy("conv_id").agg(turns.alias("t")).withColumn("roles", F.array_join("t.role", ","))
+    convs = rows.groupBy("conv_id").agg(turns.alias("t"))
+    said = lambda *roles: F.col("t.role") == F.array(*map(F.lit, roles))
     text = lambda i: F.col("t")[i]["text"]
     messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
     record = (
-        F.when(F.col("roles") == "user,assistant", F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
-        .when(F.col("roles") == "system,user,assistant", F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
+        F.when(said("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
+        .when(said("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
         .otherwise(F.to_json(F.struct(messages.alias("messages")))))
     return convs.select("conv_id", record.alias("record"))
 
@@ -187,9 +196,9 @@ said as (
          replace(replace(replace(role, '\', '\b'), '<|', '\p'), chr(10), '\n') as head
   from rows)
 select conv_id, count(*) as n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10)))::bigint as formatted_chars
 from said group by conv_id
 """

@@ -195,6 +195,28 @@ def test_chat_rows(spark, tmp_path):
     assert got[3].n_turns == 2 and got[2].loss_chars == 0 and got[-1].n_turns == 2 and got[-1].loss_chars == len("<|im_end|><|im_start|>assistant ok")
 
 
+def test_chat_odd_roles_and_orders(spark, tmp_path):
+    rows = [(1, 1, "user,assistant", "x"), (2, 1, "user", "b"), (2, None, "assistant", "a"), (2, None, "assistant", "a"), (3, 1, "user,system", "t"), (3, 2, "assistant", "u"), (4, 1, "system,user", "s"), (4, 2, "assistant", "u"), (None, 1, "user", "n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in chat.op9_chat(spark, str(tmp_path)).collect()}
+    assert got[1].turns_sha256 == sha("user,assistant\nx\n") and got[1].loss_chars == 0 and got[None].n_turns == 1
+    assert got[2].turns_sha256 == sha("assistant\na\nassistant\na\nuser\nb\n") and got[2].loss_chars == 2
+    assert got[3].turns_sha256 == sha("user,system\nt\nassistant\nu\n") and got[4].loss_sha256 == sha("u")
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    assert [r.conv_id for r in chat.op9_chat(spark, str(tmp_path / "none")).collect()] == [-1]
+
+
+def test_chat_long_records(spark):
+    """Beyond the limits of a JSON value nothing is lost, and what is no JSON stays unknown."""
+    text = F.repeat(F.lit('a\\"<|{:"\n'), 5 << 20)
+    record = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), text.alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("ok").alias("content"))).alias("messages")))
+    out = chat.format_chats(spark.range(2).select("id", F.when(F.col("id") == 0, record).otherwise(F.substr(record, F.lit(1), F.char_length(record) - 2)).alias("record")))
+    turns = chat.read_turns(F.col("formatted"))
+    good, bad = out.orderBy("id").select("layout", F.size(turns).alias("n"), F.char_length(turns[0]["text"]).alias("chars"), F.coalesce(turns[0]["text"] == text, F.lit(False)).alias("same")).collect()
+    assert good == ("messages", 2, 9 * (5 << 20), True) and bad[:2] == ("unknown", 0)
+
+
 # --- 4 leaks
 
 
