@@ -2,12 +2,17 @@
 
 Lines are trimmed of blanks and hashed. Lines seen at least ``min_sites`` times get a HyperLogLog sketch of their
 sites; sketches are built per task and merged by the aggregation. Where an estimate lies within ``BAND`` of the
-threshold the exact number of sites decides. A line on ``min_sites`` sites or more is boilerplate and goes from every
-document, all occurrences alike. A document that would lose more than ``max_share`` of its characters is a copy of an
-article rather than an article with boilerplate: it stays whole, for near-duplicate removal.
+threshold the exact number of sites decides. A line on ``min_sites`` sites or more is widespread.
 
-Blank lines always stay. Null texts have no lines; null sites count as no site. Rows with equal id and text get equal
-answers.
+An article that many sites copy has widespread lines too. So a second count takes the documents alone that have
+something else to say: those with at most ``share`` of their characters in widespread lines. Lines on ``min_sites``
+sites among these are boilerplate and go from every document, all occurrences alike and whatever is left of it.
+
+Blank lines always stay; a text without any other line left becomes what its blank lines are. Null and empty texts
+have no lines; null sites count as no site. Rows with equal id and text get equal answers and count once; columns named
+as the results are replaced. A text is one array of lines, so it is as long as a row may be. A line of every document
+is one key of the joins: rows per site and line are made distinct first, and what is left of the skew is dealt by
+adaptive execution's splitting of joined partitions.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import staged, table
 
 MIN_SITES = 10
-MAX_SHARE = 0.5
+#: Largest part of a document in widespread lines with which it counts as a text of its own.
+SHARE = 0.5
 #: Sketches have 2 ** 12 registers: a standard error of 1.6 %. The band is six of them.
 SKETCH_BITS, BAND = 12, 0.1
 BLANKS = " \t\r"
@@ -36,30 +42,30 @@ def boilerplate_hashes(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     return sure.unionByName(exact.where(F.col("n") >= min_sites).select("h"))
 
 
-def remove_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
+def remove_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, share: float = SHARE, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
     """``df`` with ``text`` less its boilerplate lines, and the columns ``n_lines`` and ``n_removed``."""
     docs = df.withColumn("__k", F.xxhash64(key, text))
     lines = (
-        docs.select("__k", F.col(site).alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("p", "line"))
-        .select("__k", "site", "p", F.btrim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
-        .select("__k", "site", "p", F.xxhash64("line").alias("h")))
-    frequent = staged(lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h"), "frequent")
+        docs.select("__k", F.col(site).alias("site"), F.char_length(text).alias("n"), F.posexplode(F.split(F.col(text), "\n")).alias("p", "line"))
+        .select("__k", "site", "n", "p", F.char_length("line").alias("chars"), F.btrim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
+        .select("__k", "site", "n", "p", "chars", F.xxhash64("line").alias("h")))
+    frequent = staged(lines.groupBy("h").agg(F.count("*").alias("often")).where(F.col("often") >= min_sites).select("h"), "frequent")
     lines = staged(lines.join(frequent.hint("merge"), "h"), "lines")
-    bad = staged(boilerplate_hashes(lines, min_sites), "boilerplate")
-    gone = lines.join(bad.hint("merge"), "h", "left_semi").groupBy("__k").agg(F.collect_set("p").alias("__gone"))
-    gone = staged(gone, "gone")
+    wide = staged(boilerplate_hashes(lines, min_sites), "widespread")
+    lines = staged(lines.join(wide.hint("merge"), "h", "left_semi"), "lines")
+    # repeated rows have each of their positions as often as the row is there
+    own = lines.groupBy("__k").agg(F.sum("chars").alias("chars"), F.max("n").alias("n"), F.count("*").alias("rows"), F.size(F.collect_set("p")).alias("places"))
+    own = staged(own.where(F.col("chars") * F.col("places") <= share * F.col("n") * F.col("rows")).select("__k"), "own")
+    bad = staged(boilerplate_hashes(lines.join(own.hint("merge"), "__k", "left_semi"), min_sites), "boilerplate")
+    gone = staged(lines.join(bad.hint("merge"), "h", "left_semi").groupBy("__k").agg(F.collect_set("p").alias("__gone")), "gone")
     parts = F.coalesce(F.split(F.col(text), "\n"), F.array().cast("array<string>"))
-    at = F.coalesce("__gone", F.array().cast("array<int>"))
-    lost = F.aggregate(at, F.lit(0), lambda n, i: n + F.char_length(F.element_at(parts, i + 1)))
     joined = docs.join(gone.hint("merge"), "__k", "left")
-    cut = F.when(lost <= max_share * F.char_length(text), at).otherwise(F.array().cast("array<int>"))
-    joined = joined.withColumn("__cut", F.when(F.col("__gone").isNotNull(), cut))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__cut", i)), "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone"), lambda i: F.element_at(parts, i + 1))
     return joined.select(
         *[c for c in df.columns if c not in (text, "n_lines", "n_removed")],
-        F.when(F.size("__cut") > 0, kept).otherwise(F.col(text)).alias(text),
+        F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text),
         F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
@@ -74,19 +80,19 @@ with parts as (
   select doc_id, source, text, unnest(string_split(text, chr(10))) as line,
          generate_subscripts(string_split(text, chr(10)), 1) as p
   from documents),
-bad as (
+wide as (
   select trim(line, ' ' || chr(9) || chr(13)) as line from parts
   where trim(line, ' ' || chr(9) || chr(13)) <> ''
   group by 1 having count(distinct source) >= {MIN_SITES}),
+hits as (select p.* from parts p join wide w on trim(p.line, ' ' || chr(9) || chr(13)) = w.line),
+own as (select doc_id from hits group by doc_id having sum(length(line)) <= {SHARE} * any_value(length(text))),
+bad as (
+  select trim(line, ' ' || chr(9) || chr(13)) as line from hits where doc_id in (select doc_id from own)
+  group by 1 having count(distinct source) >= {MIN_SITES}),
 marked as (
   select p.*, b.line is not null as gone from parts p
-  left join bad b on trim(p.line, ' ' || chr(9) || chr(13)) = b.line),
-docs as (
-  select doc_id, count(*) as n_lines, count(*) filter (gone) as n,
-         coalesce(sum(length(line)) filter (gone), 0) <= {MAX_SHARE} * any_value(length(text)) as fits,
-         coalesce(string_agg(line, chr(10) order by p) filter (not gone), '') as kept, any_value(text) as text
-  from marked group by doc_id)
-select doc_id, n_lines, case when fits then n else 0 end as n_removed,
-       sha256(case when fits then kept else text end) as kept_sha256
-from docs
+  left join bad b on trim(p.line, ' ' || chr(9) || chr(13)) = b.line)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+       sha256(coalesce(string_agg(line, chr(10) order by p) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
 """

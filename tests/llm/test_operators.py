@@ -156,6 +156,13 @@ def test_lines_odd_rows(spark):
     copies = docs(spark, [(i, "all of it\nis shared by all") for i in range(12)], {i: f"site{i}" for i in range(12)})
     assert lines.remove_boilerplate(copies, min_sites=10).agg(F.sum("n_removed")).first()[0] == 0
     assert lines.remove_boilerplate(rows.limit(0)).count() == 0
+    # the same notice goes from pages of little else, once it stands beside other texts on ten sites
+    pages = [*((i, f"{prose(i, 20)}\nall rights reserved by us") for i in range(10)), (50, "all rights reserved by us"), (51, "hi\nall rights reserved by us"), (51, "hi\nall rights reserved by us"), *((60 + i, f"a copied article\nof two lines on many sites\n{'x' * i}") for i in range(12))]
+    got = collections.defaultdict(set)
+    for r in lines.remove_boilerplate(docs(spark, pages, {i: f"site{i}" for i, _ in pages}), min_sites=10).collect():
+        got[r.doc_id].add((r.text, r.n_removed))
+    assert all(len(got[i]) == 1 and all(n == 1 for _, n in got[i]) for i in (*range(10), 50, 51)) and got[50] == {("", 1)} and got[51] == {("hi", 1)}
+    assert all(n == 0 for i in range(60, 72) for _, n in got[i])
 
 
 def test_warc_files_and_audit(spark, tmp_path):
