@@ -1,14 +1,19 @@
 """Operator 7: quality and toxicity scores by co-training of a text view and a metadata view.
 
 The text view sees word presence and character statistics of the whole text; the metadata view sees source, language
-and length as the page reports them. Both start from labelled documents. In each round a view labels a pool of
-unlabelled documents, and those it is sure of train the *other* view in the next round. The views are then calibrated
-on labelled documents held out from training and combined there; the combination scores every document.
-
-Bounds: at most ``SAMPLE`` labelled documents and ``POOL`` unlabelled ones are used for fitting, picked by a hash of
-the id; scoring covers all rows and whole texts. With few labels or one class only, the class share is the score
-of every document; without labels every document is taken for good. Null texts are empty, null metadata is a value of its own. Of several labels of a document the
-worst counts. Fitted models are a few hundred numbers; only they and the sampled features reach the driver.
+and length as the page reports them. Both start from labelled documents. In each round a view labels all unlabelled
+documents, and those that it is sure of train the *other* view, all together with no more weight than the labelled
+ones of the class have. The views are then calibrated and combined on labelled documents held out from training (other
+ones than those that calibrate the exchange); the combination scores every document.
+
+Labelled documents are the one bounded sample: ``train``'s ``sample``, picked by a hash of the id. Unlabelled ones are
+read whole in each step as packed features, and only sums over them (a few thousand numbers) reach the driver.
+
+With few labels or one class only, the class share is the score of every document; without labels every document is
+taken for good. Null and empty texts have no words, null metadata is a value of its own, null ids are unlabelled. Of
+several labels of a document the worst counts; rows that share a labelled id are all labelled by it. Repeated rows get
+equal scores. Very long texts are read whole, one at a time. Columns named as the scores are replaced, others stay.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,15 +30,17 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import staged, table
 
-SAMPLE, POOL = 20_000, 10_000
+#: Labelled documents that are used at most.
+SAMPLE = 20_000
 #: Words per target that the text view knows, and the least number of sampled documents with such a word.
 WORDS, LEAST = 256, 3
-ROUNDS, SURE, EXCHANGED = 3, 0.98, 500
+#: Rounds of exchange and steps of the fit in each; how sure a view must be of what it teaches.
+ROUNDS, STEPS, SURE = 3, 3, 0.98
 SOURCES, LANGS = 32, 16
 TARGETS = ("quality", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = set("#$%&*|!<>{}=@^~\\")
-N_STATS, BLOCK = 9, 2048
+N_STATS, N_META, BLOCK = 9, SOURCES + LANGS + 3, 2048
 STEM = 5
 
 
@@ -70,18 +77,24 @@ def metadata_features(source: str | None, lang: str | None, chars: int | None) -
     return [*out, float(chars is None), length, length * length]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and bias of a ridge-penalised logistic regression, by Newton's method; rows are read in blocks."""
-    w = np.zeros(x.shape[1] + 1)
+def derivatives(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curve of a ridge-penalised logistic regression at ``w``; rows are read in blocks."""
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
+    slope, curve = -penalty * w, np.diag(penalty)
+    for at in range(0, len(x), BLOCK):
+        part = np.hstack([x[at : at + BLOCK], np.ones((len(x[at : at + BLOCK]), 1))]).astype(float)
+        p = chance(part @ w)
+        slope += part.T @ (y[at : at + BLOCK] - p)
+        curve += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+    return slope, curve
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and bias of a ridge-penalised logistic regression, by Newton's method."""
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(25):
-        slope, curve = -penalty * w, np.diag(penalty)
-        for at in range(0, len(x), BLOCK):
-            part = np.hstack([x[at : at + BLOCK], np.ones((len(x[at : at + BLOCK]), 1))]).astype(float)
-            p = chance(part @ w)
-            slope += part.T @ (y[at : at + BLOCK] - p)
-            curve += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+        slope, curve = derivatives(x, y, w, ridge)
         step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
@@ -123,45 +136,96 @@ class Classifier:
             stats, present = text_features(text, self.words)
             a[i, :N_STATS] = stats
             a[i, [N_STATS + j for j in present]] = 1.0
-        return a, np.array([metadata_features(*m) for m in zip(sources, langs, chars)]).reshape(len(texts), SOURCES + LANGS + 3)
-
-
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, unknown: float = 0.5) -> Model:
-    """Fit both views of one target; every fifth labelled row is held out for calibration and combination."""
-    share = float(y.mean()) if len(y) else unknown
-    held = np.arange(len(y)) % 5 == 4
-    if len(y) < 20 or min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
-        return Model(share)
-    views, pools = (a, b), (pool_a, pool_b)
-    own = [(v[~held], y[~held].astype(float)) for v in views]
-    weights = [fit(*x) for x in own]
-    for _ in range(ROUNDS):
-        taught = []
-        for view in (0, 1):
-            # calibrated on the held-out rows, so a weak view is sure of nothing and teaches nothing
-            z = logits(views[view][held], weights[view])[:, None]
-            p = chance(logits(logits(pools[view], weights[view])[:, None], fit(z, y[held].astype(float), 0.1)))
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")
-            sure = [order[(p[order] >= SURE)][:EXCHANGED], order[(p[order] <= 1 - SURE)][:EXCHANGED]]
-            taught.append((np.concatenate(sure), np.concatenate([np.ones(len(sure[0])), np.zeros(len(sure[1]))])))
-        for view in (0, 1):
-            rows, said = taught[1 - view]
-            x = np.vstack([own[view][0], pools[view][rows]])
-            weights[view] = fit(x, np.concatenate([own[view][1], said]))
-    z = np.column_stack([logits(v[held], w) for v, w in zip(views, weights)])
-    return Model(share, weights[0], weights[1], fit(z, y[held].astype(float), 0.1))
-
-
-def train(documents: DataFrame, labels: DataFrame) -> Classifier:
-    """Fit from ``labels`` (doc_id, quality, toxic) and the ``documents`` they name."""
+        return a, np.array([metadata_features(*m) for m in zip(sources, langs, chars)]).reshape(len(texts), N_META)
+
+
+class CoTraining:
+    """One target's views while they learn: labelled rows, weights, and what the views teach each other."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, y: np.ndarray):
+        fold = np.arange(len(y)) % 10
+        self.y, self.views, self.own = y.astype(float), (a, b), (fold != 4) & (fold != 9)
+        self.exchange, self.last = fold == 4, fold == 9
+        self.weights = [fit(v[self.own], self.y[self.own]) for v in self.views]
+        self.counts = np.array([self.y[self.own].sum(), (1 - self.y[self.own]).sum()])
+
+    @staticmethod
+    def possible(y: np.ndarray) -> bool:
+        parts = [y[np.arange(len(y)) % 10 == i] for i in (4, 9)] + [y]
+        return len(y) >= 40 and all(0 < p.sum() < len(p) for p in parts)
+
+    def teaching(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each view's weights and calibration; a weak view is sure of nothing and teaches nothing."""
+        held = self.exchange
+        return [(w, fit(logits(v[held], w)[:, None], self.y[held], 0.1)) for v, w in zip(self.views, self.weights)]
+
+    def learn(self, view: int, n: np.ndarray, slopes: np.ndarray) -> None:
+        """A step of ``view`` given the numbers and gradient sums of the other view's sure rows, by class."""
+        w, x, y = self.weights[view], self.views[view][self.own], self.y[self.own]
+        weight = np.minimum(1, self.counts / np.maximum(n, 1))
+        slope, curve = derivatives(x, y, w, 1.0)
+        # what is taught is bent less than what is labelled, so the curve is not underrated
+        self.weights[view] = w + np.linalg.solve(curve * (1 + (weight * n).sum() / len(y)), slope + weight @ slopes)
+
+    def finished(self) -> Model:
+        z = np.column_stack([logits(v[self.last], w) for v, w in zip(self.views, self.weights)])
+        return Model(float(self.y.mean()), *self.weights, fit(z, self.y[self.last], 0.1))
+
+
+def taught(pool: DataFrame, learners: list[CoTraining], teaching: list, n_words: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For every learner and view: sure rows of the other view by class, in number and as gradient sums; all rows."""
+    weights = [x.weights for x in learners]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            dense = np.asarray(batch.column(0).flatten(), dtype=float).reshape(batch.num_rows, -1)
+            lengths = np.diff(np.asarray(batch.column(1).offsets))
+            words, row = np.asarray(batch.column(1).flatten()), np.repeat(np.arange(batch.num_rows), lengths)
+
+            def logit(view: int, w: np.ndarray) -> np.ndarray:
+                if view:
+                    return dense[:, N_STATS:] @ w[:-1] + w[-1]
+                return dense[:, :N_STATS] @ w[:N_STATS] + np.bincount(row, w[N_STATS + words], batch.num_rows) + w[-1]
+
+            def weighed(view: int, r: np.ndarray) -> np.ndarray:
+                if view:
+                    return np.r_[r @ dense[:, N_STATS:], r.sum()]
+                return np.r_[r @ dense[:, :N_STATS], np.bincount(words, r[row], n_words), r.sum()]
+
+            part = []
+            for own, teachers in zip(weights, teaching):
+                for view in (0, 1):
+                    w, calibration = teachers[1 - view]
+                    sure = chance(logit(1 - view, w) * calibration[0] + calibration[1])
+                    said = chance(logit(view, own[view]))
+                    for hit, y in ((sure >= SURE, 1.0), (sure <= 1 - SURE, 0.0)):
+                        part += [[hit.sum()], weighed(view, np.where(hit, y - said, 0.0))]
+            part = np.concatenate(part)
+            sums = part if sums is None else sums + part
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    flat = pool.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    found = {r.i: r.x for r in flat.collect()}
+    out, at = [], 0
+    for own in weights:
+        views = []
+        for w in own:
+            block = np.array([found.get(i, 0.0) for i in range(at, at + 2 * (len(w) + 1))]).reshape(2, -1)
+            views.append((block[:, 0], block[:, 1:]))
+            at += block.size
+        out.append(views)
+    return out
+
+
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Classifier:
+    """Fit from ``labels`` (doc_id, quality, toxic), the ``documents`` they name, and all other ``documents``."""
     labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    labels = labels.where("quality is not null and toxic is not null")
-    picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    labels = staged(labels.where("quality is not null and toxic is not null"), "labels")
+    picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select("doc_id", "text", "source", "lang", "n_chars")
-    known = staged(docs.join(F.broadcast(picked), "doc_id"), "labelled")  # SAMPLE ids at most
-    rest = docs.where("doc_id is not null").select("doc_id").join(labels.select("doc_id").hint("merge"), "doc_id", "left_anti")
-    pool = docs.join(F.broadcast(rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)), "doc_id").limit(POOL)
-    pool = staged(pool, "pool")
+    known = staged(docs.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample), "labelled")  # ``sample`` ids at most
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -177,6 +241,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Classifier:
 
     words = known.select("text", *TARGETS).mapInArrow(seen, "word string, n long, quality long, toxic long")
     words = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)]).where(F.col("n") >= LEAST)
+    words = staged(words, "words")
     total = known.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TARGETS]).first()
     vocabulary: set[str] = set()
     for target in TARGETS if total.n else ():
@@ -190,29 +255,39 @@ def train(documents: DataFrame, labels: DataFrame) -> Classifier:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                text, source, lang, chars = (part.column(i).to_pylist() for i in range(4))
-                both = [text_features(t, out.words) for t in text]
-                dense = [np.array([*x[0], *metadata_features(*m)], np.float32).tobytes() for x, m in zip(both, zip(source, lang, chars))]
-                present = [np.array(x[1], np.int32).tobytes() for x in both]
-                yield pa.RecordBatch.from_arrays([pa.array(dense, pa.binary()), pa.array(present, pa.binary()), part.column(4), part.column(5)], ["dense", "present", *TARGETS])
-
-    def featured(df: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-        """Both views of sampled rows, packed: a few hundred bytes a row reach the driver."""
-        flags = [(F.col(t) if t in df.columns else F.lit(0)).cast("int").alias(t) for t in TARGETS]
-        rows = df.select("text", "source", "lang", "n_chars", *flags)
-        rows = rows.mapInArrow(given, "dense binary, present binary, quality int, toxic int").orderBy(F.xxhash64("dense"), "dense", "present", *TARGETS).toArrow()
-        n = rows.num_rows
-        dense = np.frombuffer(b"".join(rows["dense"].to_pylist()), np.float32).reshape(n, N_STATS + SOURCES + LANGS + 3)
-        a = np.zeros((n, N_STATS + len(out.words)), np.float32)
-        a[:, :N_STATS] = dense[:, :N_STATS]
-        for i, words in enumerate(rows["present"].to_pylist()):
-            a[i, N_STATS + np.frombuffer(words, np.int32)] = 1.0
-        return a, dense[:, N_STATS:], {t: np.array(rows[t].to_pylist(), int) for t in TARGETS}
-
-    a, b, rows = featured(known)
-    pool_a, pool_b, _ = featured(pool)
+                text, source, lang, chars = (part.column(i) for i in range(4))
+                both = [text_features(t.as_py(), out.words) for t in text]
+                dense = [[*x[0], *metadata_features(*m)] for x, m in zip(both, zip(source.to_pylist(), lang.to_pylist(), chars.to_pylist()))]
+                packed = [pa.array(dense, pa.list_(pa.float32())), pa.array([x[1] for x in both], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*packed, *part.columns[4:]], ["dense", "present", *part.schema.names[4:]])
+
+    def features(df: DataFrame, kept: str, *columns: str) -> DataFrame:
+        return df.select("text", "source", "lang", "n_chars", *columns).mapInArrow(given, f"dense array<float>, present array<int>, {kept}")
+
+    flags = [F.col(t).cast("int").alias(t) for t in TARGETS]
+    rows = features(known.withColumns(dict(zip(TARGETS, flags))), "quality int, toxic int", *TARGETS)
+    rows = rows.orderBy(F.xxhash64("dense"), "dense", "present", *TARGETS).toArrow()  # a few hundred bytes a row
+    dense = np.array(rows["dense"].to_pylist(), np.float32).reshape(rows.num_rows, N_STATS + N_META)
+    a = np.zeros((rows.num_rows, N_STATS + len(out.words)), np.float32)
+    a[:, :N_STATS] = dense[:, :N_STATS]
+    for i, present in enumerate(rows["present"].to_pylist()):
+        a[i, [N_STATS + j for j in present]] = 1.0
+    learners: dict[str, CoTraining] = {}
     for target in TARGETS:
-        out.models[target] = co_train(a, b, rows[target], pool_a, pool_b, float(target == "quality"))
+        y = np.array(rows[target].to_pylist(), int)
+        out.models[target] = Model(float(y.mean()) if len(y) else float(target == "quality"))
+        if CoTraining.possible(y):
+            learners[target] = CoTraining(a, dense[:, N_STATS:], y)
+    if learners:
+        pool = staged(features(docs, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}", "doc_id"), "features")
+        pool = staged(pool.join(labels.select("doc_id").hint("merge"), "doc_id", "left_anti").select("dense", "present"), "pool")
+        for _ in range(rounds):
+            teaching = [x.teaching() for x in learners.values()]
+            for _ in range(STEPS):
+                for learner, views in zip(learners.values(), taught(pool, list(learners.values()), teaching, len(out.words))):
+                    for view, (n, slopes) in enumerate(views):
+                        learner.learn(view, n, slopes)
+        out.models |= {t: x.finished() for t, x in learners.items()}
     return out
 
 
