@@ -124,7 +124,7 @@ def clean_investors(t: Tables) -> DataFrame:
     said = F.when(k == 0, F.concat("name", F.lit(" Ventures"))).when(k == 1, F.replace("name", F.lit(" "), F.lit("  "))).when(k == 3, "undisclosed").otherwise(F.concat("name", F.lit(" &amp;")))
     name = F.trim(F.regexp_replace(F.regexp_replace(said, r"&amp;|,?\s+(?:PhD|MBA|MD|CFA|Esq\.?)$", ""), r"\s+", " "))
     firm = R.contains_any(F.lower(name), R.FIRM_WORDS)
-    rows = t.investors.withColumn("name", name).where(~F.col("name").rlike(R.JUNK_FIRM))
+    rows = t.investors.withColumn("name", name).where(~R.placeholder_firm(F.col("name")))
     bare = F.regexp_replace("name", " Ventures$", "")
     return rows.select("id", F.when(firm, "firm").otherwise("person").alias("kind"), bare.alias("name"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
 from quarry.functions.measures import count
+from quarry.functions.words import at, bares, contains_one, let, phrase, words_of
 from quarry.operators.linking import fuzzy_name_join
 from quarry.plans.registry import query
 from quarry.sources.tables import AS_OF, NORM, Tables, norm_name
@@ -240,17 +241,50 @@ def gate_outcomes(t: Tables) -> DataFrame:
     return validate_deal(t).agg(count().alias("candidates"))
 
 
-# Words of buttons, menus and labels that are no company.
-UI_WORDS = ("get in touch", "view all", "load more", "show more", "learn more", "read more", "visit website", "visit site", "back to top", "contact us", "about us", "our team", "our portfolio", "see all", "subscribe", "sign up", "log in", "login", "sign in", "privacy policy", "privacy", "terms of service", "terms of use", "terms", "cookie policy", "filter", "sort", "search", "menu", "close", "open", "all companies", "all", "active", "exited", "series a", "series b", "pre-seed", "seed", "ipo", "resources", "news", "blog", "press", "insights", "newsletter", "team", "linkedin", "twitter", "facebook", "instagram", "podcast", "faq", "reset", "apply", "cancel", "submit", "back", "next", "previous", "more", "less", "careers", "events", "overview", "contact", "home", "loading...")
-JUNK_TEXT = r"(?i)(Founder\(s\)|Partner Since|Year of Investment|Investment Status|Entry Stage|Country:|Industry:|Sector:|DISCLAIMER|Published on|Link opens in new tab|PLAY VIDEO)"
-
-
-def valid_portfolio_name(c):
-    bare = F.trim(F.regexp_replace(c, r"[\u200b-\u200f\u2028-\u202f\u2060\ufeff]", ""))
-    words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
-    lower = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Ll}")))
-    fine = F.char_length(bare).between(2, 60) & ~bare.rlike(r"^\d+$") & ~F.lower(bare).isin(*UI_WORDS) & ~bare.rlike(JUNK_TEXT)
-    return F.coalesce(fine & ~((F.size(words) > 3) & (lower > F.size(words) * 0.6)), F.lit(False))
+# Texts of buttons, menus, filters and labels that are no company.
+UI_WORDS = (
+    "get in touch", "go-to-market", "view all", "load more", "show more", "learn more", "read more", "visit website", "visit site", "back to top", "contact us",
+    "about us", "our team", "our portfolio", "our startups", "our mission", "see all", "see more", "subscribe", "sign up", "log in", "login", "sign in",
+    "privacy policy", "privacy", "privacy center", "terms of service", "terms of use", "terms", "cookie policy", "cookie settings", "filter", "sort", "search",
+    "menu", "close", "open", "all companies", "all", "current portfolio", "previous portfolio", "active", "exited", "limited partner login", "investor portal",
+    "lp portal", "lp log-in", "investor login", "for investors", "for founders", "for lps", "for lp's", "how we invest", "series a", "series b", "series c",
+    "series d", "series e", "pre-seed", "seed", "ipo", "gaming", "health", "health tech", "consumer", "finance", "media", "software", "education", "marketplace",
+    "other", "resources", "news", "blog", "press", "insights", "newsletter", "team", "studio", "linkedin", "twitter", "facebook", "instagram", "podcast", "faq",
+    "faqs", "reset", "apply", "cancel", "submit", "back", "next", "previous", "more", "less", "fundraising", "founder services", "investments", "partners",
+    "network", "careers", "events", "overview", "contact", "home", "stage", "spotlight", "trending topics", "disclosures", "featured", "enterprise", "commerce",
+    "crypto", "robotics", "space", "hardware", "fintech", "cybersecurity", "ai apps", "ai infrastructure & developer platforms", "data, ai & machine learning",
+    "energy & infrastructure", "enterprise apps & vertical ai", "infrastructure & developer tools", "jobs", "portfolio jobs", "digital health", "life sciences",
+    "loading...")
+# What labels, filters and notices leave inside a text, at its beginning and at its end.
+LABELS = (
+    "founder(s)", "partner since", "year of investment", "investment status", "entry stage", "country:", "industry:", "sector:", "disclaimer", "portfolio highlights",
+    "published on", "stage rtp", "sectorfintech", "sectorai", "sectorsaas", "sectore-commerce", "sectoragriculture", "customerb2b", "customerb2c", "statuscurrent",
+    "statusexited", "statusactive", "status:current", "status:exited", "status:active", "link opens in new tab", "enterprise weekly newsletter", "browse our",
+    "play video", "view legal", "nvp promise", "company↑", "initial investment:", "entry year:", "marketplace:all", "other-")
+STARTS = ("about ", "acquired by ", "exited to ", "exited investments")
+ENDINGS = (
+    "exittrue", "exitfalse", "exitstrue", "exitsfalse", "allmedia", "allcommerce", "allsaas", "allfintech", "allhealthcare", "alleducation", "allhr",
+    "allproptech", "allsocial", "allcrypto", "commerceall", "fintechall", "healthcareall", "educationall", "saasall")
+FILTERS, STATES = ("Consumer", "Enterprise", "AI", "Fintech", "Healthcare", "Commerce"), ("Current", "Exited", "Active", "Live")
+
+
+def valid_portfolio_name(c: Column) -> Column:
+    """Whether a listed text is a company's name: no button, label, filter, number, status or sentence."""
+    one_of = lambda text, listed, test: F.exists(F.array(*map(F.lit, listed)), lambda x: test(text, x))
+
+    def fine(name: Column) -> Column:
+        low = F.lower(name)
+        words = words_of(name)
+        glued = one_of(name, FILTERS, lambda t, x: F.startswith(t, x)) & one_of(name, STATES, lambda t, x: F.endswith(t, x)) & ~name.contains(" ")
+        caps = (F.char_length(name) > 10) & (name.rlike("[a-z]ALL[A-Z]|[A-Z]ALL[a-z]") | name.endswith("ALL"))
+        status = (name == "Acquired") | (F.char_length(name) < 25) & name.rlike("^(Acquired|IPO)[A-Z][a-z]") | name.rlike(r"^(Status|Sector)[A-Z]|^Investment Year\d")
+        trade = name.rlike("-(Developer|Creator|Maker|Builder|Provider) of ")
+        junk = low.isin(*UI_WORDS) | (low == "about") | contains_one(low, LABELS) | one_of(low, STARTS, lambda t, x: F.startswith(t, x)) | one_of(low, ENDINGS, lambda t, x: F.endswith(t, x))
+        lower = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Ll}")))
+        sentence = (F.size(words) > 3) & (lower > F.size(words) * 0.6)
+        return F.char_length(name).between(2, 60) & ~name.rlike(r"^\d+$") & ~junk & ~glued & ~caps & ~status & ~trade & ~sentence
+
+    return F.coalesce(let(F.trim(F.regexp_replace(c, r"[\u200b-\u200f\u2028-\u202f\u2060\ufeff]", "")), fine), F.lit(False))
 
 
 def _portfolio_candidates(t: Tables) -> DataFrame:
@@ -276,6 +310,16 @@ def junk_portfolio_rows(t: Tables) -> DataFrame:
     return _portfolio_candidates(t).where(~valid_portfolio_name(F.col("company_name"))).select("id")
 
 
+def bad_firm_name(c: Column) -> Column:
+    """Names that begin like a sentence, credit a maker or end in a source."""
+
+    def told(low: Column) -> Column:
+        opens = (F.size(low) > 1) & at(low, 1).isin("and", "the", "a", "an")
+        return opens | phrase(low, ("powered", "designed", "built", "made"), ("by",)).isNotNull() | at(low, -1).isin("source", "via", "from")
+
+    return F.coalesce(let(F.filter(bares(words_of(c)), lambda w: w != ""), told), F.lit(False))
+
+
 @query("validate_firm", """
 select s_suppkey as id, case when s_suppkey % 5 = 0 then 'bad_name_pattern' when s_suppkey % 5 = 1 then 'accepted' else 'duplicate_firm' end as outcome,
   case when s_suppkey % 5 = 1 and s_suppkey % 4 not in (0, 1) then 'https://firm' || s_suppkey || '.example.com' end as website from supplier""")
@@ -284,7 +328,7 @@ def validate_firm(t: Tables) -> DataFrame:
     k = F.col("id") % 5
     rows = t.firms.withColumn("name", F.when(k == 0, F.concat(F.lit("The "), "name")).when(k == 1, F.concat(F.lit("Fresh "), "name")).otherwise(F.col("name")))
     rows = rows.withColumn("website", F.when(F.col("id") % 4 == 1, F.replace("website", F.lit("https://"), F.lit(""))).otherwise(F.col("website")))
-    bad = F.col("name").rlike(r"(?i)^(and|the|a|an)\s") | F.col("name").rlike(r"(?i)\b(Powered by|Designed by|Built by|Made by)\b") | F.col("name").rlike(r"(?i)\b(Source|via|from)\s*:?\s*$")
+    bad = bad_firm_name(F.col("name"))
     known = t.firms.select(norm_name("name").alias("k"), F.lit(True).alias("known")).distinct()
     rows = rows.withColumn("k", norm_name("name")).join(known, "k", "left")
     outcome = F.when(bad, "bad_name_pattern").when(F.col("known"), "duplicate_firm").otherwise("accepted")

@@ -61,7 +61,7 @@ def valid_investor_name(t: Tables) -> DataFrame:
 def investor_candidates(text: Column) -> Column:
     """Every run of capitalized words that ends like a firm's name, each once."""
     found = F.regexp_extract_all(text, F.lit(rf"((?:[A-Z][A-Za-z0-9]*\s+){{1,4}}{VC_END})\b"), F.lit(1))
-    return F.array_distinct(F.transform(found, F.trim))
+    return F.array_distinct(F.transform(found, lambda x: F.trim(x)))
 
 
 @query("investor_candidates", "select id, 'Acme Ventures' as first, 2::bigint as n from deals where raw_text is not null and id % 4 = 1")
@@ -97,7 +97,7 @@ def clean_filing_name(t: Tables) -> DataFrame:
     """Filers without their CIK tag; Delaware filers without the legal ending too."""
     said = F.concat("company_name", F.when(F.col("source_type") == "de_filing", ", Inc.").otherwise(" (CIK 0000123)"))
     bare = F.trim(F.regexp_replace(said, r"(?i)\s*\(CIK\s+\d+\)", ""))
-    out = F.when(F.col("source_type") == "de_filing", F.trim(F.regexp_replace(bare, r"(?i),?\s*(?:Inc\.?|LLC|Corp\.?|Ltd\.?|L\.P\.?)$", ""))).otherwise(bare)
+    out = F.when(F.col("source_type") == "de_filing", R.without_legal_ending(bare)).otherwise(bare)
     return t.deals.where("source_type in ('sec_filing', 'de_filing')").select("id", out.alias("name"))
 
 
