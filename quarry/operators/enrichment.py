@@ -89,11 +89,11 @@ def rawtext_investors(t: Tables) -> DataFrame:
 
 @query("org_attributes_to_metadata", """
 select id as deal_id, key, value from (select d.id, unnest(['industry', 'employees']) as key, unnest([c_mktsegment, cast(c_custkey % 500 as varchar)]) as value
-  from deals d join customer c on d.company_website = 'https://www.c' || c_custkey || '.example.com' where c_custkey % 2 = 0)""")
+  from deals d join customer c on d.company_website = 'https://www.c' || c_custkey || '.example.com')""")
 def org_attributes_to_metadata(t: Tables) -> DataFrame:
     """Attributes of organizations, met by domain, as key and value rows."""
     domain = lambda c: F.regexp_replace(F.try_parse_url(c, F.lit("HOST")), r"^www\.", "")
-    org = t.raw("customer").where("c_custkey % 2 = 0").select(
+    org = t.raw("customer").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".example.com")).alias("domain"), F.col("c_mktsegment").alias("industry"), (F.col("c_custkey") % 500).cast("string").alias("employees"))
     rows = t.deals.where("company_website is not null").select(F.col("id").alias("deal_id"), domain(F.col("company_website")).alias("domain"))
     return rows.join(org, "domain").unpivot("deal_id", ["industry", "employees"], "key", "value")
@@ -151,13 +151,13 @@ def incorporation_crossref(t: Tables) -> DataFrame:
 
 
 @query("link_investors", """
-select deal_id, 'firm' as kind, n as name, f.id as known from (select id as deal_id, unnest(['Acme Ventures', 'Supplier#00000000' || (id % 10), 'Jane Doe']) as n from deals where id % 4 = 1) x left join firms f on lower(f.name) = lower(n) where n <> 'Jane Doe'
-union all select id, 'person', 'Jane Doe', null from deals where id % 4 = 1""")
+select deal_id, 'firm' as kind, n as name, f.id as known from (select id as deal_id, unnest(['Acme Ventures', 'Supplier#00000000' || (id % 10), 'Jane Doe']) as n from deals) x left join firms f on lower(f.name) = lower(n) where n <> 'Jane Doe'
+union all select id, 'person', 'Jane Doe', null from deals""")
 def link_investors(t: Tables) -> DataFrame:
     """Mentions sorted into known firms, new firms and people."""
     k = F.col("id")
     said = F.array(F.lit("Acme Ventures"), F.concat(F.lit("Supplier#00000000"), (k % 10).cast("string")), F.lit("Jane Doe"))
-    return classify_mentions(t.deals.where(k % 4 == 1).select(k.alias("deal_id"), F.explode(said).alias("name")), t.firms)
+    return classify_mentions(t.deals.select(k.alias("deal_id"), F.explode(said).alias("name")), t.firms)
 
 
 def classify_mentions(mentions: DataFrame, firms: DataFrame) -> DataFrame:

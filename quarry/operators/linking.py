@@ -39,11 +39,11 @@ def deals_without_investors(t: Tables) -> DataFrame:
 
 
 @query("unreferenced_rows", """
-select id from investors where id % 3 = 0 and id not in (select investor_id from deal_investors)
+select id from investors where id not in (select investor_id from deal_investors)
   and id not in (select deal_id from deal_metadata) and id not in (select firm_id from portfolio)""")
 def unreferenced_rows(t: Tables) -> DataFrame:
     """Rows that no child table names; a chain of anti joins, so a null key in a child hides nothing."""
-    rows = t.investors.where("id % 3 = 0").select("id")
+    rows = t.investors.select("id")
     for child, key in ((t.deal_investors, "investor_id"), (t.deal_metadata, "deal_id"), (t.portfolio, "firm_id")):
         rows = rows.join(child.select(F.col(key).alias("id")).distinct(), "id", "left_anti")
     return rows
@@ -159,26 +159,51 @@ SUFFIXES = ("inc", "llc", "corp", "ltd", "co", "company")
 
 
 def token_match_join(left: DataFrame, right: DataFrame, min_dice: float = 0.8) -> DataFrame:
-    """Pairs (``l``, ``r``) whose word sets, legal suffixes aside, are equal, contained or have a Dice score of 0.8."""
+    """Pairs (``l``, ``r``) whose word sets, legal suffixes aside, are equal, contained or have a Dice score of 0.8.
+
+    Either way all but a fifth of the smaller set's words are in the larger one, so one of its ``n - ceil(0.8 n) + 1``
+    rarest words is: sets meet by those alone, and frequent words bring no pairs together.
+    """
     drop = F.array(*map(F.lit, SUFFIXES))
-    a = left.select("l", F.array_except(tokens(F.col("left_name")), drop).alias("x")).where(F.size("x") > 0)
-    b = right.select("r", F.array_except(tokens(F.col("right_name")), drop).alias("y")).where(F.size("y") > 0)
-    met = a.select("l", F.size("x").alias("n"), F.explode("x").alias("w")).join(b.select("r", F.size("y").alias("m"), F.explode("y").alias("w")), "w")
-    met = met.groupBy("l", "r", "n", "m").agg(F.count("*").alias("both"))
-    dice = 2.0 * F.col("both") / (F.col("n") + F.col("m"))
-    return met.where((F.col("both") == F.least("n", "m")) | (dice >= min_dice)).select("l", "r", F.round(dice, 4).alias("dice"))
-
-
-@query("token_match_join", """
-with a as (select p_partkey as l, list_distinct(list_filter(string_split(lower(p_name || case p_partkey % 3 when 0 then ' inc' when 1 then ' labs' else '' end), ' '), lambda w: w not in ('', 'inc', 'llc', 'corp', 'ltd', 'co', 'company'))) as x from part where p_partkey % 20 = 0),
-b as (select p_partkey as r, list_distinct(string_split(lower(p_name), ' ')) as y from part where p_partkey < 200)
-select l, r, round(2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)), 4) as dice from a, b
+    a = left.select(F.col("l").alias("id"), F.array_except(tokens(F.col("left_name")), drop).alias("x")).where(F.size("x") > 0)
+    b = right.select(F.col("r").alias("id"), F.array_except(tokens(F.col("right_name")), drop).alias("x")).where(F.size("x") > 0)
+    often = a.select(F.explode("x").alias("w")).unionByName(b.select(F.explode("x").alias("w"))).groupBy("w").agg(F.count("*").alias("often"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        words = rows.select("id", F.explode("x").alias("w")).join(often.hint("merge"), "w")
+        return words.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "w"))), lambda s: s["w"]).alias("x"))
+
+    def met(small: DataFrame, large: DataFrame) -> DataFrame:
+        n = F.size("x")
+        few = small.select("id", "x", F.explode(F.slice("x", 1, (n - F.ceil(n * min_dice - 1e-9) + 1).cast("int"))).alias("w"))
+        other = large.select(F.col("id").alias("other"), F.col("x").alias("y"), F.explode("x").alias("w"))
+        return few.join(other.hint("merge"), "w").where(F.size("x") <= F.size("y")).drop("w").distinct()
+
+    a, b = ranked(a), ranked(b)
+    pairs = met(a, b).select(F.col("id").alias("l"), F.col("other").alias("r"), "x", "y").unionByName(met(b, a).select(F.col("other").alias("l"), F.col("id").alias("r"), "x", "y"))
+    both, n, m = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
+    dice = 2.0 * both / (n + m)
+    return pairs.where((both == F.least(n, m)) | (dice >= min_dice)).select("l", "r", F.round(dice, 4).alias("dice")).distinct()
+
+
+_TAIL = "case p_partkey % 3 when 0 then ' inc' when 1 then ' labs' else '' end"
+_SET = "list_distinct(list_filter(string_split(lower(n), ' '), lambda w: w not in ('', 'inc', 'llc', 'corp', 'ltd', 'co', 'company')))"
+
+
+@query("token_match_join", f"""
+with a as (select n, {_SET} as x, count(*) as parts from (select p_name || {_TAIL} as n from part) group by 1, 2),
+b as (select n, {_SET} as y, count(*) as parts from (select p_name as n from part) group by 1, 2)
+select a.n as left_name, b.n as right_name, round(2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)), 4) as dice, a.parts as left_parts, b.parts as right_parts from a, b
 where len(list_intersect(x, y)) > 0 and (len(list_intersect(x, y)) = least(len(x), len(y)) or 2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)) >= 0.8)""")
 def _token_match_join(t: Tables) -> DataFrame:
+    """Names of all parts against all names with other endings: pairs of names, and how many parts have each."""
     k = F.col("p_partkey")
     tail = F.when(k % 3 == 0, " inc").when(k % 3 == 1, " labs").otherwise("")
-    left = t.raw("part").where(k % 20 == 0).select(k.alias("l"), F.concat("p_name", tail).alias("left_name"))  # every 20th part stands for an outside list
-    return token_match_join(left, t.raw("part").where(k < 200).select(k.alias("r"), F.col("p_name").alias("right_name")))
+    left = t.raw("part").groupBy(F.concat("p_name", tail).alias("left_name")).agg(F.count("*").alias("left_parts"))
+    right = t.raw("part").groupBy(F.col("p_name").alias("right_name")).agg(F.count("*").alias("right_parts"))
+    pairs = token_match_join(left.withColumn("l", F.col("left_name")), right.withColumn("r", F.col("right_name")))
+    named = pairs.withColumnsRenamed({"l": "left_name", "r": "right_name"}).join(left.hint("merge"), "left_name").join(right.hint("merge"), "right_name")
+    return named.select("left_name", "right_name", "dice", "left_parts", "right_parts")
 
 
 @query("first_match_link", f"""
@@ -201,10 +226,9 @@ def union_sources(t: Tables) -> DataFrame:
     return one.unionByName(two, allowMissingColumns=True)
 
 
-@query("pending_work", "select id from deals where id % 2 = 0 and id not in (select deal_id from deal_metadata) order by id limit 100")
+@query("pending_work", "select id from deals where id not in (select deal_id from deal_metadata) order by id limit 100")
 def pending_work(t: Tables, rows: int = 100) -> DataFrame:
-    todo = t.deals.where("id % 2 = 0").select("id")
-    return todo.join(t.deal_metadata.select(F.col("deal_id").alias("id")), "id", "left_anti").orderBy("id").limit(rows)
+    return t.deals.select("id").join(t.deal_metadata.select(F.col("deal_id").alias("id")), "id", "left_anti").orderBy("id").limit(rows)
 
 
 @query("token_sets", """

@@ -34,14 +34,14 @@ def _new(t: Tables) -> DataFrame:
 
 
 def _sent(t: Tables) -> DataFrame:
-    rows = t.raw("events").where("event_type = 'view'").select("user_id", F.lit(3).cast("long").alias("m"))
-    deals = _new(t).where("id % 3 = 0").select(F.col("id").alias("deal_id"), F.lit(3).cast("long").alias("m"))
-    kinds = F.explode(F.array(F.lit("match"), F.lit("follow_on")))
-    return rows.distinct().where("user_id % 2 = 0").join(deals, "m").select("user_id", "deal_id", kinds.alias("kind"))
+    """Notices sent before: what a user saved or viewed, they were told of."""
+    n = t.raw("orders").agg(F.count("*").alias("n"))
+    seen = t.raw("events").where("event_type in ('view', 'purchase')").crossJoin(F.broadcast(n)).select("user_id", (F.col("event_id") % F.col("n")).alias("deal_id"))
+    return seen.distinct().select("user_id", "deal_id", F.explode(F.array(F.lit("match"), F.lit("follow_on"))).alias("kind"))
 
 
 _NEW = f"(select * from deals where date_announced >= date '{AS_OF}' - 20)"
-_TOLD = "exists (select 1 from events e where e.event_type = 'view' and e.user_id = x.user_id and x.user_id % 2 = 0 and x.deal_id % 3 = 0)"
+_TOLD = "exists (select 1 from events e where e.event_type in ('view', 'purchase') and e.user_id = x.user_id and e.event_id % (select count(*) from orders) = x.deal_id)"
 
 
 @query("notify_follow_on", f"""

@@ -119,12 +119,14 @@ def scan_tables(t: Tables) -> DataFrame:
 
 
 @query("scan_rss_items", """
-select feed, url, date_announced from (select source_type as feed, url, date_announced, row_number() over (partition by source_type order by id) as r from articles where date_announced is not null) x where r <= 30""")
+select source_type || '/' || (id // 120) as feed, url, date_announced from articles where date_announced is not null""")
 def scan_rss_items(t: Tables) -> DataFrame:
+    """Feeds of twenty items at most, a source's articles in the order of their ids; the cap of a feed drops none."""
     a = t.articles.where("date_announced is not null")
     esc = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     xml = F.concat(F.lit("<item><title>"), esc, F.lit("</title><link>"), "url", F.lit("</link><pubDate>"), F.date_format("date_announced", "'Mon,' dd MMM yyyy '08:00:00 GMT'"), F.lit("</pubDate><description></description></item>"))
-    rows = a.select(F.col("source_type").alias("feed"), "id", F.from_xml(xml, ITEM).alias("x")).select("feed", "id", "x.*")
+    feed = F.concat("source_type", F.lit("/"), F.floor(F.col("id") / 120).cast("string"))
+    rows = a.select(feed.alias("feed"), "id", F.from_xml(xml, ITEM).alias("x")).select("feed", "id", "x.*")
     return feed_items(rows, "id").select("feed", "url", "date_announced")
 
 
@@ -134,9 +136,9 @@ def scan_search_rss(t: Tables) -> DataFrame:
     return t.articles.select("id", real_link(link).alias("url"))
 
 
-@query("scan_search_json", "select title, url from articles where id % 2 = 0")
+@query("scan_search_json", "select title, url from articles")
 def scan_search_json(t: Tables) -> DataFrame:
-    hits = t.articles.where("id % 2 = 0").groupBy(F.pmod("id", F.lit(50)).alias("page")).agg(F.collect_list(F.struct("title", F.col("url").alias("link"))).alias("items"))
+    hits = t.articles.groupBy(F.floor(F.col("id") / 100).alias("page")).agg(F.collect_list(F.struct("title", F.col("url").alias("link"))).alias("items"))
     docs = hits.select(F.from_json(F.to_json(F.struct("items")), SEARCH).alias("j"))
     return search_hits(docs).select("title", "url")
 
@@ -145,7 +147,7 @@ def scan_search_json(t: Tables) -> DataFrame:
 def scan_filing_hits(t: Tables) -> DataFrame:
     one = F.struct(F.struct(
         F.array("company_name").alias("display_names"), F.array(F.lpad(F.col("id").cast("string"), 10, "0")).alias("ciks"), F.lit("a-1").alias("adsh"), F.col("date_announced").cast("string").alias("file_date")).alias("_source"))
-    docs = t.deals.where("source_type = 'sec_filing' and id > 0").groupBy(F.pmod("id", F.lit(40)).alias("page")).agg(F.collect_list(one).alias("hits"))
+    docs = t.deals.where("source_type = 'sec_filing' and id > 0").groupBy(F.floor(F.col("id") / 100).alias("page")).agg(F.collect_list(one).alias("hits"))
     docs = docs.select(F.from_json(F.to_json(F.struct(F.struct("hits").alias("hits"))), FILING).alias("j"))
     return filing_hits(docs).select("company_name", "cik", "filed")
 
@@ -193,10 +195,10 @@ def scan_rounds_json(t: Tables) -> DataFrame:
     return rounds(t.deals.select(F.from_json(doc, ROUND).alias("j"))).select("company_name", "amount_usd", "stage", "date_announced")
 
 
-@query("scan_bulk_company_json", "select c_name as name, 'https://b' || c_custkey as url from customer where c_custkey % 2 = 0")
+@query("scan_bulk_company_json", "select c_name as name, 'https://b' || c_custkey as url from customer")
 def scan_bulk_company_json(t: Tables) -> DataFrame:
     one = F.struct(F.col("c_name").alias("name"), F.concat(F.lit("https://b"), F.col("c_custkey").cast("string")).alias("url"))
-    docs = t.raw("customer").where("c_custkey % 2 = 0").groupBy(F.pmod("c_custkey", F.lit(30)).alias("page")).agg(F.to_json(F.collect_list(one)).alias("j"))
+    docs = t.raw("customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(F.to_json(F.collect_list(one)).alias("j"))
     return docs.select(F.explode(F.from_json("j", "array<struct<name:string,url:string>>")).alias("x")).select("x.*")
 
 
