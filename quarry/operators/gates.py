@@ -10,6 +10,7 @@ from quarry.functions.measures import count
 from quarry.functions.words import at, bares, contains_one, let, phrase, words_of
 from quarry.operators.linking import fuzzy_name_join
 from quarry.plans.registry import query
+from quarry.sources.staging import written
 from quarry.sources.tables import AS_OF, NORM, Tables, norm_name
 
 
@@ -173,7 +174,7 @@ def duplicates_of(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     exact = new.join(old, new.left_name == old.right_name).drop("left_name", "right_name")
     rest = new.join(old.select(F.col("right_name").alias("left_name")).distinct(), "left_name", "left_anti").where(F.char_length("left_name") >= 4)
     names = fuzzy_name_join(rest.select("l", "left_name"), old.select("right_name").distinct().withColumn("r", F.lit(0)), 0.85).select("l", "right_name")
-    fuzzy = rest.drop("left_name").join(names, "l").join(old, "right_name").drop("right_name")
+    fuzzy = rest.drop("left_name").join(names.hint("merge"), "l").join(old.hint("merge"), "right_name").drop("right_name")
     similar, close = R.amounts_similar(F.col("a"), F.col("a2")), R.dates_close(F.col("d"), F.col("d2"))
     pairs = exact.unionByName(fuzzy)
     return pairs.where(R.is_duplicate(F.col("s"), F.col("s2"), similar, close)).select(F.col("l").alias("id")).distinct()
@@ -193,52 +194,67 @@ def duplicate_of_existing(t: Tables) -> DataFrame:
     return duplicates_of(t.deals.where("id % 10 = 3"), t.deals.where("id % 10 <> 3"))
 
 
-def deal_gate(candidates: DataFrame, firms: DataFrame, existing: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): rows cleaned and scored, or the first reason against them.
+def deal_gate(candidates: DataFrame, firms: DataFrame, existing: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``candidates`` cleaned and scored, with the first ``reason`` against each; null for those accepted.
 
-    Stateless rules come first in one projection; only names that pass them meet firms, patterns and stored deals.
+    Stateless rules come first and their rows are written, so that nothing is worked out twice; only names that pass
+    them meet patterns, firms and stored deals, in equi joins.
     """
-    name = R.clean_company_name(F.trim("company_name"))
-    rows = candidates.withColumn("company_name", name)
-    stage = F.when(F.col("stage").isin(*R.STAGE_LEVEL, "Unknown"), F.col("stage")).otherwise(R.normalize_stage(F.col("stage")))
-    rows = rows.withColumn("stage", stage)
-    rows = rows.withColumn("stage", F.when((F.col("stage") == "Unknown") & (F.col("amount_usd") != 0), R.stage_from_amount(F.col("amount_usd"))).otherwise(F.col("stage")))
-    rows = rows.withColumn("amount_usd", F.when(R.valid_amount(F.col("amount_usd"), F.col("stage")), F.col("amount_usd")))
-    rows = rows.withColumn("date_announced", R.date_guard(F.col("date_announced").cast("string"), F.lit(AS_OF)))
+    c = F.col
+    plain = F.when(c("stage").isin(*R.STAGE_LEVEL, "Unknown"), c("stage")).otherwise(R.normalize_stage(c("stage")))
+    rows = candidates.withColumns({"company_name": R.clean_company_name(F.trim("company_name")), "stage": plain})
+    rows = rows.withColumn("stage", F.when((c("stage") == "Unknown") & (c("amount_usd") != 0), R.stage_from_amount(c("amount_usd"))).otherwise(c("stage")))
+    rows = rows.withColumns({
+        "amount_usd": F.when(R.valid_amount(c("amount_usd"), c("stage")), c("amount_usd")),
+        "date_announced": R.date_guard(c("date_announced").cast("string"), F.lit(AS_OF)), "company_name_normalized": norm_name("company_name")})
+    rows = written(rows, "gate")
     reason = (
         F.when(F.coalesce(F.char_length(F.trim("company_name")), F.lit(0)) < 2, "empty_name").when(F.char_length("company_name") > R.LONGEST_NAME, "name_too_long")
-        .when(~R.valid_company_name(F.col("company_name")), "bad_name").when(R.bad_name(F.col("company_name")), "bad_name_pattern"))
-    rows = rows.withColumn("reason", reason)
+        .when(~R.valid_company_name(c("company_name")), "bad_name").when(R.bad_name(c("company_name")), "bad_name_pattern"))
+    rows = written(rows.withColumn("reason", reason), "gate")
     fine = rows.where("reason is null")
-    taught = patterns.where("auto_reject").select(F.col("pattern").alias("p")).distinct()
-    hits = fine.withColumn("p", F.substring(norm_name("company_name"), 1, 20)).join(taught, "p", "left_semi").select("id", F.lit("auto_reject").alias("why"), F.lit(1).alias("n"))
+    taught = patterns.where("auto_reject").select(c("pattern").alias("p")).distinct()
+    hits = fine.withColumn("p", F.substring("company_name_normalized", 1, 20)).join(taught.hint("merge"), "p", "left_semi").select("id", F.lit("auto_reject").alias("why"), F.lit(1).alias("n"))
     firms_hit = known_firms(fine, firms).select("id", F.lit("vc_firm").alias("why"), F.lit(2).alias("n"))
     again = duplicates_of(fine, existing).select("id", F.lit("duplicate").alias("why"), F.lit(3).alias("n"))
     later = hits.unionByName(firms_hit).unionByName(again).groupBy("id").agg(F.min_by("why", "n").alias("why"))
-    out = rows.join(later, "id", "left").withColumn("reason", F.coalesce("reason", "why")).drop("why")
-    c = F.col
     score = R.confidence(c("source_type"), c("amount_usd"), c("stage"), c("date_announced"), c("company_description"), c("city") == "New York", c("source_url"), c("raw_text"))
-    accepted = out.where("reason is null").drop("reason").withColumn("confidence_score", score).withColumn("company_name_normalized", norm_name("company_name"))
-    return accepted, out.where("reason is not null").select("id", "company_name", "reason", "source_type")
+    out = rows.join(later.hint("merge"), "id", "left").withColumn("reason", F.coalesce("reason", "why")).drop("why")
+    return out.withColumn("confidence_score", F.when(c("reason").isNull(), score))
 
 
 def _candidates(t: Tables) -> DataFrame:
-    """A tenth of the deals as they might arrive: some with headline names, some named like a firm."""
+    """A tenth of the deals as they might arrive: headline names, names of firms, single letters, names stored before."""
     k = F.floor(F.col("id") / 10) % 8
-    odd = F.when(k == 0, F.concat(F.lit("Exclusive: "), "company_name")).when(k == 1, F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 90).cast("string"), 9, "0"))).when(k == 2, "x")
+    odd = F.when(k == 0, F.concat(F.lit("Exclusive: "), "company_name")).when(k == 1, F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 90).cast("string"), 9, "0"))).when(k == 2, "x").when(k == 3, F.col("company_name")).when(k == 4, F.concat(F.lit("This "), "company_name"))
     return t.deals.where("id % 10 = 3").withColumn("company_name", F.coalesce(odd, F.concat(F.lit("Cand "), "company_name"), "company_name"))
 
 
-@query("validate_deal")
+@query("validate_deal", f"""
+with c as (
+  select id, case (id // 10) % 8 when 0 then 'Exclusive: ' || company_name when 1 then 'Supplier#' || lpad(cast(id % 90 as varchar), 9, '0') when 2 then 'x' when 3 then company_name
+    when 4 then 'This ' || company_name else 'Cand ' || company_name end as name, case when stage = 'Unknown' and amount_usd <> 0 then {_BANDS} else stage end as stage, amount_usd, date_announced
+  from deals where id % 10 = 3),
+a as (
+  select id, name, {NORM.format('name')} as norm, stage, case when coalesce(amount_usd > 0 and amount_usd <= 1e10 and amount_usd <= {_CAP}, true) then amount_usd end as amount_usd,
+    case when year(date_announced) >= 2000 and date_announced <= date '{AS_OF}' + 365 then date_announced end as date_announced from c),
+taught as (select substr({NORM.format('company_name')}, 1, 20) as p from rejections group by reason, 1 having count(*) >= 5)
+select id, name as company_name, case when length(name) < 2 then 'empty_name' when length(name) > 45 then 'name_too_long' when contains(lower(name), 'exclusive:') then 'bad_name'
+  when starts_with(lower(name), 'this ') then 'bad_name_pattern' when substr(norm, 1, 20) in (select p from taught) then 'auto_reject'
+  when norm in (select {NORM.format('name')} from firms) then 'vc_firm'
+  when exists (select 1 from deals b where b.id % 10 <> 3 and b.company_name_normalized = a.norm and ((({_SIM}) is true and ({_CLOSE}) is not false)
+    or (({_CLOSE}) is true and ({_SIM}) is null and {_FITS}) or ({_FITS} and ({_CLOSE}) is not false and ({_SIM}) is not false))) then 'duplicate' else 'accepted' end as outcome
+from a""")
 def validate_deal(t: Tables) -> DataFrame:
-    accepted, rejected = deal_gate(_candidates(t), t.firms, t.deals.where("id % 10 <> 3"), learn_patterns(t))
-    return accepted.select("id", F.lit("accepted").alias("outcome"), "company_name").unionByName(rejected.select("id", F.col("reason").alias("outcome"), "company_name"))
+    rows = deal_gate(_candidates(t), t.firms, t.deals.where("id % 10 <> 3"), learn_patterns(t))
+    return rows.select("id", F.coalesce("reason", F.lit("accepted")).alias("outcome"), "company_name")
 
 
-@query("gate_outcomes", "select count(*) as candidates from deals where id % 10 = 3")
+@query("gate_outcomes")
 def gate_outcomes(t: Tables) -> DataFrame:
-    """Accepted and rejected rows together are all candidates."""
-    return validate_deal(t).agg(count().alias("candidates"))
+    """Candidates by outcome and source."""
+    rows = deal_gate(_candidates(t), t.firms, t.deals.where("id % 10 <> 3"), learn_patterns(t))
+    return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome"), "source_type").agg(count().alias("candidates"))
 
 
 # Texts of buttons, menus, filters and labels that are no company.

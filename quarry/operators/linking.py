@@ -118,18 +118,39 @@ def pieces_of(name: Column, ratio: float) -> Column:
     return F.when(length > 0, F.array_distinct(F.flatten(pieces)))
 
 
+#: Names up to this length are taken to pieces; longer ones are met by a run of ``GRAM`` letters from their middle.
+SHORT_NAME, GRAM = 24, 8
+
+
+def _held(whole: DataFrame, part: DataFrame, ratio: float) -> DataFrame:
+    """Pairs of (``w``, ``whole``) and (``p``, ``part``) where the whole name holds the part, ``ratio`` of it at least.
+
+    A piece that long covers a name's middle wherever it lies, so long names meet by one run of letters there.
+    """
+    short = whole.where(F.char_length("whole") <= SHORT_NAME).withColumn("piece", F.explode(pieces_of(F.col("whole"), ratio)))
+    short = short.join(part.hint("merge"), F.col("piece") == F.col("part")).drop("piece")
+    length = F.char_length("whole")
+    middle = F.substring("whole", length - F.ceil(length * ratio - 1e-9).cast("int") + 1, F.lit(GRAM))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("part") - GRAM + 1), lambda i: F.substring(F.col("part"), i, F.lit(GRAM))))
+    long = whole.where(length > SHORT_NAME).withColumn("gram", middle)
+    other = part.where(F.char_length("part") >= ratio * SHORT_NAME).withColumn("gram", F.explode(grams))
+    long = long.join(other.hint("merge"), "gram").where(F.contains("whole", "part") & (F.char_length("part") >= ratio * length - 1e-9)).drop("gram")
+    return short.unionByName(long)
+
+
 def fuzzy_name_join(left: DataFrame, right: DataFrame, ratio: float = 0.85, least: int = 1) -> DataFrame:
     """Pairs of (``l``, ``left_name``) and (``r``, ``right_name``) where one name holds the other and is not much longer.
 
-    A name is exploded into its pieces of at least ``ratio`` of its length; those meet the other side's whole names in
-    an equi join. This is done both ways, so no name is compared with all others and no match is missed.
+    Both ways by equi joins, so no name is compared with all others and no match is missed; ``ratio`` is 0.7 or more.
     """
+    if ratio < 0.7:
+        raise ValueError("a part must be 0.7 of the name or more")
     a = left.where(F.char_length("left_name") >= least)
     b = right.where(F.char_length("right_name") >= least)
-    long_left = a.withColumn("piece", F.explode(pieces_of(F.col("left_name"), ratio))).join(b, F.col("piece") == F.col("right_name"))
-    long_right = b.withColumn("piece", F.explode(pieces_of(F.col("right_name"), ratio))).join(a, F.col("piece") == F.col("left_name"))
-    columns = ["l", "left_name", "r", "right_name"]
-    return long_left.select(*columns).unionByName(long_right.select(*columns)).distinct()
+    one = _held(a.select(F.col("l").alias("w"), F.col("left_name").alias("whole")), b.select(F.col("r").alias("p"), F.col("right_name").alias("part")), ratio)
+    two = _held(b.select(F.col("r").alias("w"), F.col("right_name").alias("whole")), a.select(F.col("l").alias("p"), F.col("left_name").alias("part")), ratio)
+    one = one.select(F.col("w").alias("l"), F.col("whole").alias("left_name"), F.col("p").alias("r"), F.col("part").alias("right_name"))
+    return one.unionByName(two.select(F.col("p").alias("l"), F.col("part").alias("left_name"), F.col("w").alias("r"), F.col("whole").alias("right_name"))).distinct()
 
 
 def name_variants(t: Tables) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from quarry.operators.extraction import clean_investor, parse_investors, valid_i
 from quarry.operators.gates import FILING_JUNK, valid_portfolio_name as portfolio_name_rule
 from quarry.operators.upkeep import read_snapshot, write_snapshot
 from quarry.plans.registry import query
+from quarry.sources.staging import shared_root
 from quarry.sources.tables import Tables
 
 # Sites that are no company's own, and endings of firms' names.
@@ -138,8 +137,7 @@ def relink_investors(t: Tables) -> DataFrame:
 @query("write_snapshot", "select id, name, website from firms")
 def _write_snapshot(t: Tables) -> DataFrame:
     """Firms written as a new version and read from it."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return read_snapshot(t.spark, write_snapshot(t.firms, f"{root.rstrip('/')}/firms"))
+    return read_snapshot(t.spark, write_snapshot(t.firms, f"{shared_root(t.spark)}/firms"))
 
 
 @query("page_details", """

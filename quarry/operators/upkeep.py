@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.measures import count
 from quarry.plans.registry import query
+from quarry.sources.staging import written
 from quarry.sources.tables import EVENTS_AS_OF, Tables, norm_name
 
 
@@ -50,6 +51,7 @@ def new_ids(known: DataFrame, fresh: DataFrame, order: list[str]) -> DataFrame:
     """``fresh`` with ids above those of ``known``; row numbers per partition of a range sort, so no single task has all rows."""
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     spread = fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    spread = written(spread, "new-ids")  # sizes and ids must come from one and the same run of the sort
     sizes = spread.groupBy("__p").agg(count().alias("n"), F.min("__m").alias("__first"))
     sizes = sizes.withColumn("base", F.sum("n").over(Window.orderBy("__p")) - F.col("n"))  # one row a partition
     out = spread.join(F.broadcast(sizes), "__p").crossJoin(F.broadcast(top))

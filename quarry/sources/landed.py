@@ -183,7 +183,7 @@ def scan_registry_json(t: Tables) -> DataFrame:
 @query("scan_company_search_json", "select c_name as name, cast(c_custkey as varchar) as company_number, 'New York' as city from customer")
 def scan_company_search_json(t: Tables) -> DataFrame:
     one = F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("company_number")).alias("company"))
-    docs = t.raw("customer").groupBy(F.pmod("c_custkey", F.lit(30)).alias("page")).agg(F.collect_list(one).alias("companies"))
+    docs = t.raw("customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(F.collect_list(one).alias("companies"))
     docs = docs.select(F.from_json(F.to_json(F.struct(F.struct("companies").alias("results"))), COMPANIES).alias("j"))
     return company_search(docs, "New York").select("name", "company_number", "city")
 

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
 from quarry.plans.registry import query
+from quarry.sources.staging import new_folder
 from quarry.sources.tables import Tables
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def events_stream(t: Tables) -> DataFrame:
     """The event table as a stream with a time that can be watermarked."""
     schema = t.raw("events").schema
@@ -27,13 +19,16 @@ def events_stream(t: Tables) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(rows: DataFrame, name: str) -> DataFrame:
-    """Run a stream until its source is drained, append mode, and read what it wrote."""
+def finished(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Run a stream until its source is drained, append mode, and read what it wrote.
+
+    ``folder`` holds the table and the stream's state; given again, the stream goes on where it stopped.
+    """
     spark = rows.sparkSession
-    out = shared_folder(spark, name)
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", shared_folder(spark, f"{name}-state"))
-    writer.trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    folder = folder or new_folder(spark, name)
+    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start(f"{folder}/table").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/table")
 
 
 def first_seen_stream(rows: DataFrame, key: str, within: str = "1 hour") -> DataFrame:
@@ -75,26 +70,26 @@ def stream_gate(t: Tables) -> DataFrame:
     return finished(gate_stream(events_stream(t).select("event_id", name.alias("name")), t.firms), "gate")
 
 
-def merged_batches(rows: DataFrame, merge, name: str) -> str:
+def merged_batches(rows: DataFrame, merge, name: str, folder: str | None = None) -> str:
     """Run a stream whose batches are merged into a snapshot by ``merge(old or None, batch)``; the last path returns.
 
-    A batch writes a new version named by its number, so a repeated batch replaces only itself.
+    Batch ``n`` reads version ``n - 1`` of the folder and writes version ``n``, so all state is in the folder: a
+    repeated batch replaces only itself, and a stream that is started again on the folder goes on where it stopped.
     """
-    spark = rows.sparkSession
-    folder = shared_folder(spark, name)
-    state = {"path": None, "id": -1}
+    folder = folder or new_folder(rows.sparkSession, name)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= state["id"]:
-            return
-        session = batch.sparkSession
-        old = session.read.parquet(state["path"]) if state["path"] else None
-        path = f"{folder}/v{batch_id}"
-        merge(old, batch).write.mode("overwrite").parquet(path)
-        state.update(path=path, id=batch_id)
-
-    rows.writeStream.foreachBatch(step).option("checkpointLocation", shared_folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return state["path"]
+        old = batch.sparkSession.read.parquet(f"{folder}/v{batch_id - 1}") if batch_id else None
+        merge(old, batch).write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
+
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/v{last_version(rows.sparkSession, folder)}"
+
+
+def last_version(spark: SparkSession, folder: str) -> int:
+    """Number of the newest version; only names of files are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/v*")
+    return files.agg(F.max(F.regexp_extract("path", r"/v(\d+)/[^/]*$", 1).cast("int"))).first()[0]
 
 
 def add_patterns(old: DataFrame | None, batch: DataFrame) -> DataFrame:

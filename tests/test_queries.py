@@ -7,12 +7,13 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarry.operators.gates import _candidates, deal_gate, learn_patterns
+from quarry.operators.gates import _candidates, deal_gate, duplicates_of, learn_patterns
 from quarry.operators.listing import write_csv, write_json
 from quarry.operators.upkeep import insert_or_ignore, read_snapshot, upsert, write_snapshot
 from quarry.plans import catalog
 from quarry.sources import landed
 from quarry.sources.tables import Tables
+from quarry.streaming.feeds import add_patterns, merged_batches
 
 DATA = "/root/testdata/sf0.001"
 
@@ -51,11 +52,32 @@ def test_query_runs(spark, name):
     assert frame.columns and frame.count() >= 0
 
 
-def test_gate_splits_candidates(spark):
+def test_gate_gives_each_candidate_one_outcome(spark):
     t = Tables(spark, DATA)
-    accepted, rejected = deal_gate(_candidates(t), t.firms, t.deals.where("id % 10 <> 3"), learn_patterns(t))
-    a, r = {x.id for x in accepted.select("id").collect()}, {x.id for x in rejected.select("id").collect()}
-    assert not a & r and len(a | r) == _candidates(t).count() and {x.reason for x in rejected.collect()} >= {"bad_name", "vc_firm"}
+    got = deal_gate(_candidates(t), t.firms, t.deals.where("id % 10 <> 3"), learn_patterns(t)).collect()
+    assert len(got) == len({x.id for x in got}) == _candidates(t).count()
+    assert {x.reason for x in got} >= {None, "bad_name", "bad_name_pattern", "empty_name", "vc_firm", "duplicate"}
+    assert all((x.reason is None) == (x.confidence_score is not None) for x in got)
+
+
+def test_duplicates_by_fuzzy_names(spark):
+    """Brute force over the rule: a name that is not stored but holds, or is held by, a stored one of nearly its length."""
+    deal = "id long, company_name string, company_name_normalized string, stage string, amount_usd double, date_announced date"
+    old = [(1, "Acme Robotics", "acmerobotics", "Seed", 5e6, None), (2, "Northern Light Insurance Holdings", "northernlightinsuranceholdings", "Seed", None, None), (3, "Zed", "zed", "Seed", None, None)]
+    new = [(11, "Acme Robotics AI", "", "Seed", 6e6, None), (12, "Acme Robotics AI", "", "Series A", 5e7, None), (13, "Northern Light Insurance Holding", "", "Unknown", None, None), (14, "Acme", "", "Seed", None, None), (15, "Zed Inc", "", "Seed", None, None)]
+    got = duplicates_of(spark.createDataFrame(new, deal), spark.createDataFrame(old, deal)).collect()
+    assert {x.id for x in got} == {11, 13}
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("a", 1)], "event_type string, user_id long").selectExpr("*", "timestamp'2024-01-01' as ts").write.parquet(source)
+    rows = spark.readStream.schema("event_type string, user_id long, ts timestamp").parquet(source)
+    first = merged_batches(rows, add_patterns, "p", folder)
+    spark.createDataFrame([("a", 1), ("b", 2)], "event_type string, user_id long").selectExpr("*", "timestamp'2024-01-02' as ts").write.mode("append").parquet(source)
+    second = merged_batches(rows, add_patterns, "p", folder)
+    assert first != second and {(r.event_type, r.hits) for r in spark.read.parquet(second).collect()} == {("a", 2), ("b", 1)}
+    assert merged_batches(rows, add_patterns, "p", folder) == second
 
 
 def test_upserts(spark, tmp_path):
