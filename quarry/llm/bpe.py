@@ -10,7 +10,8 @@ Copies share structure: a state keeps its parent, the arc taken away and the mer
 added later for a longer token exists where its left part still existed at that time. An arc's target depends on
 its label alone, so targets are one table.
 
-Null texts count as empty (no tokens). Repeated rows and clashing extra columns pass through untouched.
+Null and empty texts have no tokens. Repeated rows give equal rows. Very long texts are encoded whole, one at a time.
+Empty tables give none. Only ``doc_id`` and ``text`` are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ shingle multisets, sum of minima over sum of maxima, must reach ``similarity``.
 A window can only get there if ``similarity`` of its shingles belong to items of about its size (what is shared is at
 least that part of the union, and so of the window); places where they don't are passed over before fingerprinting, and
 items of other sizes are not compared, which loses nothing. Words lower-case A-Z. Items with fewer than five words are
-one shingle of all their words. Null and empty texts and items match nothing.
+one shingle of all their words. Null and empty texts and items match nothing; items without an id are not looked for.
+Of windows of equal similarity the first counts, then the shorter. Repeated rows get equal answers, items that repeat
+are one by id and text. Very long texts are read in one piece, one at a time. A column named ``leaks`` is replaced. An
+empty benchmark or table gives no leaks.
 
 The benchmark is read in slices of at most ``SLICE`` bytes, each sent to the executors as one broadcast; the documents
 are gone through once for each slice, so a benchmark of any size is covered whole.
@@ -29,8 +32,9 @@ from quarry.llm.common import table, text_chunks
 from quarry.llm.substring import run_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of texts with a similarity of 0.8 differ in 9.6 of 64 bits on average; this is 3.6 deviations more.
-RADIUS = 20
+#: Fingerprints of texts with a similarity of 0.8 differ in 7 to 12 of 64 bits on average, most with few shingles. Of
+#: 4,000 simulated pairs of each of 13 sizes none but one of five shingles differed in 24 or more.
+RADIUS = 26
 SLICE = 8 << 20
 _BASE = np.uint64(0xA0761D6478BD642F)
 _COUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)

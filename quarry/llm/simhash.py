@@ -11,6 +11,8 @@ Equal fingerprints are one node from the start, so groups of copies cost one row
 something new are emitted: a fingerprint that is linked leaves the rest to compare, so dense groups stay cheap.
 
 Null and empty texts have fingerprint zero. A null id keeps its row; ids of a component are compared without nulls.
+Repeated rows give equal rows. Very long texts are read whole, their shingles counted in parts. Empty tables give none.
+Only the id and the text are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations

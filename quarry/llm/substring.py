@@ -9,7 +9,9 @@ Hashes travel packed, one row per chunk of texts and bucket of hashes; a shuffle
 and sent once, so a passage that a third of all documents hold costs one entry per chunk. Answers go back as places:
 the anchors that repeat, then the few candidate windows that don't.
 
-Null texts have no words. Rows with equal id and text get equal answers and count as repeats of one another.
+Null and empty texts have no words; texts shorter than a window lose none. Rows with equal id and text get equal
+answers and count as repeats of one another. A very long text is a chunk of its own: a task holds it with some eight
+bytes of hashes for each of its words. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations

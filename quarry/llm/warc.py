@@ -5,8 +5,10 @@ offset range in its file. ``FANOUT`` nodes next to each other make one node of t
 their joint range, up to one root per file. Two replicas are compared root by root; only the children of nodes that
 differ are looked at below, down to the records. Node tables of all levels are built by grouping.
 
-A record that one replica lacks is reported with no digest there. Rows with equal content are separate records. Null
-urls and payloads are written as empty.
+A record that one replica lacks is reported with no digest there. Rows with equal content are separate records, ordered
+by digest, so ties have one order. Null urls and payloads are written as empty. Rows without an id are dealt over many
+files by their url. Payloads are read and hashed as UTF-8 bytes of any length that a row may have. Empty replicas are
+equal. Other columns than ``page_id``, ``url`` and ``html`` are not read.
 """
 
 from __future__ import annotations
@@ -34,11 +36,16 @@ def record_bytes(url: Column, payload: Column, ident: Column) -> Column:
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
+def file_of(per_file: int) -> Column:
+    """Number of the file that a page is in; below zero for pages without an id."""
+    return F.when(F.col("page_id").isNull(), -1 - F.pmod(F.xxhash64("url"), F.lit(1 << 16))).otherwise(F.floor(F.col("page_id") / per_file)).cast("long")
+
+
 def fixity(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
     """``file``, ``seq``, ``page_id``, ``start``, ``stop``, ``digest`` of each record, in the order it is written."""
     record = record_bytes(F.col("url"), F.col("html"), F.col("page_id"))
     rows = pages.select(
-        "page_id", F.floor(F.coalesce("page_id", F.lit(-1)) / per_file).cast("long").alias("file"),
+        "page_id", file_of(per_file).alias("file"),
         F.octet_length(record).cast("long").alias("size"), F.sha2(record, 256).alias("digest"))
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     stop = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -102,7 +109,7 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, path: str, per_file: int = PAGES_PER_FILE) -> None:
     """WARC files under ``path``, one folder per file number; records of a file in order of page id."""
     record = F.decode(record_bytes(F.col("url"), F.col("html"), F.col("page_id")), "UTF-8")
-    rows = pages.select(F.floor(F.coalesce("page_id", F.lit(-1)) / per_file).cast("long").alias("file"), "page_id", record.alias("value"))
+    rows = pages.select(file_of(per_file).alias("file"), "page_id", record.alias("value"))
     # The writer's line end stands for the record's last four bytes.
     rows = rows.withColumn("value", F.expr("left(value, char_length(value) - 4)"))
     rows.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").option("lineSep", "\r\n\r\n").text(path)

@@ -264,6 +264,15 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(docs(spark, ODD), benchmark).count() == len(ODD)
 
 
+def test_radius_of_leaks_loses_nothing_to_speak_of():
+    pick = np.random.default_rng(4)
+    for n in (5, 8, 15, 30, 60, 100):
+        whole = pick.integers(0, 2**63, size=(3000, n), dtype=np.uint64) * np.uint64(2) + pick.integers(0, 2, size=(3000, n), dtype=np.uint64)
+        part = whole[:, : int(np.ceil(0.8 * n - 1e-9))]
+        far = sum(np.unpackbits(leaks.simhash(a) ^ leaks.simhash(np.ascontiguousarray(b))).sum() > leaks.RADIUS for a, b in zip(whole, part))
+        assert far <= 1, n
+
+
 def test_leak_with_insertion_meets_windows_of_a_longer_item(spark):
     items = [(1, prose(300, 100)), (2, prose(301, 108))]
     word = items[0][1].split()
