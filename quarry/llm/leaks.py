@@ -122,6 +122,8 @@ def leaks_of(hashes: dict[int, np.ndarray], known: dict[int, np.ndarray], n: int
             start = int(starts[w])
             if w not in own:
                 own[w] = Counter(hashes[size][start : start + span].tolist())
+            if own[w].keys().isdisjoint(items.sets[i]):
+                continue  # most pairs that are near by chance alone
             found = weighted_jaccard(own[w], items.sets[i])
             if found >= similarity and (-found, start, length) < best.get(i, (0.0, 0, 0)):
                 best[i] = (-found, start, length)
