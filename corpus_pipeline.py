@@ -1,6 +1,11 @@
 """Training corpus from ``documents`` in five stages; each is written as Parquet and read again as the next one's input.
 
 quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, BPE encoding and decoding.
+
+Every stage takes null and empty texts (they hold no lines, copies or benchmark items and encode to no tokens; the
+classifier judges them by what is left), texts of any length, repeated rows (near-dedup keeps one of those equal in id
+and text, the other stages treat them alike), null ids, and empty tables, which give empty results. Stages read and
+return the columns of ``documents`` alone, so other columns cannot clash; the last one returns tokens and decoded text.
 """
 
 from __future__ import annotations
