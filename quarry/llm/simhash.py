@@ -3,12 +3,15 @@
 Fingerprints have 64 bits. Bits are grouped into partitions, correlated bits together. If two fingerprints differ in
 at most ``radius`` bits, and thresholds ``t_i >= -1`` of the partitions satisfy ``sum(t_i + 1) = radius + 1``, then
 some partition differs in at most ``t_i`` bits. Dynamic programming picks partitions and thresholds with the least
-estimated work; the estimate comes from bit statistics of all fingerprints. Each fingerprint is then listed under its
-own value and under every value within ``t_i`` bits of it, lists are compared by exact Hamming distance, and the links
-found are closed to components. See Qin et al., "GPH: Similarity Search in Hamming Space" (2018).
+estimated work; the estimate comes from bit statistics of all fingerprints and from how many bits of a partition
+fingerprints were seen to differ in. Each fingerprint is then listed under its own value and under every value within
+``t_i`` bits of it, lists are compared by exact Hamming distance, and the links found are closed to components. See
+Qin et al., "GPH: Similarity Search in Hamming Space" (2018).
 
 Equal fingerprints are one node from the start, so groups of copies cost one row. Within a list only links that join
-something new are emitted: a fingerprint that is linked leaves the rest to compare, so dense groups stay cheap.
+something new are emitted: a fingerprint that is linked leaves the rest to compare, so dense groups stay cheap. Lists
+of more than ``LIST`` fingerprints are split by hash into parts, and each two parts are a list of their own; so no
+task gets a long list whole and no pair is lost.
 
 Null and empty texts have fingerprint zero. A null id keeps its row; ids of a component are compared without nulls.
 Repeated rows give equal rows. Very long texts are read whole, their shingles counted in parts. Empty tables give none.
@@ -17,7 +20,7 @@ Only the id and the text are read, so other columns' names cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +38,10 @@ SEED = 42
 COUNTED = 1 << 14
 #: Work of making and shuffling one listed row, in comparisons of two fingerprints.
 ROW_COST = 100
+#: Longer lists are compared in parts of about half this length, two at a time.
+LIST = 1 << 14
+#: So many other fingerprints are held against each one to see in how many bits of a partition they differ.
+OTHERS = 4
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -108,21 +115,58 @@ def correlated_groups(n: int, both: np.ndarray, groups: int) -> list[list[int]]:
     return out
 
 
-def plan_thresholds(n: int, both: np.ndarray, radius: int, most_groups: int = 6) -> tuple[list[list[int]], list[int]]:
-    """Groups of bits and their thresholds with the least estimated work: listed rows plus pairs compared."""
+def as_mask(group: list[int]) -> int:
+    """The bits of ``group`` as a signed 64-bit number."""
+    mask = sum(1 << b for b in group)
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def seen_differences(fps: DataFrame, masks: list[int]) -> np.ndarray:
+    """For each mask, the share of pairs that differ in 0, 1, .. 64 of its bits; every row meets ``OTHERS`` others.
+
+    Correlated bits agree together more often than independent ones would, which no count of single bits shows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(masks), BITS + 1), np.int64)
+        for batch in batches:
+            fp = np.asarray(batch.column(0))
+            for other in range(1, min(OTHERS + 1, len(fp))):
+                unlike = fp ^ np.roll(fp, other)
+                for i, mask in enumerate(masks):
+                    seen[i] += np.bincount(np.bitwise_count((unlike & np.int64(mask)).view(np.uint64)), minlength=BITS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([seen.ravel().tolist()], pa.list_(pa.int64()))], ["seen"])
+
+    parts = fps.select("fp").mapInArrow(run, "seen array<long>")
+    total = np.zeros(len(masks) * (BITS + 1))
+    for row in parts.select(F.posexplode("seen").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        total[row.i] = row.x
+    total = total.reshape(len(masks), BITS + 1)
+    return total / np.maximum(total.sum(axis=1, keepdims=True), 1)
+
+
+def plan_thresholds(n: int, both: np.ndarray, radius: int, most_groups: int = 6, seen: Callable[[list[int]], np.ndarray] | None = None) -> tuple[list[list[int]], list[int]]:
+    """Groups of bits and their thresholds with the least estimated work: listed rows plus pairs compared.
+
+    ``seen`` gives for masks of bits the shares of pairs by bits that differ. The greater of that and of the share
+    that independent bits would give is taken.
+    """
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best: tuple[float, list[list[int]], list[int]] | None = None
-    for m in range(1, min(most_groups, radius + 1) + 1):
-        groups = correlated_groups(n, both, m)
+    choices = [correlated_groups(n, both, m) for m in range(1, min(most_groups, radius + 1) + 1)]
+    masks = [as_mask(g) for groups in choices for g in groups]
+    shares = dict(zip(masks, seen(masks))) if seen else {}
+    for groups in choices:
         work = []
         for group in groups:
             chance, costs, rows = np.array([1.0]), [0.0], 0
             for b in group:
                 chance = np.convolve(chance, [1 - differ[b], differ[b]])
+            share = shares.get(as_mask(group), np.zeros(BITS + 1))
             for t in range(radius + 1):
                 rows += len(list(combinations(range(len(group)), t))) if t < 4 else 10**9
-                costs.append(n * (rows + (t > 0)) * ROW_COST + n * n / 2 * chance[: t + 1].sum())
+                costs.append(n * (rows + (t > 0)) * ROW_COST + n * n / 2 * max(chance[: t + 1].sum(), share[: t + 1].sum()))
             work.append(costs)
         # least[k]: the least work of the groups so far that share k of the radius + 1 units, with their thresholds
         least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -158,9 +202,23 @@ def link_list(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def split_lists(lists: DataFrame, longest: int = LIST) -> DataFrame:
+    """``lists`` (``g``, ``v``, ``fp``) with ``u``: what agrees in ``g``, ``v`` and ``u`` is compared together.
+
+    A list of up to ``longest`` has one ``u``. Others are dealt into parts by hash, and there is a ``u`` for each two
+    parts, so a row is there once for each part.
+    """
+    parts = F.ceil(2 * F.col("c") / longest)
+    hot = staged(lists.groupBy("g", "v").agg(F.count("*").alias("c")).where(F.col("c") > longest).select("g", "v", parts.alias("m")), "hot")
+    own = F.pmod(F.xxhash64("fp"), F.col("m"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.least(own, o) * F.col("m") + F.greatest(own, o))
+    units = F.when(F.col("m").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    return lists.join(hot.hint("merge"), ["g", "v"], "left").select("g", "v", F.explode(units).alias("u"), "fp")
+
+
+def near_links(fps: DataFrame, radius: int = 3, longest: int = LIST) -> DataFrame:
     """Links ``a``, ``b`` of distinct fingerprints (column ``fp``) whose closure joins all pairs within ``radius``."""
-    groups, thresholds = plan_thresholds(*bit_statistics(fps), radius)
+    groups, thresholds = plan_thresholds(*bit_statistics(fps), radius, seen=lambda masks: seen_differences(fps, masks))
     used = [(np.array(g), t) for g, t in zip(groups, thresholds) if t >= 0]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +240,10 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
                 runs = [(last, np.concatenate(kept))] if kept else []
                 kept = []
             else:
-                g, v, fp = (np.asarray(batch.column(i)) for i in range(3))
-                cut = np.flatnonzero((g[1:] != g[:-1]) | (v[1:] != v[:-1])) + 1
+                g, v, u, fp = (np.asarray(batch.column(i)) for i in range(4))
+                cut = np.flatnonzero((g[1:] != g[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1])) + 1
                 parts = np.split(fp, cut)
-                keys = list(zip(g[np.r_[0, cut]].tolist(), v[np.r_[0, cut]].tolist()))
+                keys = list(zip(*(x[np.r_[0, cut]].tolist() for x in (g, v, u))))
                 runs = []
                 for key, part in zip(keys, parts):
                     if key != last and kept:
@@ -200,7 +258,7 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
     lists = fps.select("fp").mapInArrow(listed, "g int, v long, fp long")
     return (
-        lists.repartition(partitions(fps.sparkSession), "g", "v").sortWithinPartitions("g", "v")
+        split_lists(lists, longest).repartition(partitions(fps.sparkSession), "g", "v", "u").sortWithinPartitions("g", "v", "u")
         .mapInArrow(linked, "a long, b long").distinct())
 
 

@@ -417,6 +417,41 @@ def test_pigeonhole_is_whole(spark):
     assert sum(t + 1 for t in thresholds) == 4 and sorted(b for g in groups_ for b in g) == list(range(64))
 
 
+def test_long_lists_are_compared_in_parts(spark):
+    """With lists of four at most nearly every list is split; classes stay those of brute force."""
+    pick = random.Random(31)
+    prints = []
+    for _ in range(3):
+        at = pick.getrandbits(64)
+        for _ in range(25):
+            prints.append(at)
+            for b in pick.sample(range(64), pick.randint(1, 4)):
+                at ^= 1 << b
+    rows = [(p - (1 << 64) if p >= 1 << 63 else p,) for p in prints]
+    fps = spark.createDataFrame(rows, "fp long").distinct()
+    got = {r.node: r.root for r in connected_components(simhash.near_links(fps, 3, longest=4)).collect()}
+    classes = classes_by_force(list(enumerate(prints)))
+    by_root = collections.defaultdict(set)
+    for i, (p,) in enumerate(rows):
+        by_root[classes[i]].add(p)
+    assert {frozenset(x) for x in by_root.values()} == {
+        frozenset(x) for x in [*({n for n, r in got.items() if r == root} for root in set(got.values())), *({p} for (p,) in rows if p not in got)]}
+    lists = spark.createDataFrame([(0, 1, i) for i in range(50)] + [(0, 2, 99)], "g int, v long, fp long")
+    split = simhash.split_lists(lists, 10).collect()
+    together = collections.defaultdict(set)
+    for r in split:
+        together[r.v, r.u].add(r.fp)
+    assert all(any({a, b} <= x for (v, _), x in together.items() if v == 1) for a in range(50) for b in range(50)) and max(map(len, together.values())) < 25
+
+
+def test_correlated_bits_are_seen(spark):
+    """Eight bits that go together agree in half of all pairs, whatever their single counts say."""
+    pick = random.Random(32)
+    rows = [((255 if pick.random() < 0.5 else 0) | pick.getrandbits(20) << 8,) for _ in range(4000)]
+    shares = simhash.seen_differences(spark.createDataFrame(rows, "fp long"), [255, simhash.as_mask(list(range(8, 16))), simhash.as_mask([63])])
+    assert abs(shares[0][0] - 0.5) < 0.05 and shares[0][1:8].sum() == 0 and shares[1][0] < 0.02 and shares[2][0] == 1
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 103), (103, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
