@@ -5,12 +5,12 @@ Each operator answers for all firms or users at once. Bridges are aggregated bef
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.measures import count, mean, mean_sql, names, names_sql, total, total_sql
 from quarry.plans.registry import query
-from quarry.sources.tables import AS_OF, EVENTS_AS_OF, Tables
+from quarry.sources.tables import AS_OF, EVENTS_AS_OF, Tables, norm_name
 
 _SUM, _AVG = total_sql("amount_usd"), mean_sql("amount_usd")
 
@@ -311,6 +311,16 @@ def pipeline_health(t: Tables) -> DataFrame:
         F.count_if(F.col("started_at") >= week).alias("last_7"), F.count_if((F.col("started_at") < week) & (F.col("started_at") >= two)).alias("prior_7"))
 
 
+@query("pipeline_deals", f"""
+select source_type, count(*) as deals, count(*) filter (created_at >= timestamp '{AS_OF}' - interval 7 day) as last_7,
+  count(*) filter (created_at < timestamp '{AS_OF}' - interval 7 day and created_at >= timestamp '{AS_OF}' - interval 14 day) as prior_7 from deals group by 1""")
+def pipeline_deals(t: Tables) -> DataFrame:
+    """What each source has brought: all deals, those of the last seven days and of the seven before."""
+    now = F.lit(f"{AS_OF}").cast("timestamp_ntz")
+    week, two, at = now - F.expr("interval 7 day"), now - F.expr("interval 14 day"), F.col("created_at")
+    return t.deals.groupBy("source_type").agg(count().alias("deals"), F.count_if(at >= week).alias("last_7"), F.count_if((at < week) & (at >= two)).alias("prior_7"))
+
+
 @query("gap_summary", """
 select count(*) as deals, count(*) filter (company_website is null) as no_website, count(*) filter (coalesce(company_description, '') = '') as no_description,
   count(*) filter (not exists (select 1 from deal_investors l where l.deal_id = deals.id)) as no_investors from deals""")
@@ -341,14 +351,20 @@ def saved_folders(t: Tables) -> DataFrame:
 select 'stage' as kind, stage as label, count(*) as deals, {_SUM} as capital from deals group by stage
 union all select 'source', source_type, count(*), {_SUM} from deals group by source_type
 union all select 'city', coalesce(city, 'Unknown'), count(*), {_SUM} from deals group by coalesce(city, 'Unknown')
+union all select 'category', coalesce(c.name, 'Unknown'), count(*), {_SUM} from deals d left join categories c on c.id = d.category_id group by 2
 union all select 'total', 'all', count(*), {_SUM} from deals""")
 def run_summary(t: Tables) -> DataFrame:
     """Grouping sets over one scan instead of one scan for each breakdown."""
-    rows = t.deals.select("stage", "source_type", F.coalesce("city", F.lit("Unknown")).alias("city"), "amount_usd")
-    sets = rows.groupingSets([["stage"], ["source_type"], ["city"], []], "stage", "source_type", "city")
-    out = sets.agg(count().alias("deals"), total("amount_usd").alias("capital"))
-    kind = F.when(F.col("stage").isNotNull(), "stage").when(F.col("source_type").isNotNull(), "source").when(F.col("city").isNotNull(), "city").otherwise("total")
-    return out.select(kind.alias("kind"), F.coalesce("stage", "source_type", "city", F.lit("all")).alias("label"), "deals", "capital")
+    rows = t.deals.join(t.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id", "left")
+    rows = rows.select("stage", "source_type", F.coalesce("city", F.lit("Unknown")).alias("city"), F.coalesce("category", F.lit("Unknown")).alias("category"), "amount_usd")
+    sets = rows.groupingSets([["stage"], ["source_type"], ["city"], ["category"], []], "stage", "source_type", "city", "category")
+    out = sets.agg(F.grouping_id().alias("set"), count().alias("deals"), total("amount_usd").alias("capital"))
+    # A bit of the set is zero where its column is grouped by.
+    kinds = ((0b0111, "stage", "stage"), (0b1011, "source", "source_type"), (0b1101, "city", "city"), (0b1110, "category", "category"))
+    kind, label = F.lit("total"), F.lit("all")
+    for bits, name, column in kinds:
+        kind, label = F.when(F.col("set") == bits, name).otherwise(kind), F.when(F.col("set") == bits, F.col(column)).otherwise(label)
+    return out.select(kind.alias("kind"), label.alias("label"), "deals", "capital")
 
 
 @query("metadata_map", "select deal_id, string_agg(key || '=' || value, '|' order by key) as entries from deal_metadata group by 1")
@@ -377,6 +393,15 @@ def gate_metrics(t: Tables) -> DataFrame:
         count().alias("submitted"), F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"), mean("confidence_score").alias("confidence"))
 
 
+@query("rejection_reasons", "select source_type, string_agg(reason || '=' || n, '|' order by reason) as reasons from (select source_type, reason, count(*) as n from rejections group by 1, 2) x group by 1")
+def rejection_reasons(t: Tables) -> DataFrame:
+    """Each source's map of reasons to rejections, as ``reason=n`` in order."""
+    counts = t.rejections.groupBy("source_type", "reason").agg(count().alias("n"))
+    maps = counts.groupBy("source_type").agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("m"))
+    entry = lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))
+    return maps.select("source_type", F.array_join(F.transform(F.array_sort(F.map_entries("m")), entry), "|").alias("reasons"))
+
+
 # --- window logic
 
 
@@ -448,8 +473,21 @@ def period_over_period(t: Tables) -> DataFrame:
     return months.select("month", "deals", before.alias("before"), F.round(F.lit(100.0) * (F.col("deals") - before) / F.greatest(before, F.lit(1)), 2).alias("change"))
 
 
+def first_of(rows: DataFrame, key: str, arrival: list[Column]) -> DataFrame:
+    """The first row of each ``key`` in order of ``arrival``; rows with an empty key all stay."""
+    empty = F.coalesce(F.col(key), F.lit("")) == ""
+    first = rows.where(~empty).withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*arrival))).where("__r = 1").drop("__r")
+    return first.unionByName(rows.where(empty))
+
+
 @query("first_seen", """
-select id, url from (select *, row_number() over (partition by url order by date_announced nulls last, id) as r from articles) x where r = 1""")
+with n as (select *, regexp_replace(lower(split_part(title, ' raises ', 1)), '[^a-z0-9]', '', 'g') as k from articles),
+  u as (select * from (select *, row_number() over (partition by url order by date_announced nulls last, id) as r from n) x where r = 1)
+select id, url from (select *, row_number() over (partition by k order by date_announced nulls last, id) as q from u) y where q = 1""")
 def first_seen(t: Tables) -> DataFrame:
-    w = Window.partitionBy("url").orderBy(F.asc_nulls_last("date_announced"), "id")
-    return t.articles.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "url")
+    """Articles by url and then by the company that they name, in order of arrival."""
+    from quarry.operators.extraction import company_from_title
+
+    arrival = [F.asc_nulls_last("date_announced"), F.asc("id")]
+    rows = first_of(t.articles.select("id", "url", "title", "date_announced"), "url", arrival)
+    return first_of(rows.withColumn("k", norm_name(company_from_title(F.col("title")))), "k", arrival).select("id", "url")

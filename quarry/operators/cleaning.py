@@ -9,7 +9,7 @@ from quarry.functions import rules as R
 from quarry.functions.measures import count
 from quarry.operators.gates import _BANDS, _LEVEL, valid_portfolio_name
 from quarry.operators.linking import fuzzy_name_join
-from quarry.operators.upkeep import repoint
+from quarry.operators.upkeep import cascade_delete, repoint
 from quarry.plans.registry import query
 from quarry.sources.tables import Tables, norm_name
 
@@ -129,17 +129,50 @@ def clean_investors(t: Tables) -> DataFrame:
     return rows.select("id", F.when(firm, "firm").otherwise("person").alias("kind"), bare.alias("name"))
 
 
-@query("relink_orphans_to_firms", """
+_RELINK = """
 select i.id, min(f.id) as firm_id from investors i join firms f on contains(lower(replace('Supplier#' || lpad(cast(i.id % 120 as varchar), 9, '0') || ' lp', '#', '')), lower(replace(f.name, '#', '')))
-where i.firm_id is null group by 1""")
-def relink_orphans_to_firms(t: Tables) -> DataFrame:
-    """People without a firm whose employer's written name matches one; the first by id wins."""
+where i.firm_id is null group by 1"""
+
+
+def relinked(t: Tables) -> DataFrame:
+    """People without a firm (``id``) whose employer's written name matches one (``firm_id``); the first by id wins."""
     said = norm_name(F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 120).cast("string"), 9, "0"), F.lit(" lp")))
     left = t.investors.where("firm_id is null").select(F.col("id").alias("l"), said.alias("left_name"))
     right = t.firms.select(F.col("id").alias("r"), norm_name("name").alias("right_name"))
     return fuzzy_name_join(left, right, 0.7, 5).groupBy(F.col("l").alias("id")).agg(F.min("r").alias("firm_id"))
 
 
+_KEEPERS = f"""(select r.id, r.firm_id, coalesce(min(e.id), min(r.id) over (partition by i.name, r.firm_id)) as keeper from ({_RELINK}) r join investors i on i.id = r.id
+  left join investors e on e.name = i.name and e.firm_id = r.firm_id group by r.id, r.firm_id, i.name)"""
+
+
+@query("relink_orphans_to_firms", f"select id, firm_id, keeper from {_KEEPERS} x")
+def relink_orphans_to_firms(t: Tables) -> DataFrame:
+    """The firm of each person who has none, and the person to keep: one of that name at the firm, else the first such orphan."""
+    rows = relinked(t).join(t.investors.select("id", "name"), "id")
+    there = t.investors.where("firm_id is not null").groupBy("name", "firm_id").agg(F.min("id").alias("there"))
+    first = rows.groupBy("name", "firm_id").agg(F.min("id").alias("first"))
+    return rows.join(first, ["name", "firm_id"]).join(there, ["name", "firm_id"], "left").select("id", "firm_id", F.coalesce("there", "first").alias("keeper"))
+
+
+@query("relinked_links", f"select distinct l.deal_id, coalesce(k.keeper, l.investor_id) as investor_id from deal_investors l left join {_KEEPERS} k on k.id = l.investor_id")
+def relinked_links(t: Tables) -> DataFrame:
+    """Links of deals to people after the merge of those who turn out to be one person."""
+    mapping = relink_orphans_to_firms(t).where("id <> keeper").select(F.col("id").alias("old"), F.col("keeper").alias("new"))
+    return repoint(t.deal_investors, mapping, "investor_id", ["deal_id", "investor_id"], F.lit(0))
+
+
+@query("firm_named_investors", """
+select l.deal_id, min(f.id) as firm_id from deal_investors l join investors i on i.id = l.investor_id
+join firms f on lower(f.name) = case i.id % 4 when 0 then 'supplier#' || lpad(cast(i.id % 120 as varchar), 9, '0') else i.name end group by l.deal_id, f.name""")
+def firm_named_investors(t: Tables) -> DataFrame:
+    """Links of deals to firms in place of links to people whose name is a firm's."""
+    said = F.when(F.col("id") % 4 == 0, F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("id") % 120).cast("string"), 9, "0"))).otherwise(F.col("name"))
+    firms = t.firms.groupBy(F.lower("name").alias("low")).agg(F.min("id").alias("firm_id"))
+    people = t.investors.select(F.col("id").alias("investor_id"), F.lower(said).alias("low")).join(firms, "low")
+    return t.deal_investors.join(people, "investor_id").select("deal_id", "firm_id").distinct()
+
+
 @query("merge_investors", """
 select i.id, k.keeper from investors i join (select name, firm_id, arg_min(id, (-coalesce(n, 0), id)) as keeper from investors x
   left join (select investor_id, count(*) as n from deal_investors group by 1) l on l.investor_id = x.id group by 1, 2) k
@@ -168,6 +201,13 @@ def clean_deals(t: Tables) -> DataFrame:
     return t.deals.where(~name.rlike(r"(?i)\bfund\b")).select("id", name.alias("name"))
 
 
+@query("clean_deals_links", "select deal_id, firm_id, role from deal_firms where deal_id % 6 <> 0")
+def clean_deals_links(t: Tables) -> DataFrame:
+    """Links to firms without those of the deals that the clean-up removes."""
+    gone = t.deals.select("id").join(clean_deals(t), "id", "left_anti")
+    return cascade_delete(t.deal_firms, gone, "deal_id").select("deal_id", "firm_id", "role")
+
+
 @query("clean_portfolio", "select min(id) as id, firm_id, company_name_normalized as norm from portfolio where id % 13 <> 0 group by 2, 3")
 def clean_portfolio(t: Tables) -> DataFrame:
     """Junk rows out, tags off, and of rows that then share firm and name the first."""
@@ -181,21 +221,43 @@ def clean_portfolio(t: Tables) -> DataFrame:
 @query("clean_firms", "select min(id) as keeper, max(id) as last, count(*) as n from firms where id % 9 <> 0 group by id // 2")
 def clean_firms(t: Tables) -> DataFrame:
     """Junk and compound names out; firms with one name after normalizing become the one with the least id."""
+    return kept_firms(t).groupBy("k").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), count().alias("n")).drop("k")
+
+
+@query("clean_firms_links", """
+select distinct l.deal_id, k.keeper as firm_id from deal_firms l join (select id, min(id) over (partition by id // 2) as keeper from firms where id % 9 <> 0) k on k.id = l.firm_id""")
+def clean_firms_links(t: Tables) -> DataFrame:
+    """Links to the firms that stay; those of merged firms are moved to the keeper, those of junk go."""
+    rows = kept_firms(t).select("id", "k")
+    mapping = rows.join(rows.groupBy("k").agg(F.min("id").alias("new")), "k").where("id <> new").select(F.col("id").alias("old"), "new")
+    links = t.deal_firms.join(rows.select(F.col("id").alias("firm_id")), "firm_id", "left_semi")
+    return repoint(links, mapping, "firm_id", ["deal_id", "firm_id"], F.col("role")).select("deal_id", "firm_id")
+
+
+def kept_firms(t: Tables) -> DataFrame:
+    """Firms whose written name is one firm's, with the key ``k`` under which they are the same."""
     k = F.col("id")
     said = F.when(k % 9 == 0, "12 investors").otherwise(F.concat(F.lit("Firm. "), F.floor(k / 2).cast("string"), F.when(k % 2 == 0, " , LP").otherwise(" LP")))
     rows = t.firms.withColumn("name", said).where(R.valid_firm_name(F.col("name")))
-    return rows.groupBy(F.translate(F.lower("name"), " .,", "").alias("k")).agg(F.min("id").alias("keeper"), F.max("id").alias("last"), count().alias("n")).drop("k")
+    return rows.withColumn("k", F.translate(F.lower("name"), " .,", ""))
+
+
+_SEGMENTS = ("AI", "Health", "Fintech", "Climate", "Media", "Real Estate", "NATION", "HR")
+_SUBJECTS = ("/Enterprise", "/AI", "/Insurance", " / Cleantech", " & Entertainment", "|Odd", "", "/HR")
+_LISTED = ", ".join(f"({i}, '{x}')" for i, x in enumerate(R.CANONICAL))
+_MAPPED = ", ".join(f"('{a}', '{b}')" for a, b in R.COMPOSITES.items())
 
 
-@query("normalize_categories", """
-select id, case when id % 3 = 0 then 'NATION_' || (id % 20) when id % 3 = 1 then 'NATION_' || (id % 20) else 'Other' end as category from deals""")
+@query("normalize_categories", f"""
+with said as (select id, list_value{_SEGMENTS}[1 + id % 8] || list_value{_SUBJECTS}[1 + (id // 8) % 8] as name from deals),
+  held as (select name, arg_min(x.canon, x.i) as canon from (select distinct name from said) s join (values {_LISTED}) x(i, canon) on contains(lower(x.canon), lower(trim(split_part(s.name, '/', 1)))) group by 1)
+select s.id, case when not regexp_matches(s.name, '[/|]') or s.name in (select y.canon from (values {_LISTED}) y(i, canon)) then s.name else coalesce(m.main, h.canon, 'Other') end as category
+from said s left join (values {_MAPPED}) m(name, main) on m.name = s.name left join held h on h.name = s.name""")
 def normalize_categories(t: Tables) -> DataFrame:
-    """Composite names become the known category that their first part names, others become Other."""
-    k = F.col("id") % 3
-    base = F.concat(F.lit("NATION_"), (F.col("id") % 20).cast("string"))
-    said = F.when(k == 0, base).when(k == 1, F.concat(base, F.lit(" / Services"))).otherwise("Misc")
-    rows = t.deals.select("id", F.trim(F.split(said, "/")[0]).alias("name"))
-    return rows.join(t.categories.select("name", F.col("name").alias("known")), "name", "left").select("id", F.coalesce("known", F.lit("Other")).alias("category"))
+    """Deals under written categories, single and composite, with the category that each stands for."""
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), n.cast("int"))
+    said = F.concat(pick(_SEGMENTS, F.col("id") % 8), pick(_SUBJECTS, F.floor(F.col("id") / 8) % 8))
+    return t.deals.select("id", R.canonical_category(said).alias("category"))
 
 
 @query("remove_orphans", "select id from investors where id in (select investor_id from deal_investors where deal_id % 5 = 0)")
@@ -204,12 +266,12 @@ def remove_orphans(t: Tables) -> DataFrame:
     return t.investors.select("id").join(gone, "id", "left_anti")
 
 
-@query("backfill_firm_links", """
-select distinct l.deal_id, i.firm_id from deal_investors l join investors i on i.id = l.investor_id where i.firm_id is not null
-  and l.deal_id not in (select deal_id from deal_firms where verified = 1)""")
+@query("backfill_firm_links", f"""
+select distinct l.deal_id, coalesce(i.firm_id, r.firm_id) as firm_id from deal_investors l join investors i on i.id = l.investor_id left join ({_RELINK}) r on r.id = i.id
+where coalesce(i.firm_id, r.firm_id) is not null and l.deal_id not in (select deal_id from deal_firms where verified = 1)""")
 def backfill_firm_links(t: Tables) -> DataFrame:
-    """Deals without a verified firm get the firms of their people."""
-    people = t.investors.where("firm_id is not null").select(F.col("id").alias("investor_id"), "firm_id")
+    """Deals without a verified firm get the firms of their people, and for people without one the firm that matches."""
+    people = t.investors.where("firm_id is not null").select("id", "firm_id").unionByName(relinked(t)).withColumnRenamed("id", "investor_id")
     rows = t.deal_investors.join(t.deal_firms.where("verified = 1").select("deal_id"), "deal_id", "left_anti")
     return rows.join(people, "investor_id").select("deal_id", "firm_id").distinct()
 

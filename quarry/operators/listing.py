@@ -107,11 +107,16 @@ def quarantine_candidates(t: Tables) -> DataFrame:
 
 
 @query("active_firms", """
-select f.id, f.name, coalesce(n, 0) as failures from firms f left join (select user_id % (select count(*) from supplier) as firm_id, count(*) as n
-  from events where event_type = 'error' group by 1) x on x.firm_id = f.id where website is not null and coalesce(n, 0) < 25""")
-def active_firms(t: Tables, most: int = 25) -> DataFrame:
+with e as (select user_id % (select count(*) from supplier) as firm_id, event_type, ts from events where event_type in ('error', 'signup')),
+  g as (select firm_id, max(ts) as good from e where event_type = 'signup' group by 1)
+select f.id, f.name, coalesce(n, 0) as failures from firms f left join (select e.firm_id, count(*) as n from e left join g on g.firm_id = e.firm_id
+  where event_type = 'error' and (good is null or ts > good) group by 1) x on x.firm_id = f.id where website is not null and coalesce(n, 0) < 3""")
+def active_firms(t: Tables, most: int = 3) -> DataFrame:
+    """Firms with a site and fewer than ``most`` failures since their last good visit."""
     n = t.firms.agg(F.count("*").alias("firms"))
-    errors = t.raw("events").where("event_type = 'error'").crossJoin(F.broadcast(n)).groupBy((F.col("user_id") % F.col("firms")).alias("id")).agg(count().alias("n"))
+    visits = t.raw("events").where("event_type in ('error', 'signup')").crossJoin(F.broadcast(n)).select((F.col("user_id") % F.col("firms")).alias("id"), "event_type", "ts")
+    good = visits.where("event_type = 'signup'").groupBy("id").agg(F.max("ts").alias("good"))
+    errors = visits.where("event_type = 'error'").join(good, "id", "left").where("good is null or ts > good").groupBy("id").agg(count().alias("n"))
     out = t.firms.where("website is not null").join(errors, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("failures"))
     return out.where(F.col("failures") < most)
 
@@ -260,10 +265,20 @@ def export_deals_json(t: Tables) -> DataFrame:
     return documents(t).select(F.col("id").alias("deal_id"), "company_name", F.explode("firms").alias("x")).select("deal_id", "company_name", F.col("x.name").alias("firm"), "x.role")
 
 
+@query("export_deals_json_investors", """
+select l.deal_id, i.name as investor, i.title from deal_investors l join investors i on i.id = l.investor_id join deals d on d.id = l.deal_id""")
+def export_deals_json_investors(t: Tables) -> DataFrame:
+    """The people of the nested documents, read back as rows."""
+    return documents(t).select(F.col("id").alias("deal_id"), F.explode("investors").alias("x")).select("deal_id", F.col("x.name").alias("investor"), "x.title")
+
+
 def documents(t: Tables) -> DataFrame:
+    """Deals with ``firms`` (name, role) and ``investors`` (name, title), each in order."""
     firms = t.deal_firms.join(t.firms.select(F.col("id").alias("firm_id"), "name"), "firm_id")
     firms = firms.groupBy(F.col("deal_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", "role"))).alias("firms"))
-    return t.deals.join(firms, "id", "left")
+    people = t.deal_investors.join(t.investors.select(F.col("id").alias("investor_id"), "name", "title"), "investor_id")
+    people = people.groupBy(F.col("deal_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", "title"))).alias("investors"))
+    return t.deals.join(firms, "id", "left").join(people, "id", "left")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -73,12 +73,20 @@ def _investor_candidates(t: Tables) -> DataFrame:
     return rows.select("id", F.element_at("c", 1).alias("first"), F.size("c").cast("long").alias("n"))
 
 
-@query("investor_looks_like_firm", "select id, id % 3 <> 1 as firm from investors")
+_WRITTEN_INVESTORS = f"""(select id, case id % 9 when 0 then n || ' Partners' when 1 then n when 2 then 'ABC ' || n when 3 then '37 ' || n when 4 then lower(n) when 5 then upper(n)
+  when 6 then split_part(n, ' ', 1) when 7 then n || ' (NY)' else 'DJ ' || n end as s from {_INIT} x)"""
+
+
+@query("investor_looks_like_firm", rf"""
+select id, regexp_matches(lower(s), '{"|".join(R.INVESTOR_FIRM_WORDS)}') or lower(s) in ({", ".join(f"'{x}'" for x in R.FIRMS_LIKE_PEOPLE)}) or regexp_matches(s, '^[A-Z][^ ]{{2,}}$')
+  or regexp_matches(s, '^[0-9a-z]') or contains(s, '(') or (regexp_matches(s, '^[A-Z]{{2,}}( |$)') and not regexp_matches(s, '^([A-Z]{{2,}} [A-Z]{{2,}}$|[A-Z]{{2}} [A-Z][a-z])')) as firm from {_WRITTEN_INVESTORS} y""")
 def investor_looks_like_firm(t: Tables) -> DataFrame:
-    """Names with a firm's word or an all-capital word; two plain words are a person."""
-    k = F.col("id") % 3
-    name = F.when(k == 0, F.concat(F.initcap("name"), F.lit(" Partners"))).when(k == 1, F.initcap("name")).otherwise(F.concat(F.lit("ABC "), F.initcap("name")))
-    return t.investors.select("id", (R.contains_any(F.lower(name), R.FIRM_WORDS) | name.rlike(r"\b[A-Z]{2,}\b")).alias("firm"))
+    """The rule over names as firms and people write them: with a firm's word, initials, digits, small or capital letters."""
+    name, k = F.initcap("name"), F.col("id") % 9
+    said = (
+        F.when(k == 0, F.concat(name, F.lit(" Partners"))).when(k == 1, name).when(k == 2, F.concat(F.lit("ABC "), name)).when(k == 3, F.concat(F.lit("37 "), name)).when(k == 4, F.lower(name))
+        .when(k == 5, F.upper(name)).when(k == 6, F.split(name, " ")[0]).when(k == 7, F.concat(name, F.lit(" (NY)"))).otherwise(F.concat(F.lit("DJ "), name)))
+    return t.investors.select("id", R.investor_looks_like_firm(said).alias("firm"))
 
 
 @query("valid_portfolio_name", "select id, id % 5 in (2, 4) as valid from portfolio")
