@@ -309,15 +309,43 @@ def verified_confidence(t: Tables) -> DataFrame:
     return rows.select("id", F.round(F.when(score < 0.85, F.least(score + 0.15, F.lit(0.90))).otherwise(score), 2).alias("confidence"))
 
 
-@query("portfolio_to_deal_fuzzy", """
-select p.id, min(d.id) as deal_id from portfolio p join deals d on p.company_name_normalized = d.company_name_normalized
-where cast(p.id as varchar) not in (select value from deal_metadata where key = 'portfolio_company_id') group by 1""")
-def portfolio_to_deal_fuzzy(t: Tables) -> DataFrame:
-    """First deal of each portfolio row not yet linked, by equal name and else by a fuzzy one."""
+_SAID_PORTFOLIO = """(select id, firm_id, company_name_normalized || case id % 3 when 1 then 'x' else '' end as norm, case firm_id % 2 when 0 then 'https://p' || id end as website
+  from portfolio where cast(id as varchar) not in (select value from deal_metadata where key = 'portfolio_company_id'))"""
+_FIRST_DEALS = f"""(select p.id, p.firm_id, p.website, f.deal_id from {_SAID_PORTFOLIO} p join (select n.norm, min(d.deal_id) as deal_id from (select distinct norm from {_SAID_PORTFOLIO} x) n
+  join (select company_name_normalized as name, min(id) as deal_id from deals group by 1) d on (contains(n.norm, d.name) or contains(d.name, n.norm))
+    and least(length(n.norm), length(d.name))::double / greatest(length(n.norm), length(d.name)) >= 0.85 group by 1) f on f.norm = p.norm)"""
+
+
+def first_deals(t: Tables) -> DataFrame:
+    """Portfolio rows not yet linked (``id``, ``firm_id``, ``website``) with the first deal whose name is theirs, equal or nearly.
+
+    Every third name is written with a letter more, so that the approximate match has work to do. Names meet once, however
+    many rows have them.
+    """
     done = t.deal_metadata.where("key = 'portfolio_company_id'").select(F.col("value").try_cast("long").alias("id"))
-    rows = t.portfolio.join(done, "id", "left_anti")
-    firsts = t.deals.groupBy("company_name_normalized").agg(F.min("id").alias("deal_id"))
-    exact = rows.join(firsts, "company_name_normalized").select("id", "deal_id")
-    rest = rows.join(firsts, "company_name_normalized", "left_anti").select(F.col("id").alias("l"), F.col("company_name_normalized").alias("left_name"))
-    fuzzy = fuzzy_name_join(rest, firsts.select(F.col("deal_id").alias("r"), F.col("company_name_normalized").alias("right_name")), 0.85)
-    return exact.unionByName(fuzzy.groupBy(F.col("l").alias("id")).agg(F.min("r").alias("deal_id")))
+    norm = F.concat("company_name_normalized", F.when(F.col("id") % 3 == 1, "x").otherwise(""))
+    site = F.when(F.col("firm_id") % 2 == 0, F.concat(F.lit("https://p"), F.col("id").cast("string")))
+    rows = t.portfolio.join(done, "id", "left_anti").select("id", "firm_id", norm.alias("norm"), site.alias("website"))
+    deals = t.deals.where("company_name_normalized <> ''").groupBy(F.col("company_name_normalized").alias("right_name")).agg(F.min("id").alias("r"))
+    names = rows.where("norm <> ''").select(F.col("norm").alias("left_name")).distinct().withColumn("l", F.col("left_name"))
+    found = fuzzy_name_join(names, deals, 0.85).groupBy(F.col("l").alias("norm")).agg(F.min("r").alias("deal_id"))
+    return rows.join(found, "norm").select("id", "firm_id", "website", "deal_id")
+
+
+@query("portfolio_to_deal_fuzzy", f"select id, deal_id from {_FIRST_DEALS} x")
+def portfolio_to_deal_fuzzy(t: Tables) -> DataFrame:
+    return first_deals(t).select("id", "deal_id")
+
+
+@query("portfolio_deal_links", f"select distinct deal_id, firm_id, 'participant' as role from {_FIRST_DEALS} x where not exists (select 1 from deal_firms l where l.deal_id = x.deal_id and l.firm_id = x.firm_id)")
+def portfolio_deal_links(t: Tables) -> DataFrame:
+    """Links of firms to the deals of their portfolio that are not there yet."""
+    rows = first_deals(t).select("deal_id", "firm_id").distinct()
+    return rows.join(t.deal_firms.select("deal_id", "firm_id"), ["deal_id", "firm_id"], "left_anti").withColumn("role", F.lit("participant"))
+
+
+@query("portfolio_website_fill", f"select d.id, arg_min(x.website, x.id) as website from deals d join {_FIRST_DEALS} x on x.deal_id = d.id where d.company_website is null and x.website is not null group by 1")
+def portfolio_website_fill(t: Tables) -> DataFrame:
+    """Sites for deals that have none, from the first portfolio row that gives one."""
+    sites = first_deals(t).where("website is not null").groupBy(F.col("deal_id").alias("id")).agg(F.min_by("website", "id").alias("website"))
+    return t.deals.where("company_website is null").select("id").join(sites, "id")

@@ -139,15 +139,25 @@ def filing_crossref(t: Tables) -> DataFrame:
     return rows.select("id", marker.alias("marker"), F.coalesce("amount_usd", "filed").alias("amount_usd"))
 
 
-@query("incorporation_crossref", """
-select id, raw_text || ' [registry: ' || company_name || ']' as raw_text from (select * from deals where raw_text is not null order by date_announced desc nulls last, id limit 20)""")
+_REGISTRY = "(select c_custkey as r, c_name || case c_custkey % 4 when 0 then ', Inc.' when 1 then ' LLC' when 2 then ', Incorporated in Delaware' else '' end as entity from customer)"
+
+
+@query("incorporation_crossref", f"""
+select d.id, d.raw_text || ' [registry: ' || arg_min(r.entity, r.r) || ']' as raw_text from (select * from deals where raw_text is not null order by date_announced desc nulls last, id limit 20) d
+join {_REGISTRY} r on contains(lower(r.entity), lower(d.company_name)) or contains(lower(d.company_name), lower(r.entity)) group by d.id, d.raw_text""")
 def incorporation_crossref(t: Tables) -> DataFrame:
-    """The twenty newest deals with the registered name that matches theirs."""
+    """The twenty newest deals with the first registered name that holds theirs, legal endings or more, or is held by it.
+
+    Twenty names are held against the registry in one scan; a name that is empty matches nothing.
+    """
     newest = t.deals.where("raw_text is not null").orderBy(F.desc_nulls_last("date_announced"), "id").limit(20)
-    names = newest.select(F.col("id").alias("l"), norm_name("company_name").alias("left_name"))
-    registry = t.raw("customer").select(F.col("c_custkey").alias("r"), norm_name("c_name").alias("right_name"), "c_name")
-    hit = fuzzy_name_join(names, registry.select("r", "right_name"), 0.85).groupBy("l").agg(F.min("r").alias("r")).join(registry.select("r", "c_name"), "r")
-    return newest.join(hit, F.col("id") == F.col("l")).select("id", F.concat("raw_text", F.lit(" [registry: "), "c_name", F.lit("]")).alias("raw_text"))
+    newest = newest.select("id", "raw_text", F.lower("company_name").alias("name"))
+    k = F.col("c_custkey") % 4
+    ending = F.when(k == 0, ", Inc.").when(k == 1, " LLC").when(k == 2, ", Incorporated in Delaware").otherwise("")
+    registry = t.raw("customer").select(F.col("c_custkey").alias("r"), F.concat("c_name", ending).alias("entity")).withColumn("low", F.lower("entity"))
+    met = registry.join(F.broadcast(newest.where("name <> ''")), F.contains("low", "name") | (F.contains("name", "low") & (F.col("low") != "")))
+    hit = met.groupBy("id", "raw_text").agg(F.min_by("entity", "r").alias("entity"))
+    return hit.select("id", F.concat("raw_text", F.lit(" [registry: "), "entity", F.lit("]")).alias("raw_text"))
 
 
 @query("link_investors", """

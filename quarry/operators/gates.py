@@ -101,11 +101,14 @@ def full_date(t: Tables) -> DataFrame:
     return t.deals.select("id", R.full_date(said).alias("day"))
 
 
-@query("pub_date", "select id, date_announced as day from deals where date_announced is not null and id % 2 in (0, 1)")
+@query("pub_date", "select id, case when id % 5 < 4 then date_announced end as day from deals where date_announced is not null")
 def pub_date(t: Tables) -> DataFrame:
-    """Days read back from feed dates written with weekday, time and zone, or in ISO form."""
-    rss = F.date_format("date_announced", "'Mon,' dd MMM yyyy '08:00:00 GMT'")
-    said = F.when(F.col("id") % 2 == 0, rss).otherwise(F.date_format("date_announced", "yyyy-MM-dd'T'HH:mm:ss"))
+    """Days read back from feed dates with weekday, time and zone by name or number, in ISO form or as a day; else null."""
+    k = F.col("id") % 5
+    forms = ("'Mon,' dd MMM yyyy '08:00:00 GMT'", "'Tue,' dd MMM yyyy '08:00:00 +0000'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "'on 'dd/MM")
+    said = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        said = F.when(k == i, F.date_format("date_announced", form)).otherwise(said)
     return t.deals.where("date_announced is not null").select("id", R.pub_date(said).alias("day"))
 
 

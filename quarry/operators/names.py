@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
+from quarry.functions.words import let
 from quarry.operators.enrichment import classify_mentions
 from quarry.operators.extraction import clean_investor, parse_investors, valid_investor
 from quarry.operators.gates import FILING_JUNK, valid_portfolio_name as portfolio_name_rule
@@ -131,6 +132,49 @@ def _is_blocked_url(t: Tables) -> DataFrame:
     return t.deals.where("company_website is not null").select("id", is_blocked_url(F.coalesce(url, F.col("company_website"))).alias("blocked"))
 
 
+# Ranks and grades in titles of people at firms.
+RANKS = ("Partner", "Director", "Principal", "Associate", "Analyst", "Founder", "Co-Founder", "VP")
+GRADES = ("Managing", "General", "Operating", "Venture", "Senior", "Investment")
+
+
+def clean_record(name: Column, title: Column) -> Column:
+    """A struct of a person's ``name`` and ``title`` with what stuck to either in its place.
+
+    Runs of blanks become one, credentials go, a title glued to the last name moves to an empty title, and the person's
+    name goes from the ends of the title. Leftovers of page layout at the end of a title are cut off. Null names are empty.
+    """
+
+    def tidy(c: Column) -> Column:
+        return F.trim(F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), r"\s+", " "))
+
+    def parted(bare: Column) -> Column:
+        glued = F.regexp_extract(bare, rf"^.*?[a-z]{{2}}((?:(?:{'|'.join(GRADES)}) )?(?:{'|'.join(RANKS)})\b.*)$", 1)
+        own = F.trim(F.substring(bare, F.lit(1), F.char_length(bare) - F.char_length(glued)))
+        return F.struct(own.alias("name"), glued.alias("glued"))
+
+    def told(x: Column) -> Column:
+        own = x["name"]
+        given = F.when(F.coalesce(title, F.lit("")) == "", x["glued"]).otherwise(tidy(title))
+        twice = F.aggregate(F.sequence(F.lit(1), F.lit(2)), given, lambda s, _: F.when((own != "") & F.startswith(s, own), F.trim(F.substring(s, F.char_length(own) + 1, F.char_length(s)))).otherwise(s))
+        ended = F.when((own != "") & F.endswith(twice, own), F.trim(F.substring(twice, F.lit(1), F.char_length(twice) - F.char_length(own)))).otherwise(twice)
+        cut = F.trim(F.split_part(F.regexp_replace(ended, "ExperienceEducation$", ""), F.lit("Bio & More"), F.lit(1)))
+        return F.struct(own.alias("name"), F.nullif(cut, F.lit("")).alias("title"))
+
+    bare = F.trim(F.regexp_replace(tidy(F.coalesce(name, F.lit(""))), r"(?i),?\s*\b(?:Ph\.?D|M\.?D|JD|MBA|D\.?O|CFA)\.?$", ""))
+    return let(let(bare, parted), told)
+
+
+@query("clean_investor_records_whole", f"select id, n as name, case id % 6 when 0 then 'Managing Director' when 3 then null else 'Partner' end as title from {_INIT} x")
+def clean_investor_records_whole(t: Tables) -> DataFrame:
+    """Names and titles as team pages run them together, taken apart again."""
+    name, k = F.initcap("name"), F.col("id") % 6
+    said = F.when(k == 0, F.concat(name, F.lit("Managing Director"))).when(k == 1, F.concat(F.replace(name, F.lit(" "), F.lit("   ")), F.lit(", PhD"))).otherwise(name)
+    title = (
+        F.when(k == 0, "").when(k == 1, "Partner").when(k == 2, F.concat(name, F.lit(" "), name, F.lit("Partner"))).when(k == 3, name)
+        .when(k == 4, F.concat(F.lit("Partner"), name)).otherwise("PartnerExperienceEducation"))
+    return t.investors.select("id", clean_record(said, title).alias("x")).select("id", "x.name", "x.title")
+
+
 @query("clean_investor_record", f"select id, n as name, case when id % 3 = 0 then 'Partner' else title end as title from {_INIT} x join (select id, title from investors) y using (id)")
 def clean_investor_record(t: Tables) -> DataFrame:
     """Names with credentials, escapes and stuck titles; a title stuck to the name moves to its column."""
