@@ -127,16 +127,30 @@ def source_validation(t: Tables) -> DataFrame:
 
 
 @query("filing_crossref", """
-select d.id, case when f.id is null then 'no_match' when f.amount_usd is null then 'no_details' else 'filled' end as marker, coalesce(d.amount_usd, f.amount_usd) as amount_usd
-from deals d left join (select company_name_normalized, min(id) as id, arg_min(amount_usd, id) filter (amount_usd is not null) as amount_usd from deals where source_type = 'sec_filing' group by 1) f
-  on f.company_name_normalized = d.company_name_normalized where d.id not in (select deal_id from deal_investors)""")
+with open as (select id, amount_usd, company_name_normalized || case id % 2 when 0 then 'x' else '' end as norm from deals where id not in (select deal_id from deal_investors)),
+  filings as (select company_name_normalized as name, min(id) as f, arg_min(amount_usd, id) filter (amount_usd is not null) as filed, min(id) filter (amount_usd is not null) as g from deals where source_type = 'sec_filing' group by 1),
+  met as (select o.norm, min(f) as f, arg_min(filed, g) as filed from (select distinct norm from open) o join filings on (contains(o.norm, name) or contains(name, o.norm))
+    and least(length(o.norm), length(name))::double / greatest(length(o.norm), length(name)) >= 0.85 group by 1)
+select o.id, case when m.f is null then 'no_match' when m.filed is null then 'no_details' else 'filled' end as marker, coalesce(o.amount_usd, m.filed) as amount_usd, coalesce(p.persons, '') as persons
+from open o left join met m on m.norm = o.norm left join (select l.deal_id, string_agg(distinct i.name, '|' order by i.name) as persons from deal_investors l join investors i on i.id = l.investor_id group by 1) p on p.deal_id = m.f""")
 def filing_crossref(t: Tables) -> DataFrame:
-    """Deals without investors against filings of the same company."""
-    filings = t.deals.where("source_type = 'sec_filing'").groupBy("company_name_normalized").agg(
-        F.min("id").alias("f"), F.min_by("amount_usd", F.when(F.col("amount_usd").isNotNull(), F.col("id"))).alias("filed"))
-    rows = t.deals.join(t.deal_investors.select(F.col("deal_id").alias("id")), "id", "left_anti").join(filings, "company_name_normalized", "left")
+    """Deals without investors against filings of companies of that name, equal or nearly: amount, people of the first filing, marker.
+
+    Every other name is written with a letter more, so that the approximate match has work to do.
+    """
+    norm = F.concat("company_name_normalized", F.when(F.col("id") % 2 == 0, "x").otherwise(""))
+    rows = t.deals.join(t.deal_investors.select(F.col("deal_id").alias("id")), "id", "left_anti").select("id", "amount_usd", norm.alias("norm"))
+    sized = F.when(F.col("amount_usd").isNotNull(), F.col("id"))
+    filings = t.deals.where("source_type = 'sec_filing'").groupBy(F.col("company_name_normalized").alias("right_name")).agg(
+        F.min("id").alias("f"), F.min_by("amount_usd", sized).alias("filed"), F.min(sized).alias("g")).withColumn("r", F.col("right_name"))
+    names = rows.select(F.col("norm").alias("left_name")).distinct().withColumn("l", F.col("left_name"))
+    met = fuzzy_name_join(names, filings.select("r", "right_name"), 0.85).select(F.col("l").alias("norm"), "r").join(filings.select("r", "f", "filed", "g"), "r")
+    met = met.groupBy("norm").agg(F.min("f").alias("f"), F.min_by("filed", "g").alias("filed"))
+    people = t.deal_investors.join(met.select(F.col("f").alias("deal_id")).distinct(), "deal_id", "left_semi").join(t.investors.select(F.col("id").alias("investor_id"), "name"), "investor_id")
+    people = people.groupBy(F.col("deal_id").alias("f")).agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("persons"))
+    out = rows.join(met, "norm", "left").join(people, "f", "left")
     marker = F.when(F.col("f").isNull(), "no_match").when(F.col("filed").isNull(), "no_details").otherwise("filled")
-    return rows.select("id", marker.alias("marker"), F.coalesce("amount_usd", "filed").alias("amount_usd"))
+    return out.select("id", marker.alias("marker"), F.coalesce("amount_usd", "filed").alias("amount_usd"), F.coalesce("persons", F.lit("")).alias("persons"))
 
 
 _REGISTRY = "(select c_custkey as r, c_name || case c_custkey % 4 when 0 then ', Inc.' when 1 then ' LLC' when 2 then ', Incorporated in Delaware' else '' end as entity from customer)"

@@ -365,14 +365,30 @@ def reject_known_firms(t: Tables) -> DataFrame:
 FILING_JUNK = r"(?i)(\bfund\b|\bpartners\b|\btrust\b|\bl\.?p\.?$|\breit\b|\bholdings\b|\bbancorp\b|\bacquisition\b|^\d+\s)"
 
 
-@query("filing_gate", """
-select id, company_name || case id % 3 when 0 then ' Fund' when 1 then '' else '' end as name from deals where source_type in ('sec_filing', 'de_filing') and id % 3 <> 0""")
+_FILED_CAP = f"case {_BANDS} " + " ".join(f"when '{s}' then {v}" for s, v in R.STAGE_CAP.items()) + f" else {R.OTHER_CAP} end"
+
+
+@query("filing_gate", f"""
+with filed as (select id, city, case when id % 10 = 7 then 'Supplier#' || lpad(cast(id % 200 as varchar), 9, '0') else company_name end as name, case when id % 9 = 4 then amount_usd * 100000 else amount_usd end as amount_usd
+  from deals where source_type in ('sec_filing', 'de_filing') and id % 3 <> 0)
+select id, name from filed where (amount_usd is null or amount_usd > 0 and amount_usd <= {R.GLOBAL_CAP} and amount_usd <= {_FILED_CAP})
+  and (amount_usd is not null or city is not null) and lower(name) not in (select lower(name) from firms)""")
 def filing_gate(t: Tables) -> DataFrame:
-    """Filers that are companies: CIK tags off, fund vehicles out."""
-    k = F.col("id") % 3
-    said = F.concat("company_name", F.when(k == 0, " Fund").when(k == 1, F.concat(F.lit(" (CIK 000"), F.col("id").cast("string"), F.lit(")"))).otherwise(""))
-    clean = F.trim(F.regexp_replace(said, r"(?i)\s*\(CIK\s+\d+\)", ""))
-    return t.deals.where("source_type in ('sec_filing', 'de_filing')").where(~clean.rlike(FILING_JUNK)).select("id", clean.alias("name"))
+    """Filers that are companies: CIK tags off, fund vehicles, impossible amounts, filings without data and known firms out."""
+    k, filed = F.col("id") % 3, t.deals.where("source_type in ('sec_filing', 'de_filing')")
+    own = F.when(F.col("id") % 10 == 7, F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 200).cast("string"), 9, "0"))).otherwise(F.col("company_name"))
+    said = F.concat(own, F.when(k == 0, " Fund").when(k == 1, F.concat(F.lit(" (CIK 000"), F.col("id").cast("string"), F.lit(")"))).otherwise(""))
+    amount = F.when(F.col("id") % 9 == 4, F.col("amount_usd") * 100000).otherwise(F.col("amount_usd"))
+    return gate_filings(filed.select("id", said.alias("name"), amount.alias("amount_usd"), "city"), t.firms)
+
+
+def gate_filings(filings: DataFrame, firms: DataFrame) -> DataFrame:
+    """``id`` and tidy ``name`` of the filings (``id``, ``name``, ``amount_usd``, ``city``) that a company can have made."""
+    clean = F.trim(F.regexp_replace("name", r"(?i)\s*\(CIK\s+\d+\)", ""))
+    amount = F.col("amount_usd")
+    rows = filings.withColumn("name", clean).where(~F.col("name").rlike(FILING_JUNK) & (amount.isNotNull() | F.col("city").isNotNull()))
+    rows = rows.where(R.valid_amount(amount, R.stage_from_amount(amount))).withColumn("low", F.lower("name"))
+    return rows.join(firms.select(F.lower("name").alias("low")), "low", "left_anti").select("id", "name")
 
 
 @query("three_valued_match", f"""
