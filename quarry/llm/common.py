@@ -8,7 +8,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows of texts are handed back to the JVM in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
@@ -43,6 +44,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` with a column per entry of ``sums``: the sum of that expression over all rows up to this one in ``order``.
+
+    Rows are dealt by ranges and written with their range's number; each range is summed by itself, and what stands
+    before a range is a sum over ranges, of which there are no more than shuffle partitions.
+    """
+    spark = df.sparkSession
+    parts = staged(df.repartitionByRange(partitions(spark), *order).withColumn("__range", F.spark_partition_id()), name)
+    per = parts.groupBy("__range").agg(*[F.sum(F.expr(x)).alias(f"__{c}") for c, x in sums.items()])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__range", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    w = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = parts.join(F.broadcast(per), "__range")
+    return rows.select(*df.columns, *[(F.sum(F.expr(x)).over(w) + F.col(f"__{c}")).alias(c) for c, x in sums.items()])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: spreads every input bit over the whole word."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

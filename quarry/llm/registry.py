@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, html, leaks, lines, nearest, quality, simhash, substring, warc
+from quarry.llm import bpe, chat, html, leaks, lines, mixing, nearest, quality, simhash, substring, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_chat": chat.op9_chat,
         "op10_html": html.op10_html,
+        "op11_mixing": mixing.op11_mixing,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_lines": lines.OP3_SQL,
         "op6_warc": warc.OP6_SQL,
         "op9_chat": chat.OP9_SQL,
+        "op11_mixing": mixing.OP11_SQL,
     }
