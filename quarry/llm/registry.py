@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, html, leaks, lines, mixing, nearest, quality, simhash, substring, warc
+from quarry.llm import bpe, chat, html, leaks, lexical, lines, mixing, nearest, quality, simhash, substring, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_chat": chat.op9_chat,
         "op10_html": html.op10_html,
         "op11_mixing": mixing.op11_mixing,
+        "op12_lexical": lexical.op12_lexical,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.OP6_SQL,
         "op9_chat": chat.OP9_SQL,
         "op11_mixing": mixing.OP11_SQL,
+        "op12_lexical": lexical.OP12_SQL,
     }
