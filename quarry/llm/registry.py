@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, html, leaks, lexical, lines, mixing, nearest, quality, simhash, substring, warc
+from quarry.llm import bpe, chat, html, leaks, lexical, lines, mixing, nearest, prefixes, quality, simhash, substring, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_html": html.op10_html,
         "op11_mixing": mixing.op11_mixing,
         "op12_lexical": lexical.op12_lexical,
+        "op13_prefixes": prefixes.op13_prefixes,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat": chat.OP9_SQL,
         "op11_mixing": mixing.OP11_SQL,
         "op12_lexical": lexical.OP12_SQL,
+        "op13_prefixes": prefixes.OP13_SQL,
     }
