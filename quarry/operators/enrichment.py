@@ -73,18 +73,85 @@ def enrichment_markers(t: Tables) -> DataFrame:
     return cascade(t.deals, _sources(t), skip=("bulk", "abstracts"))[1].groupBy("key", "value").agg(count().alias("n"))
 
 
-@query("rawtext_investors", """
-select deal_id, name from (select id as deal_id, unnest(['Acme Ventures', 'Orion Capital', 'Fund ' || (id % 7)]) as name from deals where raw_text is not null and id % 4 = 1) x
-where deal_id not in (select deal_id from deal_investors)""")
+# Phrases after which backers are named, what is taken after them, and words that end a firm's name.
+BACKER_PHRASES = (
+    r"led\s+by\s+", r"backed\s+by\s+", r"participation\s+from\s+", r"investors\s+include\s+", r"Series\s+[A-Z]\d?\s+from\s+", r"raised\s+\$[\d,.]+[MBK]?\s+from\s+",
+    r"\$[\d,.]+[MBK]?\s+from\s+", r"(?:funding|investment)\s+from\s+")
+BACKERS = r"([A-Z][^.!?\n]{2,80})"
+BACKER_SUFFIXES = (
+    "capital", "ventures", "partners", "venture partners", "management", "advisors", "group", "fund", "invest", "investments", "equity", "holdings", "labs", "studio",
+    "studios", "accelerator")
+BETWEEN = r"\s*(?:,\s*and\s+|,\s*|\s+and\s+|\s*&\s*)\s*"
+LONGEST_BACKER = 5
+
+
+def investor_candidates(texts: DataFrame) -> DataFrame:
+    """``id``, ``name`` of what ``texts`` (``id``, ``text``) name as backers, each once.
+
+    All matches of each phrase count, also where phrases overlap; a list is split at commas and "and"; a name ends with
+    the first word that ends a firm's name, else with its fifth word.
+    """
+    texts = texts.where(F.col("text").rlike(r"(?i)\b(by|include|from)\s"))
+    spans = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?i){p}{BACKERS}"), F.lit(1)) for p in BACKER_PHRASES]))
+    spans = texts.select("id", F.explode(F.array_distinct(spans)).alias("span"))
+    parts = spans.select("id", F.explode(F.split(F.regexp_extract("span", "^[^.!?;]*", 0), BETWEEN)).alias("part")).where("trim(part) <> ''")
+    words = parts.select("id", F.split(F.trim("part"), r"\s+").alias("w"))
+    end = F.array_position(F.transform("w", lambda w: F.lower(F.rtrim(w, F.lit(".,;"))).isin(*BACKER_SUFFIXES)), True).cast("int")
+    name = F.array_join(F.slice("w", F.lit(1), F.when((end > 0) & (end < LONGEST_BACKER), end).otherwise(F.lit(LONGEST_BACKER))), " ")
+    names = words.select("id", F.btrim(F.btrim(F.btrim(name), F.lit(",")), F.lit(".")).alias("name"))
+    return names.where(F.char_length("name").between(3, 60) & ~F.col("name").rlike("(?i)^(a|the|an) ")).distinct()
+
+
+def candidates_sql(texts: str) -> str:
+    """The same as SQL over rows of ``id`` and ``text``."""
+    spans = ", ".join(f"regexp_extract_all(text, '(?i){p}{BACKERS}', 1)" for p in BACKER_PHRASES)
+    suffixes = ", ".join(f"'{x}'" for x in BACKER_SUFFIXES)
+    return f"""
+select distinct id, name from (
+  select id, trim(trim(trim(array_to_string(w[1:least({LONGEST_BACKER}, coalesce(nullif(list_position(list_transform(w, lambda x: lower(rtrim(x, '.,;')) in ({suffixes})), true), 0), {LONGEST_BACKER}))], ' ')), ','), '.') as name from (
+    select id, regexp_split_to_array(trim(part), '\\s+') as w from (
+      select id, unnest(regexp_split_to_array(regexp_extract(span, '^[^.!?;]*'), '{BETWEEN}')) as part from (
+        select id, unnest(flatten([{spans}])) as span from ({texts}))) where trim(part) <> ''))
+where length(name) between 3 and 60 and not regexp_matches(name, '(?i)^(a|the|an) ')"""
+
+
+#: Names and phrases of rendered texts.
+_BACKERS = ("Acme Ventures", "Orion Capital Partners", "Bright Fund of Ohio", "the Big Group", "Jane Doe", "Supplier#000000001", "Very Long Name Of A Holding Group", "Supplier#000000003.", "Delta Labs; Inc")
+_SAID = ("a round led by ", "backed by ", "with participation from ", "whose investors include ", "a Series B from ", "who raised $5M from ", "for $7.5M from ", "with funding from ", "investment  from ", "friends of ")
+
+
+def backer_texts(t: Tables) -> DataFrame:
+    """``id``, ``company_name``, ``text``: news of deals that name backers after several phrases."""
+    pick = lambda listed, by: F.element_at(F.array(*map(F.lit, listed)), (F.floor(F.col("id") / by) % len(listed) + 1).cast("int"))
+    n = [pick(_BACKERS, by) for by in (1, 2, 5, 11)]
+    text = F.concat("company_name", F.lit(" has "), pick(_SAID, 1), n[0], F.lit(", "), n[1], F.when(F.col("id") % 3 == 0, ", and ").otherwise(" & "), n[2], F.lit(". It is "), pick(_SAID, 3), n[3], F.lit(" and "), "company_name")
+    return t.deals.where("raw_text is not null").select("id", "company_name", text.alias("text"))
+
+
+def _picked(listed, by: int) -> str:
+    return f"([{', '.join(chr(39) + x + chr(39) for x in listed)}])[id // {by} % {len(listed)} + 1]"
+
+
+TEXTS_SQL = f"""select id, company_name, company_name || ' has ' || {_picked(_SAID, 1)} || {_picked(_BACKERS, 1)} || ', ' || {_picked(_BACKERS, 2)} || case when id % 3 = 0 then ', and ' else ' & ' end
+  || {_picked(_BACKERS, 5)} || '. It is ' || {_picked(_SAID, 3)} || {_picked(_BACKERS, 11)} || ' and ' || company_name as text from deals where raw_text is not null"""
+
+
+def text_backers(texts: DataFrame, firms: DataFrame) -> DataFrame:
+    """``id``, ``name``, ``known``: candidates of texts that are known firms or hold a firm's word, not the company itself."""
+    names = investor_candidates(texts).join(texts.select("id", "company_name"), "id").withColumn("low", F.lower("name"))
+    names = names.where(F.regexp_replace("low", r"[^a-z0-9\s]", "") != F.regexp_replace(F.lower("company_name"), r"[^a-z0-9\s]", ""))
+    known = firms.select(F.lower("name").alias("low"), F.lit(True).alias("k")).distinct()
+    names = names.join(known, "low", "left").withColumn("known", F.coalesce("k", F.lit(False)))
+    return names.where(F.col("known") | F.col("low").rlike("|".join(BACKER_SUFFIXES))).select("id", "name", "known")
+
+
+@query("rawtext_investors", f"""
+select c.id as deal_id, c.name, f.low is not null as known from ({candidates_sql(TEXTS_SQL)}) c join deals d on d.id = c.id left join (select distinct lower(name) as low from firms) f on f.low = lower(c.name)
+where c.id not in (select deal_id from deal_investors) and lower(c.name) <> lower(d.company_name) and (f.low is not null or regexp_matches(lower(c.name), '{"|".join(BACKER_SUFFIXES)}'))""")
 def rawtext_investors(t: Tables) -> DataFrame:
-    """Backers named in the text of deals without investors: those with a firm's word in their name, or known firms."""
-    from quarry.operators.extraction import extract_investors
-
-    rows = t.deals.where("raw_text is not null").select("id", "raw_text").join(t.deal_investors.select(F.col("deal_id").alias("id")), "id", "left_anti")
-    names = rows.select(F.col("id").alias("deal_id"), F.explode(extract_investors(F.col("raw_text"))).alias("x")).select("deal_id", "x.name")
-    known = t.firms.select(F.lower("name").alias("low"), F.lit(True).alias("known")).distinct()
-    names = names.withColumn("low", F.lower("name")).join(known, "low", "left")
-    return names.where(F.coalesce("known", F.lit(False)) | R.contains_any(F.col("low"), R.FIRM_WORDS)).select("deal_id", "name")
+    """Backers named in the texts of deals without investors."""
+    rows = backer_texts(t).join(t.deal_investors.select(F.col("deal_id").alias("id")), "id", "left_anti")
+    return text_backers(rows, t.firms).select(F.col("id").alias("deal_id"), "name", "known")
 
 
 @query("org_attributes_to_metadata", """

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import portfolio as P
 from quarry.functions import rules as R
 from quarry.functions.measures import count
-from quarry.functions.words import at, bares, contains_one, let, phrase, words_of
+from quarry.functions.words import at, bares, let, phrase, words_of
 from quarry.operators.linking import fuzzy_name_join
 from quarry.plans.registry import query
 from quarry.sources.staging import written
@@ -260,73 +261,31 @@ def gate_outcomes(t: Tables) -> DataFrame:
     return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome"), "source_type").agg(count().alias("candidates"))
 
 
-# Texts of buttons, menus, filters and labels that are no company.
-UI_WORDS = (
-    "get in touch", "go-to-market", "view all", "load more", "show more", "learn more", "read more", "visit website", "visit site", "back to top", "contact us",
-    "about us", "our team", "our portfolio", "our startups", "our mission", "see all", "see more", "subscribe", "sign up", "log in", "login", "sign in",
-    "privacy policy", "privacy", "privacy center", "terms of service", "terms of use", "terms", "cookie policy", "cookie settings", "filter", "sort", "search",
-    "menu", "close", "open", "all companies", "all", "current portfolio", "previous portfolio", "active", "exited", "limited partner login", "investor portal",
-    "lp portal", "lp log-in", "investor login", "for investors", "for founders", "for lps", "for lp's", "how we invest", "series a", "series b", "series c",
-    "series d", "series e", "pre-seed", "seed", "ipo", "gaming", "health", "health tech", "consumer", "finance", "media", "software", "education", "marketplace",
-    "other", "resources", "news", "blog", "press", "insights", "newsletter", "team", "studio", "linkedin", "twitter", "facebook", "instagram", "podcast", "faq",
-    "faqs", "reset", "apply", "cancel", "submit", "back", "next", "previous", "more", "less", "fundraising", "founder services", "investments", "partners",
-    "network", "careers", "events", "overview", "contact", "home", "stage", "spotlight", "trending topics", "disclosures", "featured", "enterprise", "commerce",
-    "crypto", "robotics", "space", "hardware", "fintech", "cybersecurity", "ai apps", "ai infrastructure & developer platforms", "data, ai & machine learning",
-    "energy & infrastructure", "enterprise apps & vertical ai", "infrastructure & developer tools", "jobs", "portfolio jobs", "digital health", "life sciences",
-    "loading...")
-# What labels, filters and notices leave inside a text, at its beginning and at its end.
-LABELS = (
-    "founder(s)", "partner since", "year of investment", "investment status", "entry stage", "country:", "industry:", "sector:", "disclaimer", "portfolio highlights",
-    "published on", "stage rtp", "sectorfintech", "sectorai", "sectorsaas", "sectore-commerce", "sectoragriculture", "customerb2b", "customerb2c", "statuscurrent",
-    "statusexited", "statusactive", "status:current", "status:exited", "status:active", "link opens in new tab", "enterprise weekly newsletter", "browse our",
-    "play video", "view legal", "nvp promise", "company↑", "initial investment:", "entry year:", "marketplace:all", "other-")
-STARTS = ("about ", "acquired by ", "exited to ", "exited investments")
-ENDINGS = (
-    "exittrue", "exitfalse", "exitstrue", "exitsfalse", "allmedia", "allcommerce", "allsaas", "allfintech", "allhealthcare", "alleducation", "allhr",
-    "allproptech", "allsocial", "allcrypto", "commerceall", "fintechall", "healthcareall", "educationall", "saasall")
-FILTERS, STATES = ("Consumer", "Enterprise", "AI", "Fintech", "Healthcare", "Commerce"), ("Current", "Exited", "Active", "Live")
-
-
 def valid_portfolio_name(c: Column) -> Column:
-    """Whether a listed text is a company's name: no button, label, filter, number, status or sentence."""
-    one_of = lambda text, listed, test: F.exists(F.array(*map(F.lit, listed)), lambda x: test(text, x))
-
-    def fine(name: Column) -> Column:
-        low = F.lower(name)
-        words = words_of(name)
-        glued = one_of(name, FILTERS, lambda t, x: F.startswith(t, x)) & one_of(name, STATES, lambda t, x: F.endswith(t, x)) & ~name.contains(" ")
-        caps = (F.char_length(name) > 10) & (name.rlike("[a-z]ALL[A-Z]|[A-Z]ALL[a-z]") | name.endswith("ALL"))
-        status = (name == "Acquired") | (F.char_length(name) < 25) & name.rlike("^(Acquired|IPO)[A-Z][a-z]") | name.rlike(r"^(Status|Sector)[A-Z]|^Investment Year\d")
-        trade = name.rlike("-(Developer|Creator|Maker|Builder|Provider) of ")
-        junk = low.isin(*UI_WORDS) | (low == "about") | contains_one(low, LABELS) | one_of(low, STARTS, lambda t, x: F.startswith(t, x)) | one_of(low, ENDINGS, lambda t, x: F.endswith(t, x))
-        lower = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Ll}")))
-        sentence = (F.size(words) > 3) & (lower > F.size(words) * 0.6)
-        return F.char_length(name).between(2, 60) & ~name.rlike(r"^\d+$") & ~junk & ~glued & ~caps & ~status & ~trade & ~sentence
-
-    return F.coalesce(let(F.trim(F.regexp_replace(c, r"[\u200b-\u200f\u2028-\u202f\u2060\ufeff]", "")), fine), F.lit(False))
+    """Whether a listed text is a company's name."""
+    return P.is_company_name(c)
 
 
-def _portfolio_candidates(t: Tables) -> DataFrame:
-    k = F.col("id") % 11
-    name = F.when(k == 0, "Learn More").when(k == 1, F.concat("company_name", F.lit(" (Exited)"))).when(k == 2, "2021").when(k == 3, F.concat("company_name", F.lit(" Sector: Fintech")))
-    return t.portfolio.withColumn("company_name", F.coalesce(name, F.col("company_name")))
+def _listed(t: Tables) -> DataFrame:
+    return P.listed(t.portfolio)
 
 
-@query("validate_portfolio", """
-select id, case when id % 11 in (0, 2, 3) then 'junk_pattern' else 'accepted' end as outcome, case when id % 11 in (0, 2, 3) then null else company_name end as company_name from portfolio""")
+@query("validate_portfolio", P.judged_sql(P.listed_sql()) + """
+select id, case when length(trim(name)) < 2 then 'empty_name' when length(trim(name)) > 60 then 'name_too_long' when valid then 'accepted' else 'junk_pattern' end as outcome,
+  case when valid then trim(regexp_replace(regexp_replace(trim(name), '(?i)Exits?(true|false)$', ''), '\\((Acquired|Exited)\\)', '', 'g')) end as company_name from judged""")
 def validate_portfolio(t: Tables) -> DataFrame:
-    rows = _portfolio_candidates(t)
-    name = F.trim("company_name")
+    name = F.trim("name")
     clean = F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)Exits?(true|false)$", ""), r"\((Acquired|Exited)\)", ""))
     reason = (
-        F.when(F.coalesce(F.char_length(name), F.lit(0)) < 2, "empty_name").when(F.char_length(name) > 60, "name_too_long")
+        F.when(F.coalesce(F.char_length(name), F.lit(0)) < 2, "empty_name").when(F.char_length(name) > P.LONGEST, "name_too_long")
         .when(~valid_portfolio_name(name), "junk_pattern").when(F.char_length(clean) < 2, "empty_name"))
-    return rows.select("id", F.coalesce(reason, F.lit("accepted")).alias("outcome"), F.when(reason.isNull(), clean).alias("company_name"))
+    return _listed(t).select("id", F.coalesce(reason, F.lit("accepted")).alias("outcome"), F.when(reason.isNull(), clean).alias("company_name"))
 
 
-@query("junk_portfolio_rows", "select id from portfolio where id % 11 in (0, 2, 3)")
+@query("junk_portfolio_rows", f"select id, name from ({P.listed_sql()}) where {P.junk_sql('name')}")
 def junk_portfolio_rows(t: Tables) -> DataFrame:
-    return _portfolio_candidates(t).where(~valid_portfolio_name(F.col("company_name"))).select("id")
+    """Rows that the clean-up of portfolios deletes."""
+    return _listed(t).where(P.is_junk_row(F.col("name"))).select("id", "name")
 
 
 def bad_firm_name(c: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import portfolio as P
 from quarry.functions import rules as R
 from quarry.functions.words import let
+from quarry.operators import enrichment as E
 from quarry.operators.enrichment import classify_mentions
 from quarry.operators.extraction import clean_investor, parse_investors, valid_investor
-from quarry.operators.gates import FILING_JUNK, valid_portfolio_name as portfolio_name_rule
+from quarry.operators.gates import FILING_JUNK
 from quarry.operators.upkeep import read_snapshot, write_snapshot
 from quarry.plans.registry import query
 from quarry.sources.staging import shared_root
@@ -62,16 +64,11 @@ def valid_investor_name(t: Tables) -> DataFrame:
     return t.investors.select("id", valid_investor(F.coalesce(name, F.concat(F.initcap("name"), F.lit(" who led the round")))).alias("valid"))
 
 
-def investor_candidates(text: Column) -> Column:
-    """Every run of capitalized words that ends like a firm's name, each once."""
-    found = F.regexp_extract_all(text, F.lit(rf"((?:[A-Z][A-Za-z0-9]*\s+){{1,4}}{VC_END})\b"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.trim(x)))
-
-
-@query("investor_candidates", "select id, 'Acme Ventures' as first, 2::bigint as n from deals where raw_text is not null and id % 4 = 1")
-def _investor_candidates(t: Tables) -> DataFrame:
-    rows = t.articles.where("title like '% led by %'").select("id", investor_candidates(F.regexp_extract("title", r"led by (.*)", 1)).alias("c"))
-    return rows.select("id", F.element_at("c", 1).alias("first"), F.size("c").cast("long").alias("n"))
+@query("investor_candidates", f"""
+select distinct id, name from ({E.candidates_sql(E.TEXTS_SQL)})""")
+def investor_candidates(t: Tables) -> DataFrame:
+    """Names after eight phrases in texts of news."""
+    return E.investor_candidates(E.backer_texts(t))
 
 
 _WRITTEN_INVESTORS = f"""(select id, case id % 9 when 0 then n || ' Partners' when 1 then n when 2 then 'ABC ' || n when 3 then '37 ' || n when 4 then lower(n) when 5 then upper(n)
@@ -90,11 +87,10 @@ def investor_looks_like_firm(t: Tables) -> DataFrame:
     return t.investors.select("id", R.investor_looks_like_firm(said).alias("firm"))
 
 
-@query("valid_portfolio_name", "select id, id % 5 in (2, 4) as valid from portfolio")
+@query("valid_portfolio_name", P.judged_sql(P.listed_sql()) + "select id, name, valid from judged")
 def valid_portfolio_name(t: Tables) -> DataFrame:
-    k = F.col("id") % 5
-    name = F.when(k == 0, "View All").when(k == 1, "2020").when(k == 3, F.concat("company_name", F.lit(" Country: US")))
-    return t.portfolio.select("id", portfolio_name_rule(F.coalesce(name, F.col("company_name"))).alias("valid"))
+    """The rule over names as pages list them: companies, labels, glued categories, places, sentences."""
+    return P.listed(t.portfolio).select("id", "name", P.is_company_name(F.col("name")).alias("valid"))
 
 
 @query("is_junk_filing_name", "select id, id % 4 in (0, 1, 2) as junk from deals where source_type = 'sec_filing' or id % 4 > 0")

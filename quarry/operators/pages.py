@@ -107,7 +107,8 @@ def read_portfolios(pages: DataFrame, most: int | None = None) -> DataFrame:
     elsewhere = ~own & ~F.exists(F.array(*map(F.lit, PLATFORMS)), lambda x: F.contains(link, x))
     shaped = glued().rlike(r"^\p{Lu}") | (glued().contains(" ") & ~glued().startswith("#"))
     links = n.where((tag == "a") & link.startswith("http") & elsewhere & shaped).select(*row(5, node, glued(), link, none))
-    rows = listed.unionByName(boxes).unionByName(wraps).unionByName(plain).unionByName(links).where(valid_portfolio_name(F.col("company_name")))
+    # written, so that names are made once and not in each test of them
+    rows = written(listed.unionByName(boxes).unionByName(wraps).unionByName(plain).unionByName(links), "listed").where(valid_portfolio_name(F.col("company_name")))
     rows = rows.withColumn("__first", F.min("layout").over(Window.partitionBy("page_id"))).where("layout = __first")
     # a name is listed once where links tell, each card otherwise
     again = F.row_number().over(Window.partitionBy("page_id", F.when(F.col("layout").isin(1, 5), F.col("company_name")).otherwise(F.col("place").cast("string"))).orderBy("place"))
@@ -127,7 +128,8 @@ def _paged(rows: DataFrame, key: Column, order: str, html: Column, before: Colum
     rows = rows.withColumn("p", F.floor((F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1) / size))
     pages = rows.groupBy("k", "p").agg(F.first("url").alias("url"), F.first("b").alias("b"), F.array_sort(F.collect_list(F.struct("o", "h"))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: r["h"]), "\n")
-    return pages.select((F.col("k") * 100000 + F.col("p")).alias("page_id"), "url", F.concat(F.lit("<html><head><title>t</title></head><body>"), "b", body, F.lit("</body></html>")).alias("html"))
+    pages = pages.select((F.col("k") * 100000 + F.col("p")).alias("page_id"), "url", F.concat(F.lit("<html><head><title>t</title></head><body>"), "b", body, F.lit("</body></html>")).alias("html"))
+    return pages.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")  # small pages, much work
 
 
 def portfolio_pages(t: Tables) -> DataFrame:

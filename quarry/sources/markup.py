@@ -16,6 +16,11 @@ ASIDE = frozenset(("nav", "footer", "aside", "header"))
 SHOWN = 600
 #: Between the pieces of an element's text.
 GAP = "\x1f"
+#: Nodes that are handed back to the JVM together.
+SLICE = 5000
+ARROW = {
+    "page_id": pa.int64(), "url": pa.string(), "node": pa.int32(), "last": pa.int32(), "parent": pa.int32(), "parent_last": pa.int32(), "tag": pa.string(),
+    "classes": pa.list_(pa.string()), "kind": pa.string(), "link": pa.string(), "stamp": pa.string(), "text": pa.string(), "aside": pa.bool_()}
 NODE = (
     "page_id long, url string, node int, last int, parent int, parent_last int, tag string, classes array<string>, kind string, link string, stamp string, text string, aside boolean")
 
@@ -75,26 +80,22 @@ def page_nodes(pages: DataFrame, *more: str) -> DataFrame:
     ``GAP`` between, of a script of linked data its content. White space is one blank. ``link``, ``stamp`` and ``kind``
     are the attributes href, datetime and type. Null pages have no nodes. A page is read as a whole by one worker.
     """
-    names = [x.split()[0] for x in NODE.split(", ")]
     kinds = dict(pages.select(*more).dtypes) if more else {}
-    schema = pa.schema([
-        ("page_id", pa.int64()), ("url", pa.string()), ("node", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("parent_last", pa.int32()), ("tag", pa.string()),
-        ("classes", pa.list_(pa.string())), ("kind", pa.string()), ("link", pa.string()), ("stamp", pa.string()), ("text", pa.string()), ("aside", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                page = batch.slice(i, 1).to_pylist()[0]
+                page = {x: batch.column(x)[i].as_py() for x in batch.schema.names}
                 reader = _Reader()
                 reader.feed(page["html"] or "")
-                found = [
-                    {**page, **row, "parent": row["above"] and row["above"]["node"], "parent_last": row["above"] and row["above"]["last"], "text": GAP.join(row["text"])}
-                    for row in reader.done()]
-                for at in range(0, len(found), 5000):
-                    part = pa.RecordBatch.from_pylist([{k: row[k] for k in names} for row in found[at : at + 5000]], schema)
-                    for x in more:
-                        part = part.append_column(x, pa.array([page[x]] * part.num_rows, batch.schema.field(x).type))
-                    yield part
+                found = reader.done()
+                for at in range(0, len(found), SLICE):
+                    part = found[at : at + SLICE]
+                    above = [row["above"] for row in part]
+                    given = {"page_id": [page["page_id"]] * len(part), "url": [page["url"]] * len(part), "parent": [x and x["node"] for x in above], "parent_last": [x and x["last"] for x in above], "text": [GAP.join(row["text"]) for row in part]}
+                    columns = [pa.array(given[x] if x in given else [row[x] for row in part], kind) for x, kind in ARROW.items()]
+                    columns += [pa.array([page[x]] * len(part), batch.schema.field(x).type) for x in more]
+                    yield pa.RecordBatch.from_arrays(columns, [*ARROW, *more])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html", *more).mapInArrow(run, ", ".join([NODE, *[f"{x} {kinds[x]}" for x in more]]))
 

@@ -228,4 +228,6 @@ def with_views(sql: str) -> str:
         return sql
     views = ",\n".join(f"{name} as ({VIEWS[name]})" for name in needed)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {views},\n{body[15:]}"
     return f"with {views},\n{body[5:]}" if body.lower().startswith("with ") else f"with {views}\n{body}"
