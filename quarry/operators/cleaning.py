@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
@@ -11,38 +11,65 @@ from quarry.operators.gates import _BANDS, _LEVEL, valid_portfolio_name
 from quarry.operators.linking import fuzzy_name_join
 from quarry.operators.upkeep import cascade_delete, repoint
 from quarry.plans.registry import query
+from quarry.sources.staging import written
 from quarry.sources.tables import Tables, norm_name
 
 
-def round_clusters(deals: DataFrame) -> DataFrame:
-    """``id``, ``company_name_normalized`` and ``lead_id``, the first deal of the cluster that a deal falls into.
+#: Days of a date band: dates of one round lie in a band or in neighbouring ones. Bands of deals without a date.
+BAND, NO_BAND = R.DAYS_APART + 1, -(10**6)
 
-    Deals of a company are taken by id; each joins the first cluster whose first member it fits, else opens one. That
-    is a fold over the company's deals, which are as many as it had rounds.
-    """
-    rows = deals.where("company_name_normalized <> ''").groupBy("company_name_normalized").agg(
-        F.array_sort(F.collect_list(F.struct("id", "stage", "amount_usd", "date_announced"))).alias("d"))
 
-    def fits(x, lead):
-        similar, close = R.amounts_similar(x["amount_usd"], lead["amount_usd"]), R.dates_close(x["date_announced"], lead["date_announced"])
-        stages = R.same_stage(x["stage"], lead["stage"])
-        return (R.yes(similar) & ~R.no(close)) | (R.yes(close) & similar.isNull()) | (similar.isNull() & ~R.no(close) & stages)
+def _fits(similar: Column, close: Column, stages: Column) -> Column:
+    return (R.yes(similar) & ~R.no(close)) | (R.yes(close) & similar.isNull()) | (similar.isNull() & ~R.no(close) & stages)
 
-    def step(state, x):
-        found = F.filter(state["leads"], lambda lead: fits(x, lead))
-        lead = F.when(F.size(found) > 0, found[0]["id"]).otherwise(x["id"])
-        leads = F.when(F.size(found) > 0, state["leads"]).otherwise(F.array_append(state["leads"], x))
-        return F.struct(leads.alias("leads"), F.array_append(state["out"], F.struct(x["id"].alias("id"), lead.alias("lead_id"))).alias("out"))
 
-    kind = "array<struct<id:bigint,stage:string,amount_usd:double,date_announced:date>>"
-    zero = F.struct(F.array().cast(kind).alias("leads"), F.array().cast("array<struct<id:bigint,lead_id:bigint>>").alias("out"))
-    out = rows.select("company_name_normalized", F.explode(F.aggregate("d", zero, step)["out"]).alias("x"))
-    return out.select("x.id", "company_name_normalized", "x.lead_id")
+def _meetings(rows: DataFrame, leads: DataFrame) -> DataFrame:
+    """(``id``, ``lead_id``) of rows with the leads of smaller id that they fit; leads are few in each date band.
 
+    A dated row meets the leads of its own and the neighbouring bands and those without a date, one without a date all.
+    """
+    c = F.col
+    right = leads.select(c("id").alias("lead_id"), c("name"), F.coalesce("band", F.lit(NO_BAND)).alias("probe"), c("stage").alias("s2"), c("amount_usd").alias("a2"), c("date_announced").alias("d2"))
+    fits = (c("lead_id") < c("id")) & _fits(R.amounts_similar(c("amount_usd"), c("a2")), R.dates_close(c("date_announced"), c("d2")), R.same_stage(c("stage"), c("s2")))
+    dated = rows.where("band is not null").withColumn("probe", F.explode(F.array(c("band") - 1, c("band"), c("band") + 1, F.lit(NO_BAND))))
+    near = dated.join(right.hint("merge"), ["name", "probe"]).where(fits).select("id", "lead_id")
+    return near.unionByName(rows.where("band is null").join(right.drop("probe").hint("merge"), "name").where(fits).select("id", "lead_id"))
 
-def merge_duplicates(deals: DataFrame, deal_firms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deals, deal_firms) with one deal for each cluster; gaps are filled and links moved to it."""
-    found = deals.join(round_clusters(deals).select("id", "lead_id"), "id", "left").withColumn("lead_id", F.coalesce("lead_id", "id"))
+
+def round_clusters(deals: DataFrame) -> DataFrame:
+    """``id``, ``company_name_normalized`` and ``lead_id``, the first deal of the cluster that a deal falls into.
+
+    Deals of a company are taken by id; each joins the first cluster whose first member it fits, else opens one. So a
+    deal opens a cluster if it fits no earlier opener. Rounds find these: of each band of dates and amounts the open
+    deal of least id is a candidate; those that no earlier open deal fits open clusters, and the deals that fit them are
+    open no more. A round joins each deal with few candidates, so a company of any number of deals is many small joins.
+    """
+    c = F.col
+    rows = deals.where("company_name_normalized <> ''").select(
+        "id", c("company_name_normalized").alias("name"), "stage", "amount_usd", "date_announced", F.floor(F.datediff("date_announced", F.lit("1970-01-01").cast("date")) / BAND).alias("band"),
+        F.when(c("amount_usd") != 0, F.floor(F.log2(F.greatest("amount_usd", F.lit(1.0))))).alias("size"))
+    rows = written(rows, "rounds")
+    still, openers = rows, None
+    while True:
+        first = F.min_by(F.struct(*rows.columns), "id").alias("x")
+        candidates = written(still.groupBy("name", "band", "size").agg(first).select("x.*"), "candidates")
+        # a candidate waits while an earlier open deal fits it: fitting goes both ways, so the candidates are the leads
+        waits = _meetings(candidates, still)
+        opened = written(candidates.join(waits.select("id").distinct().hint("merge"), "id", "left_anti"), "openers")
+        openers = opened if openers is None else openers.unionByName(opened)
+        covered = _meetings(still, opened).select("id").unionByName(opened.select("id")).distinct()
+        still = written(still.join(covered.hint("merge"), "id", "left_anti"), "open")
+        if still.isEmpty():
+            break
+    member = _meetings(rows, openers).groupBy("id").agg(F.min("lead_id").alias("lead_id"))
+    first = openers.select("id", c("id").alias("own"))
+    out = rows.join(first.hint("merge"), "id", "left").join(member.hint("merge"), "id", "left")
+    return out.select("id", c("name").alias("company_name_normalized"), F.coalesce("own", "lead_id").alias("lead_id"))
+
+
+def merge_duplicates(deals: DataFrame, deal_firms: DataFrame, deal_investors: DataFrame, deal_metadata: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables with one deal for each cluster: gaps filled, links moved to it, metadata of the others removed."""
+    found = deals.join(round_clusters(deals).select("id", "lead_id").hint("merge"), "id", "left").withColumn("lead_id", F.coalesce("lead_id", "id"))
     order = [F.desc("confidence_score"), F.desc_nulls_last("amount_usd"), F.desc(F.col("company_website").isNotNull()), F.desc(F.coalesce("company_description", F.lit("")) != ""), F.asc("id")]
     w = Window.partitionBy("lead_id").orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -50,20 +77,62 @@ def merge_duplicates(deals: DataFrame, deal_firms: DataFrame) -> tuple[DataFrame
     ranked = found.select(
         *[c for c in deals.columns if c not in ("amount_usd", "company_website", "company_description")], F.row_number().over(w).alias("n"), F.first("id").over(whole).alias("keeper"),
         first("amount_usd").alias("amount_usd"), first("company_website").alias("company_website"), first(F.nullif("company_description", F.lit(""))).alias("company_description"))
+    ranked = written(ranked, "ranked")
     mapping = ranked.where("n > 1").select(F.col("id").alias("old"), F.col("keeper").alias("new"))
-    links = repoint(deal_firms, mapping, "deal_id", ["deal_id", "firm_id"], F.col("role"))
-    return ranked.where("n = 1").drop("n", "keeper"), links
+    firms = repoint(deal_firms, mapping, "deal_id", ["deal_id", "firm_id"], F.col("role"))
+    people = repoint(deal_investors, mapping, "deal_id", ["deal_id", "investor_id"], F.col("investor_id"))
+    facts = deal_metadata.join(mapping.select(F.col("old").alias("deal_id")), "deal_id", "left_anti")
+    return ranked.where("n = 1").drop("n", "keeper"), firms, people, facts
+
+
+_FOLD = """
+with recursive d as (
+  select id, company_name_normalized as name, stage as s, amount_usd as a, date_announced as t, row_number() over (partition by company_name_normalized order by id) as k from deals where company_name_normalized <> ''),
+f as (
+  select name, k, id, id as lead, [{'id': id, 's': s, 'a': a, 't': t}] as leads from d where k = 1
+  union all
+  select name, k, id, coalesce(hit[1].id, id), case when len(hit) > 0 then leads else list_append(leads, {'id': id, 's': s, 'a': a, 't': t}) end
+  from (select f.leads, d.*, list_filter(list_filter(f.leads, lambda x: x.s is not null), lambda x:
+      d.a is not null and x.a is not null and greatest(d.a, x.a) / greatest(least(d.a, x.a), 1) <= 2 and coalesce(abs(datediff('day', d.t, x.t)) <= 180, true)
+      or coalesce(abs(datediff('day', d.t, x.t)) <= 180, false) and (d.a is null or x.a is null)
+      or (d.a is null or x.a is null) and coalesce(abs(datediff('day', d.t, x.t)) <= 180, true) and (d.s = x.s or d.s = 'Unknown' or x.s = 'Unknown')) as hit
+    from f join d on d.name = f.name and d.k = f.k + 1)),
+r as (
+  select d.*, f.lead, row_number() over (partition by f.lead order by confidence_score desc, amount_usd desc nulls last, company_website is not null desc, coalesce(company_description, '') <> '' desc, d.id) as n
+  from deals d join f on f.id = d.id),
+kept as (select id as loser, first_value(id) over (partition by lead order by n) as keeper from r)"""
+
+
+@query("round_clusters", _FOLD + " select id, name as company_name_normalized, lead as lead_id from f")
+def _round_clusters(t: Tables) -> DataFrame:
+    return round_clusters(t.deals)
+
+
+def _merged(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return merge_duplicates(t.deals, t.deal_firms, t.deal_investors, t.deal_metadata)
+
+
+@query("merge_duplicate_deals", _FOLD + """
+select arg_min(id, n) as id, any_value(company_name_normalized) as company_name_normalized, arg_min(amount_usd, n) filter (amount_usd is not null) as amount_usd,
+  arg_min(company_website, n) filter (company_website is not null) as company_website, arg_min(company_description, n) filter (company_description <> '') as company_description from r group by lead""")
+def merge_duplicate_deals(t: Tables) -> DataFrame:
+    return _merged(t)[0].select("id", "company_name_normalized", "amount_usd", "company_website", "company_description")
 
 
-@query("merge_duplicate_deals")
-def merge_duplicate_deals(t: Tables) -> DataFrame:
-    return merge_duplicates(t.deals, t.deal_firms)[0].select("id", "company_name_normalized", "amount_usd", "company_website", "company_description")
+@query("merge_deal_investors", _FOLD + " select distinct keeper as deal_id, investor_id from deal_investors join kept on loser = deal_id")
+def merge_deal_investors(t: Tables) -> DataFrame:
+    return _merged(t)[2]
+
+
+@query("merge_deal_metadata", _FOLD + " select deal_id, key, value from deal_metadata where deal_id in (select keeper from kept)")
+def merge_deal_metadata(t: Tables) -> DataFrame:
+    return _merged(t)[3]
 
 
 @query("merge_keeps_firms", "select count(distinct firm_id) as firms from deal_firms")
 def merge_keeps_firms(t: Tables) -> DataFrame:
     """Merging moves links and loses no firm."""
-    return merge_duplicates(t.deals, t.deal_firms)[1].agg(F.countDistinct("firm_id").alias("firms"))
+    return _merged(t)[1].agg(F.countDistinct("firm_id").alias("firms"))
 
 
 _AUDIT = f"""
