@@ -241,16 +241,6 @@ def incorporation_crossref(t: Tables) -> DataFrame:
     return hit.select("id", F.concat("raw_text", F.lit(" [registry: "), "entity", F.lit("]")).alias("raw_text"))
 
 
-@query("link_investors", """
-select deal_id, 'firm' as kind, n as name, f.id as known from (select id as deal_id, unnest(['Acme Ventures', 'Supplier#00000000' || (id % 10), 'Jane Doe']) as n from deals) x left join firms f on lower(f.name) = lower(n) where n <> 'Jane Doe'
-union all select id, 'person', 'Jane Doe', null from deals""")
-def link_investors(t: Tables) -> DataFrame:
-    """Mentions sorted into known firms, new firms and people."""
-    k = F.col("id")
-    said = F.array(F.lit("Acme Ventures"), F.concat(F.lit("Supplier#00000000"), (k % 10).cast("string")), F.lit("Jane Doe"))
-    return classify_mentions(t.deals.select(k.alias("deal_id"), F.explode(said).alias("name")), t.firms)
-
-
 def classify_mentions(mentions: DataFrame, firms: DataFrame) -> DataFrame:
     """``kind`` (firm or person) and ``known``, the id of the firm that the name is, exactly or by a fuzzy match."""
     names = mentions.select("name").distinct()
