@@ -5,10 +5,16 @@ offset range in its file. ``FANOUT`` nodes next to each other make one node of t
 their joint range, up to one root per file. Two replicas are compared root by root; only the children of nodes that
 differ are looked at below, down to the records. Node tables of all levels are built by grouping.
 
-A record that one replica lacks is reported with no digest there. Rows with equal content are separate records, ordered
-by digest, so ties have one order. Null urls and payloads are written as empty. Rows without an id are dealt over many
-files by their url. Payloads are read and hashed as UTF-8 bytes of any length that a row may have. Empty replicas are
-equal. Other columns than ``page_id``, ``url`` and ``html`` are not read.
+The records below differing nodes are then aligned by what they are, not by where they stand: those of equal id and
+bytes first, then those left over of equal id, in order, as ``content``. What only one replica has is ``lost`` or
+``added``; after a lost record all later ones stand elsewhere without being reported. Records without an id have their
+bytes alone to tell them. A record of equal bytes whose neighbours on both sides are others, among the records that
+both replicas have, is ``moved``.
+
+Rows with equal content are separate records, ordered by digest, so ties have one order. Null urls and payloads are
+written as empty. Rows without an id are dealt over many files by their url; rows that share one id are in one file.
+Payloads are read and hashed as UTF-8 bytes of any length that a row may have. Empty replicas are equal. Other columns
+than ``page_id``, ``url`` and ``html`` are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import staged, table
 
 FANOUT = 16
-#: Page ids that share a WARC file, and the largest number of levels: files of up to FANOUT ** LEVELS records.
-PAGES_PER_FILE, LEVELS = 1000, 8
+#: Page ids that share a WARC file.
+PAGES_PER_FILE = 1000
 
 
 def record_bytes(url: Column, payload: Column, ident: Column) -> Column:
@@ -72,8 +78,8 @@ def merkle_levels(records: DataFrame, levels: int) -> list[DataFrame]:
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """Records that differ between two replicas' ``fixity`` tables.
 
-    ``file``, ``seq``, ``page_id``, ``start_a``, ``start_b``, ``digest_a``, ``digest_b`` and ``kind``: ``content``
-    (other bytes), ``moved`` (same bytes at another offset) or ``missing``.
+    ``file``, ``seq`` (in the first replica that has it), ``page_id``, ``start_a``, ``start_b``, ``digest_a``,
+    ``digest_b`` and ``kind``: ``content`` (other bytes), ``moved`` (same bytes in another order), ``lost`` or ``added``.
     """
     a, b = staged(a, "fixity"), staged(b, "fixity")
     longest = a.unionByName(b).agg(F.max("seq")).first()[0] or 0
@@ -95,15 +101,37 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         parent = F.floor(F.col("seq") / FANOUT).cast("long")
         a = a.withColumn("parent", parent).join(suspect.hint("merge"), ["file", "parent"], "left_semi")
         b = b.withColumn("parent", parent).join(suspect.hint("merge"), ["file", "parent"], "left_semi")
-    x = a.select("file", "seq", F.col("page_id").alias("page_a"), F.col("start").alias("start_a"), F.col("stop").alias("stop_a"), F.col("digest").alias("digest_a"))
-    y = b.select("file", "seq", F.col("page_id").alias("page_b"), F.col("start").alias("start_b"), F.col("stop").alias("stop_b"), F.col("digest").alias("digest_b"))
-    kind = (
-        F.when(F.col("digest_a").isNull() | F.col("digest_b").isNull(), "missing")
-        .when(F.col("digest_a") != F.col("digest_b"), "content")
-        .when((F.col("start_a") != F.col("start_b")) | (F.col("stop_a") != F.col("stop_b")), "moved"))
-    return (
-        x.join(y.hint("merge"), ["file", "seq"], "full").withColumn("kind", kind).where("kind is not null")
-        .select("file", "seq", F.coalesce("page_a", "page_b").alias("page_id"), "start_a", "start_b", "digest_a", "digest_b", "kind"))
+    return aligned(a, b)
+
+
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What differs between records of two replicas, met by id and bytes within their file."""
+
+    def numbered(rows: DataFrame, side: str) -> DataFrame:
+        w = Window.partitionBy("file", "page_id", "digest").orderBy("seq")
+        rows = rows.select("file", F.col("page_id").alias("page_id"), "seq", "start", "digest", F.row_number().over(w).alias("n"))
+        return staged(rows.withColumnsRenamed({"seq": f"seq_{side}", "start": f"start_{side}"}), "records")
+
+    x, y = numbered(a, "a"), numbered(b, "b")
+    right = y.select(*[F.col(c).alias(c if c == "seq_b" or c == "start_b" else f"{c}_b") for c in y.columns])
+    same = x.join(right.hint("merge"), (x.file == right.file_b) & x.page_id.eqNullSafe(right.page_id_b) & (x.digest == right.digest_b) & (x.n == right.n_b))
+    same = staged(same.select("file", "page_id", "seq_a", "seq_b", "start_a", "start_b", F.col("digest").alias("digest_a"), F.col("digest").alias("digest_b")), "same")
+
+    def left(rows: DataFrame, side: str) -> DataFrame:
+        rest = rows.join(same.select("file", f"seq_{side}").hint("merge"), ["file", f"seq_{side}"], "left_anti")
+        # without an id there is nothing to hold other bytes against
+        nth = F.when(F.col("page_id").isNull(), None).otherwise(F.row_number().over(Window.partitionBy("file", "page_id").orderBy(f"seq_{side}")))
+        return rest.select("file", "page_id", f"seq_{side}", f"start_{side}", F.col("digest").alias(f"digest_{side}"), nth.alias("nth"))
+
+    rest = left(x, "a").join(left(y, "b").hint("merge"), ["file", "page_id", "nth"], "full").drop("nth")
+    changed = F.when(F.col("seq_b").isNull(), "lost").when(F.col("seq_a").isNull(), "added").otherwise("content")
+    rest = staged(rest.withColumn("kind", changed).select(*same.columns, "kind"), "differing")
+    both = same.withColumn("kind", F.lit(None).cast("string")).unionByName(rest.where("kind = 'content'"))
+    w = lambda side: Window.partitionBy("file").orderBy(f"seq_{side}")
+    other = lambda f: ~f("seq_a").over(w("a")).eqNullSafe(f("seq_a").over(w("b")))
+    moved = both.withColumn("moved", other(F.lag) & other(F.lead)).where("moved and kind is null").withColumn("kind", F.lit("moved"))
+    out = rest.unionByName(moved.drop("moved"))
+    return out.select("file", F.coalesce("seq_a", "seq_b").alias("seq"), "page_id", "start_a", "start_b", "digest_a", "digest_b", "kind")
 
 
 def write_warc(pages: DataFrame, path: str, per_file: int = PAGES_PER_FILE) -> None:
@@ -135,29 +163,34 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of the archive of ``pages`` against a replica with one byte changed in every 97th page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    worn = F.when((F.col("page_id") % 97 == 13) & (F.char_length("html") > 0), F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
-    return audit(fixity(pages), fixity(pages.withColumn("html", worn)))
+    """Audit of the archive of ``pages`` against a replica with changed, lost and added records.
+
+    One byte is changed in every 97th page, every 89th page is lost, and some pages have a second record of their id.
+    """
+    pages, id_ = table(spark, sf_dir, "pages").select("page_id", "url", "html"), F.col("page_id")
+    change = (id_ % 97 == 13) & (F.char_length("html") > 0)
+    worn = F.when(change, F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    replica = pages.withColumn("html", worn).where((id_ % 89 != 5) | id_.isNull())
+    more = pages.where((id_ % 83 == 7) & (id_ % 89 != 5) & (id_ % 97 != 13)).select("page_id", "url", F.concat(F.lit("second record of "), id_.cast("string")).alias("html"))
+    return audit(fixity(pages), fixity(replica.unionByName(more)))
 
 
 OP6_SQL = f"""
-with r as (
-  select page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: '
-         || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
-         || 'Content-Length: ' as head, coalesce(html, '') as html,
-         case when page_id % 97 = 13 and length(html) > 0 then '~' || substr(html, 2) else coalesce(html, '') end as worn
-  from pages),
-c as (
-  select page_id, page_id // {PAGES_PER_FILE} as file,
-         head || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) as a,
-         head || strlen(worn) || chr(13) || chr(10) || chr(13) || chr(10) || worn || chr(13) || chr(10) || chr(13) || chr(10) as b
-  from r),
-d as (
-  select file, row_number() over (partition by file order by page_id) - 1 as seq, page_id,
-         (sum(strlen(a)) over (partition by file order by page_id) - strlen(a))::bigint as start_a,
-         (sum(strlen(b)) over (partition by file order by page_id) - strlen(b))::bigint as start_b,
-         sha256(a) as digest_a, sha256(b) as digest_b
-  from c)
-select *, 'content' as kind from d where digest_a <> digest_b
+with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+b as (
+  select page_id, url, case when page_id % 97 = 13 and length(html) > 0 then '~' || substr(html, 2) else html end as html, false as added from p where page_id % 89 <> 5
+  union all select page_id, url, 'second record of ' || page_id, true from p where page_id % 83 = 7 and page_id % 89 <> 5 and page_id % 97 <> 13),
+sides as (select page_id, url, html, false as added, 'a' as side from p union all select *, 'b' from b),
+r as (
+  select page_id, added, side, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html
+    || chr(13) || chr(10) || chr(13) || chr(10) as rec from sides),
+d as (select *, page_id // {PAGES_PER_FILE} as file, sha256(rec) as digest, strlen(rec) as size from r),
+o as (
+  select *, row_number() over (partition by side, file order by page_id, digest) - 1 as seq,
+    (sum(size) over (partition by side, file order by page_id, digest) - size)::bigint as start from d),
+x as (select * from o where side = 'a'), y as (select * from o where side = 'b' and not added)
+select x.file, x.seq, x.page_id, x.start as start_a, y.start as start_b, x.digest as digest_a, y.digest as digest_b, 'content' as kind from x join y using (page_id) where x.digest <> y.digest
+union all select file, seq, page_id, start, null, digest, null, 'lost' from x where page_id % 89 = 5
+union all select file, seq, page_id, null, start, null, digest, 'added' from o where added
 """

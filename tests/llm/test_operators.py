@@ -175,11 +175,40 @@ def test_warc_files_and_audit(spark, tmp_path):
     assert warc.audit(good, good).count() == 0 and good.count() == len(rows)
     bad = warc.fixity(pages.where("page_id <> 24").withColumn("html", F.when(F.col("page_id") == 7, "<p>page é x</p>" * 2).otherwise(F.col("html"))), per_file=25)
     found = {(r.page_id, r.kind) for r in warc.audit(good, bad).collect()}
-    assert (7, "content") in found and (24, "missing") in found and all(k == "moved" or i in (7, 24) for i, k in found)
+    assert found == {(7, "content"), (24, "lost")}
     empty = good.limit(0)
     assert warc.audit(empty, empty).count() == 0 and warc.audit(good, empty).count() == len(rows)
 
 
+@pytest.mark.parametrize("gone, more, want", [
+    ([0], [], {(0, "lost")}), ([5], [], {(5, "lost")}), ([5, 6, 39], [], {(5, "lost"), (6, "lost"), (39, "lost")}), ([], [(40, "u", "new")], {(40, "added")}),
+    ([5], [(5, "u", "other")], {(5, "content")}), ([], [(5, "u", "again")], {(5, "added")}), ([], [(7, "http://x/7", "page 7")], {(7, "added")}),
+    ([3, 5], [(3, "u", "x"), (3, "u", "y"), (None, "u", "z")], {(3, "content"), (3, "added"), (5, "lost"), (None, "added")})])
+def test_warc_lost_and_added_records(spark, gone, more, want):
+    rows = [(i, f"http://x/{i}", f"page {i}") for i in range(40)]
+    one, two = (spark.createDataFrame(x, "page_id long, url string, html string") for x in (rows, [r for r in rows if r[0] not in gone] + more))
+    for per_file in (1000, 7):
+        found = warc.audit(warc.fixity(one, per_file), warc.fixity(two, per_file)).collect()
+        assert {(r.page_id, r.kind) for r in found} == want and len(found) == len(want)
+        assert all((r.digest_a is None) == (r.kind == "added") and (r.digest_b is None) == (r.kind == "lost") for r in found)
+
+
+def test_warc_moved_records(spark):
+    """Replicas whose files have another order: swapped neighbours, one record carried to the end, and a lost one besides."""
+    def replica(order):
+        size, rows = 10, []
+        for seq, i in enumerate(order):
+            rows.append((0, seq, i, seq * size, seq * size + size, f"d{i}"))
+        return spark.createDataFrame(rows, "file long, seq long, page_id long, start long, stop long, digest string")
+
+    same = list(range(40))
+    swapped = [0, 1, 2, 4, 3, *range(5, 40)]
+    carried = [*range(0, 7), *range(8, 40), 7]
+    got = lambda order: {(r.page_id, r.kind) for r in warc.audit(replica(same), replica(order)).collect()}
+    assert got(same) == set() and got(swapped) == {(3, "moved"), (4, "moved")} and got(carried) == {(7, "moved")}
+    assert got([x for x in carried if x != 20]) == {(7, "moved"), (20, "lost")}
+
+
 def test_chat_layouts(spark):
     records = {
         1: '{"prompt":"a","response":"b<|im_end|>\\\\p"}', 2: '{"instruction":"i","output":"o"}', 3: '{"system":"s","instruction":"i","output":"o"}', 4: '{"messages":[{"role":"user","content":"x\\ny"},{"role":"assistant","content":null}]}',
