@@ -154,11 +154,42 @@ def pattern_of(t: Tables) -> DataFrame:
     return rows.groupBy("reason", "pattern").agg(count().alias("hits"))
 
 
+#: Reasons of the gate that the table's reasons stand for.
+_REASONS = {"error": "bad_name_headline", "view": "bad_name_too_long", "purchase": "vc_firm", "signup": "bad_name_pattern"}
+_REASON_SQL = "case reason " + " ".join(f"when '{k}' then '{v}'" for k, v in _REASONS.items()) + " else reason end"
+_PATTERN_SQL = f"""case when coalesce(company_name, '') = '' then null when {_REASON_SQL} = 'bad_name_headline' and len(regexp_extract_all(company_name, '\\S+')) >= 2
+  then lower(array_to_string(regexp_extract_all(company_name, '\\S+')[1:2], ' ')) when {_REASON_SQL} = 'bad_name_too_long' then 'len>' || length(company_name)
+  when {_REASON_SQL} = 'vc_firm' then {NORM.format('company_name')} else substr({NORM.format('company_name')}, 1, 20) end"""
+#: Reasons of which learned patterns reject what comes later.
+TEACHING = ("bad_name_headline", "bad_name_pattern", "vc_firm")
+
+
+def add_hits(old: DataFrame | None, rejections: DataFrame) -> DataFrame:
+    """``reason``, ``pattern``, ``hits``, ``last_seen``: what rejections (``company_name``, ``reason``, ``created_at``) teach, added to ``old``.
+
+    A headline teaches its first two words, a long name its length, a firm its normalized name, others the first twenty
+    letters of that; nameless rejections teach nothing.
+    """
+    rows = rejections.withColumn("pattern", R.pattern_of(F.col("company_name"), F.col("reason"))).where("pattern is not null and pattern <> ''")
+    rows = rows.groupBy("reason", "pattern").agg(count().alias("hits"), F.max("created_at").alias("last_seen"))
+    if old is None:
+        return rows
+    return old.select(*rows.columns).unionByName(rows).groupBy("reason", "pattern").agg(F.sum("hits").alias("hits"), F.max("last_seen").alias("last_seen"))
+
+
 @query("learn_patterns", f"""
-select reason, substr({NORM.format('company_name')}, 1, 20) as pattern, count(*) as hits, max(created_at) as last_seen, count(*) >= 5 as auto_reject from rejections group by 1, 2""")
+select reason, pattern, count(*) as hits, max(created_at) as last_seen, count(*) >= 5 as auto_reject from (
+  select {_REASON_SQL} as reason, {_PATTERN_SQL} as pattern, created_at from rejections) where pattern <> '' group by 1, 2""")
 def learn_patterns(t: Tables, min_hits: int = 5) -> DataFrame:
-    rows = t.rejections.withColumn("pattern", F.substring(norm_name("company_name"), 1, 20)).groupBy("reason", "pattern").agg(count().alias("hits"), F.max("created_at").alias("last_seen"))
-    return rows.withColumn("auto_reject", F.col("hits") >= min_hits)
+    reason = F.col("reason")
+    for k, v in _REASONS.items():
+        reason = F.when(F.col("reason") == k, v).otherwise(reason)
+    return add_hits(None, t.rejections.withColumn("reason", reason)).withColumn("auto_reject", F.col("hits") >= min_hits)
+
+
+def taught(patterns: DataFrame) -> DataFrame:
+    """``p`` of the patterns that reject: a name is rejected if the first twenty letters of its normalized form are one."""
+    return patterns.where(F.col("auto_reject") & F.col("reason").isin(*TEACHING)).select(F.col("pattern").alias("p")).distinct()
 
 
 def known_firms(candidates: DataFrame, firms: DataFrame) -> DataFrame:
@@ -217,8 +248,7 @@ def deal_gate(candidates: DataFrame, firms: DataFrame, existing: DataFrame, patt
         .when(~R.valid_company_name(c("company_name")), "bad_name").when(R.bad_name(c("company_name")), "bad_name_pattern"))
     rows = written(rows.withColumn("reason", reason), "gate")
     fine = rows.where("reason is null")
-    taught = patterns.where("auto_reject").select(c("pattern").alias("p")).distinct()
-    hits = fine.withColumn("p", F.substring("company_name_normalized", 1, 20)).join(taught.hint("merge"), "p", "left_semi").select("id", F.lit("auto_reject").alias("why"), F.lit(1).alias("n"))
+    hits = fine.withColumn("p", F.substring("company_name_normalized", 1, 20)).join(taught(patterns).hint("merge"), "p", "left_semi").select("id", F.lit("auto_reject").alias("why"), F.lit(1).alias("n"))
     firms_hit = known_firms(fine, firms).select("id", F.lit("vc_firm").alias("why"), F.lit(2).alias("n"))
     again = duplicates_of(fine, existing).select("id", F.lit("duplicate").alias("why"), F.lit(3).alias("n"))
     later = hits.unionByName(firms_hit).unionByName(again).groupBy("id").agg(F.min_by("why", "n").alias("why"))
@@ -242,7 +272,7 @@ with c as (
 a as (
   select id, name, {NORM.format('name')} as norm, stage, case when coalesce(amount_usd > 0 and amount_usd <= 1e10 and amount_usd <= {_CAP}, true) then amount_usd end as amount_usd,
     case when year(date_announced) >= 2000 and date_announced <= date '{AS_OF}' + 365 then date_announced end as date_announced from c),
-taught as (select substr({NORM.format('company_name')}, 1, 20) as p from rejections group by reason, 1 having count(*) >= 5)
+taught as (select p from (select {_REASON_SQL} as reason, {_PATTERN_SQL} as p from rejections) where reason in ('bad_name_headline', 'bad_name_pattern', 'vc_firm') group by reason, p having count(*) >= 5)
 select id, name as company_name, case when length(name) < 2 then 'empty_name' when length(name) > 45 then 'name_too_long' when contains(lower(name), 'exclusive:') then 'bad_name'
   when starts_with(lower(name), 'this ') then 'bad_name_pattern' when substr(norm, 1, 20) in (select p from taught) then 'auto_reject'
   when norm in (select {NORM.format('name')} from firms) then 'vc_firm'
@@ -320,8 +350,16 @@ def reject_known_firms(t: Tables) -> DataFrame:
     return t.deals.withColumn("k", norm_name(named)).join(t.firms.select(norm_name("name").alias("k")).distinct(), "k", "left_semi").select("id")
 
 
-# What filing names are dropped for.
-FILING_JUNK = r"(?i)(\bfund\b|\bpartners\b|\btrust\b|\bl\.?p\.?$|\breit\b|\bholdings\b|\bbancorp\b|\bacquisition\b|^\d+\s)"
+# Endings of entities that are no startups, words of such names, and beginnings that are addresses.
+FILING_SUFFIXES = ("REIT", "DST", "SPV", "PLC(?:/ADR)?", "/ADR", "SCSp", "SARL", "SCA", r"EB[\s-]?5")
+FILING_WORDS = (
+    r"\bFund\b", r"\bFeeder\b", r"\bHoldings?\b", r"\bPartners(?:hip)?\b", r"\bAssociates?\b", r"\bInvestors?\b", r"\bRealty\b", r"\bEstate\b", r"\bVentures\s+Fund\b",
+    r"\bCapital\s+Fund\b", r"\bCapital\s+Partners\b", r"\bCapital\s+Management\b", r"\bAcquisition\s+Corp\b", r"\bMaster\s+Fund\b", r"\bInvestment\b", r"\bPooled\b",
+    r"\bInsurance\b", r"\bAnnuity\b", r"\bDiocese\b", r"\bTrust\b", r"\bSeries\s+[A-Z0-9IVX]+\b", r"\bOffshore\b", r"\bOnshore\b", r"\bCo-Invest\b", r"\bSidecar\b",
+    r"\bLP\s*-\s*Series\b", r"\bIDF\b", r"\bAsset\s+Backed\b", r"\bCredit\s+Co\b", r"\bConglomerate\b", r"\bBDC\b", r"\bCorp(?:oration)?\b.*\b(?:Acquisition|Blank\s+Check|SPAC)\b")
+FILING_ADDRESS = r"^\d+[-\d]*\s+\w"
+#: A filing name that is no company's, as one pattern.
+FILING_JUNK = rf"(?i)(?:{FILING_ADDRESS})|(?:^|\s)(?:{'|'.join(FILING_SUFFIXES)})(?:\s|$|[.,])|{'|'.join(FILING_WORDS)}|[/ ]ADR$"
 
 
 _FILED_CAP = f"case {_BANDS} " + " ".join(f"when '{s}' then {v}" for s, v in R.STAGE_CAP.items()) + f" else {R.OTHER_CAP} end"

@@ -93,11 +93,18 @@ def valid_portfolio_name(t: Tables) -> DataFrame:
     return P.listed(t.portfolio).select("id", "name", P.is_company_name(F.col("name")).alias("valid"))
 
 
-@query("is_junk_filing_name", "select id, id % 4 in (0, 1, 2) as junk from deals where source_type = 'sec_filing' or id % 4 > 0")
+#: What filing names may hold besides the company, by turns.
+_FILED = (" Growth Fund", " L.P.", " REIT", " Holdings Inc.", "/ADR", " Robotics", " Series III", " Trustworthy AI", " PLC", " Real Estate", " Corporation for Blank Check", " Partnership", " Funding")
+
+
+@query("is_junk_filing_name", f"""
+select id, name, regexp_matches(trim(name), '{FILING_JUNK}') as junk from (
+  select id, case when id % 7 = 0 then (id % 90) || '-' || id || ' Main St ' else '' end || company_name || ([{", ".join(f"'{x}'" for x in _FILED)}])[id % {len(_FILED)} + 1] as name from deals)""")
 def is_junk_filing_name(t: Tables) -> DataFrame:
-    k = F.col("id") % 4
-    name = F.when(k == 0, F.concat("company_name", F.lit(" Growth Fund"))).when(k == 1, F.concat(F.lit("12 Main St "), "company_name")).when(k == 2, F.concat("company_name", F.lit(" L.P.")))
-    return t.deals.where("source_type = 'sec_filing' or id % 4 > 0").select("id", F.coalesce(name, F.col("company_name")).rlike(FILING_JUNK).alias("junk"))
+    id_ = F.col("id")
+    street = F.when(id_ % 7 == 0, F.concat((id_ % 90).cast("string"), F.lit("-"), id_.cast("string"), F.lit(" Main St "))).otherwise("")
+    name = F.concat(street, "company_name", F.element_at(F.array(*map(F.lit, _FILED)), (id_ % len(_FILED) + 1).cast("int")))
+    return t.deals.select("id", name.alias("name")).withColumn("junk", F.trim("name").rlike(FILING_JUNK))
 
 
 @query("clean_filing_name", "select id, company_name as name from deals where source_type in ('sec_filing', 'de_filing')")

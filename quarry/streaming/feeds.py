@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
+from quarry.operators.gates import add_hits, taught
 from quarry.plans.registry import query
 from quarry.sources.staging import new_folder
-from quarry.sources.tables import Tables
+from quarry.sources.tables import Tables, norm_name
 
 
 def events_stream(t: Tables) -> DataFrame:
@@ -53,21 +54,66 @@ def stream_daily(t: Tables) -> DataFrame:
     return finished(daily_stream(events_stream(t)), "daily")
 
 
-def gate_stream(rows: DataFrame, firms: DataFrame) -> DataFrame:
-    """Stateless rules and a stream-static join: each candidate with the first reason against it."""
+MIN_HITS = 5
+
+
+def gate_batch(rows: DataFrame, firms: DataFrame, patterns: DataFrame | None) -> DataFrame:
+    """``event_id``, ``name``, ``ts``, ``reason``: each candidate with the first rule against it, null if there is none."""
     known = firms.select(F.lower("name").alias("low"), F.lit(True).alias("firm")).distinct()
-    rows = rows.withColumn("low", F.lower("name")).join(known, "low", "left")
-    reason = F.when(F.char_length("name") < 2, "empty_name").when(~R.valid_company_name(F.col("name")), "bad_name").when(F.col("firm"), "vc_firm").otherwise("accepted")
-    return rows.select("event_id", "name", reason.alias("outcome"))
+    rows = rows.withColumn("low", F.lower("name")).join(known.hint("merge"), "low", "left")
+    learned = F.lit(False)
+    if patterns is not None:
+        ready = taught(patterns.withColumn("auto_reject", F.col("hits") >= MIN_HITS)).withColumn("learned", F.lit(True))
+        rows = rows.withColumn("p", F.substring(norm_name("name"), 1, 20)).join(ready.hint("merge"), "p", "left")
+        learned = F.coalesce("learned", F.lit(False))
+    name = F.col("name")
+    reason = (
+        F.when(F.coalesce(F.char_length(F.trim(name)), F.lit(0)) < 2, "empty_name").when(F.char_length(name) > R.LONGEST_NAME, "bad_name_too_long")
+        .when(~R.valid_company_name(name), "bad_name_headline").when(R.bad_name(name), "bad_name_pattern").when(learned, "auto_reject").when(F.col("firm"), "vc_firm"))
+    return rows.select("event_id", "name", "ts", reason.alias("reason"))
+
+
+def learning_gate(rows: DataFrame, firms: DataFrame, folder: str) -> DataFrame:
+    """Gate a stream of candidates (``event_id``, ``name``, ``ts``); what a batch rejects teaches the batches after it.
+
+    Batch ``n`` reads version ``n - 1`` of the learned patterns and writes version ``n`` and its outcomes, so a repeated
+    batch replaces only itself, and a stream that is started again on ``folder`` goes on with what it has learned.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.parquet(f"{folder}/patterns/v{n - 1}") if n else None
+        gate_batch(batch, firms, old).write.mode("overwrite").parquet(f"{folder}/outcomes/batch={n}")
+        said = spark.read.parquet(f"{folder}/outcomes/batch={n}").where("reason is not null and reason <> 'auto_reject'")
+        add_hits(old, said.select(F.col("name").alias("company_name"), "reason", F.col("ts").alias("created_at"))).write.mode("overwrite").parquet(f"{folder}/patterns/v{n}")
+
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.parquet(f"{folder}/outcomes")
+
+
+#: Files, and so batches, into which the query deals the events.
+BATCHES = 4
+_NAME = "case event_type when 'error' then 'Why User ' || user_id when 'view' then 'Supplier#' || lpad(cast(user_id % 90 as varchar), 9, '0') else 'User ' || user_id end"
 
 
-@query("stream_gate", """
-select event_id, case event_type when 'error' then 'Why User ' || user_id when 'view' then 'Supplier#' || lpad(cast(user_id % 90 as varchar), 9, '0') else 'User ' || user_id end as name,
-  case when event_type = 'error' then 'bad_name' when event_type = 'view' and 'Supplier#' || lpad(cast(user_id % 90 as varchar), 9, '0') in (select name from firms) then 'vc_firm' else 'accepted' end as outcome from events""")
+@query("stream_gate", f"""
+with e as (select event_id, event_type, {_NAME} as name, event_id * {BATCHES} // (select max(event_id) + 1 from events) as batch from events),
+b as (select *, case when event_type = 'error' then 'bad_name_headline' when name in (select name from firms) then 'vc_firm' end as rule from e),
+counts as (select name, batch, count(*) as n from b where rule = 'vc_firm' group by 1, 2),
+before as (select name, batch, coalesce(sum(n) over (partition by name order by batch rows between unbounded preceding and 1 preceding), 0) as seen from counts)
+select event_id, b.name, case when rule = 'vc_firm' and seen >= {MIN_HITS} then 'auto_reject' else coalesce(rule, 'accepted') end as outcome, cast(b.batch as integer) as batch
+from b left join before on before.name = b.name and before.batch = b.batch""")
 def stream_gate(t: Tables) -> DataFrame:
+    """Events as candidates in four files: firms that were rejected five times in earlier batches are known by their pattern."""
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
     name = F.when(kind == "error", F.concat(F.lit("Why User "), user)).when(kind == "view", F.concat(F.lit("Supplier#"), F.lpad((F.col("user_id") % 90).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("User "), user))
-    return finished(gate_stream(events_stream(t).select("event_id", name.alias("name")), t.firms), "gate")
+    last = t.raw("events").agg(F.max("event_id").alias("last"))
+    rows = t.raw("events").crossJoin(F.broadcast(last)).select("event_id", name.alias("name"), F.col("ts").cast("timestamp").alias("ts"), F.expr(f"event_id * {BATCHES} div (last + 1)").alias("part"))
+    source, folder = new_folder(t.spark, "candidates"), new_folder(t.spark, "gate")
+    for i in range(BATCHES):
+        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema("event_id long, name string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    return learning_gate(stream, t.firms, folder).select("event_id", "name", F.coalesce("reason", F.lit("accepted")).alias("outcome"), "batch")
 
 
 def merged_batches(rows: DataFrame, merge, name: str, folder: str | None = None) -> str:

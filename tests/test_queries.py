@@ -13,7 +13,7 @@ from quarry.operators.upkeep import insert_or_ignore, read_snapshot, upsert, wri
 from quarry.plans import catalog
 from quarry.sources import landed
 from quarry.sources.tables import Tables
-from quarry.streaming.feeds import add_patterns, merged_batches
+from quarry.streaming.feeds import add_patterns, learning_gate, merged_batches
 
 DATA = "/root/testdata/sf0.001"
 
@@ -80,6 +80,23 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     assert merged_batches(rows, add_patterns, "p", folder) == second
 
 
+def test_patterns_learned_in_a_batch_reject_in_the_next(spark, tmp_path):
+    """Three batches, a restart on the same folder, and a fourth: five rejections of a name teach those after them."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "gate")
+    firms = spark.createDataFrame([("Acme Capital",)], "name string")
+    stream = lambda: spark.readStream.schema("event_id long, name string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    land = lambda start, *names: spark.createDataFrame([(start + i, x) for i, x in enumerate(names)], "event_id long, name string").selectExpr("*", "timestamp'2024-01-01' as ts").coalesce(1).write.mode("append").parquet(source)
+    for n in range(3):
+        land(10 * n, *["Acme Capital"] * 2, "Ramp", "x", *["ACME capital"] * (n == 1))
+    first = {r.event_id: (r.batch, r.reason) for r in learning_gate(stream(), firms, folder).collect()}
+    assert {r for _, r in first.values()} == {"vc_firm", None, "empty_name"} or first[20] == (2, "auto_reject")
+    assert first[0] == (0, "vc_firm") and first[10] == (1, "vc_firm") and first[14] == (1, "vc_firm") and first[20] == (2, "auto_reject") and first[22] == (2, None) and first[23] == (2, "empty_name")
+    land(30, "acme-capital", "Ramp")
+    again = {r.event_id: (r.batch, r.reason) for r in learning_gate(stream(), firms, folder).collect()}
+    assert {k: v for k, v in again.items() if k < 30} == first and again[30] == (3, "auto_reject") and again[31] == (3, None)
+    assert spark.read.parquet(f"{folder}/patterns/v3").where("reason = 'vc_firm'").first().hits == 5
+
+
 def test_upserts(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id int, name string, site string")
     new = spark.createDataFrame([(2, None, "y"), (3, "c", None)], "id int, name string, site string")
