@@ -295,10 +295,10 @@ def firm_news_from_html(t: Tables) -> DataFrame:
     return read_firm_news(news_pages(t))
 
 
-def read_bodies(pages: DataFrame, most: int | None = None) -> DataFrame:
+def read_bodies(pages: DataFrame, most: int | None = None, between: str = " ") -> DataFrame:
     """``page_id``, ``url``, ``body``: the text of the first article, else main part, else body of a page.
 
-    Menus, headers, footers and asides are left out, pieces are joined by blanks; ``most`` cuts after so many
+    Menus, headers, footers and asides are left out, pieces are joined by ``between``; ``most`` cuts after so many
     characters. Pages without such an element have an empty body.
     """
     n = written(page_nodes(pages), "nodes")
@@ -307,7 +307,7 @@ def read_bodies(pages: DataFrame, most: int | None = None) -> DataFrame:
     n = n.withColumn("part", F.coalesce(first("article"), first("main"), first("body"), F.min(F.when(F.col("tag") == "body", F.struct("node", "last"))).over(w)))
     inside = (F.col("tag") == "#text") & ~F.col("aside") & F.col("node").between(F.col("part.node"), F.col("part.last"))
     pieces = F.array_sort(F.collect_list(F.when(inside, F.struct("node", "text"))))
-    rows = n.groupBy("page_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), " ").alias("body"))
+    rows = n.groupBy("page_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), between).alias("body"))
     body = F.coalesce("body", F.lit(""))
     return pages.select("page_id", "url").join(rows.hint("merge"), "page_id", "left").select("page_id", "url", (body if most is None else F.left(body, F.lit(most))).alias("body"))
 

@@ -11,7 +11,7 @@ from quarry.plans.registry import ORACLES, QUERIES
 from quarry.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("operators.analytics", "operators.listing", "operators.linking", "operators.gates", "operators.cleaning", "operators.upkeep", "operators.enrichment", "operators.extraction", "operators.filings", "operators.minting", "operators.pages", "operators.notices", "operators.names", "sources.landed", "streaming.feeds")
+MODULES = ("operators.analytics", "operators.listing", "operators.linking", "operators.gates", "operators.cleaning", "operators.upkeep", "operators.enrichment", "operators.extraction", "operators.filings", "operators.minting", "operators.pages", "operators.reports", "operators.notices", "operators.names", "sources.landed", "streaming.feeds")
 for module in MODULES:
     import_module(f"quarry.{module}")
 
