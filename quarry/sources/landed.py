@@ -1,19 +1,24 @@
 """Typed frames from landed files: feeds, search results, filings, award lists, registries, company lists.
 
-Every reader has an explicit schema. The registered queries render table rows as such documents in Spark and flatten
-them with the same expressions that read files.
+Every reader has an explicit schema. The registered queries of feeds, award lists and firm lists write table rows as
+files into the shared folder and read these; the others render rows as documents in Spark and flatten them with the same
+expressions that read files.
 """
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
 from quarry.plans.registry import query
-from quarry.sources.tables import Tables
+from quarry.sources.staging import new_folder
+from quarry.sources.tables import AS_OF, Tables
 
 ITEM = "title string, link string, pubDate string, description string"
+ENTRY = "title string, link struct<_href:string>, updated string, published string, summary string, content string"
 FILING = "struct<hits:struct<hits:array<struct<_source:struct<display_names:array<string>,ciks:array<string>,adsh:string,file_date:string,biz_locations:array<string>,biz_states:array<string>,inc_states:array<string>>>>>>"
 SEARCH = "struct<items:array<struct<title:string,link:string,snippet:string>>>"
 COMPANIES = "struct<results:struct<companies:array<struct<company:struct<name:string,company_number:string,jurisdiction_code:string,incorporation_date:string,current_status:string>>>>>"
@@ -22,18 +27,47 @@ FORM_D = "STRUCT<primaryIssuer: STRUCT<entityName: STRING, entityType: STRING, i
 PER_FEED, PER_FILING, PER_FILE = 30, 15, 200
 
 
-def read_rss(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
-    """Feed items that speak of funding, the first 30 of each file."""
+def read_rss(spark: SparkSession, path: str, tag: str = "item", most: int = PER_FEED) -> DataFrame:
+    """Feed items that speak of funding, the first ``most`` of each file: ``feed`` (the file), ``title``, ``url``, day, text."""
     rows = spark.read.format("xml").option("rowTag", tag).schema(ITEM).load(path).withColumn("feed", F.col("_metadata.file_path"))
-    return feed_items(rows.withColumn("n", F.monotonically_increasing_id()), "n")
+    return feed_items(rows.withColumn("n", F.monotonically_increasing_id()), "n", most)
+
+
+def read_atom(spark: SparkSession, path: str, most: int = PER_FEED) -> DataFrame:
+    """The same of Atom entries: the link is an attribute, the day that of ``updated``, else of ``published``."""
+    rows = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path).withColumn("feed", F.col("_metadata.file_path"))
+    rows = rows.select("feed", "title", F.col("link._href").alias("link"), F.left(F.coalesce("updated", "published"), F.lit(19)).alias("pubDate"), F.coalesce("summary", "content").alias("description"), F.monotonically_increasing_id().alias("n"))
+    return feed_items(rows, "n", most)
+
+
+def read_feeds(spark: SparkSession, path: str, most: int = PER_FEED) -> DataFrame:
+    """Items of RSS files and entries of Atom files under a folder."""
+    return read_rss(spark, path, most=most).unionByName(read_atom(spark, path, most))
+
+
+def read_search_feeds(spark: SparkSession, path: str, most: int = PER_FEED) -> DataFrame:
+    """Items of search feeds, ``most`` of each query's file, with links that lead where the redirects lead."""
+    return read_rss(spark, path, most=most).withColumn("url", real_link(F.col("url")))
 
 
-def feed_items(rows: DataFrame, order: str) -> DataFrame:
+def feed_items(rows: DataFrame, order: str, most: int = PER_FEED) -> DataFrame:
     w = Window.partitionBy("feed").orderBy(order)
-    rows = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= PER_FEED).where(R.contains_any(F.lower(F.concat_ws(" ", "title", "description")), R.FUNDING_WORDS))
+    rows = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).where(R.contains_any(F.lower(F.concat_ws(" ", "title", "description")), R.FUNDING_WORDS))
     return rows.select("feed", "title", F.col("link").alias("url"), R.pub_date(F.col("pubDate")).alias("date_announced"), "description")
 
 
+def landed(docs: DataFrame, name: str, form: str = "text") -> str:
+    """Folder of files, one for each ``key`` of ``docs`` (``key``, ``value``), as a crawler would leave them."""
+    path = new_folder(docs.sparkSession, name)
+    docs.select("key", "value").repartition("key").write.partitionBy("key").format(form).save(path)
+    return path
+
+
+def key_of(path: str) -> Column:
+    """Key of a landed file."""
+    return F.try_url_decode(F.regexp_extract(path, r"/key=([^/]+)/", 1))
+
+
 def real_link(link: Column) -> Column:
     """Where a search redirect leads; other links stay."""
     return F.coalesce(F.try_url_decode(F.try_parse_url(link, F.lit("QUERY"), F.lit("url"))), link)
@@ -66,16 +100,33 @@ def form_d(docs: DataFrame) -> DataFrame:
         F.col("x.offeringData.industryGroup.industryGroupType").alias("industry"), amount(sold).alias("amount_sold"), (F.lower(sold) == "indefinite").alias("indefinite"), people.alias("persons"))
 
 
-def read_awards(spark: SparkSession, path: str, states: tuple[str, ...] = ("NY", "MA", "DC", "CA")) -> DataFrame:
-    """Award lists with either of two sets of headers."""
-    rows = spark.read.option("header", True).csv(path)
-    pick = lambda *names: F.coalesce(*[F.col(f"`{n}`") for n in names if n in rows.columns], F.lit(None).cast("string"))
-    return award_rows(rows.select(pick("Company Name", "Firm").alias("firm"), pick("Company State", "State").alias("state"), pick("Award Start Date", "Award Date").alias("day"), pick("Award Amount", "Amount").alias("amount")), states)
-
+def read_awards(spark: SparkSession, path: str, states: tuple[str, ...] = ("NY", "MA", "DC", "CA"), since: date | None = None, most: int = PER_FILE) -> DataFrame:
+    """Award lists with either of two sets of headers, file by file: the first ``most`` of each that fit.
 
-def award_rows(rows: DataFrame, states: tuple[str, ...]) -> DataFrame:
-    day = F.coalesce(*[F.to_date(F.try_to_timestamp("day", F.lit(f))) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy")])
-    return rows.where(F.upper("state").isin(*states)).select("firm", "state", day.alias("day"), F.replace(F.replace("amount", F.lit(","), F.lit("")), F.lit("$"), F.lit("")).try_cast("double").alias("amount"))
+    Files are read together with those of equal headers; ``since`` drops older awards, not undated ones.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")).collect()  # names of files only
+    out = None
+    for head in heads:
+        rows = spark.read.option("header", True).csv(sorted(head.files)).withColumn("file", F.col("_metadata.file_path")).withColumn("n", F.monotonically_increasing_id())
+        pick = lambda *names: F.coalesce(*[F.col(f"`{n}`") for n in names if n in rows.columns], F.lit(None).cast("string"))  # noqa: B023, E731
+        said = rows.select("file", "n", pick("Company Name", "Firm", "Company").alias("firm"), pick("Company State", "State").alias("state"), pick("Award Start Date", "Award Date").alias("day"), pick("Award Amount", "Amount").alias("amount"))
+        out = said if out is None else out.unionByName(said)
+    if out is None:
+        out = spark.createDataFrame([], "file string, n long, firm string, state string, day string, amount string")
+    return award_rows(out, states, since, most)
+
+
+def award_rows(rows: DataFrame, states: tuple[str, ...], since: date | None = None, most: int = PER_FILE) -> DataFrame:
+    """``file``, ``firm``, ``state``, ``day``, ``amount`` of awards (``file``, ``n``, and texts) in enabled states."""
+    said = F.left(F.trim("day"), F.lit(19))
+    day = F.coalesce(*[F.to_date(F.try_to_timestamp(said, F.lit(f))) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss")])
+    rows = rows.withColumn("state", F.upper(F.trim("state"))).where(F.col("state").isin(*states)).withColumn("day", day)
+    if since is not None:
+        rows = rows.where(F.col("day").isNull() | (F.col("day") >= F.lit(since)))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("n"))).where(F.col("r") <= most)
+    return rows.select("file", "firm", "state", "day", F.replace(F.replace("amount", F.lit(","), F.lit("")), F.lit("$"), F.lit("")).try_cast("double").alias("amount"))
 
 
 def registry_rows(rows: DataFrame, counties: tuple[str, ...]) -> DataFrame:
@@ -100,6 +151,12 @@ def read_companies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, url string, one_liner string, batch string, status string, industries array<string>").option("multiLine", True).json(path)
 
 
+def read_seed_firms(spark: SparkSession, path: str) -> DataFrame:
+    """Firms of a listing file: ``name``, ``website``, ``portfolio_url``, ``focus``; nameless entries are none."""
+    rows = spark.read.schema("name string, website string, portfolio_url string, focus array<string>, source string").option("multiLine", True).json(path)
+    return rows.where("trim(name) <> ''").select(F.trim("name").alias("name"), "website", "portfolio_url", "focus")
+
+
 def seed_firms(built_in: DataFrame, listed: DataFrame) -> DataFrame:
     """Firms of both lists by name; what the file says wins."""
     rows = built_in.withColumn("o", F.lit(1)).unionByName(listed.withColumn("o", F.lit(0)), allowMissingColumns=True)
@@ -118,22 +175,48 @@ def scan_tables(t: Tables) -> DataFrame:
     return out
 
 
-@query("scan_rss_items", """
-select source_type || '/' || (id // 120) as feed, url, date_announced from articles where date_announced is not null""")
+def _feed(t: Tables) -> tuple[Column, Column]:
+    """Key of the feed that an article is in, forty ids of a source, and whether it is an Atom feed."""
+    page = F.floor(F.col("id") / 240)
+    return F.concat("source_type", F.lit("-"), page.cast("string")), page % 2 == 1
+
+
+def _escaped(c: str) -> Column:
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _files(rows: DataFrame, begin: Column, end: Column) -> DataFrame:
+    """``key``, ``value``: the items of a key in the order of their ids, between a file's begin and end."""
+    files = rows.withColumns({"begin": begin, "end": end}).groupBy("key", "begin", "end").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("x"))
+    return files.select("key", F.concat("begin", F.array_join(F.transform("x", lambda r: r["item"]), "\n"), "end").alias("value"))
+
+
+@query("scan_rss_items", f"""
+select feed, url, date_announced from (select source_type || '-' || (id // 240) as feed, url, date_announced, row_number() over (partition by source_type, id // 240 order by id) as r from articles where date_announced is not null)
+where r <= {PER_FEED}""")
 def scan_rss_items(t: Tables) -> DataFrame:
-    """Feeds of twenty items at most, a source's articles in the order of their ids; the cap of a feed drops none."""
-    a = t.articles.where("date_announced is not null")
-    esc = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    xml = F.concat(F.lit("<item><title>"), esc, F.lit("</title><link>"), "url", F.lit("</link><pubDate>"), F.date_format("date_announced", "'Mon,' dd MMM yyyy '08:00:00 GMT'"), F.lit("</pubDate><description></description></item>"))
-    feed = F.concat("source_type", F.lit("/"), F.floor(F.col("id") / 120).cast("string"))
-    rows = a.select(feed.alias("feed"), "id", F.from_xml(xml, ITEM).alias("x")).select("feed", "id", "x.*")
-    return feed_items(rows, "id").select("feed", "url", "date_announced")
+    """Articles as files of RSS and Atom feeds, read back from the shared folder; the first thirty of each file count."""
+    key, atom = _feed(t)
+    item = F.concat(F.lit("<item><title>"), _escaped("title"), F.lit("</title><link>"), "url", F.lit("</link><pubDate>"), F.date_format("date_announced", "'Mon,' dd MMM yyyy '08:00:00 GMT'"), F.lit("</pubDate><description></description></item>"))
+    entry = F.concat(F.lit("<entry><title>"), _escaped("title"), F.lit("</title><link href='"), "url", F.lit("' rel='alternate'/><updated>"), F.date_format("date_announced", "yyyy-MM-dd'T08:00:00Z'"), F.lit("</updated><summary>x</summary></entry>"))
+    rows = t.articles.where("date_announced is not null").select(key.alias("key"), "id", F.when(atom, entry).otherwise(item).alias("item"), atom.alias("atom"))
+    files = _files(rows, F.when(F.col("atom"), "<feed>").otherwise("<rss><channel>"), F.when(F.col("atom"), "</feed>").otherwise("</channel></rss>"))
+    return read_feeds(t.spark, landed(files, "feeds")).select(key_of("feed").alias("feed"), "url", "date_announced")
+
 
+#: Results of a search feed that count.
+PER_QUERY = 20
 
-@query("scan_search_rss", "select id, url from articles")
+
+@query("scan_search_rss", f"""
+select 'q' || (id // 60) as query, url from (select *, row_number() over (partition by id // 60 order by id) as r from articles) where r <= {PER_QUERY}""")
 def scan_search_rss(t: Tables) -> DataFrame:
-    link = F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://search.example.com/r?x=1&url="), F.url_encode("url"))).otherwise(F.col("url"))
-    return t.articles.select("id", real_link(link).alias("url"))
+    """Articles as files of search feeds, every other link a redirect; the first twenty of each query count."""
+    link = F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://search.example.com/r?x=1&amp;url="), F.url_encode("url"))).otherwise(F.col("url"))
+    item = F.concat(F.lit("<item><title>"), _escaped("title"), F.lit("</title><link>"), link, F.lit("</link></item>"))
+    rows = t.articles.select(F.concat(F.lit("q"), F.floor(F.col("id") / 60).cast("string")).alias("key"), "id", item.alias("item"))
+    path = landed(_files(rows, F.lit("<rss><channel>"), F.lit("</channel></rss>")), "searches")
+    return read_search_feeds(t.spark, path, PER_QUERY).select(key_of("feed").alias("query"), "url")
 
 
 @query("scan_search_json", "select title, url from articles")
@@ -163,13 +246,28 @@ def scan_form_d(t: Tables) -> DataFrame:
     return form_d(rows.select("id", xml.alias("xml"))).select("id", "company_name", "city", "amount_sold", "indefinite")
 
 
-@query("scan_award_csv", "select company_name as firm, 'MA' as state, date_announced as day, cast(floor(amount_usd) as double) as amount from deals where city = 'Boston' and id > 0")
+#: Awards of a rendered file, and the days that are looked back.
+PER_LIST, LOOK_BACK = 1000, 1500
+
+
+@query("scan_award_csv", f"""
+with a as (
+  select id, id // {PER_LIST} as file, company_name as firm, case when city = 'Boston' then 'MA' when city = 'New York' then 'NY' else 'TX' end as state, case when id % 10 <> 9 then date_announced end as day, cast(floor(amount_usd) as double) as amount from deals),
+kept as (select *, row_number() over (partition by file order by id) as r from a where state in ('MA', 'NY') and (day is null or day >= date '{AS_OF}' - {LOOK_BACK}))
+select 'f' || file as file, firm, state, day, amount from kept where r <= {PER_FILE}""")
 def scan_award_csv(t: Tables) -> DataFrame:
-    k = F.col("id") % 3
-    day = F.when(k == 0, F.date_format("date_announced", "yyyy-MM-dd")).when(k == 1, F.date_format("date_announced", "MM/dd/yyyy")).otherwise(F.date_format("date_announced", "MMMM d, yyyy"))
-    line = F.to_csv(F.struct(F.col("company_name").alias("firm"), F.when(F.col("city") == "Boston", "MA").otherwise("TX").alias("state"), day.alias("day"), F.concat(F.lit("$"), F.floor("amount_usd").cast("string")).alias("amount")))
-    rows = t.deals.where("id > 0").select(F.from_csv(line, "firm string, state string, day string, amount string").alias("x")).select("x.*")
-    return award_rows(rows, ("MA",))
+    """Awards as CSV files with two sets of headers and three forms of dates, read back: two states, recent or undated, 200 a file."""
+    k, c = F.col("id") % 10, F.col
+    day = F.when(k == 9, "soon").when(k < 3, F.date_format("date_announced", "yyyy-MM-dd")).when(k < 6, F.date_format("date_announced", "MM/dd/yyyy")).otherwise(F.date_format("date_announced", "yyyy-MM-dd'T'HH:mm:ss"))
+    state = F.when(c("city") == "Boston", "MA").when(c("city") == "New York", " ny").otherwise("TX")
+    amount = F.concat(F.lit("$"), F.floor("amount_usd").cast("string"))
+    file = F.floor(c("id") / PER_LIST)
+    first = F.to_csv(F.struct(c("company_name").alias("a"), state.alias("b"), day.alias("c"), amount.alias("d")))
+    second = F.to_csv(F.struct(amount.alias("d"), F.lit("x, \"y\"").alias("e"), day.alias("c"), c("company_name").alias("a"), state.alias("b")))
+    rows = t.deals.select(F.concat(F.lit("f"), file.cast("string")).alias("key"), "id", F.when(file % 2 == 0, first).otherwise(second).alias("item"), (file % 2 == 0).alias("even"))
+    files = _files(rows, F.when(c("even"), "Company Name,Company State,Award Start Date,Award Amount\n").otherwise("Amount,Abstract,Award Date,Firm,State\n"), F.lit(""))
+    found = read_awards(t.spark, landed(files, "awards"), ("MA", "NY"), AS_OF - timedelta(LOOK_BACK))
+    return found.withColumn("file", key_of("file"))
 
 
 @query("scan_registry_json", "select company_name, date_announced as filed from deals where city = 'New York'")
@@ -202,8 +300,14 @@ def scan_bulk_company_json(t: Tables) -> DataFrame:
     return docs.select(F.explode(F.from_json("j", "array<struct<name:string,url:string>>")).alias("x")).select("x.*")
 
 
-@query("seed_firms", "select s_name as name, case when s_suppkey % 2 = 0 then 'https://listed' || s_suppkey when s_suppkey % 4 <> 0 then 'https://firm' || s_suppkey || '.example.com' end as website from supplier")
+@query("seed_firms", """
+select s_name as name, case when s_suppkey % 2 = 0 then 'https://listed' || s_suppkey when s_suppkey % 4 <> 0 then 'https://firm' || s_suppkey || '.example.com' end as website,
+  case when s_suppkey % 2 = 0 then 'Fintech, Climate' end as sectors from supplier""")
 def _seed_firms(t: Tables) -> DataFrame:
+    """All firms as the built-in list, and every other one in listing files, read back; what a file says wins."""
     built_in = t.firms.select("name", "website", F.lit(None).cast("array<string>").alias("focus"))
-    listed = t.firms.where("id % 2 = 0").select("name", F.concat(F.lit("https://listed"), F.col("id").cast("string")).alias("website"), F.array(F.lit("Fintech")).alias("focus"))
-    return seed_firms(built_in, listed).select("name", "website")
+    listed = t.firms.where("id % 2 = 0").select(
+        F.concat(F.lit("l"), F.floor(F.col("id") / 500).cast("string")).alias("key"), "id", F.to_json(F.struct("name", F.concat(F.lit("https://listed"), F.col("id").cast("string")).alias("website"), F.array(F.lit("Fintech"), F.lit("Climate")).alias("focus"))).alias("item"))
+    files = listed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("x")).select("key", F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["item"]), ","), F.lit("]")).alias("value"))
+    found = seed_firms(built_in, read_seed_firms(t.spark, landed(files, "firms")).select("name", "website", "focus"))
+    return found.withColumn("sectors", F.array_join("sectors", ", "))
