@@ -353,7 +353,7 @@ def backfill_investors(t: Tables) -> DataFrame:
     said = F.when(k % 4 == 0, F.concat(F.lit('["Ann '), (k % 9).cast("string"), F.lit('","Bob '), (k % 7).cast("string"), F.lit('"]'))).otherwise("{broken")
     rows = t.deals.select(F.col("id").alias("deal_id"), F.explode(F.from_json(said, "array<string>")).alias("name"))
     known = t.categories.where("id < 3").select(F.concat(F.lit("Ann "), F.col("id").cast("string")).alias("name"))
-    return rows.join(known, "name", "left_anti").select("deal_id", "name")
+    return rows.join(known.hint("merge"), "name", "left_anti").select("deal_id", "name")
 
 
 @query("verify_links", """
@@ -398,7 +398,7 @@ def first_deals(t: Tables) -> DataFrame:
     deals = t.deals.where("company_name_normalized <> ''").groupBy(F.col("company_name_normalized").alias("right_name")).agg(F.min("id").alias("r"))
     names = rows.where("norm <> ''").select(F.col("norm").alias("left_name")).distinct().withColumn("l", F.col("left_name"))
     found = fuzzy_name_join(names, deals, 0.85).groupBy(F.col("l").alias("norm")).agg(F.min("r").alias("deal_id"))
-    return rows.join(found, "norm").select("id", "firm_id", "website", "deal_id")
+    return rows.join(found.hint("merge"), "norm").select("id", "firm_id", "website", "deal_id")
 
 
 @query("portfolio_to_deal_fuzzy", f"select id, deal_id from {_FIRST_DEALS} x")

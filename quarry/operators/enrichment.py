@@ -138,10 +138,10 @@ TEXTS_SQL = f"""select id, company_name, company_name || ' has ' || {_picked(_SA
 
 def text_backers(texts: DataFrame, firms: DataFrame) -> DataFrame:
     """``id``, ``name``, ``known``: candidates of texts that are known firms or hold a firm's word, not the company itself."""
-    names = investor_candidates(texts).join(texts.select("id", "company_name"), "id").withColumn("low", F.lower("name"))
+    names = investor_candidates(texts).join(texts.select("id", "company_name").hint("merge"), "id").withColumn("low", F.lower("name"))
     names = names.where(F.regexp_replace("low", r"[^a-z0-9\s]", "") != F.regexp_replace(F.lower("company_name"), r"[^a-z0-9\s]", ""))
     known = firms.select(F.lower("name").alias("low"), F.lit(True).alias("k")).distinct()
-    names = names.join(known, "low", "left").withColumn("known", F.coalesce("k", F.lit(False)))
+    names = names.join(known.hint("merge"), "low", "left").withColumn("known", F.coalesce("k", F.lit(False)))
     return names.where(F.col("known") | F.col("low").rlike("|".join(BACKER_SUFFIXES))).select("id", "name", "known")
 
 
@@ -186,8 +186,8 @@ def source_validation(t: Tables) -> DataFrame:
     words = F.split("title", r"\s+")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda p: F.array_join(F.slice(words, p, n), ""))))
     titles = t.articles.select("url", F.col("id").alias("article"), F.explode(F.array_distinct(F.transform(grams, norm_name))).alias("k")).where("k <> ''")
-    first = titles.join(rows.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min_by("url", "article").alias("url"))
-    out = rows.join(first, "k", "left")
+    first = titles.join(rows.select("k").distinct().hint("merge"), "k", "left_semi").groupBy("k").agg(F.min_by("url", "article").alias("url"))
+    out = rows.join(first.hint("merge"), "k", "left")
     return out.select(
         "id", "url", F.when(F.col("url").isNotNull(), F.least(F.round(F.col("confidence_score") + 0.3, 2), F.lit(1.0))).otherwise(F.col("confidence_score")).alias("confidence"),
         F.when(F.col("url").isNull(), F.lit(str(AS_OF))).alias("quarantined"))
@@ -211,11 +211,11 @@ def filing_crossref(t: Tables) -> DataFrame:
     filings = t.deals.where("source_type = 'sec_filing'").groupBy(F.col("company_name_normalized").alias("right_name")).agg(
         F.min("id").alias("f"), F.min_by("amount_usd", sized).alias("filed"), F.min(sized).alias("g")).withColumn("r", F.col("right_name"))
     names = rows.select(F.col("norm").alias("left_name")).distinct().withColumn("l", F.col("left_name"))
-    met = fuzzy_name_join(names, filings.select("r", "right_name"), 0.85).select(F.col("l").alias("norm"), "r").join(filings.select("r", "f", "filed", "g"), "r")
+    met = fuzzy_name_join(names, filings.select("r", "right_name"), 0.85).select(F.col("l").alias("norm"), "r").join(filings.select("r", "f", "filed", "g").hint("merge"), "r")
     met = met.groupBy("norm").agg(F.min("f").alias("f"), F.min_by("filed", "g").alias("filed"))
     people = t.deal_investors.join(met.select(F.col("f").alias("deal_id")).distinct(), "deal_id", "left_semi").join(t.investors.select(F.col("id").alias("investor_id"), "name"), "investor_id")
     people = people.groupBy(F.col("deal_id").alias("f")).agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("persons"))
-    out = rows.join(met, "norm", "left").join(people, "f", "left")
+    out = rows.join(met.hint("merge"), "norm", "left").join(people.hint("merge"), "f", "left")
     marker = F.when(F.col("f").isNull(), "no_match").when(F.col("filed").isNull(), "no_details").otherwise("filled")
     return out.select("id", marker.alias("marker"), F.coalesce("amount_usd", "filed").alias("amount_usd"), F.coalesce("persons", F.lit("")).alias("persons"))
 
@@ -247,7 +247,7 @@ def classify_mentions(mentions: DataFrame, firms: DataFrame) -> DataFrame:
     exact = firms.groupBy(F.lower("name").alias("low")).agg(F.min("id").alias("exact"))
     left = names.select(F.col("name").alias("l"), norm_name("name").alias("left_name"))
     fuzzy = fuzzy_name_join(left, firms.select(F.col("id").alias("r"), norm_name("name").alias("right_name")), 0.85).groupBy(F.col("l").alias("name")).agg(F.min("r").alias("fuzzy"))
-    found = names.withColumn("low", F.lower("name")).join(exact, "low", "left").join(fuzzy, "name", "left").select("name", F.coalesce("exact", "fuzzy").alias("known"))
-    out = mentions.join(found, "name")
+    found = names.withColumn("low", F.lower("name")).join(exact.hint("merge"), "low", "left").join(fuzzy.hint("merge"), "name", "left").select("name", F.coalesce("exact", "fuzzy").alias("known"))
+    out = mentions.join(found.hint("merge"), "name")
     firm = F.col("known").isNotNull() | R.is_firm_name(F.col("name"))
     return out.where(F.col("known").isNotNull() | ~firm | R.valid_firm_name(F.col("name"))).select("deal_id", F.when(firm, "firm").otherwise("person").alias("kind"), "name", "known")

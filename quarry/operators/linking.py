@@ -99,7 +99,7 @@ def date_proximity_pairs(t: Tables) -> DataFrame:
     right = rows.select(F.col("id").alias("b"), "company_name_normalized", F.col("day").alias("day_b"), "band")
     left = rows.select(F.col("id").alias("a"), "company_name_normalized", F.col("day").alias("day_a"), "band")
     near = left.where("band is not null").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    near = near.join(right, ["company_name_normalized", "band"])
+    near = near.join(right.hint("merge"), ["company_name_normalized", "band"])
     open_ = left.where("day_a is null").join(right.drop("band"), "company_name_normalized")
     also = left.where("day_a is not null").join(right.where("day_b is null").drop("band"), "company_name_normalized")
     days = F.abs(F.datediff("day_a", "day_b"))

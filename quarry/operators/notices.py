@@ -16,17 +16,17 @@ def notify_follow_on(new: DataFrame, t: Tables, sent: DataFrame) -> DataFrame:
     fresh = new.select(F.col("id").alias("deal_id"), F.col("company_name_normalized").alias("k"), "company_name", "stage")
     rows = saved.join(fresh, "k").where("saved <> deal_id").select("user_id", "deal_id", "company_name", "stage").distinct()
     out = rows.select("user_id", "deal_id", F.lit("follow_on").alias("kind"), F.concat("company_name", F.lit(": "), "stage").alias("title"))
-    return out.join(sent.select("user_id", "deal_id", "kind"), ["user_id", "deal_id", "kind"], "left_anti")
+    return out.join(sent.select("user_id", "deal_id", "kind").hint("merge"), ["user_id", "deal_id", "kind"], "left_anti")
 
 
 def notify_match(new: DataFrame, t: Tables, sent: DataFrame) -> DataFrame:
     """Users whose sectors or stages hold a new deal's; preferences are exploded, so both meet in equi joins."""
     wants = t.preferences.select("user_id", "key", F.explode(F.from_json("value", "array<string>")).alias("want"))
     sectors = t.categories.select(F.col("id").alias("category_id"), F.col("name").alias("want"))
-    by_sector = new.join(sectors, "category_id").join(wants.where("key = 'sectors'"), "want").select("user_id", F.col("id").alias("deal_id"))
-    by_stage = new.withColumn("want", F.col("stage")).join(wants.where("key = 'stages'"), "want").select("user_id", F.col("id").alias("deal_id"))
+    by_sector = new.join(sectors, "category_id").join(wants.where("key = 'sectors'").hint("merge"), "want").select("user_id", F.col("id").alias("deal_id"))
+    by_stage = new.withColumn("want", F.col("stage")).join(wants.where("key = 'stages'").hint("merge"), "want").select("user_id", F.col("id").alias("deal_id"))
     rows = by_sector.unionByName(by_stage).distinct().withColumn("kind", F.lit("match"))
-    return rows.join(sent.select("user_id", "deal_id", "kind"), ["user_id", "deal_id", "kind"], "left_anti")
+    return rows.join(sent.select("user_id", "deal_id", "kind").hint("merge"), ["user_id", "deal_id", "kind"], "left_anti")
 
 
 def _new(t: Tables) -> DataFrame:
