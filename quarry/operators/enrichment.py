@@ -11,7 +11,7 @@ from quarry.functions import rules as R
 from quarry.functions.measures import count
 from quarry.operators.linking import fuzzy_name_join
 from quarry.plans.registry import query
-from quarry.sources.tables import AS_OF, Tables, norm_name
+from quarry.sources.tables import AS_OF, NORM, Tables, norm_name
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,10 @@ def domain_validation(t: Tables) -> DataFrame:
     return t.deals.select("id").join(found, "id", "left").select("id", verdict.alias("verdict"))
 
 
-@query("source_validation")
+@query("source_validation", f"""
+select d.id, a.url, case when a.url is not null then least(round(confidence_score + 0.3, 2), 1.0) else confidence_score end as confidence, case when a.url is null then '{AS_OF}' end as quarantined
+from deals d left join (select {NORM.format("split_part(title, ' ', 1)")} as k, arg_min(url, id) as url from articles group by 1) a on a.k = d.company_name_normalized
+where d.source_type in ('other', 'de_filing') and confidence_score < 0.7 and source_url is null and d.id not in (select deal_id from deal_metadata where key = 'yc_oss_enriched')""")
 def source_validation(t: Tables) -> DataFrame:
     """Doubtful deals: an article whose title holds the name gives a url and more confidence, else quarantine.
 

@@ -133,16 +133,32 @@ def confidence(t: Tables) -> DataFrame:
     return t.deals.select("id", score.alias("confidence"))
 
 
-@query("clean_company_name")
+@query("clean_company_name", "select id, company_name as name from deals")
 def clean_company_name(t: Tables) -> DataFrame:
+    """Names with a legal ending, a headline's rest or a former name, all cleaned to the name."""
     said = F.concat("company_name", F.when(F.col("id") % 3 == 0, ", Inc.").when(F.col("id") % 3 == 1, " - Raises $5M").otherwise(" (formerly Oldco)"))
     return t.deals.select("id", R.clean_company_name(said).alias("name"))
 
 
-@query("valid_company_name")
+#: Beginnings of headlines without signs of patterns, that stand in rendered names.
+_HEADS = tuple(x for x in R.TOPIC_HEADS if "\\" not in x)
+_NAMED = f"""case id % 8 when 0 then 'Why ' || company_name when 1 then company_name || ' announced' when 2 then ([{', '.join(f"'{x}'" for x in _HEADS)}])[id // 8 % {len(_HEADS)} + 1] || '-' || ([{', '.join(f"'{x}'" for x in R.TOPIC_TAILS)}])[id // 3 % {len(R.TOPIC_TAILS)} + 1]
+  when 3 then 'Exclusive: ' || company_name when 4 then company_name || ' Startup' when 5 then 'the maker of small ' || company_name when 6 then ([{', '.join(f"'{x}'" for x in _HEADS)}])[id // 8 % {len(_HEADS)} + 1] || ' ' || company_name else company_name end"""
+
+
+@query("valid_company_name", f"""
+select id, name, not (length(name) > {R.LONGEST_NAME} or regexp_matches(name, '{R.TOPIC_NAME}') or regexp_matches(lower(name), '\\b({"|".join(R.SAID)}|laid off|startup)\\b')
+  or {_any_sql('lower(name)', R.HEADINGS + R.QUESTIONS)} or regexp_matches(lower(name), '^(a|an) ')
+  or len(w) > 3 and len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Ll}}'))) > len(w) * 0.6) as valid
+from (select id, name, regexp_split_to_array(name, '\\s+') as w from (select id, {_NAMED} as name from deals))""")
 def valid_company_name(t: Tables) -> DataFrame:
-    name = F.when(F.col("id") % 4 == 0, F.concat(F.lit("Why "), "company_name")).when(F.col("id") % 4 == 1, F.concat("company_name", F.lit(" announced"))).otherwise(F.col("company_name"))
-    return t.deals.select("id", R.valid_company_name(name).alias("valid"), R.bad_name(name).alias("bad_pattern"))
+    """The rule over headlines, sentences, topics that stand for a company, and companies."""
+    pick = lambda listed, by: F.element_at(F.array(*map(F.lit, listed)), (F.floor(F.col("id") / by) % len(listed) + 1).cast("int"))
+    k, own = F.col("id") % 8, F.col("company_name")
+    name = (
+        F.when(k == 0, F.concat(F.lit("Why "), own)).when(k == 1, F.concat(own, F.lit(" announced"))).when(k == 2, F.concat(pick(_HEADS, 8), F.lit("-"), pick(R.TOPIC_TAILS, 3))).when(k == 3, F.concat(F.lit("Exclusive: "), own))
+        .when(k == 4, F.concat(own, F.lit(" Startup"))).when(k == 5, F.concat(F.lit("the maker of small "), own)).when(k == 6, F.concat(pick(_HEADS, 8), F.lit(" "), own)).otherwise(own))
+    return t.deals.select("id", name.alias("name")).withColumn("valid", R.valid_company_name(F.col("name")))
 
 
 @query("pattern_of", f"""
@@ -264,7 +280,7 @@ def _candidates(t: Tables) -> DataFrame:
     return t.deals.where("id % 10 = 3").withColumn("company_name", F.coalesce(odd, F.concat(F.lit("Cand "), "company_name"), "company_name"))
 
 
-@query("validate_deal", f"""
+_GATE = f"""
 with c as (
   select id, case (id // 10) % 8 when 0 then 'Exclusive: ' || company_name when 1 then 'Supplier#' || lpad(cast(id % 90 as varchar), 9, '0') when 2 then 'x' when 3 then company_name
     when 4 then 'This ' || company_name else 'Cand ' || company_name end as name, case when stage = 'Unknown' and amount_usd <> 0 then {_BANDS} else stage end as stage, amount_usd, date_announced
@@ -278,13 +294,16 @@ select id, name as company_name, case when length(name) < 2 then 'empty_name' wh
   when norm in (select {NORM.format('name')} from firms) then 'vc_firm'
   when exists (select 1 from deals b where b.id % 10 <> 3 and b.company_name_normalized = a.norm and ((({_SIM}) is true and ({_CLOSE}) is not false)
     or (({_CLOSE}) is true and ({_SIM}) is null and {_FITS}) or ({_FITS} and ({_CLOSE}) is not false and ({_SIM}) is not false))) then 'duplicate' else 'accepted' end as outcome
-from a""")
+from a"""
+
+
+@query("validate_deal", _GATE)
 def validate_deal(t: Tables) -> DataFrame:
     rows = deal_gate(_candidates(t), t.firms, t.deals.where("id % 10 <> 3"), learn_patterns(t))
     return rows.select("id", F.coalesce("reason", F.lit("accepted")).alias("outcome"), "company_name")
 
 
-@query("gate_outcomes")
+@query("gate_outcomes", f"select outcome, source_type, count(*) as candidates from ({_GATE}) v join deals d on d.id = v.id group by 1, 2")
 def gate_outcomes(t: Tables) -> DataFrame:
     """Candidates by outcome and source."""
     rows = deal_gate(_candidates(t), t.firms, t.deals.where("id % 10 <> 3"), learn_patterns(t))

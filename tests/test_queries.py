@@ -46,10 +46,8 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(catalog.queries()[name](spark, DATA).toPandas()) == rows(duck.sql(catalog.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_query_runs(spark, name):
-    frame = catalog.queries()[name](spark, DATA)
-    assert frame.columns and frame.count() >= 0
+def test_queries_without_sql_have_tests_of_their_own():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"article_text"}  # tests/test_pages.py holds it against the pages' markup
 
 
 def test_gate_gives_each_candidate_one_outcome(spark):
