@@ -164,26 +164,49 @@ def recent_deals(t: Tables) -> DataFrame:
     return t.deals.orderBy(F.desc_nulls_last("date_announced"), "id").limit(10).select("id", "company_name", "date_announced")
 
 
+def told(c: Column) -> tuple[Column, Column]:
+    """(founders, total raised) of a text's labelled lines; null where there is no such line."""
+    founders, total = F.regexp_extract(c, r"Founders: (.+)", 1), F.regexp_extract(c, r"Total raised: \$([\d,.]+)", 1)
+    return F.nullif(founders, F.lit("")), F.replace(total, F.lit(",")).try_cast("double")
+
+
 def feed(t: Tables, rows: int = FEED_ROWS, **conditions) -> DataFrame:
-    """Newest deals with firms, leads, investors and what the text says about the total raised."""
+    """Newest deals with category, firms, leads, verified firms, backers with title and firm, founders and total raised."""
     top = feed_filter(t, **conditions).orderBy(F.desc_nulls_last("date_announced"), F.desc("created_at"), "id").limit(rows)
     ids = F.broadcast(top.select(F.col("id").alias("deal_id")))
     links = t.deal_firms.join(ids, "deal_id", "left_semi").join(t.firms.select(F.col("id").alias("firm_id"), "name"), "firm_id")
     lead, sure = F.when(F.col("role") == "lead", F.col("name")), F.when(F.col("verified") == 1, F.col("name"))
     links = links.groupBy(F.col("deal_id").alias("id")).agg(names("name").alias("firms"), names(lead).alias("leads"), names(sure).alias("verified"))
-    raised = F.regexp_extract("raw_text", r"\$(\d+M)", 1)
-    return top.join(links, "id", "left").select("id", "company_name", "stage", "amount_usd", "date_announced", "source_type", "firms", "leads", "verified", F.when(raised != "", raised).alias("raised"))
+    people = t.deal_investors.join(ids, "deal_id", "left_semi").join(t.investors.select(F.col("id").alias("investor_id"), "name", "title", "firm_id"), "investor_id")
+    people = people.join(t.firms.select(F.col("id").alias("firm_id"), F.col("name").alias("firm")), "firm_id", "left")
+    one = F.concat("name", F.lit(", "), F.coalesce("title", F.lit("")), F.lit(", "), F.coalesce("firm", F.lit("")))
+    people = people.groupBy(F.col("deal_id").alias("id")).agg(names(one).alias("investors"))
+    categories = t.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    founders, total = told(F.col("raw_text"))
+    out = top.join(links, "id", "left").join(people, "id", "left").join(categories, "category_id", "left")
+    return out.select("id", "company_name", "stage", "amount_usd", "date_announced", "source_type", "category", "firms", "leads", "verified", "investors", founders.alias("founders"), total.alias("total_raised"))
 
 
 _FEED = f"(select * from deals where date_announced >= date '{AS_OF}' - 9999 or date_announced is null order by date_announced desc nulls last, created_at desc, id limit {FEED_ROWS})"
 
 
+def with_lines(deals: DataFrame) -> DataFrame:
+    """Deals whose texts have labelled lines below: founders on two in three, the total on three in four."""
+    k = F.col("id")
+    lines = F.concat(F.when(k % 3 != 0, F.concat(F.lit("\nFounders: Ann Lee, Bo Ek "), k.cast("string"))).otherwise(""), F.when(k % 4 != 0, F.concat(F.lit("\nTotal raised: $"), (k % 900 + 100).cast("string"), F.lit(",000.5"))).otherwise(""))
+    return deals.withColumn("raw_text", F.concat("raw_text", lines))
+
+
 @query("feed", f"""
-select p.id, p.company_name, p.stage, p.amount_usd, p.date_announced, p.source_type, l.firms, l.leads, l.verified, nullif(regexp_extract(p.raw_text, '\\$(\\d+M)', 1), '') as raised
-from {_FEED} p left join (select deal_id, {names_sql("name")} as firms, coalesce(string_agg(distinct name, '|' order by name) filter (role = 'lead'), '') as leads,
-  coalesce(string_agg(distinct name, '|' order by name) filter (verified = 1), '') as verified from deal_firms l join firms f on f.id = l.firm_id group by 1) l on l.deal_id = p.id""")
+select p.id, p.company_name, p.stage, p.amount_usd, p.date_announced, p.source_type, c.name as category, l.firms, l.leads, l.verified, i.investors,
+  case when raw_text is not null and p.id % 3 <> 0 then 'Ann Lee, Bo Ek ' || p.id end as founders, case when raw_text is not null and p.id % 4 <> 0 then (p.id % 900 + 100) * 1000.0 + 0.5 end::double as total_raised
+from {_FEED} p left join categories c on c.id = p.category_id left join (select deal_id, {names_sql("name")} as firms, coalesce(string_agg(distinct name, '|' order by name) filter (role = 'lead'), '') as leads,
+  coalesce(string_agg(distinct name, '|' order by name) filter (verified = 1), '') as verified from deal_firms l join firms f on f.id = l.firm_id group by 1) l on l.deal_id = p.id
+left join (select deal_id, {names_sql("x")} as investors from (select deal_id, v.name || ', ' || coalesce(v.title, '') || ', ' || coalesce(f.name, '') as x from deal_investors d join investors v on v.id = d.investor_id left join firms f on f.id = v.firm_id) group by 1) i on i.deal_id = p.id""")
 def _feed(t: Tables) -> DataFrame:
-    return feed(t)
+    lined = Tables(t.spark, t.path)
+    lined.deals = with_lines(t.deals)
+    return feed(lined)
 
 
 @query("feed_summary", f"""
