@@ -374,14 +374,46 @@ def metadata_map(t: Tables) -> DataFrame:
     return maps.select("deal_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), entry), "|").alias("entries"))
 
 
-@query("firm_discovery", """
-select f.name, count(*) as deals, string_agg(distinct d.stage, '|' order by d.stage) as stages from deal_firms l join firms f on f.id = l.firm_id
-join deals d on d.id = l.deal_id where f.website is null group by 1 having count(*) >= 3""")
+# Sources that names of firms end in, words that are no firm's name, beginnings and parts of such texts.
+NAME_SOURCES = (" - TechCrunch", " - Crunchbase", " - VentureBeat")
+POSTS = ("ceo", "cto", "cfo", "coo", "partner", "director", "managing director")
+NO_FIRM_STARTS = ("and ", "co-founder", "founder")
+NO_FIRM_PARTS = (";", "managing director", " - techcrunch", " - crunchbase", "co-founder of", "founder of", "ceo of")
+_NO_FIRM = f"^({'|'.join(POSTS)})$|^({'|'.join(NO_FIRM_STARTS)})|{'|'.join(NO_FIRM_PARTS)}"
+
+
+def discovered(deal_firms: DataFrame, known: DataFrame) -> DataFrame:
+    """``name``, ``deals``, ``stages`` of firms (``name``, ``deal_id``, ``stage``) that ``known`` (``name``) lacks.
+
+    Sources and signs around a name go, then an "and " before it; texts that are no firm's name, as they came or tidied,
+    are dropped, as are known names in any case.
+    """
+    clean = F.regexp_replace("name", f"({'|'.join(NAME_SOURCES)})$", "")
+    clean = F.trim(F.btrim(F.btrim(F.trim(clean), F.lit(",")), F.lit(";")))
+    clean = F.trim(F.regexp_replace(clean, "(?i)^and ", ""))
+    rows = deal_firms.groupBy("name").agg(F.countDistinct("deal_id").alias("deals"), names("stage").alias("stages")).withColumn("clean", clean)
+    junk = lambda c: (F.char_length(c) < 4) | F.lower(c).rlike(_NO_FIRM)
+    rows = rows.where(~junk("name") & ~junk("clean")).withColumn("low", F.lower("clean"))
+    return rows.join(known.select(F.lower("name").alias("low")).distinct().hint("merge"), "low", "left_anti").select(F.col("clean").alias("name"), "deals", "stages")
+
+
+@query("firm_discovery", f"""
+with said as (
+  select id, case id % 9 when 1 then name || ' - TechCrunch' when 2 then 'and ' || name when 3 then name || ',; ' when 4 then 'CEO of ' || name when 5 then name || ' - VentureBeat' when 6 then 'Partner' when 7 then upper(name) else name end as name from firms),
+tidy as (
+  select id, name, trim(regexp_replace(trim(trim(trim(trim(regexp_replace(name, '({"|".join(NAME_SOURCES)})$', '')), ','), ';')), '(?i)^and ', '')) as clean from said),
+kept as (select * from tidy where length(name) >= 4 and length(clean) >= 4 and not regexp_matches(lower(name), '{_NO_FIRM}') and not regexp_matches(lower(clean), '{_NO_FIRM}'))
+select k.clean as name, count(distinct d.id) as deals, string_agg(distinct d.stage, '|' order by d.stage) as stages from kept k join deal_firms l on l.firm_id = k.id join deals d on d.id = l.deal_id
+where lower(k.clean) not in (select lower(name) from firms where website is not null and id % 2 = 0) group by k.name, k.clean""")
 def firm_discovery(t: Tables) -> DataFrame:
-    """Firms seen in deals that the known list, here those with a website, lacks."""
-    known = t.firms.where("website is not null").select("name")
-    rows = _firm_deals(t).join(t.firms.select(F.col("id").alias("firm_id"), "name"), "firm_id").join(known, "name", "left_anti")
-    return rows.groupBy("name").agg(count().alias("deals"), names("stage").alias("stages")).where("deals >= 3")
+    """Firms seen in deals, as texts name them, that a list of known firms lacks."""
+    k, n = F.col("id") % 9, F.col("name")
+    said = (
+        F.when(k == 1, F.concat(n, F.lit(" - TechCrunch"))).when(k == 2, F.concat(F.lit("and "), n)).when(k == 3, F.concat(n, F.lit(",; "))).when(k == 4, F.concat(F.lit("CEO of "), n))
+        .when(k == 5, F.concat(n, F.lit(" - VentureBeat"))).when(k == 6, "Partner").when(k == 7, F.upper(n)).otherwise(n))
+    firms = t.firms.select(F.col("id").alias("firm_id"), said.alias("name"))
+    rows = _firm_deals(t).join(firms, "firm_id").select("name", F.col("deal_id"), "stage")
+    return discovered(rows, t.firms.where("website is not null and id % 2 = 0"))
 
 
 @query("gate_metrics", f"""

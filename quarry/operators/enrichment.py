@@ -166,12 +166,30 @@ def org_attributes_to_metadata(t: Tables) -> DataFrame:
     return rows.join(org, "domain").unpivot("deal_id", ["industry", "employees"], "key", "value")
 
 
-@query("domain_validation", "select id, case when company_website is null then 'none' when (id % 10000) % 7 = 0 then 'suspicious' else 'yes' end as verdict from deals")
+def validate_domains(deals: DataFrame, answers: DataFrame, done: DataFrame) -> DataFrame:
+    """``deal_id``, ``key``, ``value`` of what a lookup of domains (``domain``, ``addresses``, ``organization``) says.
+
+    A site without any address is suspicious; one with addresses is fine and gives its organization's name. Deals in
+    ``done`` (``deal_id``), deals without a site and domains without an answer give nothing.
+    """
+    host = F.regexp_replace(F.try_parse_url("company_website", F.lit("HOST")), r"^www\.", "")
+    open_ = deals.where("company_website is not null").select(F.col("id").alias("deal_id"), host.alias("domain")).join(done.select("deal_id").hint("merge"), "deal_id", "left_anti")
+    met = open_.join(answers.hint("merge"), "domain").where("addresses is not null")
+    fine = F.col("addresses") > 0
+    facts = F.array(F.struct(F.lit("domain_validated").alias("key"), F.when(fine, "yes").otherwise("suspicious").alias("value")), F.struct(F.lit("domain_organization").alias("key"), F.when(fine, F.nullif("organization", F.lit(""))).alias("value")))
+    return met.select("deal_id", F.explode(facts).alias("x")).select("deal_id", "x.key", "x.value").where("value is not null")
+
+
+@query("domain_validation", """
+with met as (
+  select d.id, c_custkey % 5 as n, case when c_custkey % 3 = 0 then c_name else '' end as org from deals d join customer c on c.c_name = d.company_name
+  where company_website is not null and c_custkey % 11 <> 0 and d.id not in (select deal_id from deal_metadata where key = 'yc_oss_enriched'))
+select id as deal_id, 'domain_validated' as key, case when n = 0 then 'suspicious' else 'yes' end as value from met union all select id, 'domain_organization', org from met where n > 0 and org <> ''""")
 def domain_validation(t: Tables) -> DataFrame:
-    """Domains with no address on record are suspicious."""
-    found = t.deals.where("company_website is not null").select("id", F.when((F.col("id") % 10000) % 7 == 0, 0).otherwise(2).alias("addresses"))
-    verdict = F.when(F.col("addresses").isNull(), "none").when(F.col("addresses") == 0, "suspicious").otherwise("yes")
-    return t.deals.select("id").join(found, "id", "left").select("id", verdict.alias("verdict"))
+    """Sites of deals held against a table of answers by domain."""
+    k = F.col("c_custkey")
+    answers = t.raw("customer").where(k % 11 != 0).select(F.concat(F.lit("c"), k.cast("string"), F.lit(".example.com")).alias("domain"), (k % 5).alias("addresses"), F.when(k % 3 == 0, F.col("c_name")).otherwise("").alias("organization"))
+    return validate_domains(t.deals, answers, t.deal_metadata.where("key = 'yc_oss_enriched'"))
 
 
 @query("source_validation", f"""
