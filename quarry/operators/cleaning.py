@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
 from quarry.functions.measures import count
-from quarry.operators.gates import _BANDS, _LEVEL, valid_portfolio_name
+from quarry.operators.gates import _BANDS, _LEVEL, _VALID, named, valid_portfolio_name
 from quarry.operators.linking import fuzzy_name_join
 from quarry.operators.upkeep import cascade_delete, repoint
 from quarry.plans.registry import query
@@ -140,12 +140,14 @@ select 'low_confidence' as issue, id, source_type as detail from deals where con
 union all select 'missing_critical', id, stage from deals where amount_usd is null and stage = 'Unknown'
 union all select 'stage_amount_mismatch', id, {_BANDS} from deals where amount_usd is not null and stage <> 'Unknown' and abs({_LEVEL.format('stage')} - {_LEVEL.format(f'({_BANDS})')}) >= 2
 union all select 'duplicate_company', min(id), company_name_normalized from deals group by company_name_normalized
-  having count(*) > 1 and count(distinct stage) = 1 and count(distinct coalesce(cast(date_announced as varchar), '?')) = 1"""
+  having count(*) > 1 and count(distinct stage) = 1 and count(distinct coalesce(cast(date_announced as varchar), '?')) = 1
+union all select 'bad_name', id, name from ({_VALID}) where not valid"""
 
 
 @query("audit_deals", _AUDIT)
 def audit_deals(t: Tables) -> DataFrame:
-    d = t.deals
+    """Deals, under names of many kinds, that have something against them, a row for each issue."""
+    d = named(t.deals)
     expected = R.stage_from_amount(F.col("amount_usd"))
     level = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in R.STAGE_LEVEL.items() for x in kv]), c), F.lit(-1))
     low = d.where("confidence_score < 0.5").select(F.lit("low_confidence").alias("issue"), "id", F.col("source_type").alias("detail"))

@@ -146,19 +146,27 @@ _NAMED = f"""case id % 8 when 0 then 'Why ' || company_name when 1 then company_
   when 3 then 'Exclusive: ' || company_name when 4 then company_name || ' Startup' when 5 then 'the maker of small ' || company_name when 6 then ([{', '.join(f"'{x}'" for x in _HEADS)}])[id // 8 % {len(_HEADS)} + 1] || ' ' || company_name else company_name end"""
 
 
-@query("valid_company_name", f"""
+_VALID = f"""
 select id, name, not (length(name) > {R.LONGEST_NAME} or regexp_matches(name, '{R.TOPIC_NAME}') or regexp_matches(lower(name), '\\b({"|".join(R.SAID)}|laid off|startup)\\b')
   or {_any_sql('lower(name)', R.HEADINGS + R.QUESTIONS)} or regexp_matches(lower(name), '^(a|an) ')
   or len(w) > 3 and len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Ll}}'))) > len(w) * 0.6) as valid
-from (select id, name, regexp_split_to_array(name, '\\s+') as w from (select id, {_NAMED} as name from deals))""")
-def valid_company_name(t: Tables) -> DataFrame:
-    """The rule over headlines, sentences, topics that stand for a company, and companies."""
+from (select id, name, regexp_split_to_array(name, '\\s+') as w from (select id, {_NAMED} as name from deals))"""
+
+
+def named(deals: DataFrame) -> DataFrame:
+    """Deals under names of eight kinds: headlines, sentences, topics that stand for a company, and companies."""
     pick = lambda listed, by: F.element_at(F.array(*map(F.lit, listed)), (F.floor(F.col("id") / by) % len(listed) + 1).cast("int"))
     k, own = F.col("id") % 8, F.col("company_name")
     name = (
         F.when(k == 0, F.concat(F.lit("Why "), own)).when(k == 1, F.concat(own, F.lit(" announced"))).when(k == 2, F.concat(pick(_HEADS, 8), F.lit("-"), pick(R.TOPIC_TAILS, 3))).when(k == 3, F.concat(F.lit("Exclusive: "), own))
         .when(k == 4, F.concat(own, F.lit(" Startup"))).when(k == 5, F.concat(F.lit("the maker of small "), own)).when(k == 6, F.concat(pick(_HEADS, 8), F.lit(" "), own)).otherwise(own))
-    return t.deals.select("id", name.alias("name")).withColumn("valid", R.valid_company_name(F.col("name")))
+    return deals.withColumn("company_name", name)
+
+
+@query("valid_company_name", _VALID)
+def valid_company_name(t: Tables) -> DataFrame:
+    """The rule over names of eight kinds."""
+    return named(t.deals).select("id", F.col("company_name").alias("name")).withColumn("valid", R.valid_company_name(F.col("name")))
 
 
 @query("pattern_of", f"""
