@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
 from quarry.functions.measures import count
-from quarry.operators.gates import _BANDS, _LEVEL, _VALID, named, valid_portfolio_name
+from quarry.operators.gates import _BANDS, _LEVEL, _VALID, named, valid_portfolio_name, valid_sql
 from quarry.operators.linking import fuzzy_name_join
 from quarry.operators.upkeep import cascade_delete, repoint
 from quarry.plans.registry import query
@@ -264,15 +264,51 @@ def merged_links(t: Tables) -> DataFrame:
     return t.deal_investors.join(mapping, "investor_id").select("deal_id", F.col("keeper").alias("investor_id")).distinct()
 
 
-@query("clean_deals", "select id, company_name as name from deals where id % 6 <> 0")
+# Words of funds' names, by which filings are told that are no company's.
+FUND_WORDS = (
+    "Fund", "Feeder", "Offshore", "Holdings", "Capital Partners", r"Capital,?\s*L\.?P", "Equity Fund", "Investment Fund", "Coinvestment", "Aggregator", "Master Portfolio", "Asset Backed", "BDC",
+    r"Ventures?\s+[IVXLC]+\b", r"DST\b", "REIT", r"Trust\b", r"Investors?\b", r"Partners,?\s*L\.?P", "Deep Value", "Bioventures", "Private Equity", "Public Markets", "Selector")
+FUND_NAME = rf"(?i)\b({'|'.join(FUND_WORDS)})\b"
+CIK, LEGAL = r"(?i)\s*\(CIK\s*\d+\)\s*$", r"(?i),?\s*(Inc\.?|LLC|L\.?P\.?|Corp\.?|Ltd\.?)$"
+
+
+def tidy_deals(deals: DataFrame) -> DataFrame:
+    """Deals without their filer's tag and, with it, the legal ending; bad names go, and funds' names among filings."""
+    tagged = F.trim(F.regexp_replace(F.trim(F.regexp_replace("company_name", CIK, "")), LEGAL, ""))
+    rows = written(deals.withColumn("company_name", F.when(F.col("company_name").contains("CIK"), tagged).otherwise(F.col("company_name"))), "tidy")
+    name, filed = F.col("company_name"), F.col("source_type").isin("sec_filing", "de_filing")
+    return rows.where((name != "") & ~(F.coalesce(filed, F.lit(False)) & name.rlike(FUND_NAME)) & R.valid_company_name(name) & ~R.bad_name(name))
+
+
+#: What names of rendered deals end in, by turns.
+_ENDS = (" Growth Fund", " Feeder", " Robotics", " Ventures IV", " REIT", " Trusted", " Capital L.P", " Investors", " Selector", " Partnership")
+
+
+def _tagged(t: Tables) -> DataFrame:
+    k, own = F.col("id") % 7, F.col("company_name")
+    name = (
+        F.when(k == 0, F.concat(own, F.element_at(F.array(*map(F.lit, _ENDS)), (F.floor(F.col("id") / 7) % len(_ENDS) + 1).cast("int")))).when(k == 1, F.concat(own, F.lit(" (CIK 0001234567)"))).when(k == 2, F.concat(own, F.lit(", Inc. (cik 12) ")))
+        .when(k == 3, F.concat(F.lit("Why "), own)).when(k == 4, F.concat(own, F.lit(" LLC (CIK 7)"))).when(k == 5, F.concat(F.lit("This "), own)).otherwise(own))
+    return t.deals.withColumn("company_name", name)
+
+
+_CLEAN = f"""
+with s as (
+  select id, source_type, case id % 7 when 0 then company_name || ([{', '.join(f"'{x}'" for x in _ENDS)}])[id // 7 % {len(_ENDS)} + 1] when 1 then company_name || ' (CIK 0001234567)' when 2 then company_name || ', Inc. (cik 12) '
+    when 3 then 'Why ' || company_name when 4 then company_name || ' LLC (CIK 7)' when 5 then 'This ' || company_name else company_name end as name from deals),
+t as (select id, source_type, case when contains(name, 'CIK') then trim(regexp_replace(trim(regexp_replace(name, '{CIK}', '')), '{LEGAL}', '')) else name end as name from s),
+v as ({valid_sql("select id, name from t")}),
+kept as (select t.id, t.name from t join v using (id) where v.valid and t.name <> '' and not starts_with(t.name, 'This ') and not (source_type in ('sec_filing', 'de_filing') and regexp_matches(t.name, '{FUND_NAME}')))
+"""
+
+
+@query("clean_deals", _CLEAN + "select id, name from kept")
 def clean_deals(t: Tables) -> DataFrame:
-    k = F.col("id") % 6
-    said = F.concat("company_name", F.when(k == 0, " Growth Fund").when(k == 1, " (CIK 0001234567)").otherwise(""))
-    name = F.trim(F.regexp_replace(said, r"(?i)\s*\(CIK\s+\d+\)", ""))
-    return t.deals.where(~name.rlike(r"(?i)\bfund\b")).select("id", name.alias("name"))
+    """Deals under names with tags, endings, headlines and funds' words, cleaned."""
+    return tidy_deals(_tagged(t)).select("id", F.col("company_name").alias("name"))
 
 
-@query("clean_deals_links", "select deal_id, firm_id, role from deal_firms where deal_id % 6 <> 0")
+@query("clean_deals_links", _CLEAN + "select deal_id, firm_id, role from deal_firms where deal_id in (select id from kept)")
 def clean_deals_links(t: Tables) -> DataFrame:
     """Links to firms without those of the deals that the clean-up removes."""
     gone = t.deals.select("id").join(clean_deals(t), "id", "left_anti")

@@ -146,11 +146,16 @@ _NAMED = f"""case id % 8 when 0 then 'Why ' || company_name when 1 then company_
   when 3 then 'Exclusive: ' || company_name when 4 then company_name || ' Startup' when 5 then 'the maker of small ' || company_name when 6 then ([{', '.join(f"'{x}'" for x in _HEADS)}])[id // 8 % {len(_HEADS)} + 1] || ' ' || company_name else company_name end"""
 
 
-_VALID = f"""
+def valid_sql(rows: str) -> str:
+    """``id``, ``name``, ``valid`` of rows with ``id`` and ``name``."""
+    return f"""
 select id, name, not (length(name) > {R.LONGEST_NAME} or regexp_matches(name, '{R.TOPIC_NAME}') or regexp_matches(lower(name), '\\b({"|".join(R.SAID)}|laid off|startup)\\b')
   or {_any_sql('lower(name)', R.HEADINGS + R.QUESTIONS)} or regexp_matches(lower(name), '^(a|an) ')
   or len(w) > 3 and len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Ll}}'))) > len(w) * 0.6) as valid
-from (select id, name, regexp_split_to_array(name, '\\s+') as w from (select id, {_NAMED} as name from deals))"""
+from (select id, name, regexp_split_to_array(name, '\\s+') as w from ({rows}))"""
+
+
+_VALID = valid_sql(f"select id, {_NAMED} as name from deals")
 
 
 def named(deals: DataFrame) -> DataFrame:
