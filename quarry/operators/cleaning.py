@@ -325,28 +325,65 @@ def clean_portfolio(t: Tables) -> DataFrame:
     return rows.groupBy("firm_id", norm_name("company_name").alias("norm")).agg(F.min("id").alias("id"))
 
 
-@query("clean_firms", "select min(id) as keeper, max(id) as last, count(*) as n from firms where id % 9 <> 0 group by id // 2")
+def tidy_firms(firms: DataFrame, deal_firms: DataFrame, portfolio: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(firms, deal_firms, portfolio) without placeholders, operating companies, two names in one, and orphans.
+
+    Firms whose names are equal without case, blanks, dots and commas become the one of least id; links and portfolios
+    move to it, links that then collide are one. A firm that neither a deal nor a portfolio names is dropped.
+    """
+    rows = written(firms.where(R.valid_firm_name(F.col("name"))).withColumn("k", F.translate(F.lower("name"), " .,", "")), "firms")
+    keepers = rows.groupBy("k").agg(F.min("id").alias("keeper"))
+    mapping = written(rows.join(keepers.hint("merge"), "k").select(F.col("id").alias("firm_id"), "keeper"), "keepers")
+    links = deal_firms.join(mapping.hint("merge"), "firm_id").groupBy("deal_id", F.col("keeper").alias("firm_id")).agg(F.min_by("role", F.struct("firm_id", "role")).alias("role"))
+    held = portfolio.join(mapping.hint("merge"), "firm_id").withColumn("firm_id", F.col("keeper")).drop("keeper")
+    links, held = written(links, "links"), written(held, "portfolio")
+    used = links.select("firm_id").unionByName(held.select("firm_id")).distinct().withColumnRenamed("firm_id", "id")
+    return rows.join(keepers.select(F.col("keeper").alias("id")).hint("merge"), "id", "left_semi").join(used.hint("merge"), "id", "left_semi").drop("k"), links, held
+
+
+#: Texts in firms' names that are none, by turns.
+_NO_FIRMS = ("12 investors", "1 Investor", "Multiple investors (19 total)", "<UNKNOWN>", "undisclosed backers", "Growth Equity", "Angel investors", "Various", "several angels", "N/A", "na", "Google", "Stripe")
+_NO_FIRM = r"^\d+ investors?$|^multiple investors|^<unknown>|^unknown$|^undisclosed|^growth equity$|^private equity$|^angel investor|^various\b|^several\b|^n/?a$"
+
+
+def _said_firms(t: Tables) -> DataFrame:
+    k = F.col("id")
+    none = F.element_at(F.array(*map(F.lit, _NO_FIRMS)), (F.floor(k / 9) % len(_NO_FIRMS) + 1).cast("int"))
+    said = (
+        F.when(k % 9 == 0, none).when(k % 9 == 1, F.concat(F.lit("Alpha Fund and Beta "), k.cast("string"))).when(k % 9 == 2, F.concat(F.lit("Ann and Bob "), F.floor(k / 18).cast("string")))
+        .otherwise(F.concat(F.lit("Firm. "), F.floor(k / 2).cast("string"), F.when(k % 2 == 0, " , LP").otherwise(" lp"))))
+    return t.firms.withColumn("name", said)
+
+
+_FIRMS = f"""
+with s as (
+  select id, case id % 9 when 0 then ([{', '.join(f"'{x}'" for x in _NO_FIRMS)}])[id // 9 % {len(_NO_FIRMS)} + 1] when 1 then 'Alpha Fund and Beta ' || id when 2 then 'Ann and Bob ' || (id // 18)
+    else 'Firm. ' || (id // 2) || case when id % 2 = 0 then ' , LP' else ' lp' end end as name from firms),
+fine as (
+  select *, replace(replace(replace(lower(name), ' ', ''), '.', ''), ',', '') as k from s where not regexp_matches(lower(name), '{_NO_FIRM}') and lower(name) not in ({', '.join(f"'{x}'" for x in R.NO_BACKERS)})
+    and not (len(string_split(name, ' and ')) = 2 and len(list_filter(string_split(name, ' and '), lambda x: length(trim(x)) > 3)) = 2)),
+m as (select id, min(id) over (partition by k) as keeper from fine),
+links as (select deal_id, keeper as firm_id, arg_min(role, (firm_id, role)) as role from deal_firms l join m on m.id = l.firm_id group by 1, 2),
+held as (select p.id, keeper as firm_id, company_name from portfolio p join m on m.id = p.firm_id)
+"""
+
+
+@query("clean_firms", _FIRMS + "select id, name from s where id in (select keeper from m) and (id in (select firm_id from links) or id in (select firm_id from held))")
 def clean_firms(t: Tables) -> DataFrame:
-    """Junk and compound names out; firms with one name after normalizing become the one with the least id."""
-    return kept_firms(t).groupBy("k").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), count().alias("n")).drop("k")
+    """Firms under names of many kinds, cleaned."""
+    return tidy_firms(_said_firms(t), t.deal_firms, t.portfolio)[0].select("id", "name")
 
 
-@query("clean_firms_links", """
-select distinct l.deal_id, k.keeper as firm_id from deal_firms l join (select id, min(id) over (partition by id // 2) as keeper from firms where id % 9 <> 0) k on k.id = l.firm_id""")
+@query("clean_firms_links", _FIRMS + "select deal_id, firm_id, role from links")
 def clean_firms_links(t: Tables) -> DataFrame:
     """Links to the firms that stay; those of merged firms are moved to the keeper, those of junk go."""
-    rows = kept_firms(t).select("id", "k")
-    mapping = rows.join(rows.groupBy("k").agg(F.min("id").alias("new")), "k").where("id <> new").select(F.col("id").alias("old"), "new")
-    links = t.deal_firms.join(rows.select(F.col("id").alias("firm_id")), "firm_id", "left_semi")
-    return repoint(links, mapping, "firm_id", ["deal_id", "firm_id"], F.col("role")).select("deal_id", "firm_id")
+    return tidy_firms(_said_firms(t), t.deal_firms, t.portfolio)[1]
 
 
-def kept_firms(t: Tables) -> DataFrame:
-    """Firms whose written name is one firm's, with the key ``k`` under which they are the same."""
-    k = F.col("id")
-    said = F.when(k % 9 == 0, "12 investors").otherwise(F.concat(F.lit("Firm. "), F.floor(k / 2).cast("string"), F.when(k % 2 == 0, " , LP").otherwise(" LP")))
-    rows = t.firms.withColumn("name", said).where(R.valid_firm_name(F.col("name")))
-    return rows.withColumn("k", F.translate(F.lower("name"), " .,", ""))
+@query("clean_firms_portfolio", _FIRMS + "select id, firm_id, company_name from held")
+def clean_firms_portfolio(t: Tables) -> DataFrame:
+    """Portfolios of the firms that stay."""
+    return tidy_firms(_said_firms(t), t.deal_firms, t.portfolio)[2].select("id", "firm_id", "company_name")
 
 
 _SEGMENTS = ("AI", "Health", "Fintech", "Climate", "Media", "Real Estate", "NATION", "HR")
