@@ -187,17 +187,88 @@ def audit_firms(t: Tables) -> DataFrame:
     return site.unionByName(lost).unionByName(twice).unionByName(junk)
 
 
-@query("clean_investors", """
-select id, case when id % 4 = 0 then 'firm' else 'person' end as kind, regexp_replace(name, '\\s+', ' ', 'g') as name from investors where id % 4 <> 3""")
+# Shapes of people's names, beginnings and endings of texts that are no one's name, and whole such texts.
+PERSON_SHAPES = (
+    r"^[A-ZÀ-Ü][a-zà-ü'-]+\s+(?:[A-ZÀ-Ü][a-zà-ü'-]*\.?\s+){0,2}[A-ZÀ-Ü][A-Za-zà-ü'-]+(?:\s+(?:Jr|Sr|III?|IV)\.?)?$", r"^[A-Z][A-Z]+\s+[A-Z][A-Z]+$", r"^[A-Z][A-Z]\s+[A-Z][a-z]")
+NO_PEOPLE = (
+    "^(<UNKNOWN>|unknown|undisclosed|unnamed|various|multiple|several|angel)", r"^\d+\s+investor", r"^n/a\b", r"^-\s", r"\b(CEO|CTO|CFO|COO|VP|Director|Manager)\s*$",
+    "^(Multibillion|Multi-billion|Undisclosed|Various|Several)", r"^U\.?S\.?\s+Government")
+PAGE_TEXTS = (
+    "What We", "Our Values", "Our Focus", "How We", "Our Startups", "Our Blog", "We Invest", "We Are", "Our Network", "Founder Catalyst", "Startup Weekend", "Meet Our", "Our Model",
+    "Program Tracks", "No Results", "Privacy", "Our Advisors", "Our Culture", "View Bio", "connect$", "Info$", "Industries$", "Kauffman Fellows")
+TITLES_ALONE = ("partners", "slow ventures", "managing partner", "vice president", "partner", "general partner", "principal", "associate")
+_NO_ONE = f"(?i){'|'.join(NO_PEOPLE)}|^({'|'.join(PAGE_TEXTS)})"
+_SHAPES = "|".join(f"(?:{x})" for x in PERSON_SHAPES)
+
+
+def tidy_people(investors: DataFrame, firms: DataFrame, deal_investors: DataFrame, leads: DataFrame) -> dict[str, DataFrame]:
+    """``investors``, ``deal_investors``, ``firm_links`` and ``leads`` after names and titles are put in order.
+
+    Texts of pages and placeholders go; a name that is a known firm's in any case gives the firm its deals; other names
+    that read like a firm's, or not like a person's, go. Leads (``deal_id``, ``lead_investor_id``) that went are null.
+    """
+    from quarry.operators.names import clean_record
+
+    x = clean_record(F.col("name"), F.col("title"))
+    rows = written(investors.withColumn("x", x).select(*[c for c in investors.columns if c not in ("name", "title")], "x.name", "x.title"), "people")
+    known = firms.groupBy(F.lower("name").alias("low")).agg(F.min("id").alias("known"))
+    rows = rows.withColumn("low", F.lower("name")).join(known.hint("merge"), "low", "left").drop("low")
+    name = F.col("name")
+    junk = (name == "") | name.rlike(_NO_ONE) | F.lower(F.trim(name)).isin(*TITLES_ALONE)
+    kind = F.when(junk, "junk").when(F.col("known").isNotNull(), "firm").when(R.investor_looks_like_firm(name) | ~name.rlike(_SHAPES), "other").otherwise("person")
+    rows = written(rows.withColumn("kind", kind), "people")
+    people, named = rows.where("kind = 'person'").drop("kind", "known"), rows.where("kind = 'firm'").select(F.col("id").alias("investor_id"), F.col("known").alias("firm_id"))
+    ids = people.select(F.col("id").alias("investor_id"))
+    kept = leads.join(ids.select(F.col("investor_id").alias("lead_investor_id"), F.lit(True).alias("kept")).hint("merge"), "lead_investor_id", "left")
+    return {
+        "investors": people, "deal_investors": deal_investors.join(ids.hint("merge"), "investor_id", "left_semi"), "firm_links": deal_investors.join(named.hint("merge"), "investor_id").select("deal_id", "firm_id").distinct(),
+        "leads": kept.select("deal_id", F.when(F.col("kept"), F.col("lead_investor_id")).alias("lead_investor_id"))}
+
+
+def _said_people(t: Tables) -> DataFrame:
+    k, n = F.col("id") % 8, F.initcap("name")
+    said = (
+        F.when(k == 0, F.concat(n, F.lit(", PhD"))).when(k == 1, F.concat(F.lit("SUPPLIER#00000000"), (F.col("id") % 10).cast("string"))).when(k == 2, F.concat(n, F.lit(" Capital"))).when(k == 3, "undisclosed")
+        .when(k == 4, F.replace(n, F.lit(" "), F.lit("   "))).when(k == 5, F.concat(n, F.lit("Managing Director"))).when(k == 6, "View Bio").otherwise(F.col("name")))
+    return t.investors.withColumn("name", said).withColumn("title", F.when(k == 5, "").otherwise(F.col("title")))
+
+
+_PEOPLE = f"""
+with n as (select id, firm_id, name as own, case when id % 8 = 5 then 'Managing Director' else title end as title, array_to_string(list_transform(string_split(name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') as n from investors),
+s as (select *, case id % 8 when 1 then 'SUPPLIER#00000000' || (id % 10) when 2 then n || ' Capital' when 3 then 'undisclosed' when 6 then 'View Bio' when 7 then own else n end as name from n),
+k as (
+  select s.*, f.known, case when name = '' or regexp_matches(name, '{_NO_ONE.replace(chr(39), chr(39) * 2)}') then 'junk' when f.known is not null then 'firm'
+    when id % 8 in (2, 7) or regexp_matches(lower(name), '{"|".join(R.INVESTOR_FIRM_WORDS)}') or not contains(name, ' ') or not regexp_matches(name, '{_SHAPES.replace(chr(39), chr(39) * 2)}') then 'other' else 'person' end as kind
+  from s left join (select lower(name) as low, min(id) as known from firms group by 1) f on f.low = lower(s.name))
+"""
+
+
+def _people(t: Tables) -> dict[str, DataFrame]:
+    leads = t.deal_investors.groupBy("deal_id").agg(F.min("investor_id").alias("lead_investor_id"))
+    return tidy_people(_said_people(t), t.firms, t.deal_investors, leads)
+
+
+@query("clean_investors", _PEOPLE + "select id, name, title, firm_id from k where kind = 'person'")
 def clean_investors(t: Tables) -> DataFrame:
-    """People with tidy names; names of firms are marked for relinking, junk goes."""
-    k = F.col("id") % 4
-    said = F.when(k == 0, F.concat("name", F.lit(" Ventures"))).when(k == 1, F.replace("name", F.lit(" "), F.lit("  "))).when(k == 3, "undisclosed").otherwise(F.concat("name", F.lit(" &amp;")))
-    name = F.trim(F.regexp_replace(F.regexp_replace(said, r"&amp;|,?\s+(?:PhD|MBA|MD|CFA|Esq\.?)$", ""), r"\s+", " "))
-    firm = R.contains_any(F.lower(name), R.FIRM_WORDS)
-    rows = t.investors.withColumn("name", name).where(~R.placeholder_firm(F.col("name")))
-    bare = F.regexp_replace("name", " Ventures$", "")
-    return rows.select("id", F.when(firm, "firm").otherwise("person").alias("kind"), bare.alias("name"))
+    """People under names with credentials, blanks and titles in them, among firms, labels and placeholders."""
+    return _people(t)["investors"].select("id", "name", "title", "firm_id")
+
+
+@query("clean_investors_links", _PEOPLE + "select deal_id, investor_id from deal_investors where investor_id in (select id from k where kind = 'person')")
+def clean_investors_links(t: Tables) -> DataFrame:
+    return _people(t)["deal_investors"].select("deal_id", "investor_id")
+
+
+@query("clean_investors_leads", _PEOPLE + "select deal_id, case when kind = 'person' then id end as lead_investor_id from (select deal_id, min(investor_id) as id from deal_investors group by 1) l join k using (id)")
+def clean_investors_leads(t: Tables) -> DataFrame:
+    """Leads of deals, null where the lead turned out to be no person."""
+    return _people(t)["leads"]
+
+
+@query("clean_investors_firms", _PEOPLE + "select distinct deal_id, known as firm_id from deal_investors join k on k.id = investor_id where kind = 'firm'")
+def clean_investors_firms(t: Tables) -> DataFrame:
+    """Links of deals to the firms that stood among people."""
+    return _people(t)["firm_links"]
 
 
 _RELINK = """
