@@ -365,6 +365,20 @@ def test_nearest_recall_of_whole_table(spark, size):
     assert hit / (20 * len(got)) >= 0.9 and len(got) == (ids % 20 == 0).sum()
 
 
+def test_nearest_recall_with_outliers(spark):
+    """A few rows a thousand times as long as the others: angles alone say little about inner products."""
+    pick = np.random.default_rng(1)
+    x = pick.normal(size=(5000, 64)) * np.where(pick.random((5000, 1)) < 0.002, 1000, 1)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = nearest.nearest(frame, "vec_id % 20 = 0").toPandas().groupby("query_id").vec_id.agg(set)
+    hit = 0
+    for q in range(0, 5000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 250 and hit / (20 * len(got)) >= 0.9
+
+
 def test_radius_is_whole():
     """The index returns every code of the ball that it stops at."""
     pick = np.random.default_rng(2)
