@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +110,13 @@ _GLUE = (*CATEGORY_TOKENS, "/", " ", "&")
 
 
 def glued_of(text: Column, tokens: tuple[str, ...]) -> Column:
-    """Whether a text falls into ``tokens`` without a rest: a fold over its letters that keeps which beginnings do."""
+    """Whether a text falls into ``tokens`` without a rest.
+
+    If no token begins another, a text falls apart in one way only, and a pattern that never goes back tells; else a fold
+    over the text's letters keeps which beginnings fall apart.
+    """
+    if not any(a != b and b.startswith(a) for a in tokens for b in tokens):
+        return F.coalesce(text.rlike(rf"^(?:{'|'.join(map(re.escape, tokens))})++\z"), F.lit(False))
     listed = F.array(*map(F.lit, tokens))
 
     def step(fits: Column, end: Column) -> Column:
@@ -136,7 +144,7 @@ def is_company_name(c: Column) -> Column:
     small = F.size(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: w.rlike(r"^\p{Ll}") | w.isin(*SMALL_WORDS)))
     bad |= F.when((n > 35) & (F.size(words) >= 5), small >= F.size(words) - 2).otherwise(False)
     base = F.trim(F.regexp_replace(name, r"\d{4}$", ""))
-    bad |= F.when((F.char_length(base) > 3) & name.rlike(f"^(?:{'|'.join(CATEGORY_TOKENS)})"), glued_of(base, _GLUE)).otherwise(False)
+    bad |= F.when((F.char_length(base) > 3) & (n <= LONGEST) & name.rlike(f"^(?:{'|'.join(CATEGORY_TOKENS)})"), glued_of(base, _GLUE)).otherwise(False)
     return F.coalesce((F.char_length(F.trim(c)) >= 2) & n.between(1, LONGEST) & ~bad, F.lit(False))
 
 

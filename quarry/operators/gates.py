@@ -340,8 +340,10 @@ def validate_portfolio(t: Tables) -> DataFrame:
     clean = F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)Exits?(true|false)$", ""), r"\((Acquired|Exited)\)", ""))
     reason = (
         F.when(F.coalesce(F.char_length(name), F.lit(0)) < 2, "empty_name").when(F.char_length(name) > P.LONGEST, "name_too_long")
-        .when(~valid_portfolio_name(name), "junk_pattern").when(F.char_length(clean) < 2, "empty_name"))
-    return _listed(t).select("id", F.coalesce(reason, F.lit("accepted")).alias("outcome"), F.when(reason.isNull(), clean).alias("company_name"))
+        .when(~F.col("valid"), "junk_pattern").when(F.char_length(clean) < 2, "empty_name"))
+    # columns of their own, so that a name is judged once and not wherever its outcome is asked for
+    rows = _listed(t).withColumn("valid", valid_portfolio_name(name)).withColumn("reason", reason).withColumn("clean", clean)
+    return rows.select("id", F.coalesce("reason", F.lit("accepted")).alias("outcome"), F.when(F.col("reason").isNull(), F.col("clean")).alias("company_name"))
 
 
 @query("junk_portfolio_rows", f"select id, name from ({P.listed_sql()}) where {P.junk_sql('name')}")

@@ -46,6 +46,15 @@ def test_glued_words_equal_brute_force(spark):
     assert got == {x: falls(x, tokens) for x in texts}
 
 
+def test_glued_words_of_tokens_that_begin_no_other_are_one_pattern(spark):
+    tokens = ("AB", "B", "CA", "&", " ")
+    texts = ["".join(x) for n in range(6) for x in itertools.product("ABC&", repeat=n)] + ["AB\n", "B CA "]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "n string")
+    value = P.glued_of(F.col("n"), tokens)
+    assert {r.n: r.v for r in rows.select("n", value.alias("v")).collect()} == {x: falls(x, tokens) for x in texts} | {None: False}
+    assert "aggregate" not in str(value) and "aggregate" not in str(P.is_company_name(F.col("n")))  # no fold over letters
+
+
 def test_every_glue_of_two_to_four_category_words_is_rejected(spark):
     c = P.CATEGORY_TOKENS
     glued = [a + b for a in c for b in c] + [a + b + d for a in c[:9] for b in c[::3] for d in c[1::4]] + [c[i % 25] + c[i % 7] + c[i % 11] + c[i % 13] for i in range(90)]
