@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.registry import query
+from quarry.sources.staging import written
 from quarry.sources.tables import AS_OF, Tables
 
 
@@ -19,14 +20,42 @@ def notify_follow_on(new: DataFrame, t: Tables, sent: DataFrame) -> DataFrame:
     return out.join(sent.select("user_id", "deal_id", "kind").hint("merge"), ["user_id", "deal_id", "kind"], "left_anti")
 
 
+#: Keys over which the users of one sector or stage are dealt, and notices of new deals that a user's row holds at most.
+DEALT, HELD = 64, 32
+
+
 def notify_match(new: DataFrame, t: Tables, sent: DataFrame) -> DataFrame:
-    """Users whose sectors or stages hold a new deal's; preferences are exploded, so both meet in equi joins."""
-    wants = t.preferences.select("user_id", "key", F.explode(F.from_json("value", "array<string>")).alias("want"))
-    sectors = t.categories.select(F.col("id").alias("category_id"), F.col("name").alias("want"))
-    by_sector = new.join(sectors, "category_id").join(wants.where("key = 'sectors'").hint("merge"), "want").select("user_id", F.col("id").alias("deal_id"))
-    by_stage = new.withColumn("want", F.col("stage")).join(wants.where("key = 'stages'").hint("merge"), "want").select("user_id", F.col("id").alias("deal_id"))
-    rows = by_sector.unionByName(by_stage).distinct().withColumn("kind", F.lit("match"))
-    return rows.join(sent.select("user_id", "deal_id", "kind").hint("merge"), ["user_id", "deal_id", "kind"], "left_anti")
+    """Users whose sectors or stages hold a new deal's; preferences are exploded, so both meet in equi joins.
+
+    There may be billions of matches, so these are neither shuffled nor sorted: there are few sectors and stages, so
+    their users are dealt over ``DEALT`` keys; who wants both of a deal's is matched by its sector alone; and users hold
+    which new deals they were told of. Users told of more than ``HELD`` meet these in a join.
+    """
+    c = F.col
+    said = F.from_json("value", "array<string>")
+    listed = lambda key: F.array_distinct(F.flatten(F.collect_list(F.when(c("key") == key, said)))).alias(key)
+    wants = t.preferences.groupBy("user_id").agg(listed("sectors"), listed("stages"))
+    sectors = t.categories.select(c("id").alias("category_id"), c("name").alias("sector"))
+    deals = new.select(c("id").alias("deal_id"), "category_id", "stage").join(sectors.hint("merge"), "category_id", "left").select("deal_id", "sector", "stage").distinct()
+    deals = written(deals, "new-deals")
+    told = sent.where("kind = 'match'").join(deals.select("deal_id").distinct().hint("merge"), "deal_id", "left_semi").select("user_id", "deal_id").distinct()
+    told = written(told, "told")
+    held = told.groupBy("user_id").agg(F.count("*").alias("n"), F.array_compact(F.collect_list("deal_id")).alias("told"))
+    held = held.select("user_id", (c("n") > HELD).alias("many"), F.when(c("n") <= HELD, c("told")).alias("told"))
+    users = wants.join(held.hint("merge"), "user_id", "left").select("user_id", "sectors", "stages", F.coalesce("many", F.lit(False)).alias("many"), F.coalesce("told", F.array().cast("array<long>")).alias("told"))
+    users = written(users.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(DEALT)).cast("int")), "wants")
+    dealt = deals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    fresh = ~F.coalesce(F.array_contains("told", c("deal_id")), F.lit(False))
+    out = ["user_id", "deal_id", "many"]
+    # several rows of one deal, as of categories of one id: its matches are made distinct
+    once = deals.groupBy("deal_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    by_sector = users.withColumn("sector", F.explode("sectors")).drop("sectors", "stages").join(dealt.drop("stage").hint("shuffle_hash"), ["sector", "salt"]).where(fresh).select(*out)
+    by_stage = users.withColumn("want", F.explode("stages")).drop("stages").join(dealt.withColumnRenamed("stage", "want").hint("shuffle_hash"), ["want", "salt"])
+    by_stage = by_stage.where(fresh & ~F.coalesce(F.array_contains("sectors", c("sector")), F.lit(False))).select(*out)
+    rows = by_sector.unionByName(by_stage)
+    rows = rows if once else rows.distinct()
+    rest = rows.where("many").join(told.hint("merge"), ["user_id", "deal_id"], "left_anti")
+    return rows.where("not many").select("user_id", "deal_id").unionByName(rest.select("user_id", "deal_id")).withColumn("kind", F.lit("match"))
 
 
 def _new(t: Tables) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from quarry.operators.gates import _candidates, deal_gate, duplicates_of, learn_patterns
 from quarry.operators.listing import write_csv, write_json
+from quarry.operators.notices import notify_match
 from quarry.operators.upkeep import insert_or_ignore, read_snapshot, upsert, write_snapshot
 from quarry.plans import catalog
 from quarry.sources import landed
@@ -95,6 +96,21 @@ def test_patterns_learned_in_a_batch_reject_in_the_next(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/patterns/v3").where("reason = 'vc_firm'").first().hits == 5
 
 
+def test_matches_are_not_sorted_and_known_ones_left_out(spark):
+    """Users told of none, some and very many new deals, a user without an id, and one of both preferences."""
+    t = Tables(spark, DATA)
+    t.preferences = spark.createDataFrame([(u, "sectors", '["A"]') for u in (1, 2, 3, None)] + [(u, "stages", '["Seed"]') for u in (1, 4)] + [(5, "sectors", "{broken")], "user_id long, key string, value string")
+    t.categories = spark.createDataFrame([(7, "A"), (8, "B")], "id long, name string")
+    new = spark.createDataFrame([(i, 7 + i % 2, "Seed" if i % 3 == 0 else "Unknown") for i in range(200)] + [(200, None, "Seed")], "id long, category_id long, stage string")
+    known = {(2, i) for i in range(0, 8, 2)} | {(3, i) for i in range(100)} | {(4, 3)}
+    sent = spark.createDataFrame([(u, d, "match") for u, d in known] + [(1, 0, "follow_on")], "user_id long, deal_id long, kind string")
+    got = notify_match(new, t, sent)
+    wanted = [(u, i) for i in range(201) for u in (1, 2, 3, None, 4) if i % 2 == 0 and i < 200 and u != 4 or (i % 3 == 0 or i == 200) and u in (1, 4)]
+    assert sorted(map(str, ((r.user_id, r.deal_id) for r in got.collect()))) == sorted(str(x) for x in wanted if x not in known)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # matches are not made distinct
+
+
 def test_upserts(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id int, name string, site string")
     new = spark.createDataFrame([(2, None, "y"), (3, "c", None)], "id int, name string, site string")
