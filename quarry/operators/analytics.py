@@ -141,7 +141,7 @@ select firm_a, firm_b, count(distinct deal_id) as shared_deals, {_SUM} as shared
 join deals d on p.deal_id = d.id group by 1, 2 having count(distinct deal_id) >= 2 order by shared_deals desc, firm_a, firm_b limit 50""")
 def coinvestors(t: Tables) -> DataFrame:
     pairs = deal_firm_pairs(t).join(t.deals.select(F.col("id").alias("deal_id"), "amount_usd"), "deal_id")
-    out = pairs.groupBy("firm_a", "firm_b").agg(count().alias("shared_deals"), total("amount_usd").alias("shared_capital"))
+    out = t.spread(pairs, "firm_a", "firm_b").groupBy("firm_a", "firm_b").agg(count().alias("shared_deals"), total("amount_usd").alias("shared_capital"))
     return out.where("shared_deals >= 2").orderBy(F.desc("shared_deals"), "firm_a", "firm_b").limit(50)
 
 
@@ -226,7 +226,8 @@ left join categories c on c.id = d.category_id group by 1, 2""")
 def partners_by_category(t: Tables) -> DataFrame:
     deals = t.deals.select(F.col("id").alias("deal_id"), "amount_usd", "category_id")
     deals = deals.join(t.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id", "left")
-    return t.deal_investors.join(deals, "deal_id").groupBy("category", "investor_id").agg(count().alias("deals"), total("amount_usd").alias("capital"))
+    rows = t.spread(t.deal_investors.join(deals, "deal_id").select("category", "investor_id", "amount_usd"), "category", "investor_id")
+    return rows.groupBy("category", "investor_id").agg(count().alias("deals"), total("amount_usd").alias("capital"))
 
 
 @query("portfolio_by_firm", "select f.name as firm, count(*) as companies from portfolio p join firms f on f.id = p.firm_id group by 1")

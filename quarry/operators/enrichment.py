@@ -151,7 +151,7 @@ where c.id not in (select deal_id from deal_investors) and lower(c.name) <> lowe
 def rawtext_investors(t: Tables) -> DataFrame:
     """Backers named in the texts of deals without investors."""
     rows = backer_texts(t).join(t.deal_investors.select(F.col("deal_id").alias("id")), "id", "left_anti")
-    return text_backers(rows, t.firms).select(F.col("id").alias("deal_id"), "name", "known")
+    return text_backers(t.spread(rows, "id"), t.firms).select(F.col("id").alias("deal_id"), "name", "known")
 
 
 @query("org_attributes_to_metadata", """

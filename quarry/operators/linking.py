@@ -14,7 +14,8 @@ SOURCES = ("yc_oss_enriched", "portfolio_company_id")
 @query("portfolio_linked", "select distinct p.id, p.firm_id, d.id as deal_id from portfolio p join deals d on p.company_name_normalized = d.company_name_normalized")
 def portfolio_linked(t: Tables) -> DataFrame:
     deals = t.deals.select(F.col("id").alias("deal_id"), "company_name_normalized")
-    return t.portfolio.join(deals, "company_name_normalized").select("id", "firm_id", "deal_id").distinct()
+    rows = t.spread(t.portfolio, "company_name_normalized").join(t.spread(deals, "company_name_normalized"), "company_name_normalized")
+    return t.spread(rows.select("id", "firm_id", "deal_id"), "id", "deal_id").distinct()
 
 
 @query("portfolio_unmatched", "select id, firm_id, company_name from portfolio where company_name_normalized not in (select company_name_normalized from deals)")

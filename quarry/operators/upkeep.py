@@ -74,7 +74,7 @@ select * from (select distinct l_orderkey as deal_id, l_suppkey % 7 as firm_id,
 where not exists (select 1 from deal_firms d where d.deal_id = x.deal_id and d.firm_id = x.firm_id)""")
 def _insert_or_ignore(t: Tables) -> DataFrame:
     new = t.raw("lineitem").select(F.col("l_orderkey").alias("deal_id"), (F.col("l_suppkey") % 7).alias("firm_id"), F.lit("participant").alias("role"), F.lit(0).cast("long").alias("verified"))
-    return insert_or_ignore(t.deal_firms, new, ["deal_id", "firm_id"])
+    return insert_or_ignore(t.deal_firms, t.spread(new, "deal_id", "firm_id"), ["deal_id", "firm_id"])
 
 
 @query("repoint", """

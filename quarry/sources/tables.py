@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 AS_OF = date(2001, 8, 1)
 EVENTS_AS_OF = date(2024, 1, 31)
 
+#: Rows of links in one partition of a shuffle, about.
+PART_ROWS = 500_000
+
 # Stages in order, and the stage that each order priority stands for.
 STAGES = ("Pre-Seed", "Seed", "Series A", "Series B", "Series C+")
 PRIORITY_STAGE = {"1-URGENT": "Pre-Seed", "2-HIGH": "Seed", "3-MEDIUM": "Series A", "5-LOW": "Series B"}
@@ -41,6 +44,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def parts(self) -> int:
+        """Partitions for shuffles of links: as set, more on large tables, so that what a task sorts or hashes does not grow."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.raw("lineitem").count() // PART_ROWS))
+
+    def spread(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``df`` shuffled by ``keys`` into ``parts`` where tables are large; joins and groupings by these keys follow suit."""
+        return df.repartition(self.parts, *keys) if self.parts > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else df
+
     @cached_property
     def deals(self) -> DataFrame:
         k = F.col("o_orderkey")
@@ -86,7 +98,7 @@ class Tables:
 
     @cached_property
     def deal_firms(self) -> DataFrame:
-        grouped = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("deal_id"), F.col("l_suppkey").alias("firm_id"))
+        grouped = self.spread(self.raw("lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("deal_id"), F.col("l_suppkey").alias("firm_id"))
         return grouped.agg(
             F.when(F.min("l_linenumber") == 1, "lead").otherwise("participant").alias("role"),
             F.max(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).cast("long").alias("verified"))
@@ -100,12 +112,12 @@ class Tables:
 
     @cached_property
     def deal_investors(self) -> DataFrame:
-        return self.raw("lineitem").select(F.col("l_orderkey").alias("deal_id"), F.col("l_partkey").alias("investor_id")).distinct()
+        return self.spread(self.raw("lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("deal_id"), F.col("l_partkey").alias("investor_id")).distinct()
 
     @cached_property
     def portfolio(self) -> DataFrame:
-        rows = self.raw("lineitem").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        rows = rows.where("o_custkey % 3 = 0").select("l_suppkey", "o_custkey").distinct()
+        rows = self.spread(self.raw("lineitem"), "l_orderkey").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = self.spread(rows.where("o_custkey % 3 = 0").select("l_suppkey", "o_custkey"), "o_custkey").distinct()
         rows = rows.join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
         name = F.when(F.col("o_custkey") % 30 == 0, F.concat(F.lit("Unlisted "), F.col("o_custkey").cast("string"))).otherwise(F.col("c_name"))
         return rows.select(

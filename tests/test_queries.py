@@ -12,7 +12,7 @@ from quarry.operators.listing import write_csv, write_json
 from quarry.operators.notices import notify_match
 from quarry.operators.upkeep import insert_or_ignore, read_snapshot, upsert, write_snapshot
 from quarry.plans import catalog
-from quarry.sources import landed
+from quarry.sources import landed, tables
 from quarry.sources.tables import Tables
 from quarry.streaming.feeds import add_patterns, learning_gate, merged_batches
 
@@ -96,6 +96,14 @@ def test_patterns_learned_in_a_batch_reject_in_the_next(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/patterns/v3").where("reason = 'vc_firm'").first().hits == 5
 
 
+def test_partitions_of_links_grow_with_the_table(spark, duck, monkeypatch):
+    monkeypatch.setattr(tables, "PART_ROWS", 500)
+    t = Tables(spark, DATA)
+    assert t.parts >= 12 and t.deal_firms.rdd.getNumPartitions() == t.deal_investors.rdd.getNumPartitions() == t.parts
+    for name in ("coinvestors", "partners_by_category", "portfolio_linked", "insert_or_ignore", "rawtext_investors"):
+        assert rows(catalog.queries()[name](spark, DATA).toPandas()) == rows(duck.sql(catalog.oracle_sql()[name]).df())
+
+
 def test_matches_are_not_sorted_and_known_ones_left_out(spark):
     """Users told of none, some and very many new deals, a user without an id, and one of both preferences."""
     t = Tables(spark, DATA)
