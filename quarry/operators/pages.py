@@ -76,7 +76,7 @@ def read_portfolios(pages: DataFrame, most: int | None = None) -> DataFrame:
     ``most`` keeps the first so many of a page.
     """
     tag, link, node = F.col("tag"), F.col("link"), F.col("node")
-    n = written(page_nodes(pages), "nodes")
+    n = written(page_nodes(pages).where("tag <> '#text'"), "nodes")
     n = boxed(n, container=of_class("container", tag="div"), title=of_class("portfolio-title", tag="div"))
     kinds = {1: of_class("m__list-row", tag="div") & ~of_class("m__list-row--mobile"), 2: of_class("portfolio-card", tag="div"), 3: of_class("portfolio-wrap", tag="div")}
     kinds |= {4 + i: of_class(name, tag=t) for i, (t, name) in enumerate(COMPANY_CARDS)}
@@ -198,7 +198,7 @@ def read_people(pages: DataFrame) -> DataFrame:
     Cards are tried by class in order, two at least; without any, each heading that is shaped like a name begins one.
     People whose title is none of investing are dropped. The same person twice on a page is one row.
     """
-    n = written(page_nodes(pages), "nodes")
+    n = written(page_nodes(pages).where("tag <> '#text'"), "nodes")
     tag, link = F.col("tag"), F.col("link")
     told = written(_people_of_data(n), "people")
     rest = n.join(told.select("page_id").distinct().hint("merge"), "page_id", "left_anti")
@@ -265,7 +265,7 @@ def team_from_html(t: Tables) -> DataFrame:
 
 def read_firm_news(pages: DataFrame, most: int | None = None) -> DataFrame:
     """``page_id``, ``title``, ``link``, ``date`` of a page's articles that speak of funding, ``most`` of its first ones."""
-    n = written(page_nodes(pages), "nodes")
+    n = written(page_nodes(pages).where("tag <> '#text'"), "nodes")
     tag = F.col("tag")
     c = first_kind(cards(n, {1: tag == "article", 2: class_says("post", "div")}))
     dated = tag.isin("span", "div") & F.array_join("classes", " ").rlike("(?i)date|time")
@@ -325,7 +325,7 @@ def read_listings(pages: DataFrame) -> DataFrame:
     the first kind that a page has counts. All but ``funded`` keep entries that speak of funding.
     """
     tag, link = F.col("tag"), F.col("link")
-    n = written(page_nodes(pages, "listing"), "nodes")
+    n = written(page_nodes(pages, "listing").where("tag <> '#text'"), "nodes")
     n = boxed(n, card=of_class("card", tag="div"), heading=tag == "h3")
     on = lambda kind: F.col("listing") == kind
     forms = {

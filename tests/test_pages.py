@@ -118,3 +118,13 @@ def test_bodies_of_the_given_pages(spark):
 def test_listings(spark, listing, body, want):
     got = P.read_listings(frame(spark, [body], listing=[listing])).collect()
     assert [(r.title, r.url, r.description) for r in got] == want
+
+
+def test_pieces_of_text_are_not_kept_where_elements_tell(spark, monkeypatch):
+    from quarry.operators import pages as module
+
+    kept, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: kept.append((name, write(df, name))) or kept[-1][1])
+    one = spark.createDataFrame([(1, "https://a.example.com", "<article><h2><a href='/n'>Acme raises $5M</a></h2></article>")], "page_id long, url string, html string")
+    assert [r.title for r in module.read_firm_news(one).collect()] == ["Acme raises $5M"]
+    assert {r.tag for name, df in kept if name == "nodes" for r in df.collect()} == {"article", "h2", "a"}
