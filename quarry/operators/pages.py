@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import rules as R
 from quarry.operators.gates import valid_portfolio_name
 from quarry.plans.registry import query
-from quarry.sources.markup import boxed, cards, class_says, first_kind, first_of_card, glued, of_class, page_nodes, spaced
+from quarry.sources.markup import GAP, boxed, cards, class_says, first_kind, first_of_card, glued, of_class, page_nodes, page_texts, spaced
 from quarry.sources.staging import written
 from quarry.sources.tables import Tables
 
@@ -124,9 +124,10 @@ PAGE = 40
 
 def _paged(rows: DataFrame, key: Column, order: str, html: Column, before: Column, url: Column, size: int = PAGE) -> DataFrame:
     """Pages of ``size`` rows of a key: ``page_id`` from key and number, ``url`` and ``html``, the rows in order."""
-    rows = rows.select(key.alias("k"), F.col(order).alias("o"), html.alias("h"), before.alias("b"), url.alias("url"))
-    rows = rows.withColumn("p", F.floor((F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1) / size))
-    pages = rows.groupBy("k", "p").agg(F.first("url").alias("url"), F.first("b").alias("b"), F.array_sort(F.collect_list(F.struct("o", "h"))).alias("x"))
+    # numbered before they are rendered, so that the sort carries columns and not html
+    rows = rows.withColumn("__k", key).withColumn("__p", F.floor((F.row_number().over(Window.partitionBy("__k").orderBy(order)) - 1) / size))
+    rows = rows.select(F.col("__k").alias("k"), F.col("__p").alias("p"), F.col(order).alias("o"), html.alias("h"), before.alias("b"), url.alias("url"))
+    pages = rows.groupBy("k", "p").agg(F.first("url").alias("url"), F.first("b").alias("b"), F.sort_array(F.collect_list(F.struct("o", "h"))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: r["h"]), "\n")
     pages = pages.select((F.col("k") * 100000 + F.col("p")).alias("page_id"), "url", F.concat(F.lit("<html><head><title>t</title></head><body>"), "b", body, F.lit("</body></html>")).alias("html"))
     return pages.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")  # small pages, much work
@@ -296,25 +297,18 @@ def firm_news_from_html(t: Tables) -> DataFrame:
 
 
 def read_bodies(pages: DataFrame, most: int | None = None, between: str = " ") -> DataFrame:
-    """``page_id``, ``url``, ``body``: the text of the first article, else main part, else body of a page.
+    """``page_id``, ``url``, ``body``, ``title``: the text of the first article, else main part, else body of a page.
 
     Menus, headers, footers and asides are left out, pieces are joined by ``between``; ``most`` cuts after so many
     characters. Pages without such an element have an empty body.
     """
-    n = written(page_nodes(pages), "nodes")
-    w = Window.partitionBy("page_id")
-    first = lambda tag: F.min(F.when((F.col("tag") == tag) & ~F.col("aside"), F.struct("node", "last"))).over(w)
-    n = n.withColumn("part", F.coalesce(first("article"), first("main"), first("body"), F.min(F.when(F.col("tag") == "body", F.struct("node", "last"))).over(w)))
-    inside = (F.col("tag") == "#text") & ~F.col("aside") & F.col("node").between(F.col("part.node"), F.col("part.last"))
-    pieces = F.array_sort(F.collect_list(F.when(inside, F.struct("node", "text"))))
-    rows = n.groupBy("page_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), between).alias("body"))
-    body = F.coalesce("body", F.lit(""))
-    return pages.select("page_id", "url").join(rows.hint("merge"), "page_id", "left").select("page_id", "url", (body if most is None else F.left(body, F.lit(most))).alias("body"))
+    body = F.replace("body", F.lit(GAP), F.lit(between))
+    return page_texts(pages).select("page_id", "url", (body if most is None else F.left(body, F.lit(most))).alias("body"), "title")
 
 
 @query("article_text")
 def article_text(t: Tables) -> DataFrame:
-    return read_bodies(t.raw("pages"))
+    return read_bodies(t.raw("pages")).drop("title")
 
 
 def read_listings(pages: DataFrame) -> DataFrame:

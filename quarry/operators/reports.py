@@ -9,7 +9,7 @@ from quarry.functions import rules as R
 from quarry.operators.extraction import parse_investors
 from quarry.operators.pages import _paged, read_bodies
 from quarry.plans.registry import query
-from quarry.sources.markup import glued, page_nodes
+from quarry.sources.markup import GAP, glued, page_nodes
 from quarry.sources.staging import written
 from quarry.sources.tables import Tables
 
@@ -19,14 +19,17 @@ LABELS = {
     "year": ("founding year", "founded"), "total": ("total equity funding raised",)}
 DESCRIPTION = 500
 NO_COMPANY = ("the", "this", "our", "we")
+#: Where a capitalized name of all its words begins; what follows is looked at first, as few places have it.
+TOLD = r"(?=\b[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*, an? )(?<!\b[A-Z][A-Za-z0-9]{0,40} )"
+UNITS = {"B": 1e9, "M": 1e6, "K": 1e3}
 MONEY = r"\$?([\d,.]+)\s*([MBK]|million|billion)?"
 
 
 def _amount(number: Column, unit: Column, other: str | None = None) -> Column:
     """Value of "20.5" and "M"; without a unit that of ``other``, if given."""
     unit = F.upper(F.substring(unit, 1, 1))
-    unit = unit if other is None else F.when(unit == "", other).otherwise(unit)
-    scale = F.when(unit == "B", 1e9).when(unit == "M", 1e6).when(unit == "K", 1e3)
+    unit = unit if other is None else F.coalesce(F.nullif(unit, F.lit("")), F.lit(other))
+    scale = F.try_element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), unit)  # names ``unit`` once
     return F.rtrim(F.replace(number, F.lit(",")), F.lit(".")).try_cast("double") * scale
 
 
@@ -44,19 +47,20 @@ def read_daily_reports(pages: DataFrame) -> DataFrame:
     ``investors``, ``founders``, ``founded``, ``total_raised``, ``source_url``; what is not said is null.
     """
     c = F.col
-    titles = page_nodes(pages).where("tag = 'title'").groupBy("page_id").agg(F.min_by(glued(), "node").alias("title"))
-    bodies = read_bodies(pages, between="\n").join(titles.hint("merge"), "page_id", "left")
+    bodies = read_bodies(pages, between="\n")
     day = F.regexp_extract_all(F.concat_ws(" ", "title"), F.lit(r"(\d{1,2}/\d{1,2}/\d{4})"), F.lit(1))
     in_url = F.regexp_extract("url", r"report-(\d{1,2}-\d{1,2}-\d{4})", 1)
     dated = F.coalesce(
         F.to_date(F.try_to_timestamp(F.get(day, F.lit(0)), F.lit("M/d/yyyy"))), F.to_date(F.try_to_timestamp(F.nullif(in_url, F.lit("")), F.lit("M-d-yyyy"))),
         F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract("url", r"/(\d{4}/\d{2})/", 1), F.lit("")), F.lit("yyyy/MM"))))
-    parts = bodies.select("page_id", c("url").alias("source_url"), dated.alias("date_announced"), F.posexplode(F.split("body", r"(?<!\b[A-Z][A-Za-z0-9]{0,40} )(?=\b[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*, an? )")).alias("place", "part"))
+    parts = bodies.select("page_id", c("url").alias("source_url"), dated.alias("date_announced"), F.posexplode(F.split("body", TOLD)).alias("place", "part"))
     parts = parts.withColumn("part", F.replace("part", F.lit("\n"), F.lit(" "))).where(F.lower("part").contains("has raised"))
     parts = written(parts, "parts")
     raised = rf"has raised {MONEY} in (\w[\w -]*?) funding"
     full, short = rf"(?i)^([^,]+), an? ([^.]+?), {raised}", rf"([A-Z][A-Za-z0-9&' -]*?),? (?i:{raised})"
-    get = lambda i: F.when(c("part").rlike(full), F.regexp_extract("part", full, i)).otherwise(F.lit("") if i == 2 else F.regexp_extract("part", short, min(i, 1) if i < 2 else i - 1))
+    # one match gives all five values of a whole sentence
+    parts = parts.withColumn("x", F.split(F.regexp_replace("part", rf"{full}(?s:.*)$", GAP.join(f"${i}" for i in range(1, 6))), GAP))
+    get = lambda i: F.when(F.size("x") == 5, F.get("x", F.lit(i - 1))).otherwise(F.lit("") if i == 2 else F.regexp_extract("part", short, min(i, 1) if i < 2 else i - 1))
     say = lambda pattern, i=1: _blank(F.regexp_extract("part", f"(?i){pattern}", i))
     rows = parts.select(
         "page_id", "place", "date_announced", "source_url", F.trim(get(1)).alias("company_name"), _blank(F.left(get(2), F.lit(DESCRIPTION))).alias("description"), _amount(get(3), get(4), "M").alias("amount_usd"), get(5).alias("round"),
@@ -131,9 +135,8 @@ def daily_pages(t: Tables) -> DataFrame:
         c("said"), ", a shop for ", F.regexp_replace("company_name", r"\D", ""), " things, has raised $", c("millions"), "M in ", c("stage"), " funding. ", F.when(id_ % 2 == 0, _said("The round was led by ", _turn(2), ". ")).otherwise(""),
         F.when(id_ % 3 != 0, _said("Money came from investors that include ", _turn(1), ", ", _turn(3), " and Jane Doe. ")).otherwise(""), F.when(id_ % 5 != 0, _said("Founded by Ann Lee and Bo Ek in ", (F.lit(2000) + id_ % 20).cast("string"), ". ")).otherwise(""),
         F.when(id_ % 7 != 0, _said("It has now raised a total of $", (id_ % 90 + 1).cast("string"), ".5M in all. ")).otherwise(""))
-    rows = _rows(t).withColumn("html", _said("<p>", text, "</p>"))
     day = F.date_format("date_announced", "M/d/yyyy")
-    pages = _paged(rows, F.datediff("date_announced", F.lit("1990-01-01").cast("date")).cast("long"), "id", c("html"), _said("<header>The daily report</header><h1>Report ", day, "</h1>"), F.lit("https://r.example.com/daily"), 1000)
+    pages = _paged(_rows(t), F.datediff("date_announced", F.lit("1990-01-01").cast("date")).cast("long"), "id", _said("<p>", text, "</p>"), _said("<header>The daily report</header><h1>Report ", day, "</h1>"), F.lit("https://r.example.com/daily"), 1000)
     return pages.withColumn("html", F.replace("html", F.lit("<title>t</title>"), _said("<title>Daily report ", F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.floor(c("page_id") / 100000).cast("int")), "M/d/yyyy"), "</title>")))
 
 
@@ -165,9 +168,10 @@ def roundup_pages(t: Tables) -> DataFrame:
     trade, people = line("Industry", "Robotics"), F.when(id_ % 5 != 0, line("Founders", "Ann Lee, Bo Ek")).otherwise("")
     year, total = line(F.when(id_ % 2 == 0, "Founded").otherwise("Founding year"), (F.lit(2000) + id_ % 20).cast("string")), F.when(id_ % 7 != 0, line("Total equity funding raised", "$", (id_ % 90 + 1).cast("string"), ".5M")).otherwise("")
     body = F.when(k == 0, _said(kind, about, backers, trade, people, year, total)).when(k == 1, _said(total, year, people, trade, backers, about, kind)).otherwise(_said(people, about, kind, total, trade, year, backers))
-    rows = _rows(t).withColumn("month", F.trunc("date_announced", "month")).withColumn("html", _said("<h2>", number, ". ", c("said"), F.when(k == 0, _said(" ", money)).otherwise(""), "</h2>", F.when(k == 2, _said("<p>They took ", money, " home</p>")).otherwise(""), body))
+    rows = _rows(t).withColumn("month", F.trunc("date_announced", "month"))
+    html = _said("<h2>", number, ". ", c("said"), F.when(k == 0, _said(" ", money)).otherwise(""), "</h2>", F.when(k == 2, _said("<p>They took ", money, " home</p>")).otherwise(""), body)
     url = _said("https://r.example.com/", F.date_format("month", "yyyy/MM"), "/round-up")
-    return _paged(rows, F.datediff("month", F.lit("1990-01-01").cast("date")).cast("long"), "id", c("html"), F.lit("<h2>The largest rounds</h2><p>Round: none</p><hr><p>Round: ad</p>"), url, 20)
+    return _paged(rows, F.datediff("month", F.lit("1990-01-01").cast("date")).cast("long"), "id", html, F.lit("<h2>The largest rounds</h2><p>Round: none</p><hr><p>Round: ad</p>"), url, 20)
 
 
 @query("roundup_deals", _D + f"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -25,13 +27,65 @@ NODE = (
     "page_id long, url string, node int, last int, parent int, parent_last int, tag string, classes array<string>, kind string, link string, stamp string, text string, aside boolean")
 
 
-class _Reader(HTMLParser):
-    """Collects the nodes of one page in the order of the source; elements end as their end tags say."""
+#: Pages of plain tags and texts are cut by one pattern; what could be read otherwise (comments, scripts, odd
+#: attributes, texts with a "<", titles with tags) is left to the parser. Both give the same events.
+_TAG = r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \n]+[a-zA-Z][a-zA-Z-]*=(?:"[^"<>&]*"|'[^'<>&]*'))*)>"""
+_EVENT = re.compile(rf"{_TAG}|([^<]+)")
+_PLAIN = re.compile(rf"(?:{_TAG.replace('(/?)', '/?').replace('([a-z', '(?:[a-z').replace('((?:[ ', '(?:(?:[ ')}|[^<]++)*+")
+_ODD = re.compile(r"(?i)<(?:script|style|textarea|xmp|iframe|noembed|noframes|noscript|plaintext)|<title[^>]|<title>[^<]*+(?!</title>)|</[a-z0-9]+[^>a-z0-9]")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)=(?:"([^"]*)"|'([^']*)')""")
+
 
+class _Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.found: list[tuple] = []
+
+    def updatepos(self, i, j):
+        return j  # no lines are counted
+
+    def handle_starttag(self, tag, attrs):
+        self.found.append(("", tag, attrs, ""))
+
+    def handle_endtag(self, tag):
+        self.found.append(("/", tag, (), ""))
+
+    def handle_data(self, data):
+        self.found.append(("", "", (), data))
+
+
+def events(html: str) -> list[tuple]:
+    """A page's tags and texts in order: "/" of an end tag, its name, attributes (pairs, or as written), or a text."""
+    if _PLAIN.fullmatch(html) and not _ODD.search(html):
+        return [(end, tag.lower(), attrs, unescape(text) if "&" in text else text) for end, tag, attrs, text in _EVENT.findall(html)]
+    parser = _Events()
+    parser.feed(html)
+    parser.close()
+    return parser.found
+
+
+def attributes(attrs) -> dict:
+    return {name.lower(): one or two for name, one, two in _ATTRIBUTE.findall(attrs)} if isinstance(attrs, str) else dict(attrs)
+
+
+class _Reader:
+    """Collects the nodes of one page in the order of the source; elements end as their end tags say."""
+
+    def __init__(self):
         self.rows, self.stack = [], []
 
+    def read(self, html: str) -> list[dict]:
+        for end, tag, attrs, text in events(html):
+            if not tag:
+                self.handle_data(text)
+            elif end:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, attributes(attrs))
+        for row in self.stack:
+            row["last"] = len(self.rows) - 1
+        return self.rows
+
     def add(self, tag: str, attrs: dict, text: list[str]) -> dict:
         above = self.stack[-1] if self.stack else None
         row = {
@@ -40,11 +94,8 @@ class _Reader(HTMLParser):
         self.rows.append(row)
         return row
 
-    def updatepos(self, i, j):
-        return j  # no lines are counted
-
     def handle_starttag(self, tag, attrs):
-        row = self.add(tag, dict(attrs), [])
+        row = self.add(tag, attrs, [])
         if tag not in VOID:
             self.stack.append(row)
 
@@ -69,12 +120,6 @@ class _Reader(HTMLParser):
                     row["text"].append(piece[: SHOWN - row["size"]])
                     row["size"] += len(piece)
 
-    def done(self) -> list[dict]:
-        self.close()
-        for row in self.stack:
-            row["last"] = len(self.rows) - 1
-        return self.rows
-
 
 def page_nodes(pages: DataFrame, *more: str) -> DataFrame:
     """Nodes of ``pages`` (``page_id`` of its own, ``url``, ``html``), and the columns ``more`` on each of them.
@@ -89,9 +134,7 @@ def page_nodes(pages: DataFrame, *more: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 page = {x: batch.column(x)[i].as_py() for x in batch.schema.names}
-                reader = _Reader()
-                reader.feed(page["html"] or "")
-                found = reader.done()
+                found = _Reader().read(page["html"] or "")
                 for at in range(0, len(found), SLICE):
                     part = found[at : at + SLICE]
                     above = [row["above"] for row in part]
@@ -103,6 +146,108 @@ def page_nodes(pages: DataFrame, *more: str) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html", *more).mapInArrow(run, ", ".join([NODE, *[f"{x} {kinds[x]}" for x in more]]))
 
 
+def _closed(stack: list[tuple], tag: str) -> list[tuple]:
+    """The open elements that an end tag ends, taken off ``stack``: those down to the last of its name, if there is one."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][0] == tag:
+            gone = stack[k:]
+            del stack[k:]
+            return gone
+    return []
+
+
+def _piece(stack: list[tuple], text: str) -> str:
+    return "" if stack and stack[-1][0] in ("script", "style") else " ".join(text.split())
+
+
+def _sections(html: str, heads: tuple[str, ...], ends: tuple[str, ...]) -> list[tuple]:
+    stack: list[tuple] = []  # open elements by tag, with the section that they head
+    found, head, stamp = [], None, None
+    for end, tag, attrs, text in events(html):
+        if not tag:
+            if piece := _piece(stack, text):
+                for _, own in stack:
+                    if own is not None and own["size"] < SHOWN:
+                        own["head"] += piece[: SHOWN - own["size"]]
+                        own["size"] += len(piece)
+                if head is not None and not head["open"]:
+                    head["pieces"].append(piece)
+        elif end:
+            for _, own in _closed(stack, tag):
+                if own is not None:
+                    own["open"] = False
+        else:
+            own = None
+            if tag in heads or tag in ends:
+                own = head = {"tag": tag, "head": "", "size": 0, "open": tag not in VOID, "pieces": []}
+                found.append(own)
+            elif tag == "time" and stamp is None:
+                stamp = attributes(attrs).get("datetime")
+            if tag not in VOID:
+                stack.append((tag, own))
+    return [(stamp, i, x["head"], GAP.join(x["pieces"])) for i, x in enumerate(found) if x["tag"] in heads]
+
+
+def _main_text(html: str) -> list[tuple]:
+    stack: list[tuple] = []  # open elements: tag, whether aside, and its extent among the texts
+    texts, title, firsts = [], None, {}
+    for end, tag, attrs, text in events(html):
+        if not tag:
+            if piece := _piece(stack, text):
+                texts.append((piece, bool(stack) and stack[-1][1]))
+                for open_, _, own in stack:
+                    if open_ == "title" and own is title and own["size"] < SHOWN:
+                        own["text"] += piece[: SHOWN - own["size"]]
+                        own["size"] += len(piece)
+        elif end:
+            for *_, own in _closed(stack, tag):
+                own["to"] = len(texts)
+        else:
+            aside = tag in ASIDE or bool(stack) and stack[-1][1]
+            own = {"from": len(texts), "to": None, "text": "", "size": 0}
+            if tag == "title" and title is None:
+                title = own
+            if tag in ("article", "main", "body"):
+                firsts.setdefault((tag, aside), own)
+            if tag not in VOID:
+                stack.append((tag, aside, own))
+    tries = (("article", False), ("main", False), ("body", False), ("body", True))
+    part = next((firsts[x] for x in tries if x in firsts), None)
+    inside = [] if part is None else texts[part["from"] : part["to"]]
+    return [(None if title is None else title["text"], GAP.join(piece for piece, aside in inside if not aside))]
+
+
+def _read_pages(pages: DataFrame, read: Callable[[str], list[tuple]], columns: dict[str, pa.DataType], kinds: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = [(i, url, *x) for i, url, html in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)) for x in read(html or "")]
+                found = list(zip(*rows)) or [[]] * (2 + len(columns))
+                types = {"page_id": pa.int64(), "url": pa.string(), **columns}
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, types.values())], list(types))
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, f"page_id long, url string, {kinds}")
+
+
+def page_sections(pages: DataFrame, heads: tuple[str, ...], ends: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each element of ``heads``: ``page_id``, ``url``, ``stamp``, ``section``, ``head``, ``text``.
+
+    ``head`` is the element's own text, ``text`` the pieces that follow on it up to the next of ``heads`` or ``ends``,
+    with ``GAP`` between, ``section`` its place, ``stamp`` the page's first datetime of a time element.
+    """
+    columns = {"stamp": pa.string(), "section": pa.int32(), "head": pa.string(), "text": pa.string()}
+    return _read_pages(pages, lambda html: _sections(html, heads, ends), columns, "stamp string, section int, head string, text string")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """``page_id``, ``url``, ``title``, ``body`` of each page.
+
+    ``body`` has the pieces, with ``GAP`` between, of the first article, else main part, else body, without those in
+    menus, headers, footers and asides; it is empty where there is no such element.
+    """
+    return _read_pages(pages, _main_text, {"title": pa.string(), "body": pa.string()}, "title string, body string")
+
+
 def glued(c: Column | str = "text") -> Column:
     return F.replace(F.col(c) if isinstance(c, str) else c, F.lit(GAP), F.lit(""))
 
