@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
 from quarry.operators.extraction import parse_investors
 from quarry.operators.pages import _paged, read_bodies
 from quarry.plans.registry import query
-from quarry.sources.markup import GAP, glued, page_nodes
+from quarry.sources.markup import GAP, page_sections
 from quarry.sources.staging import written
 from quarry.sources.tables import Tables
 
@@ -80,35 +80,27 @@ def read_roundups(pages: DataFrame) -> DataFrame:
     run over several lines. ``date_announced`` is the first time stamp of the page, else the last day of the url's month.
     """
     c = F.col
-    n = written(page_nodes(pages), "nodes")
-    upto = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = n.withColumn("head", F.last(F.when(c("tag").isin("h2", "h3", "hr"), F.struct("node", "last", glued().alias("text"))), ignorenulls=True).over(upto))
-    stamp = F.first(F.when((c("tag") == "time") & c("stamp").isNotNull(), c("stamp")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    n = n.withColumn("day", F.coalesce(F.left(stamp, F.lit(10)).try_cast("date"), F.last_day(F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract("url", r"/(\d{4}/\d{2})/", 1), F.lit("")), F.lit("yyyy/MM"))))))
-    lines = n.where((c("tag") == "#text") & (c("node") > c("head.last"))).select("page_id", c("head.node").alias("section"), "node", "text")
-    spelled = {x: label for label, names in LABELS.items() for x in names}
-    said = rf"(?is)^({'|'.join(sorted(spelled, key=len, reverse=True))}):\s*(.*)$"
-    begins = F.lower(F.regexp_extract("text", said, 1))
-    label = F.element_at(F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair]), F.nullif(begins, F.lit("")))
-    within = Window.partitionBy("page_id", "section").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("label", F.last(label, ignorenulls=True).over(within)).withColumn("line", F.when(begins != "", F.regexp_extract("text", said, 2)).otherwise(c("text")))
-    told = lines.where("label is not null").groupBy("page_id", "section", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "line"))), lambda x: x["line"]), " ").alias("said"))
-    blocks = told.groupBy("page_id", "section").agg(F.map_from_entries(F.collect_list(F.struct("label", F.trim("said")))).alias("m"))
-    whole = lines.groupBy("page_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), " ").alias("block"))
+    spelled = "|".join(sorted((x for names in LABELS.values() for x in names), key=len, reverse=True))
     heading = r"^(\d+)\.\s*(.+?)(?:\s+\$?([\d,.]+)\s*([MBK]))?\s*$"
-    heads = n.where(c("tag").isin("h2", "h3") & glued().rlike(heading)).select("page_id", c("url").alias("source_url"), "day", c("node").alias("section"), glued().alias("head"))
-    rows = written(heads.join(blocks.hint("merge"), ["page_id", "section"], "left").join(whole.hint("merge"), ["page_id", "section"], "left"), "sections")
+    rows = page_sections(pages, ("h2", "h3"), ("hr",)).where(c("head").rlike(heading))
+    # texts from one that begins with a label up to the next such one; what stands before the first is of no label
+    told = F.split(F.concat(F.lit(GAP), "text"), rf"{GAP}(?=(?i:{spelled}):)")
+    told = F.transform(F.slice(told, F.lit(2), F.size(told)), lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("label"), F.replace(F.ltrim(F.substr(x, F.instr(x, ":") + 1)), F.lit(GAP), F.lit(" ")).alias("said")))
+    rows = rows.select("page_id", c("url").alias("source_url"), "stamp", "head", F.replace("text", F.lit(GAP), F.lit(" ")).alias("block"), told.alias("told"))
+    of = lambda names: F.array_join(F.transform(F.filter("told", lambda x: x["label"].isin(*names)), lambda x: x["said"]), " ")
+    rows = written(rows.select("page_id", "source_url", "stamp", "head", "block", *[_blank(of(names)).alias(label) for label, names in LABELS.items()]), "sections")
+    in_url = F.nullif(F.regexp_extract("source_url", r"/(\d{4}/\d{2})/", 1), F.lit(""))
+    day = F.coalesce(F.left("stamp", F.lit(10)).try_cast("date"), F.last_day(F.to_date(F.try_to_timestamp(in_url, F.lit("yyyy/MM")))))
     get = lambda i: F.regexp_extract("head", heading, i)
-    field = lambda x: _blank(F.try_element_at("m", F.lit(x)))
     first = lambda i: F.regexp_extract(F.coalesce("block", F.lit("")), r"(?i)\$?([\d,.]*\d)\s*(M|B|K|million)\b", i)
-    names, lead = parse_investors(F.coalesce(field("investors"), F.lit("")))
-    kind = _blank(F.regexp_replace(F.coalesce(field("round"), F.lit("")), r"\s*[–-]\s*\$[\d,.]+[MBK]?", ""))
+    names, lead = parse_investors(F.coalesce(c("investors"), F.lit("")))
+    kind = _blank(F.regexp_replace(F.coalesce(c("round"), F.lit("")), r"\s*[–-]\s*\$[\d,.]+[MBK]?", ""))
     total = r"(?i)^\$?([\d,.]+)\s*([MBK])"
     return rows.select(
-        "page_id", c("day").alias("date_announced"), F.trim(get(2)).alias("company_name"), F.left(field("description"), F.lit(DESCRIPTION)).alias("description"), F.coalesce(_amount(get(3), get(4)), _amount(first(1), first(2))).alias("amount_usd"),
-        F.coalesce(kind, F.lit("Unknown")).alias("round_type"), R.normalize_stage(F.coalesce(kind, F.lit(""))).alias("stage"), lead.alias("lead"), names.alias("investors"), field("founders").alias("founders"),
-        F.regexp_extract(F.coalesce(field("year"), F.lit("")), r"^(\d{4})", 1).try_cast("int").alias("founded"), _amount(F.regexp_extract(F.coalesce(field("total"), F.lit("")), total, 1), F.regexp_extract(F.coalesce(field("total"), F.lit("")), total, 2)).alias("total_raised"),
-        R.classify_sector(F.concat_ws(" ", F.coalesce(field("description"), F.lit("")), F.coalesce(field("industry"), F.lit("")))).alias("sector"), "source_url")
+        "page_id", day.alias("date_announced"), F.trim(get(2)).alias("company_name"), F.left(c("description"), F.lit(DESCRIPTION)).alias("description"), F.coalesce(_amount(get(3), get(4)), _amount(first(1), first(2))).alias("amount_usd"),
+        F.coalesce(kind, F.lit("Unknown")).alias("round_type"), R.normalize_stage(F.coalesce(kind, F.lit(""))).alias("stage"), lead.alias("lead"), names.alias("investors"), c("founders").alias("founders"),
+        F.regexp_extract(F.coalesce(c("year"), F.lit("")), r"^(\d{4})", 1).try_cast("int").alias("founded"), _amount(F.regexp_extract(F.coalesce(c("total"), F.lit("")), total, 1), F.regexp_extract(F.coalesce(c("total"), F.lit("")), total, 2)).alias("total_raised"),
+        R.classify_sector(F.concat_ws(" ", F.coalesce(c("description"), F.lit("")), F.coalesce(c("industry"), F.lit("")))).alias("sector"), "source_url")
 
 
 # --- reports rendered from deals
