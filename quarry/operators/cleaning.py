@@ -17,6 +17,8 @@ from quarry.sources.tables import Tables, norm_name
 
 #: Days of a date band: dates of one round lie in a band or in neighbouring ones. Bands of deals without a date.
 BAND, NO_BAND = R.DAYS_APART + 1, -(10**6)
+#: Deals of a company that are clustered as one array at most.
+FOLDED = 2000
 
 
 def _fits(similar: Column, close: Column, stages: Column) -> Column:
@@ -36,18 +38,47 @@ def _meetings(rows: DataFrame, leads: DataFrame) -> DataFrame:
     return near.unionByName(rows.where("band is null").join(right.drop("probe").hint("merge"), "name").where(fits).select("id", "lead_id"))
 
 
-def round_clusters(deals: DataFrame) -> DataFrame:
+def round_clusters(deals: DataFrame, folded: int = FOLDED) -> DataFrame:
     """``id``, ``company_name_normalized`` and ``lead_id``, the first deal of the cluster that a deal falls into.
 
-    Deals of a company are taken by id; each joins the first cluster whose first member it fits, else opens one. So a
-    deal opens a cluster if it fits no earlier opener. Rounds find these: of each band of dates and amounts the open
+    Deals of a company are taken by id; each joins the first cluster whose first member it fits, else opens one.
+    Companies of up to ``folded`` deals are folded as arrays; larger ones, if there are any, go by rounds of joins.
+    """
+    rows = written(deals.where("company_name_normalized <> ''").select("id", F.col("company_name_normalized").alias("name"), "stage", "amount_usd", "date_announced"), "rounds")
+    large = written(rows.groupBy("name").agg(count().alias("n")).where(F.col("n") > folded).select("name"), "large")
+    if large.isEmpty():
+        return _by_fold(rows)
+    few, many = (written(rows.join(large.hint("merge"), "name", how), "rounds") for how in ("left_anti", "left_semi"))
+    return _by_fold(few).unionByName(_by_rounds(many))
+
+
+def _by_fold(rows: DataFrame) -> DataFrame:
+    """Clusters of companies with few deals: a fold over each one's deals gives the openers, the first that fits is the lead."""
+
+    def fit(x: Column, y: Column) -> Column:
+        return _fits(R.amounts_similar(x["amount_usd"], y["amount_usd"]), R.dates_close(x["date_announced"], y["date_announced"]), R.same_stage(x["stage"], y["stage"]))
+
+    deal = F.struct("id", "stage", "amount_usd", "date_announced")
+    of = rows.groupBy("name").agg(F.sort_array(F.collect_list(deal)).alias("deals"))
+    opened = F.aggregate("deals", F.slice("deals", 1, 0), lambda leads, x: F.when(F.exists(leads, lambda y: F.coalesce(fit(x, y), F.lit(False))), leads).otherwise(F.array_append(leads, x)))
+    led = lambda x: F.filter("leads", lambda y: (y["id"] == x["id"]) | (y["id"] < x["id"]) & fit(x, y))
+    # written, so that openers are found once a company and not once a deal
+    of = written(of.withColumn("leads", opened), "folds")
+    out = of.select("name", F.explode(F.transform("deals", lambda x: F.struct(x["id"].alias("id"), F.get(led(x), F.lit(0))["id"].alias("lead_id")))).alias("x"))
+    return out.select("x.id", F.col("name").alias("company_name_normalized"), "x.lead_id")
+
+
+def _by_rounds(deals: DataFrame) -> DataFrame:
+    """Clusters of companies of any size.
+
+    A deal opens a cluster if it fits no earlier opener. Rounds find these: of each band of dates and amounts the open
     deal of least id is a candidate; those that no earlier open deal fits open clusters, and the deals that fit them are
     open no more. A round joins each deal with few candidates, so a company of any number of deals is many small joins.
     """
     c = F.col
-    rows = deals.where("company_name_normalized <> ''").select(
-        "id", c("company_name_normalized").alias("name"), "stage", "amount_usd", "date_announced", F.floor(F.datediff("date_announced", F.lit("1970-01-01").cast("date")) / BAND).alias("band"),
-        F.when(c("amount_usd") != 0, F.floor(F.log2(F.greatest("amount_usd", F.lit(1.0))))).alias("size"))
+    rows = deals.withColumns({
+        "band": F.floor(F.datediff("date_announced", F.lit("1970-01-01").cast("date")) / BAND),
+        "size": F.when(c("amount_usd") != 0, F.floor(F.log2(F.greatest("amount_usd", F.lit(1.0)))))})
     rows = written(rows, "rounds")
     still, openers = rows, None
     while True:
@@ -109,7 +140,8 @@ def _round_clusters(t: Tables) -> DataFrame:
 
 
 def _merged(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    return merge_duplicates(t.deals, t.deal_firms, t.deal_investors, t.deal_metadata)
+    deals = t.deals.select("id", "company_name_normalized", "stage", "amount_usd", "date_announced", "confidence_score", "company_website", "company_description")
+    return merge_duplicates(deals, t.deal_firms, t.deal_investors, t.deal_metadata)
 
 
 @query("merge_duplicate_deals", _FOLD + """

@@ -42,6 +42,22 @@ def test_clusters_equal_the_fold(spark):
         assert clusters(spark, deals) == fold(deals)
 
 
+def test_folded_and_joined_companies_agree(spark):
+    deals = made(4, 400, ["a", "b", "c"]) + [(10_000 + i, "one" + str(i % 40), "Seed", 1e6 * (i + 1), None) for i in range(80)]
+    frame = spark.createDataFrame(deals, DEAL)
+    for most in (0, 2, 130, 2000):
+        assert {r.id: r.lead_id for r in round_clusters(frame, most).collect()} == fold(deals)
+
+
+def test_small_companies_take_no_rounds(spark, monkeypatch):
+    """Rounds of joins over all deals made the merges grow beyond their time; companies with few deals don't need them."""
+    from quarry.operators import cleaning
+
+    monkeypatch.setattr(cleaning, "_by_rounds", None)
+    deals = made(5, 200, ["a", "b"])
+    assert clusters(spark, deals) == fold(deals)
+
+
 def test_clusters_of_a_chain_of_dates(spark):
     """Each deal fits the one before it, so that openers depend on openers."""
     day = datetime.date(2010, 1, 1)
