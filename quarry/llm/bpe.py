@@ -33,7 +33,7 @@ from quarry.llm.common import SLICE_BYTES, table
 #: A merge number that no merge has.
 NEVER = 1 << 60
 #: Words kept with their encoding in each Python worker; the memory is dropped and built anew beyond this.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 # The characters that byte-level BPE shows for bytes 0-255. Printable bytes stand for themselves.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

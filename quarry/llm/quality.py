@@ -36,6 +36,8 @@ SAMPLE = 20_000
 WORDS, LEAST = 256, 3
 #: Rounds of exchange and steps of the fit in each; how sure a view must be of what it teaches.
 ROUNDS, STEPS, SURE = 3, 3, 0.98
+#: Words that a worker counts before it hands them on.
+COUNTED = 20_000
 SOURCES, LANGS = 32, 16
 TARGETS = ("quality", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -219,6 +221,28 @@ def taught(pool: DataFrame, learners: list[CoTraining], teaching: list, n_words:
     return out
 
 
+def word_counts(batches: Iterator[pa.RecordBatch], most: int = COUNTED) -> Iterator[pa.RecordBatch]:
+    """``word``, ``n``, ``quality``, ``toxic``: documents with each term, in parts; a part is given out beyond ``most`` terms."""
+    counts: dict[str, list[int]] = {}
+
+    def part() -> pa.RecordBatch:
+        columns = zip(*counts.values()) if counts else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], ["word", "n", *TARGETS])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            text, *flags = (c[row].as_py() for c in batch.columns)
+            for word in terms(_WORD.findall((text or "").lower())):
+                entry = counts.setdefault(word, [0, 0, 0])
+                entry[0] += 1
+                entry[1] += flags[0]
+                entry[2] += flags[1]
+            if len(counts) > most:
+                yield part()
+                counts.clear()
+    yield part()
+
+
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Classifier:
     """Fit from ``labels`` (doc_id, quality, toxic), the ``documents`` they name, and all other ``documents``."""
     labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -227,19 +251,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds:
     docs = documents.select("doc_id", "text", "source", "lang", "n_chars")
     known = staged(docs.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample), "labelled")  # ``sample`` ids at most
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, *flags in zip(*(c.to_pylist() for c in batch.columns)):
-                for word in terms(_WORD.findall((text or "").lower())):
-                    entry = counts.setdefault(word, [0, 0, 0])
-                    entry[0] += 1
-                    entry[1] += flags[0]
-                    entry[2] += flags[1]
-        rows = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), *[pa.array([counts[w][i] for w in rows], pa.int64()) for i in range(3)]], ["word", "n", *TARGETS])
-
-    words = known.select("text", *TARGETS).mapInArrow(seen, "word string, n long, quality long, toxic long")
+    words = known.select("text", *TARGETS).mapInArrow(word_counts, "word string, n long, quality long, toxic long")
     words = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)]).where(F.col("n") >= LEAST)
     words = staged(words, "words")
     total = known.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TARGETS]).first()
