@@ -32,9 +32,8 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
 SECTIONS = 16
 #: Pairs whose smaller set has up to so many shingles meet by exact keys.
 SHORT = 64
-#: Lists of up to ``SMALL`` texts are compared pair by pair after the first round. Those above ``HOT`` that ``SPLIT``
-#: rounds leave in several groups are dealt anew by rare shingles.
-SMALL, HOT, SPLIT = 32, 64, 2
+#: Lists of up to ``SMALL`` texts are compared pair by pair after the first round.
+SMALL = 32
 
 
 def _level(n: float) -> int:
@@ -85,30 +84,37 @@ def verified_links(lists: DataFrame, sets_of: DataFrame, similarity: float) -> D
 
     ``lists`` has ``key``, ``node``, the size ``n`` of the node's set and the number ``c`` of nodes with the key.
 
-    Every round compares some pivots of each list with all its members outside their own group, then takes them off.
-    The first pivots are the members with the most company, which a star's centre has. A list ends when its members
-    are one group or all have been pivots; the number of pivots grows from round to round. Long lists that stay in
-    several groups are replaced by lists of the shingles that are rarest among their members: similar sets share one
-    of their first ``_prefix`` shingles in that order, texts with only common passages seldom do.
+    First the member of each list with the most company, which a star's centre has, is compared with all the others.
+    Lists that stay in several groups are replaced by lists of the shingles that are rarest among their members: similar
+    sets share one of their first ``_prefix`` shingles in that order, texts with only common passages seldom do. There
+    every round compares some pivots of each list with all its members outside their own group, then takes them off. A
+    list ends when its members are one group or no pivot is left; the number of pivots grows from round to round.
+
+    ``at`` is a member's place among its own ranked shingles. The first shingle that two sets share leaves them
+    ``n - at`` and ``pn - pat`` at most, so one of these below the overlap that they need is no pair at this key. The
+    smaller of two similar sets is ``early``: only such members need be pivots, and members too late for the smallest
+    early one are taken off.
     """
     scores = staged(lists.groupBy("node").agg(F.sum("c").alias("score")), "scores")
-    lists = lists.select("key", "node", "n").join(scores.hint("merge"), "node").withColumn("root", F.col("node"))
-    links, turn, pivots, small = None, 0, 2, 3
+    lists = lists.select("key", "node", "n").join(scores.hint("merge"), "node").withColumns({"root": F.col("node"), "at": F.lit(0)})
+    need = similarity / (1 + similarity)
+    early = F.col("n") - F.col("at") >= 2 * need * F.col("n") - 1e-9
+    links, turn, pivots, small = None, 0, 0, 3
     while True:
-        sizes = lists.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", "node")).alias("top"))
-        lists = lists.join(sizes.where("lo <> hi").hint("merge"), "key")
-        chosen = (F.col("node") == F.col("top.node")) | (F.col("c") <= small) | (F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.col("c")) < pivots)
-        lists = staged(lists.select("key", "node", "n", "score", "root", "c", chosen.alias("pivot")), "lists")
+        sizes = lists.groupBy("key").agg(
+            F.count_if(early).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+            F.min(F.when(early, F.col("n"))).alias("least"), F.max(F.when(early, F.struct("score", "node"))).alias("top"))
+        lists = lists.join(sizes.where("lo <> hi and c > 0").hint("merge"), "key")
+        lists = lists.where(F.col("n") - F.col("at") >= need * (F.col("n") + F.col("least")) - 1e-9)
+        # The same few hashes are the least in all lists, so lists of the same texts have the same pivots.
+        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 31)) * F.col("c") < pivots << 31
+        chosen = early & ((F.col("node") == F.col("top.node")) | (F.col("c") <= small) | drawn)
+        lists = staged(lists.select("key", "node", "n", "score", "root", "at", chosen.alias("pivot")), "lists")
         if lists.isEmpty():
             return links if links is not None else lists.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if turn == SPLIT:
-            turn, hot = turn + 1, lists.where(F.col("c") > HOT)
-            if not hot.isEmpty():
-                lists = staged(lists.where(F.col("c") <= HOT).unionByName(_by_rare_shingles(hot, sets_of, similarity), allowMissingColumns=True).drop("c", "pivot"), "lists")
-                continue
-        own = lists.where("pivot").select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"))
+        own = lists.where("pivot").select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"), F.col("at").alias("pat"))
         met = lists.join(own.hint("merge"), "key").where(F.col("root") != F.col("pr"))
-        met = met.where((F.col("n") >= similarity * F.col("pn") - 1e-9) & (F.col("pn") >= similarity * F.col("n") - 1e-9))
+        met = met.where(F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= need * (F.col("n") + F.col("pn")) - 1e-9)
         pairs = staged(met.groupBy(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).agg(F.lit(1).alias("n")).select("a", "b"), "pairs")
         both = pairs.join(sets_of.select(F.col("node").alias("a"), F.col("has").alias("x")).hint("merge"), "a")
         both = both.join(sets_of.select(F.col("node").alias("b"), F.col("has").alias("y")).hint("merge"), "b")
@@ -116,20 +122,24 @@ def verified_links(lists: DataFrame, sets_of: DataFrame, similarity: float) -> D
         new = staged(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "verified")
         roots = connected_components(new if links is None else links.unionByName(new))
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        lists = lists.where("not pivot").select("key", "node", "n", "score").join(roots.hint("merge"), "node", "left")
+        lists = lists.where("not pivot").select("key", "node", "n", "score", "at").join(roots.hint("merge"), "node", "left")
         lists = lists.withColumn("root", F.coalesce("root", "node"))
-        turn, pivots, small = turn + 1, pivots * 4, SMALL
+        if turn == 0:
+            lists = _by_rare_shingles(lists, sets_of, similarity)
+        turn, pivots, small = turn + 1, pivots * 4 or 2, SMALL
 
 
-def _by_rare_shingles(hot: DataFrame, sets_of: DataFrame, similarity: float) -> DataFrame:
-    """Lists of the members of ``hot`` by those shingles of their prefixes that are rarest among them all."""
-    members = staged(hot.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("score").alias("score"), F.any_value("root").alias("root")), "members")
+def _by_rare_shingles(lists: DataFrame, sets_of: DataFrame, similarity: float) -> DataFrame:
+    """Lists of those members of ``lists`` that are not one group, by the shingles of their prefixes that are rarest among them all."""
+    several = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = lists.join(several.hint("merge"), "key").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "score", "root")])
+    members = staged(members, "members")
     has = staged(members.select("node").join(sets_of.hint("merge"), "node").select("node", F.explode("has").alias("s")), "has")
     often = staged(has.groupBy("s").agg(F.count("*").alias("often")), "often")
     ranked = has.join(often.hint("merge"), "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("ranked"))
     least = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
-    taken = members.join(ranked.hint("merge"), "node").select("node", "n", "score", "root", F.explode(F.slice("ranked", 1, least)).alias("r"))
-    return taken.where("r.often > 1").select(F.xxhash64("r.s", F.lit("rare")).alias("key"), "node", "n", "score", "root")
+    taken = members.join(ranked.hint("merge"), "node").select("node", "n", "score", "root", F.posexplode(F.slice("ranked", 1, least)).alias("at", "r"))
+    return staged(taken.where("r.often > 1").select(F.xxhash64("r.s", F.lit("rare")).alias("key"), "node", "n", "score", "root", "at"), "lists")
 
 
 def keep_one(df: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -620,3 +620,28 @@ def test_long_lists_of_unlike_texts_equal_brute_force(spark):
     members = spark.createDataFrame([(i, [i * 100 + j for j in range(9)] + [-1]) for i in range(100)] + [(100, [j for j in range(9)] + [-2])], "node long, has array<long>")
     links = groups.verified_links(members.crossJoin(key).select("key", "node", F.lit(10).alias("n"), F.lit(101).alias("c")), members, groups.SIMILARITY).collect()
     assert {x for r in links for x in (r.a, r.b)} == {0, 100}
+
+
+def test_compared_pairs_of_edited_copies_grow_with_the_texts(spark, monkeypatch):
+    base, compared, write = prose(420, 150).split(), [], groups.staged
+    texts = []
+    for i in range(320):
+        pick, out = random.Random(i), list(base)
+        for at in pick.sample(range(5, 145), 1 + i % 8):
+            out[at] = f"other{pick.randrange(20)}"
+        texts.append((i, " ".join(out)))
+
+    def counted(df, name):
+        out = write(df, name)
+        compared.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(groups, "staged", counted)
+    kept = sorted(r.doc_id for r in groups.keep_one(docs(spark, texts)).collect())
+    sets, root = {i: {tuple(w[j : j + 5]) for j in range(146)} for i, x in texts for w in [x.split()]}, list(range(len(texts)))
+    for b in sets:
+        for a in range(b):
+            shared = len(sets[a] & sets[b])
+            if root[a] != root[b] and shared >= groups.SIMILARITY * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert kept == [i for i in sets if root[i] == i] and sum(compared) <= 10 * len(texts)
