@@ -29,10 +29,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = staged(
             moved.join(hooked.hint("merge"), "node", "left")
             .select("node", F.col("root").alias("was"), F.least("least", F.coalesce("hook", "least")).alias("root")), "roots")
+        if now.where("was <> root").isEmpty():  # neighbours agree, so roots are their own roots
+            return roots
         up = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        done = staged(
+        roots = staged(
             now.join(up.hint("merge"), "root", "left")
-            .select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root")), "roots")
-        roots = done.select("node", "root")
-        if done.where("was <> root").isEmpty():
-            return roots
+            .select("node", F.least("root", F.coalesce("above", "root")).alias("root")), "roots")

@@ -80,7 +80,7 @@ def _hashes(text: str | None) -> np.ndarray:
 
 
 def verified_links(lists: DataFrame, sets_of: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a``, ``b`` whose closure joins all similar nodes that have a key of ``lists`` in common.
+    """Links ``a``, ``b`` whose closure joins all similar nodes that have a key of ``lists`` in common; ``b`` is the least of all that are joined.
 
     ``lists`` has ``key``, ``node``, the size ``n`` of the node's set and the number ``c`` of nodes with the key.
 
@@ -120,8 +120,9 @@ def verified_links(lists: DataFrame, sets_of: DataFrame, similarity: float) -> D
         both = both.join(sets_of.select(F.col("node").alias("b"), F.col("has").alias("y")).hint("merge"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         new = staged(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "verified")
-        roots = connected_components(new if links is None else links.unionByName(new))
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if links is None or not new.isEmpty():
+            roots = connected_components(new if links is None else links.unionByName(new))
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         lists = lists.where("not pivot").select("key", "node", "n", "score", "at").join(roots.hint("merge"), "node", "left")
         lists = lists.withColumn("root", F.coalesce("root", "node"))
         if turn == 0:
@@ -183,8 +184,7 @@ def keep_one(df: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     wanted = nodes.join(ends.hint("merge"), "node").select("node", "k")
     some = rows.join(wanted.hint("merge"), "k").select("node", "t")
     sets_of = staged(some.mapInArrow(sets, "node long, has array<long>").groupBy("node").agg(F.any_value("has").alias("has")), "sets")
-    links = verified_links(lists, sets_of, similarity)
-    roots = connected_components(links)
+    roots = verified_links(lists, sets_of, similarity).withColumnsRenamed({"a": "node", "b": "root"})
     named = nodes.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     stay = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("__stay"))
     stay = staged(stay.unionByName(prints.where("node is null").select(F.col("k").alias("__stay"))).distinct(), "stay")

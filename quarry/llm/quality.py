@@ -85,7 +85,8 @@ def derivatives(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> tu
     penalty[-1] = 1e-6
     slope, curve = -penalty * w, np.diag(penalty)
     for at in range(0, len(x), BLOCK):
-        part = np.hstack([x[at : at + BLOCK], np.ones((len(x[at : at + BLOCK]), 1))]).astype(float)
+        part = np.asarray(x[at : at + BLOCK], float)
+        part = np.hstack([part, np.ones((len(part), 1))])
         p = chance(part @ w)
         slope += part.T @ (y[at : at + BLOCK] - p)
         curve += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
@@ -105,7 +106,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    return np.asarray(x, float) @ w[:-1] + w[-1]
 
 
 def chance(z: np.ndarray) -> np.ndarray:
@@ -141,10 +142,37 @@ class Classifier:
         return a, np.array([metadata_features(*m) for m in zip(sources, langs, chars)]).reshape(len(texts), N_META)
 
 
+class TextRows:
+    """Rows of the text view: statistics and a bit a word; bits are opened for the rows that are made an array."""
+
+    def __init__(self, stats: np.ndarray, bits: np.ndarray, words: int):
+        self.stats, self.bits, self.words = stats, bits, words
+        self.shape = len(stats), stats.shape[1] + words
+
+    @classmethod
+    def packed(cls, stats: np.ndarray, present: pa.ListArray, words: int) -> TextRows:
+        bits = [np.zeros((0, -(-words // 8)), np.uint8)]
+        for at in range(0, len(present), BLOCK):
+            part = present.slice(at, BLOCK)
+            marks = np.zeros((len(part), words), bool)
+            marks[np.repeat(np.arange(len(part)), np.diff(np.asarray(part.offsets))), np.asarray(part.flatten())] = True
+            bits.append(np.packbits(marks, axis=1))
+        return cls(stats, np.concatenate(bits), words)
+
+    def __len__(self) -> int:
+        return len(self.stats)
+
+    def __getitem__(self, rows) -> TextRows:
+        return TextRows(self.stats[rows], self.bits[rows], self.words)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.hstack([self.stats, np.unpackbits(self.bits, axis=1, count=self.words)], dtype=dtype)
+
+
 class CoTraining:
     """One target's views while they learn: labelled rows, weights, and what the views teach each other."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, y: np.ndarray):
+    def __init__(self, a: TextRows, b: np.ndarray, y: np.ndarray):
         fold = np.arange(len(y)) % 10
         self.y, self.views, self.own = y.astype(float), (a, b), (fold != 4) & (fold != 9)
         self.exchange, self.last = fold == 4, fold == 9
@@ -279,14 +307,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds:
     flags = [F.col(t).cast("int").alias(t) for t in TARGETS]
     rows = features(known.withColumns(dict(zip(TARGETS, flags))), "quality int, toxic int", *TARGETS)
     rows = rows.orderBy(F.xxhash64("dense"), "dense", "present", *TARGETS).toArrow()  # a few hundred bytes a row
-    dense = np.array(rows["dense"].to_pylist(), np.float32).reshape(rows.num_rows, N_STATS + N_META)
-    a = np.zeros((rows.num_rows, N_STATS + len(out.words)), np.float32)
-    a[:, :N_STATS] = dense[:, :N_STATS]
-    for i, present in enumerate(rows["present"].to_pylist()):
-        a[i, [N_STATS + j for j in present]] = 1.0
+    dense = np.asarray(rows["dense"].combine_chunks().flatten()).reshape(rows.num_rows, N_STATS + N_META)
+    a = TextRows.packed(dense[:, :N_STATS], rows["present"].combine_chunks(), len(out.words))
     learners: dict[str, CoTraining] = {}
     for target in TARGETS:
-        y = np.array(rows[target].to_pylist(), int)
+        y = rows[target].to_numpy().astype(int)
         out.models[target] = Model(float(y.mean()) if len(y) else float(target == "quality"))
         if CoTraining.possible(y):
             learners[target] = CoTraining(a, dense[:, N_STATS:], y)
