@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.registry import query
@@ -20,42 +20,57 @@ def notify_follow_on(new: DataFrame, t: Tables, sent: DataFrame) -> DataFrame:
     return out.join(sent.select("user_id", "deal_id", "kind").hint("merge"), ["user_id", "deal_id", "kind"], "left_anti")
 
 
-#: Keys over which the users of one sector or stage are dealt, and notices of new deals that a user's row holds at most.
-DEALT, HELD = 64, 32
+#: Users, and new deals, of which those that match alike are one list, about; there are more such blocks as these grow.
+BLOCK = 8192
+#: Users who follow each other for one deal after the other, and deals that meet a block of users at once.
+RUN, MET = 256, 32
+
+
+def _gathered(name: str) -> Column:
+    """Aggregate: all values of a column in order, a null among them kept."""
+    values = F.sort_array(F.collect_list(name))
+    return F.when(F.bool_or(F.col(name).isNull()), F.array_append(values, F.lit(None).cast("long"))).otherwise(values)
+
+
+def _runs(name: str, size: int) -> Column:
+    """Rows of at most ``size`` of an array's elements."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.size(name) - 1, F.lit(size)), lambda at: F.slice(name, at + 1, F.lit(size))))
 
 
 def notify_match(new: DataFrame, t: Tables, sent: DataFrame) -> DataFrame:
-    """Users whose sectors or stages hold a new deal's; preferences are exploded, so both meet in equi joins.
+    """Users whose sectors or stages hold a new deal's.
 
-    There may be billions of matches, so these are neither shuffled nor sorted: there are few sectors and stages, so
-    their users are dealt over ``DEALT`` keys; who wants both of a deal's is matched by its sector alone; and users hold
-    which new deals they were told of. Users told of more than ``HELD`` meet these in a join.
+    There may be billions of matches, so these are made at the very end and neither shuffled nor sorted. New deals are
+    alike by sectors and stages, of which there are few: of each kind, the deals and the users who want them are listed
+    once, a block at a time, and a list of deals meets a list of users. Deals of which a user in the block was told meet
+    it by themselves. The same users follow each other for deal after deal, which column files store in little room.
     """
     c = F.col
-    said = F.from_json("value", "array<string>")
-    listed = lambda key: F.array_distinct(F.flatten(F.collect_list(F.when(c("key") == key, said)))).alias(key)
-    wants = t.preferences.groupBy("user_id").agg(listed("sectors"), listed("stages"))
+    wants = t.preferences.where("key in ('sectors', 'stages')").select("user_id", "key", F.explode(F.from_json("value", "array<string>")).alias("want"))
+    blocks = -(-wants.select("user_id").distinct().count() // BLOCK) or 1
+    block = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int").alias("block")
     sectors = t.categories.select(c("id").alias("category_id"), c("name").alias("sector"))
-    deals = new.select(c("id").alias("deal_id"), "category_id", "stage").join(sectors.hint("merge"), "category_id", "left").select("deal_id", "sector", "stage").distinct()
-    deals = written(deals, "new-deals")
-    told = sent.where("kind = 'match'").join(deals.select("deal_id").distinct().hint("merge"), "deal_id", "left_semi").select("user_id", "deal_id").distinct()
-    told = written(told, "told")
-    held = told.groupBy("user_id").agg(F.count("*").alias("n"), F.array_compact(F.collect_list("deal_id")).alias("told"))
-    held = held.select("user_id", (c("n") > HELD).alias("many"), F.when(c("n") <= HELD, c("told")).alias("told"))
-    users = wants.join(held.hint("merge"), "user_id", "left").select("user_id", "sectors", "stages", F.coalesce("many", F.lit(False)).alias("many"), F.coalesce("told", F.array().cast("array<long>")).alias("told"))
-    users = written(users.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(DEALT)).cast("int")), "wants")
-    dealt = deals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    fresh = ~F.coalesce(F.array_contains("told", c("deal_id")), F.lit(False))
-    out = ["user_id", "deal_id", "many"]
-    # several rows of one deal, as of categories of one id: its matches are made distinct
-    once = deals.groupBy("deal_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    by_sector = users.withColumn("sector", F.explode("sectors")).drop("sectors", "stages").join(dealt.drop("stage").hint("shuffle_hash"), ["sector", "salt"]).where(fresh).select(*out)
-    by_stage = users.withColumn("want", F.explode("stages")).drop("stages").join(dealt.withColumnRenamed("stage", "want").hint("shuffle_hash"), ["want", "salt"])
-    by_stage = by_stage.where(fresh & ~F.coalesce(F.array_contains("sectors", c("sector")), F.lit(False))).select(*out)
-    rows = by_sector.unionByName(by_stage)
-    rows = rows if once else rows.distinct()
-    rest = rows.where("many").join(told.hint("merge"), ["user_id", "deal_id"], "left_anti")
-    return rows.where("not many").select("user_id", "deal_id").unionByName(rest.select("user_id", "deal_id")).withColumn("kind", F.lit("match"))
+    deals = new.select(c("id").alias("deal_id"), "category_id", "stage").join(sectors.hint("merge"), "category_id", "left")
+    # several rows of one deal, as of categories of one id, are one
+    deals = written(deals.groupBy("deal_id").agg(*[F.sort_array(F.collect_set(x)).alias(f"{x}s") for x in ("sector", "stage")]), "new-deals")
+    kinds = written(deals.select("sectors", "stages").distinct().withColumn("alike", F.monotonically_increasing_id()), "kinds-of-deals")
+    asked = kinds.select("alike", F.explode(F.create_map(F.lit("sectors"), "sectors", F.lit("stages"), "stages")).alias("key", "all")).select("alike", "key", F.explode("all").alias("want"))
+    pairs = wants.join(asked.hint("shuffle_hash"), ["key", "want"]).select("alike", "user_id").distinct()
+    users = written(pairs.groupBy("alike", block).agg(_gathered("user_id").alias("users")), "wants")
+    part = F.pmod(F.xxhash64("deal_id"), F.lit(deals.count() // BLOCK + 1)).cast("int").alias("part")
+    deals = written(deals.join(kinds.hint("shuffle_hash"), ["sectors", "stages"]).select("deal_id", "alike", part), "deals-by-kind")
+    told = sent.where("kind = 'match' and user_id is not null").select("deal_id", "user_id", block).join(deals.hint("merge"), "deal_id").distinct()
+    told = written(told.groupBy("alike", "block", "part", "deal_id").agg(F.collect_list("user_id").alias("told")), "told")
+    some = written(told.groupBy("alike", "block", "part").agg(F.collect_list("deal_id").alias("some")), "told-deals")
+    dealt = written(deals.groupBy("alike", "part").agg(_gathered("deal_id").alias("deals")).select("alike", "part", _runs("deals", MET).alias("deals")), "dealt")
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(some.hint("merge"), ["alike", "block", "part"], "left")
+    dealt = dealt.select("alike", "block", F.when(c("some").isNull(), c("deals")).otherwise(F.array_except("deals", "some")).alias("deals"))
+    apart = lambda rows: rows.repartition(t.parts, "alike", "block")
+    users = apart(users).hint("shuffle_hash")
+    rows = apart(dealt).join(users, ["alike", "block"]).select("deals", _runs("users", RUN).alias("run"))
+    rows = rows.select("run", F.explode("deals").alias("deal_id")).select(F.explode("run").alias("user_id"), "deal_id")
+    rest = apart(told).join(users, ["alike", "block"]).select(F.explode(F.array_except("users", "told")).alias("user_id"), "deal_id")
+    return rows.unionByName(rest).withColumn("kind", F.lit("match"))
 
 
 def _new(t: Tables) -> DataFrame:
