@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as R
 from quarry.operators.gates import valid_portfolio_name
 from quarry.plans.registry import query
-from quarry.sources.markup import GAP, boxed, cards, class_says, first_kind, first_of_card, glued, of_class, page_nodes, page_texts, spaced
+from quarry.sources.markup import GAP, Card, boxed, cards, class_says, first_kind, first_of_card, glued, of_class, page_cards, page_nodes, page_texts, spaced
 from quarry.sources.staging import written
 from quarry.sources.tables import Tables
 
@@ -42,8 +44,6 @@ NOT_INVESTING = (
 WHOLE_WORDS = ("vp", "associate", "hr")
 # Words of news about investments.
 NEWS_WORDS = ("invest", "fund", "raise", "round", "seed", "series", "pre-seed", "announce", "back", "lead", "capital", "million", "closes", "secures")
-# Lengths of a listing's title and description.
-TITLE, ABSTRACT = 200, 500
 HEADINGS = ("h2", "h3", "h4")
 PERSON = r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}$"
 
@@ -311,35 +311,44 @@ def article_text(t: Tables) -> DataFrame:
     return read_bodies(t.raw("pages")).drop("title")
 
 
+def _has(*names: str) -> Callable:
+    return lambda x, *_: all(name in x.classes for name in names)
+
+
+def _told(part: str) -> Callable:
+    return lambda x, *_: part in " ".join(x.classes)
+
+
+def _any(x, *_) -> bool:
+    return True
+
+
 def read_listings(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``title``, ``url``, ``description`` of the entries of listing pages.
+    """``page_id``, ``title``, ``url``, ``description`` of the entries of listing pages, their texts whole.
 
     ``pages`` has a column ``listing``: rounds (rows of a table, that name a New York place), press (links to releases),
     funded (cards of companies, all of them funded) or tag (articles of a topic). Each has its own elements, of which
     the first kind that a page has counts. All but ``funded`` keep entries that speak of funding.
     """
-    tag, link = F.col("tag"), F.col("link")
-    n = written(page_nodes(pages, "listing").where("tag <> '#text'"), "nodes")
-    n = boxed(n, card=of_class("card", tag="div"), heading=tag == "h3")
-    on = lambda kind: F.col("listing") == kind
     forms = {
-        "rounds": (tag == "grid-row", class_says("ng", "tr"), class_says("result", "div"), tag == "mat-row", (tag == "a") & F.contains(link, F.lit("/funding_round/"))),
-        "press": (of_class("newsreleaseconsolidatelink", tag="a"), (tag == "a") & (F.col("node_heading") > F.col("node_card")), class_says("news", "a")),
-        "funded": (class_says("company-card", "div"), class_says("company", "div"), tag == "article", class_says("result", "div")),
-        "tag": (tag == "article", class_says("post", "div"), class_says("article", "div"))}
-    kinds = {}
-    for kind, tests in forms.items():
-        kinds |= {len(kinds) + i: F.coalesce(on(kind) & test, F.lit(False)) for i, test in enumerate(tests)}
-    c = first_kind(cards(n, kinds))
-    named, says = tag.isin(*HEADINGS) | class_says("name") | class_says("title"), lambda *parts: F.array_join("classes", " ").rlike("|".join(parts))
-    self_ = F.col("node") == F.col("card")
-    rows = c.groupBy("page_id", F.col("url").alias("page"), "listing", "card").agg(
-        first_of_card(F.col("text"), self_).alias("all"), first_of_card(link, (tag == "a") & link.isNotNull()).alias("link"), first_of_card(glued(), named & ~self_).alias("name"),
-        first_of_card(glued(), tag.isin("h2", "h3")).alias("head"), first_of_card(glued(), (tag == "p") | says("excerpt", "summary") & ~self_).alias("excerpt"))
+        "rounds": ((("grid-row",), _any), (("tr",), _told("ng")), (("div",), _told("result")), (("mat-row",), _any), (("a",), lambda x, *_: "/funding_round/" in (x.link or ""))),
+        "press": ((("a",), _has("newsreleaseconsolidatelink")), (("a",), lambda x, *_: x.boxes.get("heading", -1) > x.boxes.get("card", x.node)), (("a",), _told("news"))),
+        "funded": ((("div",), _told("company-card")), (("div",), _told("company")), (("article",), _any), (("div",), _told("result"))),
+        "tag": ((("article",), _any), (("div",), _told("post")), (("div",), _told("article")))}
+    no_card = lambda test: lambda x, card, page: x is not card and test(x)
+    says = lambda *parts: lambda x, *_: any(part in " ".join(x.classes) for part in parts)
+    fields = {
+        "all": ((None, lambda x, card, page: x is card),), "link": ((("a",), lambda x, *_: x.link is not None),), "name": ((None, no_card(lambda x: x.tag in HEADINGS or says("name", "title")(x))),),
+        "head": ((("h2", "h3"), _any),), "excerpt": ((None, lambda x, card, page: x.tag == "p" or says("excerpt", "summary")(x) and x is not card),)}
+    kinds = {listing: {i: Card(tags, test, fields) for i, (tags, test) in enumerate(tests)} for listing, tests in forms.items()}
+    boxes = {"card": lambda x: x.tag == "div" and "card" in x.classes, "heading": lambda x: x.tag == "h3"}
+    rows = page_cards(pages, kinds, "listing", boxes, first=tuple(range(max(map(len, forms.values())))), more=("listing",)).withColumnRenamed("url", "page")
+    for x in ("name", "head", "excerpt"):
+        rows = rows.withColumn(x, glued(x))
     kind, text = F.col("listing"), spaced("all")
-    title = F.when(kind == "rounds", F.left(text, F.lit(TITLE))).when(kind == "press", glued("all")).when(kind == "funded", F.concat("name", F.lit(" raises funding"))).otherwise(F.col("head"))
-    about = F.when(kind.isin("rounds", "funded"), F.left(text, F.lit(ABSTRACT))).when(kind == "tag", F.coalesce("excerpt", F.lit("")))
-    rows = rows.select("page_id", "page", kind, title.alias("title"), _absolute(F.col("link"), "page").alias("url"), about.alias("description"), text.alias("text"))
+    title = F.when(kind == "rounds", text).when(kind == "press", glued("all")).when(kind == "funded", F.concat("name", F.lit(" raises funding"))).otherwise(F.col("head"))
+    about = F.when(kind.isin("rounds", "funded"), text).when(kind == "tag", F.coalesce("excerpt", F.lit("")))
+    rows = rows.select("page_id", "page", "listing", title.alias("title"), _absolute(F.col("link"), "page").alias("url"), about.alias("description"), text.alias("text"))
     told = R.contains_any(F.lower(F.concat_ws(" ", F.when(kind == "rounds", F.col("text")).otherwise(F.concat_ws(" ", "title", "description")))), R.FUNDING_WORDS)
     near = R.first_of(F.col("text"), {"New York": R.CITY_WORDS["New York"]}, None).isNotNull()
     rows = rows.where((F.coalesce("title", F.lit("")) != "") & ((kind == "funded") | told) & ((kind != "rounds") | near))
@@ -366,9 +375,9 @@ def listing_pages(t: Tables) -> DataFrame:
 
 @query("listing_cards", """
 with a as (select *, id // 20 % 4 as k, case when id % 6 = 0 then 'Office dog of New York no. ' || id else title end as said from articles)
-select (id // 20) * 100000 as page_id, case k when 0 then left(said || ' more', 200) when 2 then 'Co ' || id || ' raises funding' else said end as title,
+select (id // 20) * 100000 as page_id, case k when 0 then said || ' more' when 2 then 'Co ' || id || ' raises funding' else said end as title,
   case k when 0 then 'https://list.example.com/r/' || id when 1 then 'https://list.example.com/p/' || id when 2 then 'https://list.example.com/c/' || id else 'https://o.example.org/' || id end as url,
-  case k when 0 then left(said || ' more', 500) when 2 then 'Co ' || id || ' about x' when 3 then 'day ' || id end as description
+  case k when 0 then said || ' more' when 2 then 'Co ' || id || ' about x' when 3 then 'day ' || id end as description
 from a where k = 2 or id % 6 <> 0 and (k <> 0 or contains(title, 'New York'))""")
 def listing_cards(t: Tables) -> DataFrame:
     return read_listings(listing_pages(t))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from html import unescape
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -248,6 +251,148 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return _read_pages(pages, _main_text, {"title": pa.string(), "body": pa.string()}, "title string, body string")
 
 
+class Element:
+    """An element while a page is read: its place, the places of the boxes that it is in, and its text if it is kept."""
+
+    __slots__ = ("tag", "classes", "link", "node", "open", "boxes", "pieces", "room")
+
+    def __init__(self, tag: str, attrs: dict, node: int):
+        self.tag, self.classes, self.link, self.node = tag, (attrs.get("class") or "").split(), attrs.get("href"), node
+        self.open, self.boxes, self.pieces, self.room = tag not in VOID, None, None, 0
+
+
+@dataclass
+class Card:
+    """Elements of a tag that pass a test, and what is read of each: fields of first elements that pass theirs.
+
+    Tests are given the element, the card and the page's row; each goes with the tags that it is for, or None. A field
+    is of the first of its tests that an element passed: its text with ``GAP`` between pieces, or its link. Cards within
+    others of their kind are part of these; ``links`` are rows of their own wherever they stand, with their text up to
+    ``SHOWN`` characters as ``name``, one of a name for each page.
+    """
+
+    tags: tuple[str, ...] | None
+    test: Callable
+    fields: dict[str, tuple[tuple[tuple[str, ...] | None, Callable], ...]]
+    links: bool = False
+    by_tag: dict = field(default_factory=dict)
+
+    def tests(self, tag: str) -> list[tuple]:
+        """The tests for a tag: field, place among the field's tests, test."""
+        if tag not in self.by_tag:
+            self.by_tag[tag] = [(name, i, test) for name, tests in self.fields.items() for i, (tags, test) in enumerate(tests) if tags is None or tag in tags]
+        return self.by_tag[tag]
+
+
+def _cards(page: dict, kinds: dict[int, Card], boxes: dict[str, Callable]) -> list[tuple]:
+    """Of each card of a page: kind, element, and the elements found for its fields, by field and place of the test."""
+    node, stack, found, latest, current, keeping = 0, [], [], {}, {}, []  # open elements, cards, last boxes, open cards, elements whose text is kept
+    of_tag: dict[str, list] = {}
+    for end, tag, attrs, text in events(page["html"] or ""):
+        if not tag:
+            if piece := _piece(stack, text):
+                node += 1
+                for x in keeping:
+                    if x.room is None:
+                        x.pieces.append(piece)
+                    elif x.room > 0:
+                        x.pieces.append(piece[: x.room])
+                        x.room = max(0, x.room - len(piece))
+                if any(x.room == 0 for x in keeping):
+                    keeping = [x for x in keeping if x.room != 0]
+        elif end:
+            for _, x in _closed(stack, tag):
+                x.open = False
+                if x.pieces is not None and x.room != 0:
+                    keeping.remove(x)
+        else:
+            x = Element(tag, attributes(attrs) if attrs else {}, node)
+            node += 1
+            if x.open:
+                stack.append((tag, x))
+            for name, test in boxes.items():
+                if test(x):
+                    latest[name] = x
+            x.boxes = boxes and {name: box.node for name, box in latest.items() if box.open or box is x}
+            if tag not in of_tag:
+                of_tag[tag] = [(k, kind) for k, kind in kinds.items() if kind.tags is None or tag in kind.tags]
+            for k, kind in of_tag[tag]:
+                if (kind.links or k not in current or not current[k][1].open) and kind.test(x, None, page):
+                    found.append((k, x, {}))
+                    if kind.links:
+                        _keep(x, keeping, SHOWN)
+                    else:
+                        current[k] = found[-1]
+            for k, card in list(current.items()):
+                _, first, values = card
+                if not first.open and first is not x:
+                    del current[k]
+                    continue
+                for name, i, test in kinds[k].tests(tag):
+                    if (name, i) not in values and test(x, first, page):
+                        values[name, i] = x
+                        if name not in LINKS:
+                            _keep(x, keeping, None)
+    return found
+
+
+def _keep(x: Element, keeping: list[Element], room: int | None) -> None:
+    if x.pieces is None:
+        x.pieces, x.room = [], room
+        if x.open:
+            keeping.append(x)
+    elif room is None:
+        x.room = None
+
+
+#: Fields of cards that are links, not texts.
+LINKS = ("link",)
+
+
+def page_cards(pages: DataFrame, kinds: dict[str | None, dict[int, Card]], by: str | None = None, boxes: dict[str, Callable] | None = None, first: tuple[int, ...] = (), least: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each card of ``pages``: ``page_id``, ``url``, ``more``, ``card_kind``, ``card`` and the fields of all kinds.
+
+    ``kinds`` are those for the pages whose column ``by`` has a value, or for all pages. Of the kinds ``first`` only those
+    of the first with ``least`` cards count. ``boxes`` are tests of elements; an element knows the last box that began
+    before it or with it, if it is in it. Pages are read in one pass, each by one worker.
+    """
+    names = sorted({name for group in kinds.values() for kind in group.values() for name in (("name", "link") if kind.links else kind.fields)})
+    types = {"page_id": pa.int64(), "url": pa.string()}
+    own = {"card_kind": pa.int32(), "card": pa.int32()} | dict.fromkeys(names, pa.string())
+
+    def rows(page: dict) -> Iterator[tuple]:
+        group = kinds.get(page[by] if by else None, {})
+        found, told = _cards(page, group, boxes or {}), set()
+        counts = Counter(k for k, _, _ in found)
+        one = next((k for k in first if counts[k] >= least), None)
+        for k, x, values in found:
+            if k in first and k != one:
+                continue
+            if group[k].links:
+                name = "".join(x.pieces)
+                if (k, name) in told:
+                    continue
+                told.add((k, name))
+                got = {"name": name, "link": x.link}
+            else:
+                got = {}
+                for name, tests in group[k].fields.items():
+                    of = next((values[name, i] for i in range(len(tests)) if (name, i) in values), None)
+                    got[name] = None if of is None else of.link if name in LINKS else GAP.join(of.pieces)
+            yield (page["page_id"], page["url"], *(page[x] for x in more), k, x.node, *(got.get(x) for x in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = types | {x: batch.schema.field(x).type for x in more} | own
+            made = (row for at in range(batch.num_rows) for row in rows(batch.slice(at, 1).to_pylist()[0]))
+            while part := list(islice(made, SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*part), schema.values())], list(schema))
+
+    read = pages.select(F.col("page_id").cast("long"), "url", "html", *dict.fromkeys([*more, *([by] if by else [])]))
+    given = dict(read.dtypes)
+    return read.mapInArrow(run, ", ".join(["page_id long", "url string", *[f"{x} {given[x]}" for x in more], "card_kind int", "card int", *[f"{x} string" for x in names]]))
+
+
 def glued(c: Column | str = "text") -> Column:
     return F.replace(F.col(c) if isinstance(c, str) else c, F.lit(GAP), F.lit(""))
 
