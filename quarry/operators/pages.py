@@ -67,52 +67,61 @@ def _says(c: Column, listed: tuple[str, ...]) -> Column:
     return F.coalesce(hit | F.arrays_overlap(words, F.array(*map(F.lit, own))) if own else hit, F.lit(False))
 
 
-def read_portfolios(pages: DataFrame, most: int | None = None) -> DataFrame:
+def _has(name: str) -> Callable:
+    return lambda x, *_: name in x.classes
+
+
+def _told(part: str) -> Callable:
+    return lambda x, *_: part in " ".join(x.classes)
+
+
+def _any(x, *_) -> bool:
+    return True
+
+
+def _leads(x, card, page: dict) -> bool:
+    """Whether a link leads to another site."""
+    return x.link is not None and x.link.startswith("http") and not (page["host"] and page["host"] in x.link)
+
+
+def read_portfolios(pages: DataFrame, most: int | None = None, parts: int | None = None) -> DataFrame:
     """``page_id``, ``layout``, ``place``, ``company_name``, ``company_website`` and ``description`` of listed companies.
 
     Layouts are tried in order: rows of links (1), cards with a container (2), wraps with a title (3), at least three
     company cards with a heading (4), and links to other sites (5); the first that gives a company is the page's. Names
     that are no company's are dropped, as are links to the page's own site and to platforms where only links tell.
-    ``most`` keeps the first so many of a page.
+    ``most`` keeps the first so many of a page. Many pages list the same companies, so each name is judged once; rows
+    are shuffled into ``parts`` partitions, if given.
     """
-    tag, link, node = F.col("tag"), F.col("link"), F.col("node")
-    n = written(page_nodes(pages).where("tag <> '#text'"), "nodes")
-    n = boxed(n, container=of_class("container", tag="div"), title=of_class("portfolio-title", tag="div"))
-    kinds = {1: of_class("m__list-row", tag="div") & ~of_class("m__list-row--mobile"), 2: of_class("portfolio-card", tag="div"), 3: of_class("portfolio-wrap", tag="div")}
-    kinds |= {4 + i: of_class(name, tag=t) for i, (t, name) in enumerate(COMPANY_CARDS)}
-    c = written(cards(n, kinds), "cards")
-    own = F.coalesce(F.contains(link, _host()) & (_host() != ""), F.lit(False))
-    out = [F.col("page_id"), F.col("url")]
-    row = lambda layout, place, name, site, about: [*out, F.lit(layout).alias("layout"), place.alias("place"), name.alias("company_name"), site.alias("company_website"), about.alias("description")]
-    none = F.lit(None).cast("string")
-    listed = c.where((F.col("card_kind") == 1) & (tag == "a") & link.startswith("http") & ~own).select(*row(1, node, glued(), link, none))
-
-    def of_cards(rows: DataFrame, name: Column, site: Column, about: Column) -> DataFrame:
-        return rows.groupBy("page_id", "url", "card").agg(name.alias("name"), site.alias("site"), F.substring(about, 1, DESCRIPTION).alias("about"))
-
-    named = tag.isin("h2", "h3", "h4", "p", "span", "div") & (F.col("node_container") > F.col("card")) & (node > F.col("node_container"))
-    boxes = of_cards(c.where("card_kind = 2"), first_of_card(glued(), named), first_of_card(link, (tag == "a") & link.startswith("http")), first_of_card(glued(), of_class("portfolio-card__accordion", tag="div")))
-    boxes = boxes.where(~F.lower("name").isin(*FILTER_NAMES))
-    inner = F.coalesce(F.contains("site", _host()) & (_host() != ""), F.lit(False))
-    boxes = boxes.select(*row(2, F.col("card"), F.col("name"), F.when(~inner, F.col("site")), F.col("about")))
-    third = of_class("h3", tag="div")
-    title = F.coalesce(first_of_card(glued(), third & (F.col("node_title") > F.col("card"))), first_of_card(glued(), third), first_of_card(glued(), tag == "h3"))
-    short = F.coalesce(first_of_card(glued(), of_class("short-desc", tag="div")), first_of_card(glued(), of_class("text-14px", tag="div")))
-    wraps = of_cards(c.where("card_kind = 3"), title, none, short)
-    about = F.when(F.endswith("about", F.lit("Read more.")), F.rtrim(F.expr("left(about, length(about) - 10)"))).otherwise(F.col("about"))
-    wraps = wraps.select(*row(3, F.col("card"), F.col("name"), none, about))
-    plain = first_kind(c.where("card_kind >= 4"), LEAST_CARDS)
-    plain = of_cards(plain, F.coalesce(first_of_card(glued(), tag.isin(*HEADINGS)), first_of_card(glued(), tag == "a")), first_of_card(link, (tag == "a") & link.isNotNull()), first_of_card(glued(), tag == "p"))
-    plain = plain.select(*row(4, F.col("card"), F.col("name"), _absolute(F.col("site")), F.col("about")))
-    elsewhere = ~own & ~F.exists(F.array(*map(F.lit, PLATFORMS)), lambda x: F.contains(link, x))
-    shaped = glued().rlike(r"^\p{Lu}") | (glued().contains(" ") & ~glued().startswith("#"))
-    links = n.where((tag == "a") & link.startswith("http") & elsewhere & shaped).select(*row(5, node, glued(), link, none))
-    # written, so that names are made once and not in each test of them
-    rows = written(listed.unionByName(boxes).unionByName(wraps).unionByName(plain).unionByName(links), "listed").where(valid_portfolio_name(F.col("company_name")))
-    rows = rows.withColumn("__first", F.min("layout").over(Window.partitionBy("page_id"))).where("layout = __first")
-    # a name is listed once where links tell, each card otherwise
-    again = F.row_number().over(Window.partitionBy("page_id", F.when(F.col("layout").isin(1, 5), F.col("company_name")).otherwise(F.col("place").cast("string"))).orderBy("place"))
-    rows = rows.withColumn("__again", again).where("__again = 1")
+    apart = lambda rows, key: rows if parts is None else rows.repartition(parts, key)
+    heads, linked, http = (HEADINGS, _any), (("a",), lambda x, *_: x.link is not None), (("a",), lambda x, *_: (x.link or "").startswith("http"))
+    kinds = {
+        0: Card(("div",), lambda x, *_: "m__list-row" in x.classes and "m__list-row--mobile" not in x.classes, {}),
+        1: Card(("a",), _leads, {}, links=True, within=0),
+        2: Card(("div",), _has("portfolio-card"), {
+            "name": ((("h2", "h3", "h4", "p", "span", "div"), lambda x, card, page: x.node > x.boxes.get("container", x.node) > card.node),), "link": (http,), "about": ((("div",), _has("portfolio-card__accordion")),)}),
+        3: Card(("div",), _has("portfolio-wrap"), {
+            "name": ((("div",), lambda x, card, page: "h3" in x.classes and x.boxes.get("title", -1) > card.node), (("div",), _has("h3")), (("h3",), _any)),
+            "about": ((("div",), _has("short-desc")), (("div",), _has("text-14px")))})}
+    kinds |= {4 + i: Card((tag,), _has(name), {"name": (heads, (("a",), _any)), "link": (linked,), "about": ((("p",), _any),)}) for i, (tag, name) in enumerate(COMPANY_CARDS)}
+    last = 4 + len(COMPANY_CARDS)
+    kinds[last] = Card(("a",), lambda x, card, page: _leads(x, card, page) and not any(site in x.link for site in PLATFORMS), {}, links=True)
+    boxes = {"container": (("div",), _has("container")), "title": (("div",), _has("portfolio-title"))}
+    c = page_cards(pages.withColumn("host", _host()), {None: kinds}, boxes=boxes, first=tuple(range(4, last)), least=LEAST_CARDS, more=("host",))
+    kind, link, name = F.col("card_kind"), F.col("link"), glued("name")
+    layout = F.when(kind == last, 5).when(kind >= 4, 4).otherwise(kind)
+    inner = F.coalesce(F.contains(link, F.col("host")) & (F.col("host") != ""), F.lit(False))
+    site = F.when(kind.isin(1, last) | (kind == 2) & ~inner, link).when(kind >= 4, _absolute(link))
+    about = F.substring(glued("about"), 1, DESCRIPTION)
+    about = F.when((kind == 3) & F.endswith(about, F.lit("Read more.")), F.rtrim(F.left(about, F.char_length(about) - 10))).otherwise(about)
+    shaped = name.rlike(r"^\p{Lu}") | (name.contains(" ") & ~name.startswith("#"))
+    c = c.where(F.when(kind == 2, ~F.lower(name).isin(*FILTER_NAMES)).when(kind == last, shaped).otherwise(True))
+    rows = written(c.select("page_id", layout.alias("layout"), F.col("card").alias("place"), name.alias("company_name"), site.alias("company_website"), about.alias("description")), "listed")
+    # written before and after they are judged, or the rule would move to where each row is read
+    names = written(apart(rows.select("company_name").distinct(), "company_name"), "names")
+    names = written(names.where(valid_portfolio_name(F.col("company_name"))), "companies")
+    rows = apart(rows, "company_name").join(apart(names, "company_name").hint("shuffle_hash"), "company_name", "left_semi")
+    rows = apart(rows, "page_id").withColumn("__first", F.min("layout").over(Window.partitionBy("page_id"))).where("layout = __first")
     if most is not None:
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("page_id").orderBy("place"))).where(F.col("__n") <= most)
     return rows.select("page_id", "layout", "place", "company_name", "company_website", "description")
@@ -122,7 +131,7 @@ def read_portfolios(pages: DataFrame, most: int | None = None) -> DataFrame:
 PAGE = 40
 
 
-def _paged(rows: DataFrame, key: Column, order: str, html: Column, before: Column, url: Column, size: int = PAGE) -> DataFrame:
+def _paged(rows: DataFrame, key: Column, order: str, html: Column, before: Column, url: Column, size: int = PAGE, parts: int | None = None) -> DataFrame:
     """Pages of ``size`` rows of a key: ``page_id`` from key and number, ``url`` and ``html``, the rows in order."""
     # numbered before they are rendered, so that the sort carries columns and not html
     rows = rows.withColumn("__k", key).withColumn("__p", F.floor((F.row_number().over(Window.partitionBy("__k").orderBy(order)) - 1) / size))
@@ -130,7 +139,7 @@ def _paged(rows: DataFrame, key: Column, order: str, html: Column, before: Colum
     pages = rows.groupBy("k", "p").agg(F.first("url").alias("url"), F.first("b").alias("b"), F.sort_array(F.collect_list(F.struct("o", "h"))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: r["h"]), "\n")
     pages = pages.select((F.col("k") * 100000 + F.col("p")).alias("page_id"), "url", F.concat(F.lit("<html><head><title>t</title></head><body>"), "b", body, F.lit("</body></html>")).alias("html"))
-    return pages.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")  # small pages, much work
+    return pages.repartition(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")  # small pages, much work
 
 
 def portfolio_pages(t: Tables) -> DataFrame:
@@ -149,7 +158,7 @@ def portfolio_pages(t: Tables) -> DataFrame:
     html = forms[-1]
     for i, form in enumerate(forms[:-1]):
         html = F.when(firm % 5 == i, form).otherwise(html)
-    return _paged(t.portfolio, firm, "id", html, F.lit("<nav><a href='/'>Home</a></nav>"), text(own, "/portfolio"))
+    return _paged(t.portfolio, firm, "id", html, F.lit("<nav><a href='/'>Home</a></nav>"), text(own, "/portfolio"), parts=t.parts)
 
 
 @query("portfolio_from_html", f"""
@@ -163,7 +172,7 @@ select page_id, cast(layout as integer) as layout, company_name,
 from q where layout <> 4 or size >= {LEAST_CARDS}""")
 def portfolio_from_html(t: Tables) -> DataFrame:
     """The portfolios read back from firms' pages in five layouts."""
-    return read_portfolios(portfolio_pages(t)).drop("place")
+    return read_portfolios(portfolio_pages(t), parts=t.parts).drop("place")
 
 
 def linked_data(nodes: DataFrame) -> DataFrame:
@@ -287,7 +296,7 @@ def news_pages(t: Tables) -> DataFrame:
     inner = text("<h2><a href='/n/", F.col("id").cast("string"), "'>", head, "</a></h2>", F.when(F.col("id") % 4 == 2, text("<time datetime='", F.coalesce(day, F.lit("-")), "'>a while ago</time>")).otherwise(text("<span class='post-Date'>", F.coalesce(day, F.lit("-")), "</span>")))
     page = F.floor(F.col("id") / 20)
     html = F.when(page % 2 == 0, text("<article><p>intro</p>", inner, "</article>")).otherwise(text("<div class='blog-post'>", inner, "<div class='post-end'>.</div></div>"))
-    return _paged(a, page, "id", html, F.lit("<h1>Funding news of a firm</h1>"), text("https://firm", page.cast("string"), ".example.com/news"))
+    return _paged(a, page, "id", html, F.lit("<h1>Funding news of a firm</h1>"), text("https://firm", page.cast("string"), ".example.com/news"), parts=t.parts)
 
 
 @query("firm_news_from_html", """
@@ -311,18 +320,6 @@ def article_text(t: Tables) -> DataFrame:
     return read_bodies(t.raw("pages")).drop("title")
 
 
-def _has(*names: str) -> Callable:
-    return lambda x, *_: all(name in x.classes for name in names)
-
-
-def _told(part: str) -> Callable:
-    return lambda x, *_: part in " ".join(x.classes)
-
-
-def _any(x, *_) -> bool:
-    return True
-
-
 def read_listings(pages: DataFrame) -> DataFrame:
     """``page_id``, ``title``, ``url``, ``description`` of the entries of listing pages, their texts whole.
 
@@ -341,7 +338,7 @@ def read_listings(pages: DataFrame) -> DataFrame:
         "all": ((None, lambda x, card, page: x is card),), "link": ((("a",), lambda x, *_: x.link is not None),), "name": ((None, no_card(lambda x: x.tag in HEADINGS or says("name", "title")(x))),),
         "head": ((("h2", "h3"), _any),), "excerpt": ((None, lambda x, card, page: x.tag == "p" or says("excerpt", "summary")(x) and x is not card),)}
     kinds = {listing: {i: Card(tags, test, fields) for i, (tags, test) in enumerate(tests)} for listing, tests in forms.items()}
-    boxes = {"card": lambda x: x.tag == "div" and "card" in x.classes, "heading": lambda x: x.tag == "h3"}
+    boxes = {"card": (("div",), _has("card")), "heading": (("h3",), _any)}
     rows = page_cards(pages, kinds, "listing", boxes, first=tuple(range(max(map(len, forms.values())))), more=("listing",)).withColumnRenamed("url", "page")
     for x in ("name", "head", "excerpt"):
         rows = rows.withColumn(x, glued(x))
@@ -370,7 +367,7 @@ def listing_pages(t: Tables) -> DataFrame:
     for i, (listing, form) in enumerate(forms.items()):
         html = F.when(page % 4 == i, form) if html is None else html.when(page % 4 == i, form)
         kind = F.when(F.floor(F.col("page_id") / 100000) % 4 == i, listing) if kind is None else kind.when(F.floor(F.col("page_id") / 100000) % 4 == i, listing)
-    return _paged(t.articles, page, "id", html, F.lit("<table>"), F.lit("https://list.example.com/all")).withColumn("listing", kind)
+    return _paged(t.articles, page, "id", html, F.lit("<table>"), F.lit("https://list.example.com/all"), parts=t.parts).withColumn("listing", kind)
 
 
 @query("listing_cards", """

@@ -254,11 +254,12 @@ def page_texts(pages: DataFrame) -> DataFrame:
 class Element:
     """An element while a page is read: its place, the places of the boxes that it is in, and its text if it is kept."""
 
-    __slots__ = ("tag", "classes", "link", "node", "open", "boxes", "pieces", "room")
+    __slots__ = ("tag", "classes", "link", "node", "open", "boxes", "heads", "pieces", "room")
 
     def __init__(self, tag: str, attrs: dict, node: int):
-        self.tag, self.classes, self.link, self.node = tag, (attrs.get("class") or "").split(), attrs.get("href"), node
-        self.open, self.boxes, self.pieces, self.room = tag not in VOID, None, None, 0
+        named = attrs.get("class")
+        self.tag, self.classes, self.link, self.node, self.open = tag, named.split() if named else [], attrs.get("href"), node, tag not in VOID
+        self.heads = self.pieces = None
 
 
 @dataclass
@@ -268,71 +269,82 @@ class Card:
     Tests are given the element, the card and the page's row; each goes with the tags that it is for, or None. A field
     is of the first of its tests that an element passed: its text with ``GAP`` between pieces, or its link. Cards within
     others of their kind are part of these; ``links`` are rows of their own wherever they stand, with their text up to
-    ``SHOWN`` characters as ``name``, one of a name for each page.
+    ``SHOWN`` characters as ``name``, one of a name for each page. ``within`` names the kind of card that one must be in.
+    Cards without fields are no rows.
     """
 
     tags: tuple[str, ...] | None
     test: Callable
     fields: dict[str, tuple[tuple[tuple[str, ...] | None, Callable], ...]]
     links: bool = False
+    within: int | None = None
     by_tag: dict = field(default_factory=dict)
 
     def tests(self, tag: str) -> list[tuple]:
-        """The tests for a tag: field, place among the field's tests, test."""
+        """The tests for a tag, with field and place among the field's tests."""
         if tag not in self.by_tag:
-            self.by_tag[tag] = [(name, i, test) for name, tests in self.fields.items() for i, (tags, test) in enumerate(tests) if tags is None or tag in tags]
+            self.by_tag[tag] = [((name, i), test) for name, tests in self.fields.items() for i, (tags, test) in enumerate(tests) if tags is None or tag in tags]
         return self.by_tag[tag]
 
 
-def _cards(page: dict, kinds: dict[int, Card], boxes: dict[str, Callable]) -> list[tuple]:
+def _cards(page: dict, kinds: dict[int, Card], boxes: dict[str, tuple]) -> list[tuple]:
     """Of each card of a page: kind, element, and the elements found for its fields, by field and place of the test."""
-    node, stack, found, latest, current, keeping = 0, [], [], {}, {}, []  # open elements, cards, last boxes, open cards, elements whose text is kept
-    of_tag: dict[str, list] = {}
+    node, stack, found, keeping = 0, [], [], []  # nodes so far, open elements, cards, elements whose text is kept
+    current, inside = {}, {}  # open cards by kind, places of the open boxes
+    of_tag: dict[str, tuple] = {}
     for end, tag, attrs, text in events(page["html"] or ""):
         if not tag:
             if piece := _piece(stack, text):
-                node += 1
+                node, full = node + 1, False
                 for x in keeping:
                     if x.room is None:
                         x.pieces.append(piece)
-                    elif x.room > 0:
+                    else:
                         x.pieces.append(piece[: x.room])
-                        x.room = max(0, x.room - len(piece))
-                if any(x.room == 0 for x in keeping):
-                    keeping = [x for x in keeping if x.room != 0]
+                        x.room -= len(piece)
+                        full |= x.room <= 0
+                if full:
+                    keeping = [x for x in keeping if x.room is None or x.room > 0]
         elif end:
             for _, x in _closed(stack, tag):
                 x.open = False
-                if x.pieces is not None and x.room != 0:
+                if x.pieces is not None and (x.room is None or x.room > 0):
                     keeping.remove(x)
+                for k in x.heads or ():
+                    del current[k]
+                if x.node in inside.values():
+                    inside = {name: at for name, at in inside.items() if at != x.node}
         else:
             x = Element(tag, attributes(attrs) if attrs else {}, node)
             node += 1
             if x.open:
                 stack.append((tag, x))
-            for name, test in boxes.items():
-                if test(x):
-                    latest[name] = x
-            x.boxes = boxes and {name: box.node for name, box in latest.items() if box.open or box is x}
             if tag not in of_tag:
-                of_tag[tag] = [(k, kind) for k, kind in kinds.items() if kind.tags is None or tag in kind.tags]
-            for k, kind in of_tag[tag]:
-                if (kind.links or k not in current or not current[k][1].open) and kind.test(x, None, page):
-                    found.append((k, x, {}))
-                    if kind.links:
+                of_tag[tag] = [(name, test) for name, (tags, test) in boxes.items() if tag in tags], [(k, kind) for k, kind in kinds.items() if kind.tags is None or tag in kind.tags]
+            for name, test in of_tag[tag][0]:
+                if test(x):
+                    inside = inside | {name: x.node}
+            x.boxes = inside
+            for k, kind in of_tag[tag][1]:
+                if kind.links:
+                    if (kind.within is None or kind.within in current) and kind.test(x, None, page):
+                        found.append((k, x, {}))
                         _keep(x, keeping, SHOWN)
-                    else:
-                        current[k] = found[-1]
-            for k, card in list(current.items()):
-                _, first, values = card
-                if not first.open and first is not x:
-                    del current[k]
-                    continue
-                for name, i, test in kinds[k].tests(tag):
-                    if (name, i) not in values and test(x, first, page):
-                        values[name, i] = x
-                        if name not in LINKS:
+                elif k not in current and kind.test(x, None, page):
+                    found.append((k, x, {}))
+                    current[k] = found[-1]
+                    x.heads = [*(x.heads or ()), k]
+            for k, first, values in current.values():
+                for place, test in kinds[k].tests(tag):
+                    if place not in values and test(x, first, page):
+                        values[place] = x
+                        if place[0] not in LINKS:
                             _keep(x, keeping, None)
+            if not x.open:
+                for k in x.heads or ():
+                    del current[k]
+                if x.node in inside.values():
+                    inside = {name: at for name, at in inside.items() if at != x.node}
     return found
 
 
@@ -349,11 +361,11 @@ def _keep(x: Element, keeping: list[Element], room: int | None) -> None:
 LINKS = ("link",)
 
 
-def page_cards(pages: DataFrame, kinds: dict[str | None, dict[int, Card]], by: str | None = None, boxes: dict[str, Callable] | None = None, first: tuple[int, ...] = (), least: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
+def page_cards(pages: DataFrame, kinds: dict[str | None, dict[int, Card]], by: str | None = None, boxes: dict[str, tuple] | None = None, first: tuple[int, ...] = (), least: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
     """A row for each card of ``pages``: ``page_id``, ``url``, ``more``, ``card_kind``, ``card`` and the fields of all kinds.
 
     ``kinds`` are those for the pages whose column ``by`` has a value, or for all pages. Of the kinds ``first`` only those
-    of the first with ``least`` cards count. ``boxes`` are tests of elements; an element knows the last box that began
+    of the first with ``least`` cards count. ``boxes`` are tests of elements of some tags; an element knows the last box that began
     before it or with it, if it is in it. Pages are read in one pass, each by one worker.
     """
     names = sorted({name for group in kinds.values() for kind in group.values() for name in (("name", "link") if kind.links else kind.fields)})
@@ -366,7 +378,7 @@ def page_cards(pages: DataFrame, kinds: dict[str | None, dict[int, Card]], by: s
         counts = Counter(k for k, _, _ in found)
         one = next((k for k in first if counts[k] >= least), None)
         for k, x, values in found:
-            if k in first and k != one:
+            if k in first and k != one or not group[k].links and not group[k].fields:
                 continue
             if group[k].links:
                 name = "".join(x.pieces)
